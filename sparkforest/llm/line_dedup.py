@@ -8,6 +8,8 @@ joined, so a line that is repeated a million times is one row of the join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,30 +19,41 @@ from sparkforest.llm.quality_rules import let
 #: Lines with fewer distinct words are left alone: short ones repeat by chance.
 LEAST_WORDS = 6
 PERCENT = 80
-#: Rarity is counted in this many buckets of words, so that the table of counts has a fixed size. Words that
-#: share a bucket only share a place in the order; the join is exact with any order.
-BUCKETS = 1 << 16
-
-
-def bucket_ranks(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> list[int]:
-    """For each bucket, its place by the number of its words in all lines, rarest first."""
-    words = docs.select(F.explode(F.split(text, WORD_BREAK)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    rank = [0] * buckets
-    for i, r in enumerate(sorted(counts.collect(), key=lambda r: (r["n"], r["b"]))):  # at most ``buckets`` rows
-        rank[r["b"]] = i
-    return rank
-
-
-def by_rarity(line: Column, ranks: list[int]) -> Column:
-    """A line's distinct words as numbers in the order of rarity: the rank of the bucket, then the hash. The
-    rank stands for the hash's low 16 bits and bit 16 is left out, so 63 bits tell words apart."""
-    # One string that is folded to a constant array: as many literals would swamp the planner.
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-    mask = F.lit(len(ranks) - 1)
+#: So many of the most frequent words have their own rank in the order of rarity, which bounds what is sent to
+#: the tasks; all others are rarer and stand before them in the order of their hashes. The join is exact with
+#: any one order of all words.
+RANKED, SLOTS = 1 << 16, 1 << 18
+_LOW, _TAG = (1 << 46) - 1, (1 << 20) - 1
+
+
+def frequent_words(docs: DataFrame, text: str = "text", ranked: int = RANKED) -> list[int]:
+    """Hashes of the most frequent words of all lines, most frequent first."""
+    words = docs.select(F.explode(F.split(text, WORD_BREAK)).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("h"))
+    top = words.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(ranked)
+    return [r["h"] for r in top.select("h").collect()]
+
+
+def rank_table(frequent: list[int], slots: int = SLOTS) -> list[int]:
+    """Slots with rank and tag of a hash; a hash has two slots it may be in. Where both are taken, by more
+    frequent words, it has no rank."""
+    table = [0] * slots
+    for i, h in enumerate(frequent):
+        h &= 2**64 - 1
+        for at in (h % slots, (h >> 24) % slots):
+            if not table[at]:
+                table[at] = (len(frequent) - i) << 20 | (h >> 44)
+                break
+    return table
+
+
+def by_rarity(line: Column, table: Column, slots: int = SLOTS) -> Column:
+    """A line's distinct words as numbers in the order of rarity: the rank, then 46 bits of the hash."""
+    mask, tag = F.lit(slots - 1), F.lit(_TAG)
+    slot = lambda h: F.get(table, h.bitwiseAND(mask).cast("int"))
+    rank = lambda v, h: F.when(v.bitwiseAND(tag) == F.shiftrightunsigned(h, 44), F.shiftright(v, 20))
     hashes = F.transform(F.filter(F.split(line, WORD_BREAK), lambda w: w != ""), lambda w: F.xxhash64(w))
-    keyed = F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(mask).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
-    return F.sort_array(F.array_distinct(keyed))
+    of = lambda h: F.coalesce(rank(slot(h), h), rank(slot(F.shiftrightunsigned(h, 24)), h), F.lit(0).cast("long"))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(of(h), 46).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))))
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,21 +61,26 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def prefix_length(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100.0).cast("int") + 1
-
-
 def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): classes (c, tokens in one order) whose Jaccard similarity is at least ``percent``; each pair once."""
+    """(a, b): classes (c, tokens in one order) whose Jaccard similarity is at least ``percent``; each pair once.
+
+    ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t) of
+    the smaller, so the smaller one needs the shorter prefix. Sizes go into the key of the join as powers of
+    1 / t: a larger partner is of the same power or the next.
+    """
     sized = classes.select("c", "tokens", F.size("tokens").alias("n"))
-    first = F.slice("tokens", F.lit(1), prefix_length(F.col("n"), percent))
-    entries = sized.select("c", "n", F.posexplode(first).alias("at", "token"))
-    left, right = entries.toDF("a", "na", "ia", "token"), entries.toDF("b", "nb", "ib", "token")
-    # Most overlap that is left: this token and what follows it in both.
-    most = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 + F.least("ia", "ib")
+    power = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
+
+    def prefix(share: float) -> Column:
+        return F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)
+
+    small = sized.select("c", "n", F.explode(F.array(power, power + 1)).alias("power"), "tokens").select(F.col("c").alias("a"), F.col("n").alias("na"), "power", F.posexplode(prefix(2 * percent / (100 + percent))).alias("ia", "token"))
+    large = sized.select(F.col("c").alias("b"), F.col("n").alias("nb"), power.alias("power"), F.posexplode(prefix(percent / 100)).alias("ib", "token"))
+    # Most overlap that is left: what stands before this token in the shorter place, it, and what follows in both.
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
     length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     place = most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "token").where(length & place).select("a", "b").distinct()
+    pairs = small.join(large, ["token", "power"]).where(length & place).select("a", "b").distinct()
     full = pairs.join(sized.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(sized.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return full.where(both * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b")
@@ -76,8 +94,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     count as one line.
     """
     scratch = Scratch(docs.sparkSession)
-    ranks = bucket_ranks(docs, text)
-    made = lines_of(docs, key, text).select(key, "line_no", let(by_rarity(F.col("line"), ranks), lambda t: F.when(F.size(t) >= least_words, t)).alias("tokens"))
+    # One string that is folded to a constant array: as many literals would swamp the planner.
+    table = F.split(F.lit(",".join(map(str, rank_table(frequent_words(docs, text))))), ",").cast("array<long>")
+    made = lines_of(docs, key, text).select(key, "line_no", let(by_rarity(F.col("line"), table), lambda t: F.when(F.size(t) >= least_words, t)).alias("tokens"))
     # Two 64-bit hashes of the sorted tokens name the class.
     name = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(7), "tokens").alias("y"))
     place = F.struct(F.col(key).alias("k"), F.col("line_no").alias("i"))
