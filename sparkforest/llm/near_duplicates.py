@@ -23,6 +23,9 @@ BANDS, ROWS = 40, 6
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Pairs whose estimate is more than this below the threshold aren't verified: over 7 standard errors.
 SLACK = 0.2
+#: Rows take turns as a bucket's hub until at most FEW pairs a row are apart, or IDLE turns in a row have joined
+#: nothing; then all pairs of different components are compared.
+FEW, IDLE = 4, 3
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 
@@ -248,19 +251,36 @@ def link(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_
         return scratch.store(verified(likely, texts, width, similarity))
 
     first = shared.select(F.col("hub").alias("a"), F.col("rep").alias("b")).union(shared.where("prev <> hub").select(F.col("prev").alias("a"), F.col("rep").alias("b")))
-    edges = confirm(first.distinct())
+    tested = scratch.store(first.distinct())
+    edges = confirm(tested)
     found = components(scratch, edges)
-    # What a bucket's least row and neighbours left apart: pairs of different components in one bucket.
-    label = shared.select("band", "bucket", "rep").union(shared.select("band", "bucket", "hub").distinct())
-    label = label.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = label.withColumn("lo", F.min("c").over(inside)).withColumn("hi", F.max("c").over(inside)).where("lo <> hi").drop("lo", "hi")
-    mixed = scratch.store(mixed)
-    left, right = mixed.toDF("a", "band", "bucket", "ca"), mixed.toDF("b", "band", "bucket", "cb")
-    rest = left.join(right, ["band", "bucket"]).where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = confirm(rest)
-    if not more.isEmpty():
-        found = components(scratch, edges.unionByName(more))
+    everyone = scratch.store(shared.select("band", "bucket", "rep").union(shared.select("band", "bucket", "hub").distinct()))
+    turn = idle = 0
+    while True:
+        # Rows of buckets that still hold more than one component, and how many pairs of theirs are apart.
+        label = everyone.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("c"))
+        mixed = scratch.store(label.withColumn("lo", F.min("c").over(inside)).withColumn("hi", F.max("c").over(inside)).where("lo <> hi").drop("lo", "hi"))
+        sizes = mixed.groupBy("band", "bucket", "c").agg(F.count("*").alias("m")).groupBy("band", "bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+        left_over = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()
+        last = left_over["pairs"] <= FEW * left_over["rows"] or idle >= IDLE
+        if last:
+            x, y = mixed.toDF("band", "bucket", "a", "ca"), mixed.toDF("band", "bucket", "b", "cb")
+            pairs = x.join(y, ["band", "bucket"]).where("a < b and ca <> cb").select("a", "b")
+        else:  # another row of each bucket takes its turn as the one that the others are compared with
+            turn += 1
+            pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c")).over(inside)
+            pairs = mixed.withColumn("x", pick).where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"))
+        pairs = scratch.store(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        scratch.drop(mixed)
+        more = confirm(pairs)
+        if more.isEmpty():
+            idle += 1
+        else:
+            idle, edges = 0, edges.unionByName(more)
+            found = components(scratch, edges)
+        if last:
+            break
+        tested = tested.unionByName(pairs)
     to = classes.select("set_hash", "rep").join(found, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("c"))
     out = made.select("id", "n_shingles", "set_hash").join(to, "set_hash", "left")
     comp = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("c")), F.col("id"))

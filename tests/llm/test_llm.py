@@ -292,3 +292,16 @@ def test_pipeline(spark, none):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         new = stage(spark, docs, SF)
         assert new.count() == 0 and (i == 4 or new.columns == docs.columns)
+
+
+def test_large_group_of_near_copies_is_one_component(spark):
+    """Copies that are mostly not near enough to the first one, and hold together through others."""
+    rng, rows = np.random.default_rng(11), {}
+    words = [f"w{i}" for i in range(200)]
+    for i in range(150):
+        own = list(words)
+        for p in rng.choice(200, rng.integers(1, 8), replace=False):
+            own[p] = f"x{rng.integers(0, 10**6)}"
+        rows[i] = " ".join(own)
+    got = near_duplicates.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 4)
