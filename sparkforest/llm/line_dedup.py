@@ -101,15 +101,20 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     name = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(7), "tokens").alias("y"))
     place = F.struct(F.col(key).alias("k"), F.col("line_no").alias("i"))
     # Stored before the filter, which would else compute the tokens a second time.
-    lines = scratch.store(made).where("tokens is not null").select(key, "line_no", name.alias("c"), "tokens")
-    classes = scratch.store(lines.groupBy("c").agg(F.min(place).alias("first"), F.first("tokens").alias("tokens")))
-    heads = classes.select("c", "first")
+    made = scratch.store(made)
+    lines = made.where("tokens is not null").select(key, "line_no", name.alias("name"), "tokens")
+    classes = lines.groupBy("name").agg(F.min(place).alias("first"), F.first("tokens").alias("tokens"))
+    classes = scratch.store(classes.withColumn("c", F.monotonically_increasing_id()))
+    # The lines' tokens aren't needed any more, only those of classes.
+    lines = scratch.store(lines.select(key, "line_no", "name"))
+    scratch.drop(made)
+    heads = classes.select("name", "c", "first")
     pairs = scratch.store(similar_classes(classes.select("c", "tokens"), percent))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # The earliest line of any class that a class is similar to.
     others = both.join(heads.select(F.col("c").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("c")).agg(F.min("other").alias("other"))
-    earliest = heads.join(others, "c", "left").select("c", F.least("first", "other").alias("earliest"))
-    return lines.select(key, "line_no", "c").join(earliest, "c").where(F.col("earliest") < place).select(key, "line_no").distinct()
+    earliest = heads.join(others, "c", "left").select("name", F.least("first", "other").alias("earliest"))
+    return lines.join(earliest, "name").where(F.col("earliest") < place).select(key, "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
