@@ -23,6 +23,8 @@ PERCENT = 80
 #: the tasks; all others are rarer and stand before them in the order of their hashes. The join is exact with
 #: any one order of all words.
 RANKED, SLOTS = 1 << 16, 1 << 18
+#: Ids of candidates that are broadcast at most (8 bytes each).
+BROADCAST = 1_000_000
 _LOW, _TAG = (1 << 46) - 1, (1 << 20) - 1
 
 
@@ -61,7 +63,7 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_classes(scratch: Scratch, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): classes (c, tokens in one order) whose Jaccard similarity is at least ``percent``; each pair once.
 
     ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t) of
@@ -80,8 +82,12 @@ def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
     length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     place = most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = small.join(large, ["token", "power"]).where(length & place).select("a", "b").distinct()
-    full = pairs.join(sized.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(sized.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
+    pairs = scratch.store(small.join(large, ["token", "power"]).where(length & place).select("a", "b").distinct())
+    # Only the candidates' tokens move. Their ids are sent to all tasks where they are few, else joined.
+    members = scratch.store(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+    members = F.broadcast(members) if members.count() <= BROADCAST else members
+    tokens = classes.select("c", "tokens").join(members, "c", "left_semi")
+    full = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return full.where(both * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b")
 
@@ -109,7 +115,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     lines = scratch.store(lines.select(key, "line_no", "name"))
     scratch.drop(made)
     heads = classes.select("name", "c", "first")
-    pairs = scratch.store(similar_classes(classes.select("c", "tokens"), percent))
+    pairs = scratch.store(similar_classes(scratch, classes, percent))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # The earliest line of any class that a class is similar to.
     others = both.join(heads.select(F.col("c").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("c")).agg(F.min("other").alias("other"))
