@@ -8,7 +8,9 @@ once per batch of texts and kept in a bounded table, and the ids of a text are t
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 import numpy as np
 
@@ -17,27 +19,36 @@ _UNSAFE = re.compile(r"\s | \s")
 #: Chunks in each of the two generations that a worker keeps, and the length up to which it keeps them.
 KEEP, KEEP_LENGTH = 450_000, 64
 
+#: ASCII punctuation, and the words that are encoded as one string.
+_PUNCTUATION = string.punctuation
+GROUP = 200
+
 _loaded: dict = {}
 
 
 class ChunkEncoder:
-    """``encode_many`` takes strings and returns one ``bytes`` of little-endian unsigned 32-bit ids for each."""
+    """``encode_many`` takes strings and returns one ``bytes`` of little-endian unsigned 32-bit ids for each.
+
+    ``encode_chunks``, if given, does the same for chunks, which lack the space before them.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool, encode_chunks: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.encode_many, self.spaced = encode_many, spaced
+        lead = " " if spaced else ""
+        self.encode_chunks = encode_chunks or (lambda chunks: encode_many([lead + c for c in chunks]))
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _fill(self, table: dict[str, bytes], old: dict[str, bytes], chunks: set[str], lead: str) -> None:
+    def _fill(self, table: dict[str, bytes], old: dict[str, bytes], chunks: set[str], encode: Callable[[list[str]], Iterable[bytes]]) -> None:
         new = []
-        for c in chunks - table.keys():
+        for c in chunks:
             if c in old:
                 table[c] = old[c]
             else:
                 new.append(c)
         if new:
-            table.update(zip(new, self.encode_many([lead + c for c in new])))
+            table.update(zip(new, encode(new)))
 
     def encode(self, texts: list[str], slice_chars: int = 2_000_000) -> Iterable[bytes]:
         """Ids of each text, as bytes. Texts go through in slices, which bounds what is in memory."""
@@ -50,47 +61,97 @@ class ChunkEncoder:
             at = end
 
     def _slice(self, texts: list[str]) -> list[bytes]:
-        lead = " " if self.spaced else ""
         if len(self.inner) > KEEP:
             self.old, self.inner = self.inner, {}
         if len(self.first) > KEEP:
             self.first.clear()
         parts: list[list[str] | None] = []
+        firsts: list[str] = []
         whole: list[int] = []
         need: set[str] = set()
         heads: set[str] = set()
+        known, known_first = self.inner.__contains__, self.first.__contains__
         for i, text in enumerate(texts):
             if self.spaced:
                 if _UNSAFE.search(text):
                     parts.append(None)
                     whole.append(i)
                     continue
-                chunks = text.split(" ")
-                heads.add(chunks[0])
-                need.update(chunks[1:])
+                head, *chunks = text.split(" ")
+                parts.append(chunks)
+                firsts.append(head)
+                if not known_first(head):
+                    heads.add(head)
             else:
                 chunks = text.replace("\n", " ").split(" ")
-                need.update(chunks)
-            parts.append(chunks)
-        self._fill(self.inner, self.old, need, lead)
-        if self.spaced:
-            self._fill(self.first, {}, heads, "")
-        apart = dict(zip(whole, self.encode_many([texts[i] for i in whole]))) if whole else {}
-        get = self.inner.__getitem__
+                parts.append(chunks)
+            need.update(filterfalse(known, chunks))
+        self._fill(self.inner, self.old, need, self.encode_chunks)
+        self._fill(self.first, {}, heads, self.encode_many)
+        apart = iter(self.encode_many([texts[i] for i in whole]) if whole else ())
+        get, ahead = self.inner.__getitem__, map(self.first.__getitem__, firsts)
         out = []
-        for i, chunks in enumerate(parts):
+        for chunks in parts:
             if chunks is None:
-                out.append(apart[i])
+                out.append(next(apart))
             elif self.spaced:
-                out.append(self.first[chunks[0]] + b"".join(map(get, chunks[1:])))
+                out.append(next(ahead) + b"".join(map(get, chunks)))
             else:
                 out.append(b"".join(map(get, chunks)))
-        for table, seen in ((self.inner, need), (self.first, heads)):
-            for c in seen:
+        for table, new in ((self.inner, need), (self.first, heads)):
+            for c in new:
                 if len(c) > KEEP_LENGTH:
-                    table.pop(c, None)
+                    del table[c]
+        return out
+
+
+def joined(many: Callable[[list[str]], Iterable[bytes]], mark: np.ndarray, spaced: bool) -> Callable[[list[str]], list[bytes]]:
+    """Encoder of words, many of them as one string, since a call costs more than a word.
+
+    ``mark`` tells the ids that stand at the start of a word with its space (``spaced``) or at the end of one.
+    Where a string hasn't as many of them as words, its words are encoded one by one.
+    """
+    lead = " " if spaced else ""
+
+    def run(words: list[str]) -> list[bytes]:
+        groups = [words[at : at + GROUP] for at in range(0, len(words), GROUP)]
+        out: list[bytes] = []
+        for group, raw in zip(groups, many([lead + " ".join(g) for g in groups])):
+            at = np.flatnonzero(mark[np.frombuffer(raw, "<u4")])
+            if len(at) == len(group):
+                cuts = [*(4 * at).tolist(), len(raw)] if spaced else [0, *(4 * at + 4).tolist()]
+                out.extend([raw[i:j] for i, j in zip(cuts, cuts[1:])])
+            else:
+                out.extend(many([lead + w for w in group]))
         return out
 
+    return run
+
+
+def by_parts(many: Callable[[list[str]], Iterable[bytes]], words: Callable[[list[str]], list[bytes]], spaced: bool) -> Callable[[list[str]], Iterable[bytes]]:
+    """Encoder of chunks by ``words``, where a chunk is one; the rest one by one.
+
+    With ``spaced``, any chunk but the empty one is a word with its space. Else letters are a word, and so is
+    the ASCII punctuation after them.
+    """
+
+    def whole(chunks: list[str]) -> Iterable[bytes]:
+        rest = [c for c in chunks if c]
+        ids = iter(words(rest))
+        return [next(ids) if c else next(iter(many([" "]))) for c in chunks]
+
+    def cut(chunks: list[str]) -> Iterable[bytes]:
+        cores = [c.rstrip(_PUNCTUATION) for c in chunks]
+        distinct = {core for core in cores if core.isalpha()}
+        distinct.update([c[len(core) :] for c, core in zip(chunks, cores) if c is not core and core in distinct])
+        distinct.discard("")
+        ids = dict(zip(distinct, words(list(distinct))))
+        ids[""] = b""
+        rest = iter(many([c for c, core in zip(chunks, cores) if not core or core not in ids]))
+        return [ids[core] + ids[c[len(core) :]] if core and core in ids else next(rest) for c, core in zip(chunks, cores)]
+
+    return whole if spaced else cut
+
 
 def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
     """Encoder by the ``tokenizers`` library from a vocabulary file, without special tokens. One per worker.
@@ -108,5 +169,7 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
                 for e in tok.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
 
-        _loaded[path] = ChunkEncoder(many, spaced)
+        mark = np.zeros(tok.get_vocab_size() + 1, bool)
+        mark[[i for t, i in tok.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
+        _loaded[path] = ChunkEncoder(many, spaced, by_parts(many, joined(many, mark, spaced), spaced))
     return _loaded[path]
