@@ -2,8 +2,9 @@
 
 A line's tokens (distinct words) are ordered by rarity. Two sets with Jaccard similarity of at least t share
 a token among the first n - ceil(t n) + 1 of each; lengths and places of that token bound the overlap further.
-Only what passes is compared token by token. Lines with the same tokens form a class, and only classes are
-joined, so a line that is repeated a million times is one row of the join.
+A bitmap of each set bounds the difference of two sets once more. Only what passes is compared token by token.
+Lines with the same tokens form a class, and only classes are joined, so a line that is repeated a million times
+is one row of the join. Prefixes and bitmaps move, whole token lists only where a pair is verified.
 """
 
 from __future__ import annotations
@@ -19,43 +20,43 @@ from sparkforest.llm.quality_rules import let
 #: Lines with fewer distinct words are left alone: short ones repeat by chance.
 LEAST_WORDS = 6
 PERCENT = 80
-#: So many of the most frequent words have their own rank in the order of rarity, which bounds what is sent to
-#: the tasks; all others are rarer and stand before them in the order of their hashes. The join is exact with
-#: any one order of all words.
-RANKED, SLOTS = 1 << 16, 1 << 18
-#: Ids of candidates that are broadcast at most (8 bytes each).
+#: Words are counted by slots of their hashes, which bounds what is sent to the tasks: a word is as frequent as its
+#: slot. Slots have ranks, and words of a slot the order of their hashes. The join is exact with any one order.
+SLOT_BITS = 18
+#: So many slots are frequent: their tokens are joined by size as well.
+FREQUENT = 1 << 16
+#: Members of candidates that are broadcast at most (about 50 bytes each).
 BROADCAST = 1_000_000
-_LOW, _TAG = (1 << 46) - 1, (1 << 20) - 1
 
 
-def frequent_words(docs: DataFrame, text: str = "text", ranked: int = RANKED) -> list[int]:
-    """Hashes of the most frequent words of all lines, most frequent first."""
-    words = docs.select(F.explode(F.split(text, WORD_BREAK)).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("h"))
-    top = words.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(ranked)
-    return [r["h"] for r in top.select("h").collect()]
+def slot_ranks(docs: DataFrame, text: str = "text") -> list[int]:
+    """The rank of each slot among all slots, by the words of all texts that fall in it; the rarest is 0."""
+    words = docs.select(F.explode(F.split(text, WORD_BREAK)).alias("w")).where("w <> ''")
+    slot = F.xxhash64("w").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+    counts = {r["slot"]: r["n"] for r in words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
+    ranks = [0] * (1 << SLOT_BITS)
+    for rank, at in enumerate(sorted(range(len(ranks)), key=lambda i: (counts.get(i, 0), i))):
+        ranks[at] = rank
+    return ranks
 
 
-def rank_table(frequent: list[int], slots: int = SLOTS) -> list[int]:
-    """Slots with rank and tag of a hash; a hash has two slots it may be in. Where both are taken, by more
-    frequent words, it has no rank."""
-    table = [0] * slots
-    for i, h in enumerate(frequent):
-        h &= 2**64 - 1
-        for at in (h % slots, (h >> 24) % slots):
-            if not table[at]:
-                table[at] = (len(frequent) - i) << 20 | (h >> 44)
-                break
-    return table
+def by_rarity(line: Column, ranks: Column) -> Column:
+    """A line's distinct words as numbers in the order of rarity: the slot's rank, then the rest of the hash."""
+    hashes = F.transform(F.array_remove(F.split(line, WORD_BREAK), ""), lambda w: F.xxhash64(w))
+    slot = lambda h: h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+    number = lambda h: F.shiftleft(F.get(ranks, slot(h)), 63 - SLOT_BITS).bitwiseOR(F.shiftrightunsigned(h, SLOT_BITS + 1))
+    return F.sort_array(F.array_distinct(F.transform(hashes, number)))
 
 
-def by_rarity(line: Column, table: Column, slots: int = SLOTS) -> Column:
-    """A line's distinct words as numbers in the order of rarity: the rank, then 46 bits of the hash."""
-    mask, tag = F.lit(slots - 1), F.lit(_TAG)
-    slot = lambda h: F.get(table, h.bitwiseAND(mask).cast("int"))
-    rank = lambda v, h: F.when(v.bitwiseAND(tag) == F.shiftrightunsigned(h, 44), F.shiftright(v, 20))
-    hashes = F.transform(F.filter(F.split(line, WORD_BREAK), lambda w: w != ""), lambda w: F.xxhash64(w))
-    of = lambda h: F.coalesce(rank(slot(h), h), rank(slot(F.shiftrightunsigned(h, 24)), h), F.lit(0).cast("long"))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(of(h), 46).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))))
+def prefix(tokens: Column, n: Column, share: float) -> Column:
+    """The first tokens of a set of n, of which another set that has ``share`` of n in common has at least one."""
+    return F.slice(tokens, F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)
+
+
+def bitmap(tokens: Column) -> Column:
+    """64 parities; in two sets' bitmaps no more bits differ than there are tokens in only one of the sets."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseXOR(bit(t)))
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,33 +64,27 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def similar_classes(scratch: Scratch, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): classes (c, tokens in one order) whose Jaccard similarity is at least ``percent``; each pair once.
+def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): classes (c, n tokens, bitmap, prefix) that may have a Jaccard similarity of at least ``percent``.
 
     ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t) of
-    the smaller, so the smaller one needs the shorter prefix. Sizes go into the key of the join as powers of
-    1 / t: a larger partner is of the same power or the next.
+    the smaller, so the smaller one needs the shorter prefix. For frequent tokens, sizes go into the key of the
+    join as powers of 1 / t: a larger partner is of the same power or the next.
     """
-    sized = classes.select("c", "tokens", F.size("tokens").alias("n"))
     power = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
-
-    def prefix(share: float) -> Column:
-        return F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)
-
-    small = sized.select("c", "n", F.explode(F.array(power, power + 1)).alias("power"), "tokens").select(F.col("c").alias("a"), F.col("n").alias("na"), "power", F.posexplode(prefix(2 * percent / (100 + percent))).alias("ia", "token"))
-    large = sized.select(F.col("c").alias("b"), F.col("n").alias("nb"), power.alias("power"), F.posexplode(prefix(percent / 100)).alias("ib", "token"))
+    frequent = F.shiftrightunsigned("token", 63 - SLOT_BITS) >= (1 << SLOT_BITS) - FREQUENT
+    sized = classes.select("c", "n", "bitmap", power.alias("power"), "prefix")
+    short = prefix(F.col("prefix"), F.col("n"), 2 * percent / (100 + percent))
+    small = sized.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"), "power", F.posexplode(short).alias("ia", "token"))
+    small = small.withColumn("power", F.explode(F.when(frequent, F.array("power", F.col("power") + 1)).otherwise(F.array(F.lit(-1)))))
+    large = sized.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"), "power", F.posexplode("prefix").alias("ib", "token"))
+    large = large.withColumn("power", F.when(frequent, F.col("power")).otherwise(F.lit(-1)))
     # Most overlap that is left: what stands before this token in the shorter place, it, and what follows in both.
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
     length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     place = most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = scratch.store(small.join(large, ["token", "power"]).where(length & place).select("a", "b").distinct())
-    # Only the candidates' tokens move. Their ids are sent to all tasks where they are few, else joined.
-    members = scratch.store(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
-    members = F.broadcast(members) if members.count() <= BROADCAST else members
-    tokens = classes.select("c", "tokens").join(members, "c", "left_semi")
-    full = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return full.where(both * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b")
+    differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return small.join(large, ["token", "power"]).where(length & place & differ).select("a", "b").distinct()
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -101,26 +96,36 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     """
     scratch = Scratch(docs.sparkSession)
     # One string that is folded to a constant array: as many literals would swamp the planner.
-    table = F.split(F.lit(",".join(map(str, rank_table(frequent_words(docs, text))))), ",").cast("array<long>")
-    made = lines_of(docs, key, text).select(key, "line_no", let(by_rarity(F.col("line"), table), lambda t: F.when(F.size(t) >= least_words, t)).alias("tokens"))
+    ranks = F.split(F.lit(",".join(map(str, slot_ranks(docs, text)))), ",").cast("array<long>")
     # Two 64-bit hashes of the sorted tokens name the class.
-    name = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(7), "tokens").alias("y"))
-    place = F.struct(F.col(key).alias("k"), F.col("line_no").alias("i"))
+    names = lambda t: (F.xxhash64(t).alias("x"), F.xxhash64(F.lit(7), t).alias("y"))
+    digest = lambda t: F.struct(*names(t), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"))
+    made = lines_of(docs, key, text).select(key, "line_no", let(by_rarity(F.col("line"), ranks), lambda t: F.when(F.size(t) >= least_words, digest(t))).alias("s"))
     # Stored before the filter, which would else compute the tokens a second time.
-    made = scratch.store(made)
-    lines = made.where("tokens is not null").select(key, "line_no", name.alias("name"), "tokens")
-    classes = lines.groupBy("name").agg(F.min(place).alias("first"), F.first("tokens").alias("tokens"))
+    lines = scratch.store(made).where("s is not null")
+    place = F.struct(F.col(key).alias("k"), F.col("line_no").alias("i"))
+    classes = lines.groupBy("s.x", "s.y").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix")])
     classes = scratch.store(classes.withColumn("c", F.monotonically_increasing_id()))
-    # The lines' tokens aren't needed any more, only those of classes.
-    lines = scratch.store(lines.select(key, "line_no", "name"))
-    scratch.drop(made)
-    heads = classes.select("name", "c", "first")
-    pairs = scratch.store(similar_classes(scratch, classes, percent))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    maybe = scratch.store(candidates(classes, percent))
+    # Only the candidates' tokens move, made again from the first line of each class. Members are sent to all
+    # tasks where they are few, else joined.
+    members = maybe.select(F.col("a").alias("c")).union(maybe.select("b")).distinct()
+    members = scratch.store(classes.join(members, "c", "left_semi").select("c", F.col("first.k").alias(key), F.col("first.i").alias("line_no"), "x", "y"))
+    members = F.broadcast(members) if members.count() <= BROADCAST else members
+    words = lines_of(docs, key, text).join(members, [key, "line_no"]).select("c", "x", "y", by_rarity(F.col("line"), ranks).alias("tokens"))
+    # Where rows repeat a key, another line may have the place.
+    x, y = names(F.col("tokens"))
+    words = scratch.store(words.select("c", "tokens", ((F.col("x") == x) & (F.col("y") == y)).alias("own"))).where("own")
+    full = maybe.join(words.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(words.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    pairs = scratch.store(full.where(both * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"))
+    either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # The earliest line of any class that a class is similar to.
-    others = both.join(heads.select(F.col("c").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("c")).agg(F.min("other").alias("other"))
-    earliest = heads.join(others, "c", "left").select("name", F.least("first", "other").alias("earliest"))
-    return lines.join(earliest, "name").where(F.col("earliest") < place).select(key, "line_no").distinct()
+    heads = classes.select("c", "x", "y", "m", "first")
+    others = either.join(heads.select(F.col("c").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("c")).agg(F.min("other").alias("other"))
+    earliest = heads.join(others, "c", "left").where("m > 1 or other < first").select("x", "y", F.least("first", "other").alias("earliest"))
+    placed = lines.select(key, "line_no", F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+    return placed.join(earliest, ["x", "y"]).where(F.col("earliest") < place).select(key, "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
