@@ -71,20 +71,25 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     the smaller, so the smaller one needs the shorter prefix. For frequent tokens, sizes go into the key of the
     join as powers of 1 / t: a larger partner is of the same power or the next.
     """
-    power = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
     frequent = F.shiftrightunsigned("token", 63 - SLOT_BITS) >= (1 << SLOT_BITS) - FREQUENT
-    sized = classes.select("c", "n", "bitmap", power.alias("power"), "prefix")
-    short = prefix(F.col("prefix"), F.col("n"), 2 * percent / (100 + percent))
-    small = sized.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"), "power", F.posexplode(short).alias("ia", "token"))
-    small = small.withColumn("power", F.explode(F.when(frequent, F.array("power", F.col("power") + 1)).otherwise(F.array(F.lit(-1)))))
-    large = sized.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"), "power", F.posexplode("prefix").alias("ib", "token"))
-    large = large.withColumn("power", F.when(frequent, F.col("power")).otherwise(F.lit(-1)))
-    # Most overlap that is left: what stands before this token in the shorter place, it, and what follows in both.
+    entries = classes.select("c", "n", "bitmap", F.posexplode("prefix").alias("i", "token"))
+    left, right = ["token", "a", "na", "ma", "ia"], ["token", "b", "nb", "mb", "ib"]
+    sides = lambda e: (e.select("token", "c", "n", "bitmap", "i").toDF(*left), e.select("token", "c", "n", "bitmap", "i").toDF(*right))
+    # How far the token stands before the end of the shorter prefix, and how much more overlap than needed is
+    # possible: what stands before it in the shorter place, it, and what follows in both. One expression of both
+    # sides, so that it stays in the join and the two sides share one shuffle.
+    inside = F.col("na") - F.ceil(F.col("na") * (2 * percent / (100 + percent)) - 1e-9).cast("int") - F.col("ia")
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
+    place = F.least(inside, most * (100 + percent) - percent * (F.col("na") + F.col("nb"))) >= 0
     length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    place = most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
-    return small.join(large, ["token", "power"]).where(length & place & differ).select("a", "b").distinct()
+    small, large = sides(entries.where(~frequent))
+    rare = small.join(large, "token").where(length & place & differ).select("a", "b")
+    small, large = sides(entries.where(frequent))
+    power = lambda n: F.floor(F.log(n) / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
+    small = small.where(inside >= 0).withColumn("power", F.explode(F.array(power("na"), power("na") + 1)))
+    often = small.join(large.withColumn("power", power("nb")), ["token", "power"]).where(length & place & differ).select("a", "b")
+    return rare.union(often).distinct()
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -102,10 +107,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     digest = lambda t: F.struct(*names(t), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"))
     made = lines_of(docs, key, text).select(key, "line_no", let(by_rarity(F.col("line"), ranks), lambda t: F.when(F.size(t) >= least_words, digest(t))).alias("s"))
     # Stored before the filter, which would else compute the tokens a second time.
-    lines = scratch.store(made).where("s is not null")
+    made = scratch.store(made)
+    lines = made.where("s is not null")
     place = F.struct(F.col(key).alias("k"), F.col("line_no").alias("i"))
     classes = lines.groupBy("s.x", "s.y").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix")])
     classes = scratch.store(classes.withColumn("c", F.monotonically_increasing_id()))
+    # The lines' prefixes aren't needed any more, only those of classes.
+    placed = scratch.store(lines.select(key, "line_no", "s.x", "s.y"))
+    scratch.drop(made)
     maybe = scratch.store(candidates(classes, percent))
     # Only the candidates' tokens move, made again from the first line of each class. Members are sent to all
     # tasks where they are few, else joined.
@@ -124,7 +133,6 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     heads = classes.select("c", "x", "y", "m", "first")
     others = either.join(heads.select(F.col("c").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("c")).agg(F.min("other").alias("other"))
     earliest = heads.join(others, "c", "left").where("m > 1 or other < first").select("x", "y", F.least("first", "other").alias("earliest"))
-    placed = lines.select(key, "line_no", F.col("s.x").alias("x"), F.col("s.y").alias("y"))
     return placed.join(earliest, ["x", "y"]).where(F.col("earliest") < place).select(key, "line_no").distinct()
 
 
