@@ -53,6 +53,12 @@ def prefix(tokens: Column, n: Column, share: float) -> Column:
     return F.slice(tokens, F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)
 
 
+def wide_bitmap(tokens: Column) -> Column:
+    """As ``bitmap`` with 256 parities, in an array of four."""
+    part = lambda k: F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k)
+    return F.array(*[bitmap(part(k)) for k in range(4)])
+
+
 def bitmap(tokens: Column) -> Column:
     """64 parities; in two sets' bitmaps no more bits differ than there are tokens in only one of the sets."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
@@ -124,8 +130,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     words = lines_of(docs, key, text).join(members, [key, "line_no"]).select("c", "x", "y", by_rarity(F.col("line"), ranks).alias("tokens"))
     # Where rows repeat a key, another line may have the place.
     x, y = names(F.col("tokens"))
-    words = scratch.store(words.select("c", "tokens", ((F.col("x") == x) & (F.col("y") == y)).alias("own"))).where("own")
-    full = maybe.join(words.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(words.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
+    digests = (F.size("tokens").alias("n"), wide_bitmap(F.col("tokens")).alias("w"))
+    words = scratch.store(words.select("c", "tokens", *digests, ((F.col("x") == x) & (F.col("y") == y)).alias("own"))).where("own")
+    # Long lines fill the small bitmap; the wide one is compared before token lists move.
+    near = maybe.join(words.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a").join(words.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b")
+    differ = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(1, 4)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
+    near = scratch.store(near.where(differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+    full = near.join(words.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(words.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     pairs = scratch.store(full.where(both * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"))
     either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
