@@ -2,8 +2,8 @@
 
 A document's set holds its distinct word shingles. Sets that are equal form a class; only class
 representatives are compared. Within a band's bucket, rows are compared with the bucket's first row and
-with the row before them, and then only rows that are still in different components, so a large group of
-near copies doesn't become all of its pairs, while no link that joins components is lost.
+with the row before them, and then only rows that are still in different components, in blocks from which only
+links come out, so a large group doesn't become all of its pairs, while no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Pairs whose estimate is more than this below the threshold aren't verified: over 7 standard errors.
 SLACK = 0.2
 #: Rows take turns as a bucket's hub until at most FEW pairs a row are apart, or IDLE turns in a row have joined
-#: nothing; then all pairs of different components are compared.
+#: nothing; then all rows of different components are compared, in blocks of a bucket.
 FEW, IDLE = 4, 3
+#: Rows and bytes of text of a block, of which a task holds two at once.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 24
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 
@@ -193,6 +195,45 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) ->
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def compared(mixed: DataFrame, node: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """The links (a, b) among rows of a bucket (band, bucket, rep, c) that are of different components.
+
+    A bucket's rows are dealt into blocks by hash, and two blocks meet in one task, so that neither a bucket nor
+    its pairs are gathered: the rows grow with the blocks, and only links come out. Pairs that share several
+    buckets are compared in the first of their bands. Estimates come before the full sets.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rep", ignore_index=True)
+        band, across = int(g["band"].iat[0]), int(g["i"].iat[0]) != int(g["j"].iat[0])
+        bands, regs = np.stack(g["bands"].to_list()), np.frombuffer(b"".join(g["r"]), np.uint16).reshape(len(g), -1)
+        n, c, x, rep = (g[k].to_numpy() for k in ("n", "c", "x", "rep"))
+        sets, found = [np.asarray(s) for s in shingle_sets(g["text"].tolist(), width)], []
+        for k in range(len(g) - 1):
+            rest = slice(k + 1, len(g))
+            fits = (c[rest] != c[k]) & (100 * np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]))
+            if across:
+                fits &= x[rest] != x[k]
+            at = np.flatnonzero(fits) + k + 1
+            at = at[(bands[at] == bands[k]).argmax(axis=1) == band]
+            if len(at):
+                j = joint_estimate(np.broadcast_to(regs[k], (len(at), regs.shape[1])), regs[at], np.full(len(at), float(n[k])), n[at].astype(float))
+                for o in at[j >= similarity / 100 - SLACK].tolist():
+                    both = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
+                    if 100 * both >= similarity * (len(sets[k]) + len(sets[o]) - both):
+                        found.append((rep[k], rep[o]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    bucket = Window.partitionBy("band", "bucket")
+    length = texts.select(F.col("id").alias("rep"), F.octet_length("text").alias("size"))
+    blocks = F.greatest(F.ceil(F.count("*").over(bucket) / BLOCK_ROWS), F.ceil(F.sum("size").over(bucket) / BLOCK_BYTES), F.lit(1))
+    dealt = mixed.join(length, "rep").withColumn("of", blocks.cast("long")).withColumn("x", F.pmod(F.xxhash64("rep"), "of"))
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    dealt = dealt.select("band", "bucket", "rep", "c", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    full = dealt.join(node.withColumnRenamed("id", "rep"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    return full.groupBy("band", "bucket", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node of the edges (a, b) reaches.
 
@@ -238,7 +279,7 @@ def link(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_
     # Rows that share a bucket with another; a bucket is never gathered, only its least row and neighbours are seen.
     rows = buckets.withColumn("hub", F.min("rep").over(inside)).withColumn("prev", F.lag("rep").over(inside.orderBy("rep")))
     shared = scratch.store(rows.where("hub <> rep").select("band", "bucket", "rep", "hub", "prev"))
-    node = classes.select(F.col("rep").alias("id"), "r", "n")
+    node = classes.select(F.col("rep").alias("id"), "r", "n", "bands")
     members = scratch.store(shared.select("rep").union(shared.select("hub")).distinct().withColumnRenamed("rep", "id"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi").dropDuplicates(["id"])
     texts = scratch.store(texts)
@@ -264,12 +305,14 @@ def link(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_
         left_over = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()
         last = left_over["pairs"] <= FEW * left_over["rows"] or idle >= IDLE
         if last:
-            x, y = mixed.toDF("band", "bucket", "a", "ca"), mixed.toDF("band", "bucket", "b", "cb")
-            pairs = x.join(y, ["band", "bucket"]).where("a < b and ca <> cb").select("a", "b")
-        else:  # another row of each bucket takes its turn as the one that the others are compared with
-            turn += 1
-            pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c")).over(inside)
-            pairs = mixed.withColumn("x", pick).where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"))
+            more = scratch.store(compared(mixed, node, texts, width, similarity))
+            if not more.isEmpty():
+                found = components(scratch, edges.unionByName(more))
+            break
+        # Another row of each bucket takes its turn as the one that the others are compared with.
+        turn += 1
+        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c")).over(inside)
+        pairs = mixed.withColumn("x", pick).where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"))
         pairs = scratch.store(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         scratch.drop(mixed)
         more = confirm(pairs)
@@ -278,8 +321,6 @@ def link(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_
         else:
             idle, edges = 0, edges.unionByName(more)
             found = components(scratch, edges)
-        if last:
-            break
         tested = tested.unionByName(pairs)
     to = classes.select("set_hash", "rep").join(found, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("c"))
     out = made.select("id", "n_shingles", "set_hash").join(to, "set_hash", "left")

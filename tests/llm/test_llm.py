@@ -305,3 +305,18 @@ def test_large_group_of_near_copies_is_one_component(spark):
         rows[i] = " ".join(own)
     got = near_duplicates.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 4)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 4)
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
+    """Without turns of hubs, and with blocks of a few rows."""
+    monkeypatch.setattr(near_duplicates, "IDLE", 0)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 8)
+    rng, rows = np.random.default_rng(12), {}
+    words = [f"w{i}" for i in range(200)]
+    for i in range(60):
+        own = list(words)
+        for p in rng.choice(200, rng.integers(2, 8), replace=False):
+            own[p] = f"x{rng.integers(0, 10**6)}"
+        rows[i] = " ".join(own)
+    got = near_duplicates.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 4)
