@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ LEAST, MOST = 0.001, 0.2
 LEXICON = 1 << 18
 #: Level k splits the lexicon at random into CELLS * 4**k subsets and takes CELLS of them.
 LEVELS, CELLS = 5, 24
+#: Texts whose least hashes of terms, so many, are equal are copies of each other where common terms are counted.
+COPY = 3
+#: A text with fewer terms of the band is filled up to so many with other terms of its own.
+FEW = 24
 #: Terms that a task counts before it hands them on.
 FLUSH = 300_000
 
@@ -46,11 +53,53 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return seen.mapInPandas(count, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def copy_shares(docs: DataFrame, common: list[bytes], text: str = "text") -> list[float]:
+    """The share of each term among all classes of copies, each of which counts as one of its members."""
+    index = {t: i for i, t in enumerate(common)}
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = shared.value
+        keys = frozenset(of)
+        for b in batches:
+            rows = []
+            for t in b["_t"]:
+                if found := terms(t):
+                    has = np.zeros(len(of), bool)
+                    has[[of[x] for x in found & keys]] = True
+                    rows.append((np.array(sorted(map(zlib.crc32, found))[:COPY], ">u4").tobytes(), np.packbits(has).tobytes()))
+            yield pd.DataFrame(rows, columns=["copy", "bits"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(common) + 1, np.int64)  # the last one counts the classes
+        for b in batches:
+            if len(b):
+                n[:-1] += np.unpackbits(np.frombuffer(b"".join(b["bits"]), np.uint8).reshape(len(b), -1), axis=1, count=len(common)).sum(axis=0, dtype=np.int64)
+                n[-1] += len(b)
+        yield pd.DataFrame({"i": np.arange(len(n)), "n": n})
+
+    seen = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"))
+    classes = seen.mapInPandas(mark, "copy binary, bits binary").groupBy("copy").agg(F.max("bits").alias("bits"))
+    sums = {r["i"]: r["n"] for r in classes.select("bits").mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    return [sums[i] / max(1, sums[len(common)]) for i in range(len(common))]
+
+
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST, size: int = LEXICON) -> list[bytes]:
-    """The terms of the band, at most ``size``, highest document frequency first."""
+    """The terms of the band, at most ``size``, highest document frequency first.
+
+    A term of more than ``most`` of all rows still belongs to the band if copies make it so frequent: if it is in
+    no more than ``most`` of the classes of copies. Such terms are few: they are at most 1 / ``most`` times the mean
+    number of terms of a document.
+    """
     n = docs.count()
-    band = document_frequencies(docs, text).where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n)))
-    return [bytes(r[0]) for r in band.orderBy(F.desc("df"), "term").select("term").limit(size).collect()]
+    known = document_frequencies(docs, text).where(F.col("df") >= max(2, least * n))
+    known = known.persist(StorageLevel.DISK_ONLY)
+    often = F.col("df") > max(2, most * n)
+    common = [bytes(r[0]) for r in known.where(often).orderBy(F.desc("df"), "term").select("term").collect()]
+    copied = [t for t, share in zip(common, copy_shares(docs, common, text)) if share <= most] if common else []
+    band = [bytes(r[0]) for r in known.where(~often).orderBy(F.desc("df"), "term").select("term").limit(size).collect()]
+    known.unpersist()
+    return (copied + band)[:size]
 
 
 class IMatch:
@@ -68,20 +117,33 @@ class IMatch:
     def fingerprint(self, text: str) -> str:
         """Four hex digits for the terms of the whole band, then for each subset; 0000 where a text has none.
 
-        A text without a term of the band is known by all its terms instead.
+        A text with fewer than FEW terms of the band has other terms too, those of the least hashes, up to FEW, which
+        fall in the same subsets; one without a term of the band is known by all its terms in the first digits.
         """
         all_terms = terms(text)
         found = sorted(t for t in all_terms if t in self.code)
+        placed = [(self.code[t], self.cells[t]) for t in found]
+        if len(found) < FEW:
+            placed += sorted(_placed(t) for t in all_terms if t not in self.code)[: FEW - len(found)]
         groups: dict[int, list[bytes]] = {}
-        for t in found:
-            for c in self.cells[t]:
-                groups.setdefault(c, []).append(self.code[t])
+        for code, cells in placed:
+            for c in cells:
+                groups.setdefault(c, []).append(code)
         out = ["0000"] * (LEVELS * CELLS)
         for c, codes in groups.items():
-            out[c] = _digest(codes)
+            out[c] = _digest(sorted(codes))
         return _digest([self.code[t] for t in found] or [b"-", *sorted(all_terms)]) + "".join(out)
 
 
+@functools.lru_cache(1 << 16)
+def _placed(term: bytes) -> tuple[bytes, list[int]]:
+    """Code and subsets of a term outside the lexicon, as the lexicon would have them."""
+    raw = hashlib.blake2b(term, digest_size=16).digest()
+    draw = int.from_bytes(raw[8:], "little")
+    cells = [((draw >> (11 * k)) % (CELLS * 4**k), k) for k in range(LEVELS)]
+    return raw[:8], [c + k * CELLS for c, k in cells if c < CELLS]
+
+
 def _digest(parts: list[bytes]) -> str:
     x = int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=2).digest(), "big")
     return f"{x or 1:04x}"

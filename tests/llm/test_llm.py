@@ -138,6 +138,29 @@ def test_fingerprints_tell_edited_texts(spark):
     assert (out["near_edited"] > out["near_next"]).mean() > 0.8
 
 
+def test_fingerprints_of_a_large_group_of_near_copies(spark):
+    """More than MOST of all rows share their terms, and still tell edited texts; so do texts of common terms only."""
+    rng, rows = np.random.default_rng(21), []
+    common = [f"c{i}" for i in range(40)]
+    words = [f"g{i}" for i in range(200)]
+    for i in range(300):
+        if i % 3 == 1:
+            own = list(words)
+            for p in rng.choice(200, 6, replace=False):
+                own[p] = f"n{rng.integers(0, 10**6)}"
+        else:
+            own = [f"w{k}" for k in rng.integers(0, 3000, 150)]
+        rows.append((i, " ".join(own + common)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    band = set(fingerprints.lexicon(df))
+    assert sum(w.encode() in band for w in words) > 190 and not any(w.encode() in band for w in common)
+    got = fingerprints.fingerprint_all(df).where("doc_id % 3 = 1").toPandas()
+    assert got["near_edited"].median() > 0.3 and got["near_next"].median() < 0.2
+    model = fingerprints.IMatch(sorted(band))
+    a, b, c = (model.fingerprint(" ".join(x)) for x in (common[:20], common[1:21], common[20:]))
+    assert fingerprints.likeness(a, b) > 0.6 > 0.2 > fingerprints.likeness(a, c)
+
+
 def test_language(spark, odd, none):
     profiles = {"en": language.top(*language.ngram_counts(" ".join(WORDS))).tolist(), "fr": language.top(*language.ngram_counts("le la des une pour dans que qui")).tolist()}
     out = language.identify(odd, profiles).select("doc_id", "lang_pred", "score").toPandas().set_index("doc_id")
