@@ -32,8 +32,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave the texts; a document with no word left goes. ``n_chars`` follows the text."""
-    deduped = line_dedup.dedup_lines(docs)
+    """Repeated lines of any length leave the texts; a document with no word left goes. ``n_chars`` follows the text."""
+    deduped = line_dedup.dedup_lines(docs, least_words=1)
     kept = deduped.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

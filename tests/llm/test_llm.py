@@ -281,6 +281,18 @@ def test_line_dedup_matches_brute_force(spark):
     assert new == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
 
 
+def test_pipeline_drops_repeated_lines_of_any_length(spark):
+    rng, docs = np.random.default_rng(13), []
+    for i in range(40):
+        docs.append((i, "\n".join(" ".join(f"w{k}" for k in rng.integers(0, 7, rng.integers(0, 8))) for _ in range(4)) + f"\nAll rights reserved.\nonly{i}"))
+    df = spark.createDataFrame([doc(*d) for d in docs], DOCS).select("doc_id", "text", "lang", "source", "n_chars")
+    gone = brute_lines(docs, 1)
+    assert {(i, 4) for i in range(1, 40)} <= gone
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, df, SF).collect()}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_line_dedup_of_odd_rows(spark, odd, none):
     out = line_dedup.dedup_lines(odd).collect()
     assert len(out) == odd.count() and {r["doc_id"]: r["text"] for r in out}[4] == "" and {r["doc_id"]: r["text"] for r in out}[0] is None
