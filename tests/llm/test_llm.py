@@ -320,6 +320,20 @@ def test_license_inheritance(spark, none):
     assert licenses.inherit(empty, licenses.scan(empty)).count() == 0
 
 
+def test_license_identifiers_blocks_and_files(spark):
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main() {\n  return 0;\n}"
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n# 1. Redistributions of source code must retain the above copyright notice, this\n#    list of conditions and the following disclaimer.\n# 2. Redistributions in binary form must reproduce the above copyright notice,\n#    this list of conditions and the following disclaimer in the documentation\n#    and/or other materials provided with the distribution.\n"
+    want = {
+        "a.c": ("// SPDX-License-Identifier: Apache-2.0\nx", "Apache-2.0"), "b.c": ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0-or-later"), "c.h": ("<!-- SPDX-License-Identifier: (MIT OR BSD-3-Clause)-->", "(MIT OR BSD-3-Clause)"),
+        "d.c": (gpl, "GPL-3.0"), "e.c": (gpl.replace("General", "Lesser General").replace("program", "library"), "LGPL-3.0"), "f/LICENSE": (mit, "MIT"), "g.py": (bsd, "BSD-2-Clause"),
+        "h.py": (bsd + "# 3. Neither the name of the copyright holder nor the names of its\n#    contributors may be used to endorse or promote products derived from\n#    this software without specific prior written permission.\nimport os", "BSD-3-Clause"),
+        "i/COPYING": ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation", "GPL-3.0"), "j/COPYING": ("GNU GENERAL PUBLIC LICENSE", "GPL"), "k": ("general software published under other conditions", None), "l": ("SPDX-License-Identifier: NONE", None),
+    }
+    got = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame([(k, v[0]) for k, v in want.items()], "path string, text string")).collect()}
+    assert got == {k: v for k, (_, v) in want.items() if v}
+
+
 def test_pipeline(spark, none):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
