@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: Band of document frequencies, as shares of all documents: idf from ln(1/0.2) to ln(1/0.001).
 LEAST, MOST = 0.001, 0.2
-#: Terms in the lexicon at most, those of highest document frequency: bounds what is broadcast.
-LEXICON = 1 << 18
 #: Level k splits the lexicon at random into CELLS * 4**k subsets and takes CELLS of them.
 LEVELS, CELLS = 5, 24
 #: Texts whose least hashes of terms, so many, are equal are copies of each other where common terms are counted.
@@ -84,8 +82,11 @@ def copy_shares(docs: DataFrame, common: list[bytes], text: str = "text") -> lis
     return [sums[i] / max(1, sums[len(common)]) for i in range(len(common))]
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST, size: int = LEXICON) -> list[bytes]:
-    """The terms of the band, at most ``size``, highest document frequency first.
+def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> list[bytes]:
+    """All terms of the band, highest document frequency first within the common and the other ones.
+
+    However many documents there are, a band from ``least`` has at most 1 / ``least`` times the mean number of terms
+    of a document, which bounds what is broadcast.
 
     A term of more than ``most`` of all rows still belongs to the band if copies make it so frequent: if it is in
     no more than ``most`` of the classes of copies. Such terms are few: they are at most 1 / ``most`` times the mean
@@ -97,9 +98,9 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: flo
     often = F.col("df") > max(2, most * n)
     common = [bytes(r[0]) for r in known.where(often).orderBy(F.desc("df"), "term").select("term").collect()]
     copied = [t for t, share in zip(common, copy_shares(docs, common, text)) if share <= most] if common else []
-    band = [bytes(r[0]) for r in known.where(~often).orderBy(F.desc("df"), "term").select("term").limit(size).collect()]
+    band = [bytes(r[0]) for r in known.where(~often).orderBy(F.desc("df"), "term").select("term").collect()]
     known.unpersist()
-    return (copied + band)[:size]
+    return copied + band
 
 
 class IMatch:
@@ -203,7 +204,7 @@ def fingerprint_all(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     last. Null text: empty. Repeated rows give repeated results. No documents: no rows.
     """
     words = lexicon(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most LEXICON terms
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -161,6 +161,13 @@ def test_fingerprints_of_a_large_group_of_near_copies(spark):
     assert fingerprints.likeness(a, b) > 0.6 > 0.2 > fingerprints.likeness(a, c)
 
 
+def test_lexicon_has_all_terms_of_the_band(spark):
+    n = (1 << 18) + 5000
+    texts = spark.range(12).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k.cast("string")), " ").alias("text"), "id").where("id < 2")
+    texts = texts.select("text").unionAll(spark.range(10).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("text")))
+    assert len(set(fingerprints.lexicon(texts))) == n
+
+
 def test_language(spark, odd, none):
     profiles = {"en": language.top(*language.ngram_counts(" ".join(WORDS))).tolist(), "fr": language.top(*language.ngram_counts("le la des une pour dans que qui")).tolist()}
     out = language.identify(odd, profiles).select("doc_id", "lang_pred", "score").toPandas().set_index("doc_id")
