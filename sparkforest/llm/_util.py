@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,11 +14,10 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), a local temporary one."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, one below the warehouse, which executors
+    share as well; never a local temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="sparkforest-")
-        spark.sparkContext.setCheckpointDir(base)
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sparkforest-scratch"
     return f"{base.rstrip('/')}/sparkforest-{uuid.uuid4().hex}"
 
 
@@ -47,6 +45,28 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def first_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """(group, key, ``_n``): the first ``n`` rows of each group by the order of a hash of ``key``, numbered from 1.
+
+    Groups are few (labels, languages) and may be of any size: rows far down the order of their group are left
+    out by a threshold on the hash before any is gathered, so that about 1.5 ``n`` of a group meet in one task.
+    """
+    keyed = rows.select(group, key).withColumn("_u", F.pmod(F.xxhash64(key), F.lit(1 << 32)))
+    sizes = {r[group]: r["count"] for r in keyed.groupBy(group).count().collect() if r[group] is not None}
+    margin = 1.5
+    while True:
+        few = keyed.where(F.lit(False))
+        if sizes:
+            least = F.create_map(*[F.lit(x) for g, size in sizes.items() for x in (g, int((1 << 32) * min(1.0, (margin * n + 100) / size)))])
+            few = keyed.where(F.col("_u") < F.element_at(least, F.col(group)))
+        there = {r[group]: r["count"] for r in few.groupBy(group).count().collect()}
+        if all(there.get(g, 0) >= min(n, size) for g, size in sizes.items()):
+            break
+        margin *= 2  # repeated keys may crowd the rest of the order
+    order = Window.partitionBy(group).orderBy("_u", key)
+    return few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select(group, key, "_n")
+
+
 def numbered_runs(value: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For mapInPandas over range-sorted partitions: adds the partition (``_part``), the place in it
     (``_idx``) and the running total of ``value`` in it (``_run``)."""
