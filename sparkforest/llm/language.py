@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkforest.llm._util import first_by_hash
+
 #: N-grams in a profile, of a language or a document.
 PROFILE = 300
 #: Documents of a language that profiles are learnt from, at most (a bounded sample by hash order).
@@ -18,6 +20,8 @@ UNKNOWN = "und"
 #: Sharpness of the score: how fast it falls with the distance lead of another language.
 SHARPNESS = 25.0
 _BITS, _MARK = 21, 32
+#: Characters that are counted at once.
+BLOCK = 1 << 18
 
 
 @functools.cache
@@ -30,18 +34,34 @@ def _letters() -> np.ndarray:
     return out
 
 
-def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of all 1-, 2- and 3-grams within words of letters, a space standing for a word's edges."""
-    a = _letters()[np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != _MARK) | (a[:-1] != _MARK)
-    a = a[keep]
-    letter = a != _MARK
-    if not letter.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    two = (a[:-1] << _BITS) | a[1:]
-    three = ((two[:-1] << _BITS) | a[2:])[letter[1:-1]]
-    return np.unique(np.concatenate([a[letter], two, three]), return_counts=True)
+def added(codes: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of two tables of counts."""
+    if not len(codes):
+        return more, n
+    both, place = np.unique(np.concatenate([codes, more]), return_inverse=True)
+    return both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+
+def ngram_counts(text: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of all 1-, 2- and 3-grams within words of letters, a space standing for a word's edges.
+
+    The whole text counts; it goes through in blocks, whose counts are added.
+    """
+    low, held = text.lower(), np.array([_MARK], np.int64)
+    codes = counts = np.empty(0, np.int64)
+    for at in range(0, len(low) + 1, block):
+        part = low[at : at + block] + (" " if at + block > len(low) else "")
+        new = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        a, n = np.concatenate([held, new]), len(held)  # ``held``: the last two symbols of what came before
+        keep = np.ones(len(a), bool)
+        keep[n:] = (a[n:] != _MARK) | (a[n - 1 : -1] != _MARK)
+        a = a[keep]
+        letter, late = a != _MARK, max(0, n - 2)
+        two = (a[:-1] << _BITS) | a[1:]
+        three = ((two[:-1] << _BITS) | a[2:])[late:][letter[1:-1][late:]]
+        codes, counts = added(codes, counts, *np.unique(np.concatenate([a[n:][letter[n:]], two[n - 1 :], three]), return_counts=True))
+        held = a[-2:]
+    return codes, counts
 
 
 def top(codes: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
@@ -56,20 +76,22 @@ def top(codes: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
 def learn_profiles(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
     """Language profiles from at most ``sample`` rows of each language, taken by the order of a hash of ``key``.
 
-    Rows with null language or text teach nothing. The result is the model: ``size`` codes for a language.
+    Rows with null language, text or key teach nothing; of rows that repeat a key, each teaches. The result is the model: ``size`` codes for a language.
     """
-    named = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    first = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")
-    chosen = named.select(F.col(key).alias("_k"), F.col(lang).alias("_l")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
-    chosen = chosen.select("_k").distinct()
-    # ``chosen`` has at most ``sample`` rows a language, whatever the input.
-    texts = named.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k", "left_semi")
+    named = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    named = named.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
+    # At most ``sample`` rows a language, whatever the input; the texts of these alone are read further.
+    chosen = first_by_hash(named, "_l", "_k", sample).select("_k", "_l").distinct()
+    texts = named.join(F.broadcast(chosen), ["_k", "_l"], "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, np.int64)
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for name, texts_of in b.groupby("_l")["_t"]:
-                codes, counts = ngram_counts(" ".join(texts_of))
-                yield pd.DataFrame({"lang": name, "code": codes, "n": counts})
+            for name, t in zip(b["_l"], b["_t"]):
+                sums[name] = added(*sums.get(name, (none, none)), *ngram_counts(t))
+        for name, (codes, counts) in sums.items():
+            yield pd.DataFrame({"lang": name, "code": codes, "n": counts})
 
     summed = texts.select("_l", "_t").mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -105,7 +127,8 @@ class Profiles:
 def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1) to each row, from its whole text alone.
 
-    ``und`` with score 0: null or empty text, or no letter in it. Nothing is shuffled.
+    ``und`` with score 0: null or empty text, or no letter in it. Of equal distances, the first name in order.
+    Other columns stay, but for clashing names, which are replaced. Nothing is shuffled.
     """
 
     def run(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -113,7 +136,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
         for s in values:
             yield pd.DataFrame([model.predict(t) for t in s], columns=["lang_pred", "score"])
 
-    guess = F.pandas_udf(run, "lang_pred string, score double")(F.coalesce(text, F.lit("")))
+    # Marked so that a filter on the result doesn't make the plan run it twice.
+    guess = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.coalesce(text, F.lit("")))
     return docs.withColumn("_guess", guess).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
 
 
