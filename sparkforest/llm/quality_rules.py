@@ -3,23 +3,25 @@ character-class and common-word histograms to references of each language."""
 
 from __future__ import annotations
 
-import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkforest.llm._util import WORD_BREAK
+from sparkforest.llm._util import WORD_BREAK, Scratch
 
 #: Rules of the base, as the query's contract states them.
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-#: Most distance (square root of the divergence in bits) to the nearest language reference.
-MOST_CHARS, MOST_WORDS = 0.27, 0.46
-#: Shorter documents don't have histograms worth comparing.
-GUARD_CHARS, GUARD_WORDS = 150, 25
-#: Common words of a language and their most characters, and languages with references at most (the largest).
-COMMON, COMMON_LENGTH, LANGUAGES = 25, 8, 40
+#: Most distance (square root of the divergence in bits) to the nearest language reference. Shorter documents than
+#: the guards don't have histograms worth comparing.
+GUARD_CHARS, MOST_CHARS = 150, 0.27
+#: Short texts hit common words by chance; longer ones are nearer to their language, and a text without any common
+#: word is at 0.35 from a language in which these are a quarter of all words.
+GUARD_WORDS, MOST_WORDS = 25, 0.46
+GUARD_MANY, MOST_MANY = 100, 0.33
+#: Common words of a language.
+COMMON = 25
 _CLASSES = ("upper", "digit", "space", "symbol", "punctuation", "other")
 
 
@@ -66,46 +68,58 @@ def class_counts(text: Column) -> Column:
     return let(found, named)
 
 
-def common_words(docs: DataFrame, lang: str = "lang", text: str = "text", n: int = COMMON, languages: int = LANGUAGES) -> DataFrame:
-    """(lang, word, n): the n most frequent words of at most COMMON_LENGTH characters of each of the largest
-    languages, over all rows; of equal counts, the first in order."""
+def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, word, n) over all rows with a language."""
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("_t"))
-    words = named.select("lang", F.explode(F.split("_t", WORD_BREAK)).alias("word")).where(F.length("word").between(1, COMMON_LENGTH))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = named.select("lang", F.explode(F.split("_t", WORD_BREAK)).alias("word")).where("word <> ''")
+    return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
+def common_words(counts: DataFrame, n: int = COMMON) -> DataFrame:
+    """(lang, word, n): the n most frequent words of each language; of equal counts, the first in order."""
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
-    largest = best.groupBy("lang").agg(F.sum("n").alias("of")).orderBy(F.desc("of"), "lang").limit(languages)
-    return best.join(F.broadcast(largest), "lang").select("lang", "word", "n")
+    return counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n).drop("rank")
 
 
-def class_shares(docs: DataFrame, lang: str = "lang", text: str = "text", languages: int = LANGUAGES) -> DataFrame:
-    """(lang, words, one share for each character class) over all rows of a language."""
-    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = named.select(F.col(lang).alias("lang"), F.length(text).alias("_n"), F.size(F.split(text, WORD_BREAK)).alias("_w"), class_counts(F.col(text)).alias("_c"))
-    sums = counts.groupBy("lang").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("words"), *[F.sum(f"_c.{c}").alias(c) for c in _CLASSES])
-    return sums.where("_n > 0").orderBy(F.desc("_n"), "lang").limit(languages).select("lang", "words", *[(F.col(c) / F.col("_n")).alias(c) for c in _CLASSES])
+def class_shares(docs: DataFrame, counts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, words, one share for each character class) over all rows of a language. Characters of words are
+    counted once for each distinct word; what texts have besides is white space."""
+    size = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.sum(F.length(text)).alias("_all"))
+    inside = counts.select("lang", "n", class_counts(F.col("word")).alias("_c"))
+    sums = inside.groupBy("lang").agg(F.sum("n").alias("words"), *[F.sum(F.col("n") * F.col(f"_c.{c}")).alias(c) for c in _CLASSES])
+    sums = sums.join(F.broadcast(size), "lang")  # a row for each language
+    total = sum((F.col(c) for c in _CLASSES[1:]), F.col("upper"))
+    return sums.withColumn("space", F.col("_all") - total).select("lang", "words", *[(F.col(c) / F.col("_all")).alias(c) for c in _CLASSES])
 
 
-def distance(p: Column, q: list[float]) -> Column:
+def distance(p: Column, q: Column | list[float]) -> Column:
     """Jensen-Shannon distance of shares, 0 to 1."""
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, F.lit(q), lambda x, y: part(x, y) + part(y, x))
+    terms = F.zip_with(p, F.lit(q) if isinstance(q, list) else q, lambda x, y: part(x, y) + part(y, x))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def _constant(value: list, kind: str) -> Column:
+    """An array that is one string in the plan and folded once, so that the plan doesn't grow with the languages."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _nearest(p: Column, references: list[list[float]]) -> Column:
     if not references:
         return F.lit(0.0)
-    return let(p, lambda x: F.array_min(F.array(*[distance(x, q) for q in references])))
+    return let(p, lambda x: F.array_min(F.transform(_constant(references, "array<array<double>>"), lambda q: distance(x, q))))
 
 
 class References:
-    """The histograms of each language: at most LANGUAGES rows of shares, small whatever the corpus."""
+    """The histograms of each language: a row of shares a language, small whatever the corpus."""
 
     def __init__(self, docs: DataFrame, lang: str = "lang", text: str = "text"):
-        total = class_shares(docs, lang, text).collect()
+        scratch = Scratch(docs.sparkSession)
+        counts = scratch.store(word_counts(docs, lang, text))
+        total = sorted(class_shares(docs, counts, lang, text).collect(), key=lambda r: r["lang"])
         self.classes = [[float(r[c]) for c in _CLASSES] for r in total]
-        rows = common_words(docs, lang, text).withColumn("hash", F.xxhash64("word")).collect()
+        rows = common_words(counts).withColumn("hash", F.xxhash64("word")).collect()
+        scratch.drop(counts)
         self.hashes = sorted({r["hash"] for r in rows})
         place = {h: i for i, h in enumerate(self.hashes)}
         self.shares = []
@@ -124,17 +138,18 @@ def word_distance(hashes: Column, ref: References) -> Column:
     """From the words' hashes. Each common word becomes one private-use character, so that counting is by length."""
     if not ref.shares:
         return F.lit(0.0)
-    marks = [chr(0xE000 + i) for i in range(len(ref.hashes))]
+    # Planes 15 and 16 have more private-use characters than there are common words of all written languages.
+    marks = [chr(0xE000 + i if i < 6400 else 0xF0000 + i) for i in range(len(ref.hashes))]
     at = {h % ref.size: i for i, h in enumerate(ref.hashes)}
-    slot_hash = F.lit([ref.hashes[at[k]] if k in at else 0 for k in range(ref.size)])
-    slot_mark = F.lit([marks[at[k]] if k in at else "" for k in range(ref.size)])
+    slot_hash = _constant([ref.hashes[at[k]] if k in at else 0 for k in range(ref.size)], "array<long>")
+    slot_mark = _constant([marks[at[k]] if k in at else "" for k in range(ref.size)], "array<string>")
     place = lambda h: h.bitwiseAND(F.lit(ref.size - 1)).cast("int")
     common = F.filter(hashes, lambda h: F.get(slot_hash, place(h)) == h)
     found = F.array_join(F.transform(common, lambda h: F.get(slot_mark, place(h))), "")
     n = F.size(hashes).cast("double")
 
     def shares(s: Column) -> Column:
-        each = F.transform(F.lit(marks), lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / n)
+        each = F.transform(_constant(marks, "array<string>"), lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / n)
         return F.concat(each, F.array((n - F.length(s)) / n))
 
     return _nearest(let(found, shares), ref.shares)
@@ -145,24 +160,26 @@ def judge(docs: DataFrame, ref: References, text: str = "text") -> DataFrame:
     replaced. Null and empty texts have no words and fail the base. A row is rejected by a distance only if it
     is long enough for that histogram. Nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
-    hashes = F.transform(words_of(F.col("_t")), lambda w: F.xxhash64(w))
+    own = lambda name: f"_own_{name}" if "_own_" + name not in docs.columns else own("_" + name)
+    _t, _w, _c, _l = map(own, ("text", "words", "classes", "lines"))
+    hashes = F.transform(words_of(F.col(_t)), lambda w: F.xxhash64(w))
     found = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"), F.when(F.size(h) >= GUARD_WORDS, word_distance(h, ref)).alias("word_distance")))
-    made = docs.withColumn("_t", t).withColumn("_w", found).withColumn("_c", class_counts(F.col("_t"))).withColumn("_l", repeated_lines(F.col("_t")))
-    n = sum((F.col(f"_c.{c}") for c in _CLASSES[1:]), F.col("_c.upper"))
-    shares = F.array(*[F.col(f"_c.{c}") / n for c in _CLASSES])
+    made = docs.withColumn(_t, t).withColumn(_w, found).withColumn(_c, class_counts(F.col(_t))).withColumn(_l, repeated_lines(F.col(_t)))
+    n = sum((F.col(f"{_c}.{c}") for c in _CLASSES[1:]), F.col(f"{_c}.upper"))
+    shares = F.array(*[F.col(f"{_c}.{c}") / n for c in _CLASSES])
     out = {
-        "n_words": F.col("_w.n_words"),
-        "word_chars": n - F.col("_c.space"),
-        "n_symbols": F.col("_c.symbol"),
-        "n_dup_lines": F.col("_l"),
-        "n_repeat_words": F.col("_w.n_repeat_words"),
+        "n_words": F.col(f"{_w}.n_words"),
+        "word_chars": n - F.col(f"{_c}.space"),
+        "n_symbols": F.col(f"{_c}.symbol"),
+        "n_dup_lines": F.col(_l),
+        "n_repeat_words": F.col(f"{_w}.n_repeat_words"),
         "char_distance": F.when(n >= GUARD_CHARS, _nearest(shares, ref.classes)),
-        "word_distance": F.col("_w.word_distance"),
+        "word_distance": F.col(f"{_w}.word_distance"),
     }
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in {*out, "base_failed", "kept"}]
     made = made.select(*rest, *[v.alias(k) for k, v in out.items()])
     made = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    near = (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHARS) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORDS)
+    near = (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHARS) & (F.coalesce("word_distance", F.lit(0.0)) <= F.when(F.col("n_words") >= GUARD_MANY, MOST_MANY).otherwise(MOST_WORDS))
     return made.withColumn("kept", ~F.col("base_failed") & near)
 
 
