@@ -20,7 +20,8 @@ from sparkforest.llm.tokens import library_encoder
 
 
 def token_arrays(docs: DataFrame, vocabulary: str, spaced: bool = True, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, seq, ids): ids of each whole text and ``end_id``, in ascending order of (key, text).
+    """(key, seq, ids): ids of each whole text and ``end_id``, in ascending order of the key, and of a hash of the
+    text for rows that repeat a key.
 
     ``seq`` numbers the rows in that order (with holes), so that repeated keys stay apart. Null text: the end
     id alone. Null keys come first.
@@ -30,25 +31,22 @@ def token_arrays(docs: DataFrame, vocabulary: str, spaced: bool = True, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = library_encoder(vocabulary, spaced), np.array([end_id], "<u4").tobytes()
-        seq = TaskContext.get().partitionId() << 40
+        enc, seq = library_encoder(vocabulary, spaced), TaskContext.get().partitionId() << 40
         for b in batches:
-            texts, at = b.column(1).to_pylist(), 0
-            held, sizes, total = [], [], 0
-            for ids in enc.encode(texts):
-                held.append(ids + end)
-                sizes.append(len(held[-1]) // 4)
-                total += sizes[-1]
-                if total > 2_000_000 or at + len(held) == len(texts):
-                    values = pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
-                    seqs = pa.array(np.arange(seq, seq + len(held)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(held)), seqs, lists], names=[key, "seq", "ids"])
-                    at, seq = at + len(held), seq + len(held)
-                    held, sizes, total = [], [], 0
+            at = 0
+            for ids, ends in enc.slices(b.column(1).to_pylist()):
+                n = len(ends)
+                values, stops = np.full(len(ids) + n, end_id, np.int32), ends.astype(np.int64) + np.arange(1, n + 1)
+                inside = np.ones(len(values), bool)
+                inside[stops - 1] = False  # the end ids
+                values[inside] = ids
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int64()), pa.array(values))
+                seqs = pa.array(np.arange(seq, seq + n), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), seqs, lists.cast(pa.list_(pa.int32()))], names=[key, "seq", "ids"])
+                at, seq = at + n, seq + n
 
     few = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
-    ranged = few.repartitionByRange("_k", F.xxhash64("_t")).sortWithinPartitions("_k", "_t")
+    ranged = few.withColumn("_h", F.xxhash64("_t")).repartitionByRange("_k", "_h").sortWithinPartitions("_k", "_h", "_t").select("_k", "_t")
     return ranged.mapInArrow(run, f"`{key}` {kind}, seq long, ids array<int>")
 
 
@@ -76,7 +74,9 @@ def token_index(files: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=[key, "seq", "n_tokens", "ids_crc32"])
 
     sums = files.select(key, "seq", "ids").mapInArrow(run, f"`{key}` {kind}, seq long, n_tokens long, ids_crc32 long")
-    total = running_total(Scratch(files.sparkSession), sums, [F.col("seq")], "n_tokens")
+    scratch = Scratch(files.sparkSession)
+    # Stored, for the range sort looks at its rows twice and the files are read once.
+    total = running_total(scratch, scratch.store(sums), [F.col("seq")], "n_tokens")
     return total.select(key, (F.col("_run") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
 

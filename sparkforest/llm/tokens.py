@@ -1,23 +1,31 @@
 """Encoding whole texts with public tokenizer files, by chunks that can be encoded apart.
 
 Both vocabularies split a text before merging, and neither rule looks across a single space that stands
-between two characters that aren't white space. So a text is cut there, each distinct chunk is encoded
-once per batch of texts and kept in a bounded table, and the ids of a text are the chunks' ids in turn.
+between two characters that aren't white space. So texts are cut there by Arrow, each distinct chunk of a slice
+of texts is looked up in a bounded table or encoded once, and the ids are gathered by numpy. A new chunk that is
+letters and the ASCII punctuation after them is put together from the two, since neither rule joins letters with
+punctuation that no letter follows.
 """
 
 from __future__ import annotations
 
 import re
 import string
-from collections.abc import Callable, Iterable
-from itertools import filterfalse
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space next to other white space: such a text is encoded in one piece.
 _UNSAFE = re.compile(r"\s | \s")
-#: Chunks in each of the two generations that a worker keeps, and the length up to which it keeps them.
-KEEP, KEEP_LENGTH = 450_000, 64
+#: White space but for the space and the line end.
+_RARE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+#: Entries in each of the two generations of a worker's table, and the length up to which it keeps chunks.
+KEEP, KEEP_LENGTH = 200_000, 64
+#: Characters of texts that go through at once.
+SLICE = 12_000_000
 
 #: ASCII punctuation, and the words that are encoded as one string.
 _PUNCTUATION = string.punctuation
@@ -26,84 +34,107 @@ GROUP = 200
 _loaded: dict = {}
 
 
+def unsafe(text: str) -> bool:
+    return ("  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE)) and _UNSAFE.search(text) is not None
+
+
 class ChunkEncoder:
     """``encode_many`` takes strings and returns one ``bytes`` of little-endian unsigned 32-bit ids for each.
 
-    ``encode_chunks``, if given, does the same for chunks, which lack the space before them.
+    ``spaced``: the vocabulary keeps a space with the word after it, and chunks lack the space before them; else
+    white space is dropped. ``words``, if given, encodes chunks that are letters alone, with the space.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool, encode_chunks: Callable[[list[str]], Iterable[bytes]] | None = None):
-        self.encode_many, self.spaced = encode_many, spaced
-        lead = " " if spaced else ""
-        self.encode_chunks = encode_chunks or (lambda chunks: encode_many([lead + c for c in chunks]))
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool, words: Callable[[list[str]], Iterable[bytes]] | None = None):
+        self.encode_many, self.spaced, self.words = encode_many, spaced, words
         self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _fill(self, table: dict[str, bytes], old: dict[str, bytes], chunks: set[str], encode: Callable[[list[str]], Iterable[bytes]]) -> None:
-        new = []
-        for c in chunks:
-            if c in old:
-                table[c] = old[c]
-            else:
-                new.append(c)
-        if new:
-            table.update(zip(new, encode(new)))
-
-    def encode(self, texts: list[str], slice_chars: int = 2_000_000) -> Iterable[bytes]:
-        """Ids of each text, as bytes. Texts go through in slices, which bounds what is in memory."""
+        self.tails: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, as bytes."""
+        for ids, ends in self.slices(texts):
+            raw, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                yield raw[4 * at : 4 * end]
+                at = end
+
+    def slices(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of one text after the other, and where each text ends. Texts go through in slices, which bounds what
+        is in memory; a slice has at least one text."""
         at = 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= slice_chars):
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE):
                 chars, end = chars + len(texts[end]), end + 1
-            yield from self._slice(texts[at:end])
+            yield self._slice(texts[at:end])
             at = end
 
-    def _slice(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > KEEP:
-            self.old, self.inner = self.inner, {}
-        if len(self.first) > KEEP:
-            self.first.clear()
-        parts: list[list[str] | None] = []
-        firsts: list[str] = []
-        whole: list[int] = []
-        need: set[str] = set()
-        heads: set[str] = set()
-        known, known_first = self.inner.__contains__, self.first.__contains__
-        for i, text in enumerate(texts):
-            if self.spaced:
-                if _UNSAFE.search(text):
-                    parts.append(None)
-                    whole.append(i)
-                    continue
-                head, *chunks = text.split(" ")
-                parts.append(chunks)
-                firsts.append(head)
-                if not known_first(head):
-                    heads.add(head)
-            else:
-                chunks = text.replace("\n", " ").split(" ")
-                parts.append(chunks)
-            need.update(filterfalse(known, chunks))
-        self._fill(self.inner, self.old, need, self.encode_chunks)
-        self._fill(self.first, {}, heads, self.encode_many)
-        apart = iter(self.encode_many([texts[i] for i in whole]) if whole else ())
-        get, ahead = self.inner.__getitem__, map(self.first.__getitem__, firsts)
-        out = []
-        for chunks in parts:
-            if chunks is None:
-                out.append(next(apart))
-            elif self.spaced:
-                out.append(next(ahead) + b"".join(map(get, chunks)))
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; new ones go into the table."""
+        table, old, lead = self.inner, self.old, " " if self.spaced else ""
+        found = list(map(table.get, chunks))
+        whole, plain, made = [], set(), []
+        for c in [c for c, x in zip(chunks, found) if x is None]:
+            if c in old:
+                table[c] = old[c]
+            elif self.words is None or not (core := c.rstrip(_PUNCTUATION)).isalpha():
+                whole.append(c)
             else:
-                out.append(b"".join(map(get, chunks)))
-        for table, new in ((self.inner, need), (self.first, heads)):
-            for c in new:
-                if len(c) > KEEP_LENGTH:
-                    del table[c]
+                plain.add(core)
+                if len(core) < len(c):
+                    made.append((c, core, c[len(core) :]))
+        table.update(zip(whole, self.encode_many([lead + c for c in whole])))
+        table.update([(c, old[c]) for c in plain if c in old])
+        if fresh := [c for c in plain if c not in table]:
+            table.update(zip(fresh, self.words(fresh)))
+        if new := list({t for _, _, t in made}.difference(self.tails)):
+            self.tails.update(zip(new, self.encode_many(new)))
+        for c, core, tail in made:
+            table[c] = table[core] + self.tails[tail]
+        out = [table[c] if x is None else x for c, x in zip(chunks, found)]
+        for c in [c for c, x in zip(chunks, found) if x is None and len(c) > KEEP_LENGTH]:
+            table.pop(c, None)
+        if len(table) > KEEP:
+            self.old, self.inner = table, {}
+        if len(self.tails) > KEEP:
+            self.tails = {}
         return out
 
+    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        apart = [i for i, t in enumerate(texts) if unsafe(t)] if self.spaced else []
+        values = texts if not apart else [*texts]
+        for i in apart:
+            values[i] = ""
+        strings = pa.array(values, pa.large_string())
+        if not self.spaced:
+            strings = pc.replace_substring(strings, "\n", " ")
+        lists = pc.split_pattern(strings, " ")
+        starts = np.asarray(lists.offsets)
+        coded = lists.values.dictionary_encode()
+        place = np.asarray(coded.indices)
+        pool = self._ids(coded.dictionary.to_pylist())
+        if self.spaced:  # the first chunk of a text has no space before it
+            heads = lists.values.take(pa.array(starts[:-1])).dictionary_encode()
+            place = place.copy()
+            place[starts[:-1]] = np.asarray(heads.indices) + len(pool)
+            pool += self.encode_many(heads.dictionary.to_pylist())
+        # Positions fit into 32 bits, as a slice is far smaller, unless one text alone is not.
+        kind = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64
+        size = np.fromiter(map(len, pool), kind, len(pool)) // 4
+        first = np.cumsum(size, dtype=kind) - size
+        each = size[place]
+        upto = np.cumsum(each, dtype=kind)
+        at = np.repeat(first[place] - (upto - each), each)
+        at += np.arange(len(at), dtype=kind)
+        ids = np.frombuffer(b"".join(pool), "<u4")[at]
+        ends = upto[starts[1:] - 1]
+        if apart:  # a text in one piece takes the place of its empty stand-in
+            own = dict(zip(apart, self.encode_many([texts[i] for i in apart])))
+            parts = [np.frombuffer(own[i], "<u4") if i in own else ids[a:b] for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist()))]
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
+
 
 def joined(many: Callable[[list[str]], Iterable[bytes]], mark: np.ndarray, spaced: bool) -> Callable[[list[str]], list[bytes]]:
     """Encoder of words, many of them as one string, since a call costs more than a word.
@@ -128,31 +159,6 @@ def joined(many: Callable[[list[str]], Iterable[bytes]], mark: np.ndarray, space
     return run
 
 
-def by_parts(many: Callable[[list[str]], Iterable[bytes]], words: Callable[[list[str]], list[bytes]], spaced: bool) -> Callable[[list[str]], Iterable[bytes]]:
-    """Encoder of chunks by ``words``, where a chunk is one; the rest one by one.
-
-    With ``spaced``, any chunk but the empty one is a word with its space. Else letters are a word, and so is
-    the ASCII punctuation after them.
-    """
-
-    def whole(chunks: list[str]) -> Iterable[bytes]:
-        rest = [c for c in chunks if c]
-        ids = iter(words(rest))
-        return [next(ids) if c else next(iter(many([" "]))) for c in chunks]
-
-    def cut(chunks: list[str]) -> Iterable[bytes]:
-        cores = [c.rstrip(_PUNCTUATION) for c in chunks]
-        distinct = {core for core in cores if core.isalpha()}
-        distinct.update([c[len(core) :] for c, core in zip(chunks, cores) if c is not core and core in distinct])
-        distinct.discard("")
-        ids = dict(zip(distinct, words(list(distinct))))
-        ids[""] = b""
-        rest = iter(many([c for c, core in zip(chunks, cores) if not core or core not in ids]))
-        return [ids[core] + ids[c[len(core) :]] if core and core in ids else next(rest) for c, core in zip(chunks, cores)]
-
-    return whole if spaced else cut
-
-
 def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
     """Encoder by the ``tokenizers`` library from a vocabulary file, without special tokens. One per worker.
 
@@ -164,12 +170,12 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
 
-        def many(texts: list[str]) -> Iterable[bytes]:
+        def many(texts: list[str]) -> Iterator[bytes]:
             for at in range(0, len(texts), 5000):
                 for e in tok.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
 
         mark = np.zeros(tok.get_vocab_size() + 1, bool)
         mark[[i for t, i in tok.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
-        _loaded[path] = ChunkEncoder(many, spaced, by_parts(many, joined(many, mark, spaced), spaced))
+        _loaded[path] = ChunkEncoder(many, spaced, joined(many, mark, spaced))
     return _loaded[path]
