@@ -27,8 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the distances reject go. Null and empty texts go: they have no words.
+
+    The verdict is stored before the filter, which would else compute it over again for each of its parts.
+    """
     judged = quality_rules.judge(docs, quality_rules.References(docs))
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = Scratch(spark).store(judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias("_kept")))
+    return judged.where("_kept").drop("_kept")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
