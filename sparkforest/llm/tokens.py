@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 _UNSAFE = re.compile(r"\s | \s")
 #: White space but for the space and the line end.
 _RARE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
-#: Entries in each of the two generations of a worker's table, and the length up to which it keeps chunks.
-KEEP, KEEP_LENGTH = 200_000, 64
+#: Entries in a worker's table, and the length up to which it keeps chunks.
+KEEP, KEEP_LENGTH = 500_000, 64
 #: Characters of texts that go through at once.
-SLICE = 12_000_000
+SLICE = 4_000_000
 
 #: ASCII punctuation, and the words that are encoded as one string.
 _PUNCTUATION = string.punctuation
@@ -47,8 +47,8 @@ class ChunkEncoder:
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool, words: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.encode_many, self.spaced, self.words = encode_many, spaced, words
-        self.inner: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: The table: distinct chunks, their ids one after the other, and where those of each begin.
+        self.chunks, self.ids, self.starts = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
         self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -70,36 +70,44 @@ class ChunkEncoder:
             yield self._slice(texts[at:end])
             at = end
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks; new ones go into the table."""
-        table, old, lead = self.inner, self.old, " " if self.spaced else ""
-        found = list(map(table.get, chunks))
-        whole, plain, made = [], set(), []
-        for c in [c for c, x in zip(chunks, found) if x is None]:
-            if c in old:
-                table[c] = old[c]
-            elif self.words is None or not (core := c.rstrip(_PUNCTUATION)).isalpha():
-                whole.append(c)
+    def _learn(self, new: list[str]) -> None:
+        """Puts new chunks at the end of the table, in their order, and after them words that were met in them."""
+        lead = " " if self.spaced else ""
+        whole, parts = [], {}
+        for c in new:
+            if self.words is not None and (core := c.rstrip(_PUNCTUATION)).isalpha():
+                parts[c] = core
             else:
-                plain.add(core)
-                if len(core) < len(c):
-                    made.append((c, core, c[len(core) :]))
-        table.update(zip(whole, self.encode_many([lead + c for c in whole])))
-        table.update([(c, old[c]) for c in plain if c in old])
-        if fresh := [c for c in plain if c not in table]:
-            table.update(zip(fresh, self.words(fresh)))
-        if new := list({t for _, _, t in made}.difference(self.tails)):
-            self.tails.update(zip(new, self.encode_many(new)))
-        for c, core, tail in made:
-            table[c] = table[core] + self.tails[tail]
-        out = [table[c] if x is None else x for c, x in zip(chunks, found)]
-        for c in [c for c, x in zip(chunks, found) if x is None and len(c) > KEEP_LENGTH]:
-            table.pop(c, None)
-        if len(table) > KEEP:
-            self.old, self.inner = table, {}
+                whole.append(c)
+        made = dict(zip(whole, self.encode_many([lead + c for c in whole])))
+        if parts:
+            cores = list(dict.fromkeys(parts.values()))
+            known = np.asarray(pc.index_in(pa.array(cores, pa.large_string()), value_set=self.chunks).fill_null(-1))
+            held = {c: self.ids[self.starts[k] : self.starts[k + 1]].tobytes() for c, k in zip(cores, known.tolist()) if k >= 0}
+            fresh = [c for c, k in zip(cores, known.tolist()) if k < 0]
+            held.update(zip(fresh, self.words(fresh)))
+            tails = list({c[len(core) :] for c, core in parts.items()}.difference(self.tails, [""]))
+            self.tails.update(zip(tails, self.encode_many(tails)))
+            for c, core in parts.items():
+                made[c] = held[core] + self.tails[c[len(core) :]] if len(core) < len(c) else held[core]
+            new = [*new, *(c for c in fresh if c not in made)]
+            made.update((c, held[c]) for c in fresh)
+        raw = [made[c] for c in new]
+        self.chunks = pa.concat_arrays([self.chunks, pa.array(new, pa.large_string())])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Once the table is full, only short chunks that the last slice had stay."""
+        if len(self.chunks) > KEEP or len(self.ids) > 8 * KEEP:
+            keep = np.unique(used)
+            keep = keep[np.asarray(pc.utf8_length(self.chunks.take(pa.array(keep)))) <= KEEP_LENGTH]
+            size = np.diff(self.starts)[keep]
+            ends = np.cumsum(size)
+            at = np.repeat(self.starts[keep] - (ends - size), size) + np.arange(int(size.sum()))
+            self.chunks, self.ids, self.starts = self.chunks.take(pa.array(keep)), self.ids[at], np.concatenate([[0], ends])
         if len(self.tails) > KEEP:
             self.tails = {}
-        return out
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         apart = [i for i, t in enumerate(texts) if unsafe(t)] if self.spaced else []
@@ -110,30 +118,37 @@ class ChunkEncoder:
         if not self.spaced:
             strings = pc.replace_substring(strings, "\n", " ")
         lists = pc.split_pattern(strings, " ")
-        starts = np.asarray(lists.offsets)
+        begin = np.asarray(lists.offsets)
         coded = lists.values.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.chunks)
+        if known.null_count:
+            known, n = np.array(known.fill_null(-1)), len(self.chunks)
+            lacks = known < 0
+            self._learn(coded.dictionary.filter(pa.array(lacks)).to_pylist())
+            known[lacks] = n + np.arange(int(lacks.sum()))
+        known = np.asarray(known)
+        ids, first, size = self.ids, self.starts[:-1][known], np.diff(self.starts)[known]
         place = np.asarray(coded.indices)
-        pool = self._ids(coded.dictionary.to_pylist())
         if self.spaced:  # the first chunk of a text has no space before it
-            heads = lists.values.take(pa.array(starts[:-1])).dictionary_encode()
+            heads = lists.values.take(pa.array(begin[:-1])).dictionary_encode()
+            raw = list(self.encode_many(heads.dictionary.to_pylist()))
+            more = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             place = place.copy()
-            place[starts[:-1]] = np.asarray(heads.indices) + len(pool)
-            pool += self.encode_many(heads.dictionary.to_pylist())
-        # Positions fit into 32 bits, as a slice is far smaller, unless one text alone is not.
-        kind = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64
-        size = np.fromiter(map(len, pool), kind, len(pool)) // 4
-        first = np.cumsum(size, dtype=kind) - size
+            place[begin[:-1]] = np.asarray(heads.indices) + len(known)
+            first = np.concatenate([first, len(ids) + np.cumsum(more) - more])
+            ids, size = np.concatenate([ids, np.frombuffer(b"".join(raw), "<u4")]), np.concatenate([size, more])
         each = size[place]
-        upto = np.cumsum(each, dtype=kind)
-        at = np.repeat(first[place] - (upto - each), each)
+        upto = np.cumsum(each)
+        kind = np.int32 if upto[-1] + len(ids) < 1 << 30 else np.int64
+        at = np.repeat((first[place] - (upto - each)).astype(kind), each)
         at += np.arange(len(at), dtype=kind)
-        ids = np.frombuffer(b"".join(pool), "<u4")[at]
-        ends = upto[starts[1:] - 1]
+        out, ends = ids[at], upto[begin[1:] - 1]
+        self._forget(known)
         if apart:  # a text in one piece takes the place of its empty stand-in
             own = dict(zip(apart, self.encode_many([texts[i] for i in apart])))
-            parts = [np.frombuffer(own[i], "<u4") if i in own else ids[a:b] for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist()))]
-            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        return ids, ends
+            parts = [np.frombuffer(own[i], "<u4") if i in own else out[a:b] for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist()))]
+            out, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return out, ends
 
 
 def joined(many: Callable[[list[str]], Iterable[bytes]], mark: np.ndarray, spaced: bool) -> Callable[[list[str]], list[bytes]]:
