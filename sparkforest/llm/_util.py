@@ -21,6 +21,14 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparkforest-{uuid.uuid4().hex}"
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it as long as it is the name of a column."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Tables that cut lineage: each is written to the shared folder and read back.
 

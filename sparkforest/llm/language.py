@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import first_by_hash
+from sparkforest.llm._util import first_by_hash, free
 
 #: N-grams in a profile, of a language or a document.
 PROFILE = 300
@@ -138,7 +138,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
     # Marked so that a filter on the result doesn't make the plan run it twice.
     guess = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.coalesce(text, F.lit("")))
-    return docs.withColumn("_guess", guess).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    g = free("_guess", docs.columns)
+    return docs.withColumn(g, guess).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col(f"{g}.lang_pred").alias("lang_pred"), F.col(f"{g}.score").alias("score"))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

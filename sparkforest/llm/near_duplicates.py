@@ -1,21 +1,24 @@
 """Near-duplicate documents: SetSketch registers, banded; a joint likelihood estimate; exact verification; components.
 
 A document's set holds its distinct word shingles. Sets that are equal form a class; only class
-representatives are compared. Within a band's bucket, rows are compared with the bucket's first row and
-with the row before them, and then only rows that are still in different components, in blocks from which only
-links come out, so a large group doesn't become all of its pairs, while no link that joins components is lost.
+representatives are compared. Within a band's bucket, rows are compared with the bucket's hub, and then only rows
+that are still in different components, in blocks from which only links come out, so a large group doesn't become
+all of its pairs, while no link that joins components is lost. Every link is confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import Scratch
+from sparkforest.llm._util import Scratch, free
 
 #: 40 bands of 6 registers: a pair at Jaccard 0.8 shares no band with probability 5e-6, at 0.9 below 1e-13.
 BANDS, ROWS = 40, 6
@@ -23,17 +26,12 @@ BANDS, ROWS = 40, 6
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Pairs whose estimate is more than this below the threshold aren't verified: over 7 standard errors.
 SLACK = 0.2
-#: Rows take turns as a bucket's hub until at most FEW pairs a row are apart, or IDLE turns in a row have joined
-#: nothing; then all rows of different components are compared, in blocks of a bucket.
-FEW, IDLE = 4, 3
 #: Rows and bytes of text of a block, of which a task holds two at once.
-BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 24
-#: Bytes that are hashed at once.
-BLOCK = 1 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 1 << 23
+#: Bytes of texts that are hashed at once, and words whose hashes a worker keeps.
+BLOCK, KEEP_WORDS = 1 << 20, 200_000
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -44,64 +42,82 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as needed."""
+class _WordHashes(dict):
+    """64 bits of BLAKE2b of each word, worked out when a word is first seen."""
 
-    base = 0xD6E8FEB86659FD93
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
-                x = np.full(n, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (run of bytes that aren't ASCII white space), and where it starts."""
-    b = np.frombuffer(raw, np.uint8)
-    space = np.concatenate([[True], _SPACE[b], [True]])
-    starts = np.flatnonzero(space[:-1] & ~space[1:])
-    ends = np.flatnonzero(~space[:-1] & space[1:])
-    if not len(starts):
-        return np.empty(0, np.uint64), starts
-    up, down = _powers.upto(len(b) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + _U(1)) * up[: len(b)])])
-    return _mix((total[ends] - total[starts]) * down[starts] + _mix((ends - starts).astype(np.uint64))), starts
+def words_of(text: str) -> list[bytes]:
+    """Runs of bytes that aren't ASCII white space, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """For each whole text, its sorted distinct shingle hashes: A-Z lower-cased, ``width`` words. With fewer
     words, the whole sequence is one; without words there is none."""
-    at = 0
+    known, at = _WordHashes(), 0
     while at < len(texts):
-        raws, size = [], 0
-        while at < len(texts) and (not raws or size + len(texts[at]) <= BLOCK):
-            raws.append(texts[at].encode("utf-8", "surrogatepass").lower())
-            size, at = size + len(raws[-1]) + 1, at + 1
-        hashes, starts = word_hashes(b"\n".join(raws))
-        bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
+        held, size = [], 0
+        while at < len(texts) and (not held or size + len(texts[at]) <= BLOCK):
+            size += len(texts[at])
+            held.append(words_of(texts[at]))
+            at += 1
+        if len(known) > KEEP_WORDS:
+            known = _WordHashes()
+        counts = [len(w) for w in held]
+        hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(held)), np.uint64, sum(counts))
         run = _mix(hashes)
         for k in range(1, width):
             if len(hashes) > k:
                 run = _mix(run[:-1] * _U(_STEP) + hashes[k:])
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo >= width:
-                yield np.unique(run[lo : hi - width + 1])
-            elif hi > lo:
+        lo = 0
+        for n in counts:
+            if n >= width:
+                yield np.unique(run[lo : lo + n - width + 1])
+            elif n:
                 x = _mix(hashes[lo : lo + 1])
-                for k in range(lo + 1, hi):
+                for k in range(lo + 1, lo + n):
                     x = _mix(x * _U(_STEP) + hashes[k : k + 1])
-                yield _mix(x + _U(hi - lo))
+                yield _mix(x + _U(n))
             else:
                 yield np.empty(0, np.uint64)
+            lo += n
+
+
+class ExactSets:
+    """Shingle sets of a few texts by the words themselves: equal numbers stand for equal shingles, without hashes."""
+
+    def __init__(self, texts: list[str], width: int):
+        number: dict[bytes, int] = {}
+        counts, ids = [], []
+        for t in texts:
+            w = words_of(t)
+            counts.append(len(w))
+            ids.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w)))
+        seq = np.concatenate([*ids, np.empty(0, np.int64)])
+        run, of = seq, len(number)
+        for k in range(1, width):  # a pair of numbers becomes one again at each step
+            pairs, run = np.unique(run[: max(0, len(seq) - k)] * (len(number) + 1) + seq[k:], return_inverse=True)
+            of = max(of, len(pairs))
+        short: dict[bytes, int] = {}
+        self.sets, lo = [], 0
+        for n in counts:
+            if n >= width:
+                self.sets.append(np.unique(run[lo : lo + n - width + 1]))
+            else:
+                self.sets.append(np.array([of + short.setdefault(seq[lo : lo + n].tobytes(), len(short))] if n else [], np.int64))
+            lo += n
+        self.size = of + len(short)
+
+    def overlaps(self, one: int, others: list[int]) -> np.ndarray:
+        """How many shingles a text shares with each of some others, none of which is empty."""
+        mark = np.zeros(self.size, bool)
+        mark[self.sets[one]] = True
+        lengths = np.array([len(self.sets[o]) for o in others])
+        return np.add.reduceat(mark[np.concatenate([self.sets[o] for o in others])].astype(np.int64), np.cumsum(lengths) - lengths)
 
 
 _rng = np.random.default_rng(20240817)
@@ -112,126 +128,174 @@ _ADD = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
 def registers(x: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes. Registers of a union are the maxima of registers."""
     most = np.zeros(BANDS * ROWS, np.uint64)
-    for at in range(0, len(x), 512):
-        y = (x[at : at + 512, None] + _ADD) * _MULTIPLY
-        np.maximum(most, (y ^ (y >> _U(29))).max(axis=0), out=most)
+    for at in range(0, len(x), 128):
+        y = x[at : at + 128, None] * _MULTIPLY  # the hashes are mixed already; a register's own line orders them anew
+        y += _ADD
+        np.maximum(most, y.max(axis=0), out=most)
     uniform = (most.astype(np.float64) + 1) / 2.0**64  # the largest uniform is the smallest exponential
     least = -np.log(np.minimum(uniform, 1 - 2.0**-53)) / RATE
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of rows of registers by maximum likelihood, given the cardinalities."""
-    higher, lower = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    equal = a.shape[1] - higher - lower
-    u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+def _likelihood(higher: np.ndarray, lower: np.ndarray, equal: np.ndarray, u: np.ndarray, v: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Logarithm of the joint likelihood of two sketches at Jaccard similarity ``j``; ``u`` and ``v`` are the shares
+    of the two cardinalities in their sum. It is concave in ``j``."""
     p = lambda x: -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
+    up, down = p(np.maximum(u - v * j, 1e-12)), p(np.maximum(v - u * j, 1e-12))
+    return higher * np.log(np.maximum(up, 1e-12)) + lower * np.log(np.maximum(down, 1e-12)) + equal * np.log(np.maximum(1 - up - down, 1e-12))
+
+
+def _compare(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    higher, lower = (a > b).sum(axis=1), (a < b).sum(axis=1)
+    return higher, lower, a.shape[1] - higher - lower, n_a / (n_a + n_b), n_b / (n_a + n_b)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        up, down = p(np.maximum(u - v * j, 1e-12)), p(np.maximum(v - u * j, 1e-12))
-        return higher * np.log(np.maximum(up, 1e-12)) + lower * np.log(np.maximum(down, 1e-12)) + equal * np.log(np.maximum(1 - up - down, 1e-12))
 
+def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of registers by maximum likelihood, given the cardinalities."""
+    seen = _compare(a, b, n_a, n_b)
+    u, v = seen[3:]
     lo, hi, g = np.zeros(len(u)), np.minimum(u / v, v / u), (5**0.5 - 1) / 2
-    for _ in range(24):  # the log-likelihood is concave
+    for _ in range(24):
         x, y = hi - g * (hi - lo), lo + g * (hi - lo)
-        left = likelihood(x) > likelihood(y)
+        left = _likelihood(*seen, x) > _likelihood(*seen, y)
         lo, hi = np.where(left, lo, x), np.where(left, y, hi)
     return (lo + hi) / 2
 
 
+def estimate_reaches(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the joint estimate is at least ``least``: the likelihood still rises there, or the largest similarity
+    that the cardinalities allow is the estimate. One step instead of a search."""
+    seen = _compare(a, b, n_a, n_b)
+    most = np.minimum(seen[3] / seen[4], seen[4] / seen[3])
+    j, step = np.full(len(most), least), 1e-6
+    return (most >= least) & (_likelihood(*seen, j + step) >= _likelihood(*seen, j - step))
+
+
+def band_hashes(r: np.ndarray) -> np.ndarray:
+    """The buckets of rows of registers, one for each band; the band takes part in the hash."""
+    parts = r.reshape(len(r), BANDS, ROWS).astype(np.uint64)
+    out = _mix(parts[:, :, 0] + _mix(np.arange(BANDS, dtype=np.uint64)))
+    for k in range(1, ROWS):
+        out = _mix(out * _U(_STEP) + parts[:, :, k])
+    return out.view(np.int64)
+
+
 def sketch(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, set_hash, bands, registers) of each whole text; sets without shingles have no bands."""
+    """(id, digest, n_shingles, set_hash, bands, registers) of each whole text; sets without shingles have no bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, x in zip(b["_k"], shingle_sets(b["_t"].tolist(), width)):
-                if len(x):
-                    r = registers(x)
-                    bands = _mix(r.reshape(BANDS, ROWS).astype(np.uint64)[:, 0] + _mix(np.arange(BANDS, dtype=np.uint64)))
-                    for c in range(1, ROWS):
-                        bands = _mix(bands * _U(_STEP) + r.reshape(BANDS, ROWS)[:, c].astype(np.uint64))
-                    whole = f"{int(x.sum()):016x}{int(_mix(x).sum()):016x}{len(x):x}"
-                    rows.append((k, len(x), whole, bands.view(np.int64), r.tobytes()))
-                else:
-                    rows.append((k, 0, "", None, None))
-            yield pd.DataFrame(rows, columns=["id", "n_shingles", "set_hash", "bands", "registers"])
-
-    few = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
-    return few.mapInPandas(run, "id long, n_shingles long, set_hash string, bands array<long>, registers binary")
-
-
-def estimated(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, with registers and cardinalities) whose estimate isn't far below ``least``."""
+            n, whole, regs = [], [], []
+            for x in shingle_sets(b["_t"].tolist(), width):
+                n.append(len(x))
+                whole.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else b"")
+                regs.append(registers(x) if len(x) else np.zeros(BANDS * ROWS, np.uint16))
+            if n:
+                bands = band_hashes(np.stack(regs))
+                has = [k > 0 for k in n]
+                yield pd.DataFrame({"id": b["_k"], "digest": b["_d"], "n_shingles": n, "set_hash": whole, "bands": [x if y else None for x, y in zip(bands, has)], "registers": [x.tobytes() if y else None for x, y in zip(regs, has)]})
+
+    few = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
+    few = few.withColumn("_d", F.unhex(F.md5("_t")))
+    return few.mapInPandas(run, "id long, digest binary, n_shingles long, set_hash binary, bands array<long>, registers binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if not len(p):
-                continue
-            ra, rb = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(len(p), -1) for c in ("ra", "rb"))
-            j = joint_estimate(ra, rb, p["na"].to_numpy(float), p["nb"].to_numpy(float))
-            yield p.loc[j >= least - SLACK, ["a", "b"]]
 
-    return pairs.mapInPandas(run, "a long, b long")
+def similar(one: int, others: list[int], sets: ExactSets, similarity: int) -> np.ndarray:
+    """Whether 100 * intersection >= ``similarity`` * union, for a text and some others of ``sets``."""
+    both = sets.overlaps(one, others)
+    union = len(sets.sets[one]) + np.array([len(sets.sets[o]) for o in others]) - both
+    return 100 * both >= similarity * union
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= ``similarity`` * union of their full shingle sets."""
+def confirmed(pairs: DataFrame, members: DataFrame, width: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of ``members`` (c, n, r, text) whose estimate isn't far below ``similarity`` and whose full
+    shingle sets, compared by their words, reach it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None
         for p in batches:
-            keep = []
-            for a, ta, tb in zip(p["a"], p["ta"], p["tb"]):
-                if a != last:
-                    last, own = a, next(shingle_sets([ta], width))
-                other = next(shingle_sets([tb], width))
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= similarity * (len(own) + len(other) - both))
-            yield p.loc[keep, ["a", "b"]]
-
-    other = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = other.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
-
-
-def compared(mixed: DataFrame, node: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The links (a, b) among rows of a bucket (band, bucket, rep, c) that are of different components.
+            if not len(p):
+                continue
+            ra, rb = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(len(p), -1) for c in ("ra", "rb"))
+            p = p[estimate_reaches(ra, rb, p["na"].to_numpy(float), p["nb"].to_numpy(float), similarity / 100 - SLACK)]
+            for a, g in p.groupby("a"):
+                at, own = 0, g["ta"].iat[0]
+                while at < len(g):
+                    end, size = at, len(own)
+                    while end < len(g) and (end == at or size + len(g["tb"].iat[end]) <= BLOCK):
+                        size, end = size + len(g["tb"].iat[end]), end + 1
+                    sets = ExactSets([own, *g["tb"].iloc[at:end]], width)
+                    near = similar(0, list(range(1, end - at + 1)), sets, similarity)
+                    yield pd.DataFrame({"a": a, "b": g["b"].to_numpy()[at:end][near]})
+                    at = end
+
+    side = lambda x: members.select(*[F.col(c).alias(f"{d}{x}" if d else x) for c, d in (("c", ""), ("n", "n"), ("r", "r"), ("text", "t"))])
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    return both.mapInPandas(run, "a long, b long")
+
+
+def links_of_block(bucket: int, across: bool, c: np.ndarray, comp: np.ndarray, n: np.ndarray, x: np.ndarray, r: np.ndarray, texts: list[str], width: int, similarity: int) -> list[tuple[int, int]]:
+    """Links that join different components among the rows of a block of a bucket (``across``: of two blocks).
+
+    A pair that shares several buckets is compared in the first of them. Rows of the largest component aren't
+    compared with each other. Estimates come first, then the full sets of what is left.
+    """
+    order = np.argsort(c)
+    c, comp, n, x, r = c[order], comp[order], n[order], x[order], r[order]
+    names, comp = np.unique(comp, return_inverse=True)
+    apart = comp != np.bincount(comp).argmax()
+    bands, maybe = band_hashes(r), []
+    for k in np.flatnonzero(apart).tolist():
+        fits = (comp != comp[k]) & ~(apart & (np.arange(len(c)) < k)) & (100 * np.minimum(n, n[k]) >= similarity * np.maximum(n, n[k]))
+        if across:
+            fits &= x != x[k]
+        at = np.flatnonzero(fits)
+        same = bands[at] == bands[k]
+        at = at[bands[k][same.argmax(axis=1)] == bucket]
+        if len(at):
+            good = estimate_reaches(np.broadcast_to(r[k], (len(at), r.shape[1])), r[at], np.full(len(at), float(n[k])), n[at].astype(float), similarity / 100 - SLACK)
+            maybe.append((k, at[good].tolist()))
+    needed = sorted({k for k, o in maybe if o} | {i for _, o in maybe for i in o})
+    if not needed:
+        return []
+    place = {i: p for p, i in enumerate(needed)}
+    sets, root, found = ExactSets([texts[order[i]] for i in needed], width), list(range(len(names))), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k, others in maybe:
+        others = [o for o in others if top(comp[o]) != top(comp[k])]
+        if others:
+            for o in np.array(others)[similar(place[k], [place[o] for o in others], sets, similarity)].tolist():
+                if top(comp[o]) != top(comp[k]):
+                    root[top(comp[o])] = top(comp[k])
+                    found.append((int(c[k]), int(c[o])))
+    return found
+
+
+def compared(mixed: DataFrame, members: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links (a, b) that join components of rows (bucket, c, comp) of buckets that hold several of them.
 
     A bucket's rows are dealt into blocks by hash, and two blocks meet in one task, so that neither a bucket nor
-    its pairs are gathered: the rows grow with the blocks, and only links come out. Pairs that share several
-    buckets are compared in the first of their bands. Estimates come before the full sets.
+    its pairs are gathered: rows grow with the blocks of a bucket, of which most have one, and only links come out.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep", ignore_index=True)
-        band, across = int(g["band"].iat[0]), int(g["i"].iat[0]) != int(g["j"].iat[0])
-        bands, regs = np.stack(g["bands"].to_list()), np.frombuffer(b"".join(g["r"]), np.uint16).reshape(len(g), -1)
-        n, c, x, rep = (g[k].to_numpy() for k in ("n", "c", "x", "rep"))
-        sets, found = [np.asarray(s) for s in shingle_sets(g["text"].tolist(), width)], []
-        for k in range(len(g) - 1):
-            rest = slice(k + 1, len(g))
-            fits = (c[rest] != c[k]) & (100 * np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]))
-            if across:
-                fits &= x[rest] != x[k]
-            at = np.flatnonzero(fits) + k + 1
-            at = at[(bands[at] == bands[k]).argmax(axis=1) == band]
-            if len(at):
-                j = joint_estimate(np.broadcast_to(regs[k], (len(at), regs.shape[1])), regs[at], np.full(len(at), float(n[k])), n[at].astype(float))
-                for o in at[j >= similarity / 100 - SLACK].tolist():
-                    both = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
-                    if 100 * both >= similarity * (len(sets[k]) + len(sets[o]) - both):
-                        found.append((rep[k], rep[o]))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    bucket = Window.partitionBy("band", "bucket")
-    length = texts.select(F.col("id").alias("rep"), F.octet_length("text").alias("size"))
-    blocks = F.greatest(F.ceil(F.count("*").over(bucket) / BLOCK_ROWS), F.ceil(F.sum("size").over(bucket) / BLOCK_BYTES), F.lit(1))
-    dealt = mixed.join(length, "rep").withColumn("of", blocks.cast("long")).withColumn("x", F.pmod(F.xxhash64("rep"), "of"))
+    def run(t: pa.Table) -> pa.Table:
+        col = lambda name: t.column(name).to_numpy()
+        r = np.frombuffer(b"".join(t.column("r").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        found = links_of_block(t.column("bucket")[0].as_py(), across, col("c"), col("comp"), col("n"), col("x"), r, t.column("text").to_pylist(), width, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    sized = mixed.join(members.select("c", F.octet_length("text").alias("bytes")), "c").groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("long")
+    dealt = mixed.join(sized.select("bucket", blocks.alias("of")), "bucket").withColumn("x", F.pmod(F.xxhash64("c"), "of"))
     dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    dealt = dealt.select("band", "bucket", "rep", "c", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    full = dealt.join(node.withColumnRenamed("id", "rep"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-    return full.groupBy("band", "bucket", "i", "j").applyInPandas(run, "a long, b long")
+    dealt = dealt.select("bucket", "c", "comp", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    return dealt.join(members, "c").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -262,71 +326,78 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _linked(docs: DataFrame, width: int, similarity: int, key: str, text: str) -> DataFrame:
+    """(id, digest of the text, n_shingles, group, component_id) of each row; null group and component: linked with
+    nothing."""
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.store(sketch(docs, width, key, text))
+    filled = made.where("n_shingles > 0 and id is not null")
+    # Rows of equal sets are one class; rows are told apart by key and text, as keys may repeat with other texts.
+    same = filled.groupBy("set_hash").agg(F.min(F.struct("id", "digest")).alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("r"), F.first("n_shingles").alias("n"))
+    classes = scratch.store(same.withColumn("c", F.monotonically_increasing_id()))
+    rows = scratch.store(made.select("id", "digest", "n_shingles", "set_hash"))
+    scratch.drop(made)
+    # Rows of buckets that hold several classes. A bucket is counted, never gathered.
+    buckets = classes.select("c", F.explode("bands").alias("bucket"))
+    shared = scratch.store(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket"))
+    few = shared.select("c").distinct().join(classes.select("c", "rep", "n", "r"), "c")
+    few = few.select("c", "n", "r", F.col("rep.id").alias("_k"), F.col("rep.digest").alias("_d"))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_k"), F.col(text).alias("text"))
+    members = scratch.store(texts.join(few, "_k").where(F.unhex(F.md5("text")) == F.col("_d")).select("c", "n", "r", "text").dropDuplicates(["c"]))
+    # The hub of a bucket is its row of most and largest buckets: the text that the others are most alike to.
+    weight = shared.groupBy("c").agg(F.sum("m").alias("w"))
+    hubs = shared.join(weight, "c").groupBy("bucket").agg(F.max(F.struct("w", "c")).alias("h")).select("bucket", F.col("h.c").alias("hub"))
+    pairs = shared.join(hubs, "bucket").where("c <> hub").select(F.least("c", "hub").alias("b"), F.greatest("c", "hub").alias("a")).distinct()
+    edges = scratch.store(confirmed(pairs, members, width, similarity))
+    found = components(scratch, edges)
+    label = shared.join(found, F.col("c") == F.col("id"), "left").select("bucket", "c", F.coalesce("component", "c").alias("comp"))
+    split = label.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = scratch.store(label.join(split, "bucket", "left_semi"))
+    more = scratch.store(compared(mixed, members, width, similarity))
+    if not more.isEmpty():
+        found = components(scratch, edges.unionByName(more))
+    scratch.drop(members)
+    scratch.drop(mixed)
+    group = classes.select("set_hash", "c", F.col("rep.id").alias("first")).join(found, F.col("c") == F.col("id"), "left").select("set_hash", "first", F.coalesce("component", "c").alias("group"))
+    least = group.groupBy("group").agg(F.min("first").alias("component_id"))
+    to = scratch.store(group.join(least, "group").select("set_hash", "group", "component_id"))
+    known = rows.where("n_shingles > 0 and id is not null").join(to, "set_hash").select("id", "digest", "n_shingles", "group", "component_id")
+    rest = rows.where("not (n_shingles > 0 and id is not null)")
+    return known.unionByName(rest.select("id", "digest", "n_shingles", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("component_id")))
+
+
 def link(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``; keys are integers.
 
     Documents are linked from ``similarity`` percent of Jaccard on; ``component_id`` is the smallest key
-    reachable, and the row that has it is kept. Null and empty texts and texts without words are linked with
-    nothing. Rows that repeat a key count as that document again. No documents: no rows. Null keys stand alone.
+    reachable, and rows that have it are kept. Null and empty texts and texts without words are linked with
+    nothing. Rows that repeat a key are documents of their own, each with its own text; those of one component
+    with the smallest key are all kept. No documents: no rows. Null keys stand alone.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    made = scratch.store(sketch(docs, width, key, text))
-    filled = made.where("n_shingles > 0 and id is not null")
-    classes = scratch.store(filled.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("r"), F.first("n_shingles").alias("n")))
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    inside = Window.partitionBy("band", "bucket")
-    # Rows that share a bucket with another; a bucket is never gathered, only its least row and neighbours are seen.
-    rows = buckets.withColumn("hub", F.min("rep").over(inside)).withColumn("prev", F.lag("rep").over(inside.orderBy("rep")))
-    shared = scratch.store(rows.where("hub <> rep").select("band", "bucket", "rep", "hub", "prev"))
-    node = classes.select(F.col("rep").alias("id"), "r", "n", "bands")
-    members = scratch.store(shared.select("rep").union(shared.select("hub")).distinct().withColumnRenamed("rep", "id"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi").dropDuplicates(["id"])
-    texts = scratch.store(texts)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(node.select(F.col("id").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na")), "a")
-        full = full.join(node.select(F.col("id").alias("b"), F.col("r").alias("rb"), F.col("n").alias("nb")), "b")
-        full = full.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        likely = scratch.store(estimated(full.select("a", "b", "ra", "rb", "na", "nb"), similarity / 100))
-        return scratch.store(verified(likely, texts, width, similarity))
-
-    first = shared.select(F.col("hub").alias("a"), F.col("rep").alias("b")).union(shared.where("prev <> hub").select(F.col("prev").alias("a"), F.col("rep").alias("b")))
-    tested = scratch.store(first.distinct())
-    edges = confirm(tested)
-    found = components(scratch, edges)
-    everyone = scratch.store(shared.select("band", "bucket", "rep").union(shared.select("band", "bucket", "hub").distinct()))
-    turn = idle = 0
-    while True:
-        # Rows of buckets that still hold more than one component, and how many pairs of theirs are apart.
-        label = everyone.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed = scratch.store(label.withColumn("lo", F.min("c").over(inside)).withColumn("hi", F.max("c").over(inside)).where("lo <> hi").drop("lo", "hi"))
-        sizes = mixed.groupBy("band", "bucket", "c").agg(F.count("*").alias("m")).groupBy("band", "bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-        left_over = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()
-        last = left_over["pairs"] <= FEW * left_over["rows"] or idle >= IDLE
-        if last:
-            more = scratch.store(compared(mixed, node, texts, width, similarity))
-            if not more.isEmpty():
-                found = components(scratch, edges.unionByName(more))
-            break
-        # Another row of each bucket takes its turn as the one that the others are compared with.
-        turn += 1
-        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c")).over(inside)
-        pairs = mixed.withColumn("x", pick).where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"))
-        pairs = scratch.store(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        scratch.drop(mixed)
-        more = confirm(pairs)
-        if more.isEmpty():
-            idle += 1
-        else:
-            idle, edges = 0, edges.unionByName(more)
-            found = components(scratch, edges)
-        tested = tested.unionByName(pairs)
-    to = classes.select("set_hash", "rep").join(found, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("c"))
-    out = made.select("id", "n_shingles", "set_hash").join(to, "set_hash", "left")
-    comp = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("c")), F.col("id"))
-    return out.select(F.col("id").alias(key), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    out = _linked(docs, width, similarity, key, text).withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked documents: that of the smallest key, then of the smallest digest
+    of its text; of rows that repeat both, one. Rows that are linked with nothing stay, null keys and texts among them.
+    """
+    scratch, columns = Scratch(docs.sparkSession), docs.columns
+    id, digest, row = (free(f"_{c}", columns) for c in ("id", "digest", "row"))
+    rows = scratch.store(_linked(docs, width, similarity, key, text).where("group is not null"))
+    first = rows.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("first"))
+    each = rows.groupBy("group", "id", "digest").agg(F.count("*").alias("times")).join(first, "group").withColumn("stays", F.struct("id", "digest") == F.col("first"))
+    each = scratch.store(each.where("not stays or times > 1").select(F.col("id").alias(id), F.col("digest").alias(digest), "stays"))
+    here = lambda t: (docs[key].cast("long") == t[id]) & (F.unhex(F.md5(docs[text])) == t[digest])
+    out = docs.join(each, here(each), "left_anti")
+    repeated = each.where("stays").drop("stays")
+    if repeated.isEmpty():
+        return out
+    all_columns = [F.col(f"`{c}`") for c in columns]
+    own = docs.join(repeated, here(repeated)).groupBy(id, digest).agg(F.min_by(F.struct(*all_columns), F.xxhash64(*all_columns)).alias(row))
+    return out.unionByName(own.select(f"{row}.*"))
 
 
 def op5_setsketch(spark, sf_dir: str) -> DataFrame:
+    """``link`` over all of ``documents`` with 4-word shingles. Null and empty texts: no shingles, kept."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)

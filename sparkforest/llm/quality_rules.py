@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import WORD_BREAK, Scratch
+from sparkforest.llm._util import WORD_BREAK, Scratch, free
 
 #: Rules of the base, as the query's contract states them.
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -160,8 +160,7 @@ def judge(docs: DataFrame, ref: References, text: str = "text") -> DataFrame:
     replaced. Null and empty texts have no words and fail the base. A row is rejected by a distance only if it
     is long enough for that histogram. Nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
-    own = lambda name: f"_own_{name}" if "_own_" + name not in docs.columns else own("_" + name)
-    _t, _w, _c, _l = map(own, ("text", "words", "classes", "lines"))
+    _t, _w, _c, _l = (free(c, docs.columns) for c in ("_t", "_w", "_c", "_l"))
     hashes = F.transform(words_of(F.col(_t)), lambda w: F.xxhash64(w))
     found = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"), F.when(F.size(h) >= GUARD_WORDS, word_distance(h, ref)).alias("word_distance")))
     made = docs.withColumn(_t, t).withColumn(_w, found).withColumn(_c, class_counts(F.col(_t))).withColumn(_l, repeated_lines(F.col(_t)))

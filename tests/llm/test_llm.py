@@ -350,6 +350,46 @@ def test_pipeline(spark, none):
         assert new.count() == 0 and (i == 4 or new.columns == docs.columns)
 
 
+def test_repeated_keys_with_other_texts_keep_their_links(spark):
+    t1, t2 = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(120))
+    rows = [(5, t1), (5, t2), (6, t1 + " x"), (7, t2 + " y")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates.link(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5)]
+
+
+def test_words_that_collide_in_polynomial_hashes_are_not_linked(spark):
+    """Thue-Morse words collide for any base modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(7))
+    got = near_duplicates.link(spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string"), 4).collect()
+    assert all(r["kept"] for r in got)
+
+
+def test_one_row_of_a_group_stays(spark):
+    t1, t2 = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(120))
+    rows = [(5, t1, "x"), (5, t2, None), (5, t2, None), (6, t1 + " x", "y"), (7, t2 + " y", "z"), (8, None, "n"), (8, None, "n"), (None, t1, "k"), (9, "", "e")]
+    got = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _near_id string"))
+    assert got.columns == ["doc_id", "text", "_near_id"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], *rows[5:]], "doc_id long, text string, _near_id string").collect()))
+
+
+def test_exact_sets_and_estimates():
+    texts = ["a b c d e f", "A b  c d", "a b", "b a", "", "x a b c d e"]
+    sets = near_duplicates.ExactSets(texts, 3)
+    want = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set()) for w in (t.lower().split() for t in texts)]
+    assert [len(s) for s in sets.sets] == [len(w) for w in want]
+    assert all(sets.overlaps(i, [j])[0] == len(want[i] & want[j]) for i in range(6) for j in range(6) if want[j])
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**63, 4000, np.uint64)
+    regs = np.stack([near_duplicates.registers(x[k * 100 : 2000 + k * 100]) for k in range(15)])
+    n, first = np.full(15, 2000.0), np.broadcast_to(regs[0], regs.shape)
+    near = near_duplicates.joint_estimate(first, regs, n, n)
+    for least in (0.3, 0.6, 0.9):
+        apart = np.abs(near - least) > 1e-4
+        assert ((near >= least) == near_duplicates.estimate_reaches(first, regs, n, n, least))[apart].all()
+
+
 def test_large_group_of_near_copies_is_one_component(spark):
     """Copies that are mostly not near enough to the first one, and hold together through others."""
     rng, rows = np.random.default_rng(11), {}
@@ -364,8 +404,7 @@ def test_large_group_of_near_copies_is_one_component(spark):
 
 
 def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
-    """Without turns of hubs, and with blocks of a few rows."""
-    monkeypatch.setattr(near_duplicates, "IDLE", 0)
+    """With blocks of a few rows."""
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 8)
     rng, rows = np.random.default_rng(12), {}
     words = [f"w{i}" for i in range(200)]
