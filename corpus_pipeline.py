@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkforest.llm import language, line_dedup, near_duplicates, packing, quality_rules
-from sparkforest.llm._util import Scratch
+from sparkforest.llm._util import Scratch, free
 
 #: Least score of a document's language.
 LANGUAGE_SCORE = 0.4
@@ -31,9 +31,10 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     The verdict is stored before the filter, which would else compute it over again for each of its parts.
     """
+    kept = free("_kept", docs.columns)
     judged = quality_rules.judge(docs, quality_rules.References(docs))
-    judged = Scratch(spark).store(judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias("_kept")))
-    return judged.where("_kept").drop("_kept")
+    judged = Scratch(spark).store(judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias(kept)))
+    return judged.where(f"`{kept}`").drop(kept)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more: of each group, the document with the smallest id stays."""
-    gone = near_duplicates.link(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Five-word shingles, similarity of 0.8 or more: of each group, one row stays, that with the smallest id. Null ids
+    and texts without words stay."""
+    return near_duplicates.drop_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
