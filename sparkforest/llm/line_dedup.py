@@ -5,6 +5,10 @@ a token among the first n - ceil(t n) + 1 of each; lengths and places of that to
 A bitmap of each set bounds the difference of two sets once more. Only what passes is compared token by token.
 Lines with the same tokens form a class, and only classes are joined, so a line that is repeated a million times
 is one row of the join. Prefixes and bitmaps move, whole token lists only where a pair is verified.
+
+A class is settled once one earlier class is known to be similar: it isn't looked up any more, though others are
+still compared with it. So classes are first compared with a hub of those that begin or end alike, which settles
+most of a large group of variants of one line, and the join looks for what is left.
 """
 
 from __future__ import annotations
@@ -14,43 +18,51 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import WORD_BREAK, Scratch
+from sparkforest.llm._util import WORD_BREAK, Scratch, free
 from sparkforest.llm.quality_rules import let
 
-#: Lines with fewer distinct words are left alone: short ones repeat by chance.
-LEAST_WORDS = 6
+#: Lines with fewer distinct words are left alone; lines without a word aren't compared.
+LEAST_WORDS = 1
 PERCENT = 80
 #: Words are counted by slots of their hashes, which bounds what is sent to the tasks: a word is as frequent as its
-#: slot. Slots have ranks, and words of a slot the order of their hashes. The join is exact with any one order.
-SLOT_BITS = 18
-#: So many slots are frequent: their tokens are joined by size as well.
+#: slot. A slot has one of 128 levels, LEVELS to a doubling, and words of a level have the order of their hashes. The
+#: join is exact with any one order.
+SLOT_BITS, LEVELS = 18, 4
+#: So many slots are frequent: their tokens are joined by size as well, which leaves out partners that no length
+#: filter would pass. The result is the same with any number.
 FREQUENT = 1 << 16
-#: Members of candidates that are broadcast at most (about 50 bytes each).
-BROADCAST = 1_000_000
+#: Documents that are sent to all tasks at most (their keys and places, about 100 bytes each); more are joined.
+BROADCAST = 200_000
+#: Words at the beginning and the end of a line by which hubs are found.
+ENDS = 4
+
 
+def words_of(line: Column) -> Column:
+    """A line's words in order. Other white space than spaces is rare; such lines alone take the slower pattern."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\v")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\r"))
+    return F.array_remove(F.when(odd, F.split(line, WORD_BREAK)).otherwise(F.split(line, " ")), "")
 
-def slot_ranks(docs: DataFrame, text: str = "text") -> list[int]:
-    """The rank of each slot among all slots, by the words of all texts that fall in it; the rarest is 0."""
-    words = docs.select(F.explode(F.split(text, WORD_BREAK)).alias("w")).where("w <> ''")
+
+def slot_levels(docs: DataFrame, text: str = "text") -> list[int]:
+    """The level of each slot, by the words of all texts that fall in it; the rarest is 0."""
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("_x"))
+    words = lines.select(F.explode(words_of(F.col("_x"))).alias("w"))
     slot = F.xxhash64("w").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
     counts = {r["slot"]: r["n"] for r in words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
-    ranks = [0] * (1 << SLOT_BITS)
-    for rank, at in enumerate(sorted(range(len(ranks)), key=lambda i: (counts.get(i, 0), i))):
-        ranks[at] = rank
-    return ranks
+    return [min(127, int(LEVELS * math.log2(1 + counts.get(i, 0)))) for i in range(1 << SLOT_BITS)]
 
 
-def by_rarity(line: Column, ranks: Column) -> Column:
-    """A line's distinct words as numbers in the order of rarity: the slot's rank, then the rest of the hash."""
-    hashes = F.transform(F.array_remove(F.split(line, WORD_BREAK), ""), lambda w: F.xxhash64(w))
+def by_rarity(words: Column, levels: Column) -> Column:
+    """A line's distinct words as numbers in the order of rarity: the slot's level, then the rest of the hash."""
     slot = lambda h: h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-    number = lambda h: F.shiftleft(F.get(ranks, slot(h)), 63 - SLOT_BITS).bitwiseOR(F.shiftrightunsigned(h, SLOT_BITS + 1))
-    return F.sort_array(F.array_distinct(F.transform(hashes, number)))
+    number = lambda w: F.shiftleft(F.get(levels, slot(F.xxhash64(w))), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
 def prefix(tokens: Column, n: Column, share: float) -> Column:
-    """The first tokens of a set of n, of which another set that has ``share`` of n in common has at least one."""
-    return F.slice(tokens, F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)
+    """The first tokens of a set of n, of which another set that has ``share`` of n in common has at least one. They
+    are keys of a join, for which 32 bits do: two tokens of one key are only compared in vain."""
+    return F.transform(F.slice(tokens, F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1), lambda t: F.shiftright(t, 32).cast("int"))
 
 
 def wide_bitmap(tokens: Column) -> Column:
@@ -65,22 +77,28 @@ def bitmap(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseXOR(bit(t)))
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, line) of all lines; null text has none."""
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def hub_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(earlier, later): each class and the earliest and the most frequent class that begin or end as it does."""
+    keys = classes.select("c", "n", "m", F.explode(F.array("head", "tail")).alias("key"))
+    one = F.struct("c", "n")
+    hubs = keys.groupBy("key").agg(F.count("*").alias("of"), F.min_by(one, "c").alias("first"), F.max_by(one, F.struct("m", -F.col("c"))).alias("most")).where("of > 1")
+    each = hubs.select("key", F.explode(F.array_distinct(F.array("first", "most"))).alias("hub"))
+    near = (F.col("hub.c") < F.col("c")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    return keys.join(each, "key").where(near).select(F.col("hub.c").alias("earlier"), F.col("c").alias("later")).distinct()
 
 
-def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): classes (c, n tokens, bitmap, prefix) that may have a Jaccard similarity of at least ``percent``.
+def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> DataFrame:
+    """(earlier, later): classes (c, n tokens, bitmap, prefix, open) that may have a Jaccard similarity of at least
+    ``percent``, where the later one is open.
 
-    ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t) of
-    the smaller, so the smaller one needs the shorter prefix. For frequent tokens, sizes go into the key of the
-    join as powers of 1 / t: a larger partner is of the same power or the next.
+    Of a pair, ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t)
+    of the smaller, so the smaller one needs the shorter prefix. For frequent tokens, sizes go into the key of the
+    join as powers of 1 / t: a larger partner is of the same power or the next. ``often_from``: their least level.
     """
-    frequent = F.shiftrightunsigned("token", 63 - SLOT_BITS) >= (1 << SLOT_BITS) - FREQUENT
-    entries = classes.select("c", "n", "bitmap", F.posexplode("prefix").alias("i", "token"))
-    left, right = ["token", "a", "na", "ma", "ia"], ["token", "b", "nb", "mb", "ib"]
-    sides = lambda e: (e.select("token", "c", "n", "bitmap", "i").toDF(*left), e.select("token", "c", "n", "bitmap", "i").toDF(*right))
+    frequent = F.shiftright("token", 24) >= often_from
+    entries = classes.select("c", "n", "bitmap", "open", F.posexplode("prefix").alias("i", "token"))
+    left, right = ["token", "a", "na", "ma", "oa", "ia"], ["token", "b", "nb", "mb", "ob", "ib"]
+    sides = lambda e: (e.select("token", "c", "n", "bitmap", "open", "i").toDF(*left), e.select("token", "c", "n", "bitmap", "open", "i").toDF(*right))
     # How far the token stands before the end of the shorter prefix, and how much more overlap than needed is
     # possible: what stands before it in the shorter place, it, and what follows in both. One expression of both
     # sides, so that it stays in the join and the two sides share one shuffle.
@@ -89,77 +107,100 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.least(inside, most * (100 + percent) - percent * (F.col("na") + F.col("nb"))) >= 0
     length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    fits = length & place & F.when(F.col("a") > F.col("b"), F.col("oa")).otherwise(F.col("ob")) & differ
     small, large = sides(entries.where(~frequent))
-    rare = small.join(large, "token").where(length & place & differ).select("a", "b")
+    rare = small.join(large, "token").where(fits).select("a", "b")
     small, large = sides(entries.where(frequent))
     power = lambda n: F.floor(F.log(n) / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
     small = small.where(inside >= 0).withColumn("power", F.explode(F.array(power("na"), power("na") + 1)))
-    often = small.join(large.withColumn("power", power("nb")), ["token", "power"]).where(length & place & differ).select("a", "b")
-    return rare.union(often).distinct()
+    often = small.join(large.withColumn("power", power("nb")), ["token", "power"]).where(fits).select("a", "b")
+    return rare.union(often).select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, line_no) of lines that have an earlier line, by (key, line_no), with at least ``percent`` similarity.
+def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, percent: int, key: str, text: str) -> DataFrame:
+    """(c): later classes of ``pairs`` (earlier, later) whose token lists reach ``percent``.
 
-    Earlier lines count whether or not they are removed themselves. Lines with fewer than ``least_words``
-    distinct words neither remove nor are removed. Of rows that repeat a key, equal lines at equal places
-    count as one line.
+    Only the classes of the pairs have their tokens made again, from the first line of each: documents are joined
+    with the places they are asked for, and a place's line is taken from the text.
     """
+    asked = pairs.select(F.col("earlier").alias("c")).union(pairs.select("later")).distinct().join(classes.select("c", "first"), "c")
+    asked = asked.groupBy(F.col("first.k").alias("_k"), F.col("first.d").alias("_d")).agg(F.collect_list(F.struct("c", F.col("first.i").alias("i"))).alias("_places"))  # as many as the text has lines at most
+    asked = scratch.store(asked)
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).where("_x is not null")
+    full = full.join(asked, (full["_k"] == asked["_k"]) & (F.xxhash64(full["_x"]) == asked["_d"]))
+    lines = full.select(F.split("_x", "\n").alias("_x"), F.explode("_places").alias("_p")).select("_p.c", F.get("_x", F.col("_p.i")).alias("line"))
+    words = scratch.store(lines.select("c", by_rarity(words_of(F.col("line")), levels).alias("tokens")).dropDuplicates(["c"]))
+    side = lambda x: words.select(F.col("c").alias(x), F.size("tokens").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    # Bitmaps of 256 bits are compared before token lists move.
+    wide = lambda x: words.select(F.col("c").alias(x), F.size("tokens").alias(f"n_{x}"), wide_bitmap(F.col("tokens")).alias(f"w_{x}"))
+    both = pairs.join(wide("earlier"), "earlier").join(wide("later"), "later")
+    differ = sum((F.bit_count(F.col("w_earlier")[k].bitwiseXOR(F.col("w_later")[k])) for k in range(1, 4)), F.bit_count(F.col("w_earlier")[0].bitwiseXOR(F.col("w_later")[0])))
+    near = scratch.store(both.where(differ * (100 + percent) <= (100 - percent) * (F.col("n_earlier") + F.col("n_later"))).select("earlier", "later"))
+    full = near.join(side("earlier"), "earlier").join(side("later"), "later")
+    shared = F.size(F.array_intersect("t_earlier", "t_later"))
+    found = scratch.store(full.where(shared * (100 + percent) >= percent * (F.col("n_earlier") + F.col("n_later"))).select(F.col("later").alias("c")).distinct())
+    scratch.drop(words)
+    scratch.drop(near)
+    return found
+
+
+def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: int) -> DataFrame:
+    """(``_k``, ``_d``, line_no): key, digest of the text and place of each line that has an earlier similar one."""
     scratch = Scratch(docs.sparkSession)
     # One string that is folded to a constant array: as many literals would swamp the planner.
-    ranks = F.split(F.lit(",".join(map(str, slot_ranks(docs, text)))), ",").cast("array<long>")
+    levels = slot_levels(docs, text)
+    often_from, by_slot = sorted(levels)[-FREQUENT], F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")
     # Two 64-bit hashes of the sorted tokens name the class.
-    names = lambda t: (F.xxhash64(t).alias("x"), F.xxhash64(F.lit(7), t).alias("y"))
-    digest = lambda t: F.struct(*names(t), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"))
-    made = lines_of(docs, key, text).select(key, "line_no", let(by_rarity(F.col("line"), ranks), lambda t: F.when(F.size(t) >= least_words, digest(t))).alias("s"))
+    digest = lambda w, t: F.struct(F.xxhash64(t).alias("x"), F.xxhash64(F.lit(7), t).alias("y"), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
+    sized = lambda w: let(by_rarity(w, by_slot), lambda t: F.when(F.size(t) >= max(1, least_words), digest(w, t)))
+    lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(text).alias("_d"), F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
     # Stored before the filter, which would else compute the tokens a second time.
-    made = scratch.store(made)
+    made = scratch.store(lines.select("_k", "_d", "line_no", let(words_of(F.col("_line")), sized).alias("s")))
     lines = made.where("s is not null")
-    place = F.struct(F.col(key).alias("k"), F.col("line_no").alias("i"))
-    classes = lines.groupBy("s.x", "s.y").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix")])
-    classes = scratch.store(classes.withColumn("c", F.monotonically_increasing_id()))
+    place = F.struct(F.col("_k").alias("k"), F.col("line_no").alias("i"), F.col("_d").alias("d"))
+    classes = lines.groupBy("s.x", "s.y").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix", "head", "tail")])
+    # Numbered in the order of their first lines, so that the smaller number is the earlier class.
+    classes = scratch.store(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("c", F.monotonically_increasing_id()))
     # The lines' prefixes aren't needed any more, only those of classes.
-    placed = scratch.store(lines.select(key, "line_no", "s.x", "s.y"))
+    placed = scratch.store(lines.select("_k", "_d", "line_no", "s.x", "s.y"))
     scratch.drop(made)
-    maybe = scratch.store(candidates(classes, percent))
-    # Only the candidates' tokens move, made again from the first line of each class. Members are sent to all
-    # tasks where they are few, else joined.
-    members = maybe.select(F.col("a").alias("c")).union(maybe.select("b")).distinct()
-    members = scratch.store(classes.join(members, "c", "left_semi").select("c", F.col("first.k").alias(key), F.col("first.i").alias("line_no"), "x", "y"))
-    members = F.broadcast(members) if members.count() <= BROADCAST else members
-    words = lines_of(docs, key, text).join(members, [key, "line_no"]).select("c", "x", "y", by_rarity(F.col("line"), ranks).alias("tokens"))
-    # Where rows repeat a key, another line may have the place.
-    x, y = names(F.col("tokens"))
-    digests = (F.size("tokens").alias("n"), wide_bitmap(F.col("tokens")).alias("w"))
-    words = scratch.store(words.select("c", "tokens", *digests, ((F.col("x") == x) & (F.col("y") == y)).alias("own"))).where("own")
-    # Long lines fill the small bitmap; the wide one is compared before token lists move.
-    near = maybe.join(words.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a").join(words.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b")
-    differ = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(1, 4)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
-    near = scratch.store(near.where(differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
-    full = near.join(words.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(words.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    pairs = scratch.store(full.where(both * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"))
-    either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # The earliest line of any class that a class is similar to.
-    heads = classes.select("c", "x", "y", "m", "first")
-    others = either.join(heads.select(F.col("c").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("c")).agg(F.min("other").alias("other"))
-    earliest = heads.join(others, "c", "left").where("m > 1 or other < first").select("x", "y", F.least("first", "other").alias("earliest"))
-    return placed.join(earliest, ["x", "y"]).where(F.col("earliest") < place).select(key, "line_no").distinct()
+    hubs = scratch.store(hub_pairs(classes, percent))
+    by_hub = settled(scratch, docs, classes, hubs, by_slot, percent, key, text)
+    opened = classes.select("c", "n", "bitmap", "prefix").join(by_hub.withColumn("_done", F.lit(True)), "c", "left").withColumn("open", F.col("_done").isNull())
+    maybe = scratch.store(candidates(opened, percent, often_from).join(hubs, ["earlier", "later"], "left_anti"))
+    others = settled(scratch, docs, classes, maybe, by_slot, percent, key, text)
+    # A settled class has an earlier similar line; a class's later lines have its first one.
+    done = by_hub.union(others).distinct().withColumn("_done", F.lit(True))
+    heads = classes.join(done, "c", "left").where("m > 1 or _done").select("x", "y", "first", F.coalesce("_done", F.lit(False)).alias("_done"))
+    return placed.join(heads, ["x", "y"]).where(F.col("_done") | (F.col("first") < place)).select("_k", "_d", "line_no").distinct()
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(key, line_no) of lines that have an earlier line, by (key, line_no), with at least ``percent`` similarity.
+
+    Earlier lines count whether or not they are removed themselves. Lines with fewer than ``least_words``
+    distinct words, and lines without any, neither remove nor are removed; nor do those of rows with a null key. Of
+    rows that repeat a key, lines at equal places follow the digests of their texts; rows that repeat a key and a text
+    are one document.
+    """
+    return _repeated(docs, key, text, percent, least_words).select(F.col("_k").alias(key), "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_removed``. All other columns and rows stay.
 
     A null or empty text stays as it is. A text whose every line is removed becomes empty. Null keys: such rows
-    neither remove lines nor lose any.
+    neither remove lines nor lose any. Rows that repeat a key lose their own repeated lines only.
     """
-    gone = repeated(docs.where(F.col(key).isNotNull()), key, text, percent, least_words).groupBy(F.col(key).alias("_gone_key")).agg(F.collect_set("line_no").alias("_gone"))
+    k, d, lines = (free(c, docs.columns) for c in ("_gone_key", "_gone_digest", "_gone"))
+    gone = _repeated(docs, key, text, percent, least_words).groupBy(F.col("_k").alias(k), F.col("_d").alias(d)).agg(F.collect_set("line_no").alias(lines))
     # A document's own lines only: the set is no longer than its text.
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, F.col(key) == F.col("_gone_key"), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    out = docs.join(gone, (docs[key] == gone[k]) & (F.xxhash64(docs[text]) == gone[d]), "left")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_removed")]
-    new = F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)
-    return out.select(*rest, new.alias(text), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    new = F.when(F.col(lines).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)
+    return out.select(*rest, new.alias(text), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -175,7 +216,7 @@ with l as (
 ), w as (
   select doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) as ws from l
 ), s as (
-  select ws, min((doc_id, line_no)) as first_at, row_number() over (order by ws) as c, len(ws) as n from w where len(ws) >= 6 group by ws
+  select ws, min((doc_id, line_no)) as first_at, row_number() over (order by ws) as c, len(ws) as n from w where len(ws) >= 1 group by ws
 ), t as (
   select c, n, unnest(ws) as token from s
 ), df as (

@@ -264,7 +264,7 @@ def test_sketches_merge_and_estimate():
     assert abs(j - 0.5) < 0.12
 
 
-def brute_lines(docs, least=6):
+def brute_lines(docs, least=1):
     lines = sorted((i, k, set(w for w in re.split(r"[\x20\x09-\x0D]+", x) if w)) for i, t in docs for k, x in enumerate((t or "").split("\n")) if t is not None)
     lines = [x for x in lines if len(x[2]) >= least]
     return {(i, k) for n, (i, k, s) in enumerate(lines) if any((a, b) != (i, k) and 10 * len(s & o) >= 8 * len(s | o) for a, b, o in lines[:n])}
@@ -300,6 +300,24 @@ def test_pipeline_drops_repeated_lines_of_any_length(spark):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
+def test_rows_that_repeat_a_key_lose_their_own_lines_only(spark):
+    rows = [(1, "one line that is said twice\nx"), (2, "one line that is said twice\na"), (2, "my own line that nobody else has\nb"), (3, "y\ty\nY y"), (4, "y"), (5, None), (5, "")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["n_removed"]) for r in got) == sorted([(1, rows[0][1], 0), (2, "a", 1), (2, rows[2][1], 0), (3, rows[3][1], 0), (4, "", 1), (5, "", 0), (5, "", 0)])
+
+
+def test_variants_of_one_line_match_brute_force(spark):
+    """A large group of variants, of which many aren't near the hub."""
+    rng, words, docs = np.random.default_rng(15), [f"w{i}" for i in range(40)], []
+    for i in range(150):
+        own = list(words)
+        for p in rng.choice(40, rng.integers(0, 9), replace=False):
+            own[p] = f"x{rng.integers(0, 10**6)}"
+        docs.append((i, " ".join(own)))
+    gone = {tuple(r) for r in line_dedup.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert gone == brute_lines(docs)
+
+
 def test_line_dedup_of_odd_rows(spark, odd, none):
     out = line_dedup.dedup_lines(odd).collect()
     assert len(out) == odd.count() and {r["doc_id"]: r["text"] for r in out}[4] == "" and {r["doc_id"]: r["text"] for r in out}[0] is None
