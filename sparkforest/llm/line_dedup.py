@@ -48,8 +48,12 @@ def slot_levels(docs: DataFrame, text: str = "text") -> list[int]:
     lines = docs.select(F.explode(F.split(text, "\n")).alias("_x"))
     words = lines.select(F.explode(words_of(F.col("_x"))).alias("w"))
     slot = F.xxhash64("w").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-    counts = {r["slot"]: r["n"] for r in words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
-    return [min(127, int(LEVELS * math.log2(1 + counts.get(i, 0)))) for i in range(1 << SLOT_BITS)]
+    counts = words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.floor(LEVELS * F.log2(1 + F.col("n")))).cast("byte")
+    found, out = counts.select("slot", level.alias("level")).toArrow(), [0] * (1 << SLOT_BITS)  # a slot is 5 bytes
+    for k, v in zip(found.column("slot").to_numpy().tolist(), found.column("level").to_numpy().tolist()):
+        out[k] = v
+    return out
 
 
 def by_rarity(words: Column, levels: Column) -> Column:
