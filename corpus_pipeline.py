@@ -29,12 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the distances reject go. Null and empty texts go: they have no words.
 
-    The verdict is stored before the filter, which would else compute it over again for each of its parts.
+    The verdicts stand beside a number of the row, which isn't a function of the row alone, so the plan can't push the
+    filter below them and work each verdict out over again for each of its parts.
     """
-    kept = free("_kept", docs.columns)
-    judged = quality_rules.judge(docs, quality_rules.References(docs))
-    judged = Scratch(spark).store(judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias(kept)))
-    return judged.where(f"`{kept}`").drop(kept)
+    row = free("_row", docs.columns)
+    judged = quality_rules.judge(docs, quality_rules.References(docs)).withColumn(row, F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
