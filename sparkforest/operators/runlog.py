@@ -11,14 +11,13 @@ ATTEMPT = "struct<attempt_id:int,status:string,updated_at:double,worker_id:strin
 def flatten_ledger(df: DataFrame, document: str = "doc") -> DataFrame:
     """(task_id, attempt_id, record fields) of ledger documents: tasks with numbered attempts, or, in the old form,
     one flat record, which counts as attempt 1."""
-    tasks = F.from_json(F.col(document), "struct<tasks:map<string,string>>")["tasks"]
-    each = df.select(F.explode(tasks).alias("task_id", "_body"))
-    new = F.from_json("_body", f"struct<attempts:map<string,{ATTEMPT}>>")["attempts"]
-    old = F.from_json("_body", ATTEMPT)
-    rows = each.withColumn("_a", new).withColumn("_old", old)
-    nested = rows.where("_a is not null").select("task_id", F.explode("_a").alias("_k", "_r")).select("task_id", F.col("_k").cast("int").alias("attempt_id"), "_r.status", "_r.updated_at", "_r.worker_id", "_r.completed", "_r.failed")
-    flat = rows.where("_a is null").select("task_id", F.lit(1).alias("attempt_id"), "_old.status", "_old.updated_at", "_old.worker_id", "_old.completed", "_old.failed")
-    return nested.unionByName(flat)
+    fields = ATTEMPT.removeprefix("struct<").removesuffix(">").split(",")
+    body = f"struct<attempts:map<string,{ATTEMPT}>,{','.join(fields)}>"
+    each = df.select(F.explode(F.from_json(F.col(document), f"struct<tasks:map<string,{body}>>")["tasks"]).alias("task_id", "_b"))
+    names = [f.split(":")[0] for f in fields]
+    old = F.create_map(F.lit("1"), F.struct(*[F.col(f"_b.{n}").alias(n) for n in names]))
+    rows = each.select("task_id", F.explode(F.coalesce("_b.attempts", old)).alias("_k", "_r"))
+    return rows.select("task_id", F.col("_k").cast("int").alias("attempt_id"), *[f"_r.{n}" for n in names if n != "attempt_id"])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -46,10 +45,14 @@ def id_ranges(df: DataFrame, group: str, id: str) -> DataFrame:
     inner = Window.partitionBy(group, "_c").orderBy(id)
     ids = df.select(group, F.col(id).cast("long").alias(id)).distinct().withColumn("_c", cell)
     runs = ids.withColumn("_g", F.col(id) - F.row_number().over(inner)).groupBy(group, "_c", "_g").agg(F.min(id).alias("start"), F.max(id).alias("last"))
+    # Only runs that touch a border of their bucket may go on in another.
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
+    border = (low("start") == 0) | (low("last") == 0xFFFF)
+    inside = runs.where(~border).select(group, "start", (F.col("last") - F.col("start") + 1).alias("n"))
     along = Window.partitionBy(group).orderBy("start")
     new = F.when(F.lag("last").over(along) == F.col("start") - 1, 0).otherwise(1)
-    joined = runs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
-    return joined.groupBy(group, "_run").agg(F.min("start").alias("start"), (F.max("last") - F.min("start") + 1).alias("n")).select(group, "start", "n")
+    joined = runs.where(border).withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    return joined.groupBy(group, "_run").agg(F.min("start").alias("start"), (F.max("last") - F.min("start") + 1).alias("n")).select(group, "start", "n").unionByName(inside)
 
 
 def check_ids(df: DataFrame, prefix: str, id: str, n: int) -> DataFrame:
@@ -95,11 +98,17 @@ def abandoned_report(missing: DataFrame, owners: DataFrame, live: DataFrame, now
     return x.select("item", F.when(recover, "recover_now").otherwise("defer").alias("action"), reason.alias("reason"))
 
 
+#: Markers of an error's category, by falling priority of the categories.
+TIMEOUT = ("timeout", "deadline exceeded", "timed out")
+WORKER_FAILURE = ("unavailable", "connection refused", "connection reset", "broken pipe", "transport closed", "worker", "rpc")
+
+
 def error_category(message: Column) -> Column:
-    """The markers of each category, in order of priority."""
-    m = F.lower(F.trim(F.coalesce(message, F.lit(""))))
-    has = lambda *words: F.greatest(*[m.contains(w) for w in words], F.lit(False))
-    return F.when(has("timeout", "timed out", "deadline"), "timeout").when(has("worker", "unavailable", "connection"), "worker_failure").otherwise("unknown")
+    """``timeout`` or ``worker_failure`` where a marker is part of the message, whatever its case; else, and for
+    null, ``unknown``."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    has = lambda words: F.greatest(*[m.contains(w) for w in words])
+    return F.when(has(TIMEOUT), "timeout").when(has(WORKER_FAILURE), "worker_failure").otherwise("unknown")
 
 
 def merge_ids(a: Column, b: Column) -> Column:
@@ -110,6 +119,16 @@ def trees_per(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"))
 
 
+def evenly_distributed(df: DataFrame, by: str, workers: int | None = None) -> DataFrame:
+    """(workers, trees, least, most, even): whether no worker has more than one tree more than another; ``workers``
+    that hold nothing count as well."""
+    each = trees_per(df, by).agg(F.count("*").alias("holding"), F.coalesce(F.sum("n"), F.lit(0)).alias("trees"), F.min("n").alias("least"), F.max("n").alias("most"))
+    all_workers = F.greatest(F.col("holding"), F.lit(workers or 0))
+    least = F.when(all_workers > F.col("holding"), 0).otherwise(F.coalesce("least", F.lit(0)))
+    out = each.select(all_workers.alias("workers"), "trees", least.alias("least"), F.coalesce("most", F.lit(0)).alias("most"))
+    return out.withColumn("even", F.col("most") - F.col("least") <= 1)
+
+
 def claims_without_artifact(claims: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
     return claims.join(artifacts.select(key).distinct(), key, "left_anti")
 
