@@ -36,10 +36,35 @@ def forest_arrays(nodes: DataFrame) -> list[dict]:
 
 
 def predict_trees(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
-    """Adds ``tree_predictions``, one value for each tree in the order of indexes. Rows stay where they are."""
-    forest = forest_arrays(nodes)
+    """Adds ``tree_predictions``, one value for each tree in the order of indexes. Rows stay where they are.
+
+    Trees go to the tasks in groups of at most GROUP_NODES nodes (or one tree), so that a task holds a bounded part
+    of a large forest at a time.
+    """
+    sizes = nodes.groupBy("tree_index").agg(F.count("*").alias("n")).orderBy("tree_index").collect()
+    if not sizes:
+        raise ValueError("the model has no trees")
+    groups: list[list[int]] = []
+    held = GROUP_NODES
+    for r in sizes:
+        if held + r["n"] > GROUP_NODES:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["tree_index"])
+        held += r["n"]
+    parts = [_predict_group(df, nodes.where(F.col("tree_index").isin(g)) if len(groups) > 1 else nodes, features) for g in groups]
+    return df.withColumn("tree_predictions", F.concat(*parts) if len(parts) > 1 else parts[0])
+
+
+#: Nodes of a group of trees (about 40 bytes each).
+GROUP_NODES = 2_000_000
+
+
+def _predict_group(df: DataFrame, nodes: DataFrame, features: list[str]) -> Column:
+    shared = df.sparkSession.sparkContext.broadcast(forest_arrays(nodes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        forest = shared.value
         for b in batches:
             x = b.to_numpy(float)
             out = np.empty((len(x), len(forest)))
@@ -52,7 +77,7 @@ def predict_trees(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataF
                 out[:, j] = t["prediction"][at]
             yield pd.Series(list(out), dtype=object)
 
-    return df.withColumn("tree_predictions", F.pandas_udf(run, "array<double>")(F.struct(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(features)])))
+    return F.pandas_udf(run, "array<double>")(F.struct(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(features)]))
 
 
 def votes(tree_predictions: Column, n_classes: int) -> Column:

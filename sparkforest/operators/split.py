@@ -24,24 +24,35 @@ def assign_splits(df: DataFrame, *, validation_ratio: float, test_ratio: float,
     u = uniform(seed, F.col(row_id))
     if not exact:
         return df.withColumn("split", F.when(u < test_ratio, "test").when(u < test_ratio + validation_ratio, "validation").otherwise("train"))
-    strata = F.col(target).cast("string") if task_type == "classification" and stratify(df, target, validation_ratio, test_ratio) else F.lit("all")
-    keyed = df.withColumn("_u", u).withColumn("_s", strata)
-    # Rank within a stratum without one task per class: count by range of the uniform, then rank inside it.
-    cell = F.floor(F.col("_u") * 256).cast("int")
-    counts = keyed.groupBy("_s", cell.alias("_c")).agg(F.count("*").alias("_n"))
+    by_class = F.col(target).cast("string") if target and task_type == "classification" else None
+    test_by = by_class if by_class is not None and stratify_eligibility(df, target, test_ratio).first()["eligible"] else F.lit("all")
+    marked = _first_share(df.withColumn("_u", u), test_by, test_ratio, row_id, "_test")
+    rest, share = marked.where("not _test"), validation_ratio / (1 - test_ratio)
+    # The second stage has a rule of its own: what is left of each class may be too little.
+    val_by = by_class if by_class is not None and stratify_eligibility(rest, target, share).first()["eligible"] else F.lit("all")
+    parts = _first_share(rest, val_by, share, row_id, "_val").withColumn("split", F.when(F.col("_val"), "validation").otherwise("train"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return parts.select(*names, "split").unionByName(marked.where("_test").select(*names, F.lit("test").alias("split")))
+
+
+#: Rows of a stratum that are ranked together, about.
+CELL_ROWS = 100_000
+
+
+def _first_share(df: DataFrame, strata: Column, share: float, row_id: str, flag: str) -> DataFrame:
+    """Adds ``flag``: whether a row is among the first ``share`` (rounded up) of its stratum by ``_u``.
+
+    Ranks without one task per stratum: rows are counted by ranges of ``_u``, as many as their number asks for, and
+    ranked inside a range.
+    """
+    cells = max(256, 1 << (df.count() // CELL_ROWS).bit_length())
+    keyed = df.withColumn("_s", strata).withColumn("_c", F.floor(F.col("_u") * cells).cast("int"))
+    counts = keyed.groupBy("_s", "_c").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_s", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy("_s")).alias("_all"))
-    ranked = keyed.withColumn("_c", cell).join(F.broadcast(counts), ["_s", "_c"])
     rank = F.row_number().over(Window.partitionBy("_s", "_c").orderBy("_u", row_id)) + F.col("_b")
-    n_test = F.ceil(F.col("_all") * F.lit(test_ratio) - 1e-9)
-    n_val = F.ceil((F.col("_all") - n_test) * F.lit(validation_ratio / (1 - test_ratio)) - 1e-9)
-    split = F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "validation").otherwise("train")
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
-
-
-def stratify(df: DataFrame, target: str, validation_ratio: float, test_ratio: float) -> bool:
-    row = stratify_eligibility(df, target, test_ratio).first()
-    return bool(row["eligible"])
+    ranked = keyed.join(counts, ["_s", "_c"]).withColumn(flag, rank <= F.ceil(F.col("_all") * F.lit(share) - 1e-9))
+    return ranked.drop("_s", "_c", "_b", "_all")
 
 
 def stratify_eligibility(df: DataFrame, target: str, ratio: float) -> DataFrame:

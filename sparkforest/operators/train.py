@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -24,9 +25,8 @@ NODES = "tree_index int, node_id int, feature int, threshold double, left int, r
 
 
 def scratch(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparkforest-")
+    """A new folder below ``spark.checkpoint.dir``, else below the warehouse: both are shared with the executors."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/forest-{uuid.uuid4().hex}"
 
 
@@ -37,6 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def depth_of(config: ForestConfig) -> int:
+    """The depth to grow to. More than MAX_DEPTH is an error; no limit means MAX_DEPTH, with a warning."""
+    if config.max_depth is None:
+        warnings.warn(f"trees without a depth limit are grown to depth {MAX_DEPTH}", stacklevel=3)
+        return MAX_DEPTH
+    if config.max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {config.max_depth} is over {MAX_DEPTH}")
+    return config.max_depth
+
+
 def impurity(config: ForestConfig, classification: bool) -> str:
     name = IMPURITY.get(config.criterion)
     if name is None or (name == "variance") == classification:
@@ -53,7 +63,7 @@ def fit_forest_ml(df: DataFrame, features: list[str], target: str, config: Fores
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).select("_x", F.col(target).cast("double").alias("_y"))
     kind = RandomForestClassifier if classification else RandomForestRegressor
     model = kind(
-        featuresCol="_x", labelCol="_y", numTrees=config.n_estimators, maxDepth=min(config.max_depth or MAX_DEPTH, MAX_DEPTH), impurity=impurity(config, classification),
+        featuresCol="_x", labelCol="_y", numTrees=config.n_estimators, maxDepth=depth_of(config), impurity=impurity(config, classification),
         featureSubsetStrategy=str(resolve_max_features(config.max_features, len(features))), minInstancesPerNode=max(1, config.min_samples_leaf), bootstrap=config.bootstrap, seed=config.seed,
     ).fit(rows)
     path = scratch(spark)
@@ -120,7 +130,7 @@ def fit_forest_sql(df: DataFrame, features: list[str], target: str, config: Fore
     Bins are quantiles of each feature; draws and feature subsets come from md5, so the forest doesn't depend
     on the partitioning. ``n_classes`` None: regression. Labels are indexes 0 to n_classes - 1.
     """
-    criterion = impurity(config, n_classes is not None)
+    criterion, limit = impurity(config, n_classes is not None), depth_of(config)
     spark, k = df.sparkSession, resolve_max_features(config.max_features, len(features))
     cuts = df.approxQuantile(features, [i / bins for i in range(1, bins)], 0.001)
     cuts = [sorted(set(c)) for c in cuts]
@@ -136,20 +146,20 @@ def fit_forest_sql(df: DataFrame, features: list[str], target: str, config: Fore
         # The most frequent class; of equal counts, the lowest.
         prediction = F.expr(f"cast(array_position(array({','.join(f'c{i}' for i in range(n_classes))}), greatest({','.join(f'c{i}' for i in range(n_classes))}, 0)) - 1 as double)") if n_classes else F.col("mean")
         stat = stat.select(*group, "n", prediction.alias("prediction"))
-        if depth >= (config.max_depth or MAX_DEPTH) or at.isEmpty():
+        if depth >= limit or at.isEmpty():
             nodes.append(stored(stat.select("tree_index", "node_id", F.lit(-1).alias("feature"), F.lit(None).cast("double").alias("threshold"), F.lit(-1).alias("left"), F.lit(-1).alias("right"), "prediction", F.col("n").alias("count"), F.lit(0.0).alias("gain"))))
             break
         lots = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), uniform(F.col("tree_seed"), F.concat_ws("/", "node_id", F.lit(i))).alias("u")) for i in range(len(features))]))
         own = at.select(*group, "tree_seed").distinct().select(*group, lots.alias("x"))
         subset = own.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("x.u", "x.feature"))).where(F.col("_r") <= k).select(*group, "x.feature")
-        binned = at.select(*group, "label", "weight", F.posexplode("bins").alias("feature", "bin")).join(F.broadcast(subset), [*group, "feature"])
+        binned = at.select(*group, "label", "weight", F.posexplode("bins").alias("feature", "bin")).join(subset, [*group, "feature"])
         best = best_splits(binned, group, criterion, n_classes, max(1, config.min_samples_leaf))
-        best = best.where((F.col("gain") > 0) & (F.col("n") >= max(2, config.min_samples_split))).join(F.broadcast(table), ["feature", "bin"])
+        best = best.where((F.col("gain") > 0) & (F.col("n") >= max(2, config.min_samples_split))).join(table, ["feature", "bin"])
         level = stored(stat.join(best.drop("n"), group, "left"))
         has = F.col("threshold").isNotNull()
         nodes.append(level.select("tree_index", "node_id", F.when(has, F.col("feature")).otherwise(-1).alias("feature"), "threshold", F.when(has, 2 * F.col("node_id")).otherwise(-1).alias("left"), F.when(has, 2 * F.col("node_id") + 1).otherwise(-1).alias("right"), "prediction", F.col("n").alias("count"), F.coalesce("gain", F.lit(0.0)).alias("gain")))
         go = level.where(has).select(*group, F.col("feature").alias("_f"), F.col("bin").alias("_b"))
-        at = at.join(F.broadcast(go), group).withColumn("node_id", 2 * F.col("node_id") + F.when(F.element_at("bins", F.col("_f") + 1) <= F.col("_b"), 0).otherwise(1)).drop("_f", "_b")
+        at = at.join(go, group).withColumn("node_id", 2 * F.col("node_id") + F.when(F.element_at("bins", F.col("_f") + 1) <= F.col("_b"), 0).otherwise(1)).drop("_f", "_b")
         depth += 1
     out = nodes[0]
     for x in nodes[1:]:
