@@ -53,6 +53,18 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch at most: texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def first_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """(group, key, ``_n``): the first ``n`` rows of each group by the order of a hash of ``key``, numbered from 1.
 

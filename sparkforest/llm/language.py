@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import first_by_hash, free
+from sparkforest.llm._util import first_by_hash, free, small_batches
 
 #: N-grams in a profile, of a language or a document.
 PROFILE = 300
@@ -79,7 +79,7 @@ def learn_profiles(labelled: DataFrame, key: str = "doc_id", lang: str = "lang",
     Rows with null language, text or key teach nothing; of rows that repeat a key, each teaches. The result is the model: ``size`` codes for a language.
     """
     named = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    named = named.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
+    named = small_batches(named).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
     # At most ``sample`` rows a language, whatever the input; the texts of these alone are read further.
     chosen = first_by_hash(named, "_l", "_k", sample).select("_k", "_l").distinct()
     texts = named.join(F.broadcast(chosen), ["_k", "_l"], "left_semi")
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     # Marked so that a filter on the result doesn't make the plan run it twice.
     guess = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.coalesce(text, F.lit("")))
     g = free("_guess", docs.columns)
-    return docs.withColumn(g, guess).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col(f"{g}.lang_pred").alias("lang_pred"), F.col(f"{g}.score").alias("score"))
+    return small_batches(docs).withColumn(g, guess).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col(f"{g}.lang_pred").alias("lang_pred"), F.col(f"{g}.score").alias("score"))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import Scratch, free
+from sparkforest.llm._util import Scratch, free, small_batches
 
 #: 40 bands of 6 registers: a pair at Jaccard 0.8 shares no band with probability 5e-6, at 0.9 below 1e-13.
 BANDS, ROWS = 40, 6
@@ -195,7 +195,7 @@ def sketch(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text")
                 has = [k > 0 for k in n]
                 yield pd.DataFrame({"id": b["_k"], "digest": b["_d"], "n_shingles": n, "set_hash": whole, "bands": [x if y else None for x, y in zip(bands, has)], "registers": [x.tobytes() if y else None for x, y in zip(regs, has)]})
 
-    few = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
+    few = small_batches(docs).select(F.col(key).cast("long").alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
     few = few.withColumn("_d", F.unhex(F.md5("_t")))
     return few.mapInPandas(run, "id long, digest binary, n_shingles long, set_hash binary, bands array<long>, registers binary")
 

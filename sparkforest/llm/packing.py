@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import Scratch, running_total
+from sparkforest.llm._util import Scratch, running_total, small_batches
 from sparkforest.llm.tokens import library_encoder
 
 CAPACITY = 2048
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                     uid += 1
             yield pd.DataFrame(rows, columns=["uid", key, "piece", "start", "length", "ids_crc32"])
 
-    few = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
+    few = small_batches(docs).select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
     return few.mapInPandas(run, f"uid long, `{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import Scratch, running_total, scratch_path
+from sparkforest.llm._util import Scratch, running_total, scratch_path, small_batches
 from sparkforest.llm.tokens import library_encoder
 
 
@@ -45,7 +45,7 @@ def token_arrays(docs: DataFrame, vocabulary: str, spaced: bool = True, end_id:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), seqs, lists.cast(pa.list_(pa.int32()))], names=[key, "seq", "ids"])
                 at, seq = at + n, seq + n
 
-    few = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
+    few = small_batches(docs).select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t"))
     ranged = few.withColumn("_h", F.xxhash64("_t")).repartitionByRange("_k", "_h").sortWithinPartitions("_k", "_h", "_t").select("_k", "_t")
     return ranged.mapInArrow(run, f"`{key}` {kind}, seq long, ids array<int>")
 
