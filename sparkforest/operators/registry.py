@@ -38,7 +38,7 @@ def final_trees(expected: DataFrame, results: DataFrame, stored: DataFrame) -> D
 class Registry:
     """Tables of status rows below a folder. ``append`` adds a version; readers see the latest state."""
 
-    KEYS = {"jobs": "job_id", "experiments": "experiment_id", "models": "model_id"}
+    KEYS = {"jobs": "job_id", "experiments": "experiment_id", "models": "model_id", "trees": "tree_id"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -55,6 +55,15 @@ class Registry:
     def experiments(self, job_id: str) -> DataFrame:
         return self._state("experiments").where(F.col("job_id") == job_id).orderBy("ordinal")
 
+    def trees(self, experiment_id: str) -> DataFrame:
+        return self._state("trees").where(F.col("experiment_id") == experiment_id).orderBy("tree_index")
+
+    def record(self, kind: str, experiment_id: str, split: str) -> DataFrame:
+        """Rows of ``metrics``, ``reports`` or ``confusion`` of an experiment's split; those written last."""
+        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/registry/{kind}").where((F.col("experiment_id") == experiment_id) & (F.col("split") == split))
+        last = rows.agg(F.max("version").alias("version"))  # one row
+        return rows.join(last, "version").drop("version")
+
     def models(self) -> DataFrame:
         return self._state("models").orderBy("model_id")
 

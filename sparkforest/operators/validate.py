@@ -80,9 +80,12 @@ def check_predictions(predictions: DataFrame, labels: list[str], column: str = "
     return predictions.join(F.broadcast(known), column, "left_anti")
 
 
-def check_manifest(trees: DataFrame, n_estimators: int) -> None:
-    row = trees.where("status = 'COMPLETED'").agg(F.count("*").alias("n"), F.countDistinct("job_id").alias("j"), F.countDistinct("experiment_id").alias("e")).first()
+def check_manifest(trees: DataFrame, n_estimators: int, job_id: str | None = None, experiment_id: str | None = None) -> None:
+    """A manifest's trees are completed, of one job and one experiment (these, if given), and all there."""
+    row = trees.where("status = 'COMPLETED'").agg(F.count("*").alias("n"), F.countDistinct("job_id").alias("j"), F.countDistinct("experiment_id").alias("e"), F.min("job_id").alias("job"), F.min("experiment_id").alias("experiment")).first()
     if not row["n"] or row["j"] != 1 or row["e"] != 1:
         raise ValueError("a manifest needs completed trees of one job and one experiment")
+    if job_id not in (None, row["job"]) or experiment_id not in (None, row["experiment"]):
+        raise ValueError("the trees belong to another job or experiment")
     if row["n"] != n_estimators:
         raise ValueError(f"{row['n']} trees are completed, {n_estimators} were asked for")

@@ -286,10 +286,12 @@ def regression_metrics(spark, sf_dir):
     return m.select("n", F.round("mse", 3).alias("mse"), F.round("rmse", 6).alias("rmse"), F.round("r2", 9).alias("r2"))
 
 
-@query("select count(*) as n, 1.0::double as r2 from lineitem")
+@query("select 'met' as kind, count(*) as n, 1.0::double as r2 from lineitem where l_quantity = 3 union all select 'missed', count(*), case when max(abs(l_quantity - 3)) = 0 then 1.0::double else 0.0::double end from lineitem")
 def r2_constant_target(spark, sf_dir):
-    same = F.col("l_linenumber") * 0.0 + 3
-    return metrics.regression_metrics(table(spark, sf_dir, "lineitem").select(same.alias("label"), same.alias("prediction"))).select("n", "r2")
+    """A constant target that is met exactly by some rows and missed by the whole table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(3.0).alias("label"), F.col("l_quantity").alias("prediction"))
+    of = lambda kind, df: metrics.regression_metrics(df).select(F.lit(kind).alias("kind"), "n", "r2")
+    return of("met", rows.where("prediction = 3")).unionByName(of("missed", rows))
 
 
 @query(f"select experiment_id, accuracy from (select 'exp_' || (l_suppkey % 10) as experiment_id, l_suppkey % 10 as ordinal, round(avg((label = prediction)::int::double), 6) as accuracy from ({RULE_SQL}) where l_suppkey % 10 <> 3 group by l_suppkey % 10) order by accuracy desc, ordinal limit 1")
@@ -390,10 +392,12 @@ def abandoned_report(spark, sf_dir):
     return runlog.abandoned_report(items, runlog.owner_per_item(log), runlog.liveness(log, "worker_id", "updated_at", _NOW, 864_000.0), _NOW)
 
 
-@query("select event_id, case event_id % 4 when 0 then 'timeout' when 1 then 'worker_failure' else 'unknown' end as category from events")
+@query("select event_id, case when event_id % 16 in (0, 1, 2, 15) then 'timeout' when event_id % 16 between 3 and 9 then 'worker_failure' else 'unknown' end as category from events")
 def error_category(spark, sf_dir):
-    k = F.col("event_id") % 4
-    message = F.concat(F.when(k == 0, " Deadline: worker timed out ").when(k == 1, "Worker unavailable ").when(k == 2, "bad value ").otherwise(F.lit("")), "event_type")
+    """Each marker once, then what only looks like one, null, and a message with markers of both kinds."""
+    texts = ("Timeout: ", "DEADLINE EXCEEDED ", "it timed out ", "Unavailable ", "connection refused by ", "Connection reset ", "broken pipe ", "Transport closed ", "a Worker said ", "RPC ", "deadline ", "connection ", "bad value ", "pipe ", None, "worker timed out ")
+    k = (F.col("event_id") % 16).cast("int")
+    message = F.concat(F.get(F.array(*map(F.lit, texts)), k), "event_type")
     return table(spark, sf_dir, "events").select("event_id", runlog.error_category(message).alias("category"))
 
 
@@ -407,24 +411,30 @@ def trees_per_worker(spark, sf_dir):
     return runlog.trees_per(attempts(spark, sf_dir), "worker_id")
 
 
+@query(_LOG + "select count(*) as workers, cast(sum(n) as bigint) as trees, min(n) as least, max(n) as most, max(n) - min(n) <= 1 as even from (select worker_id, count(*) as n from log group by worker_id)")
+def even_distribution(spark, sf_dir):
+    return runlog.evenly_distributed(attempts(spark, sf_dir), "worker_id")
+
+
 @query(_LOG + "select task_id, attempt_id, (attempt_id % 3) / 2.0::double as progress from log where status = 'RUNNING'")
 def progress(spark, sf_dir):
     log = attempts(spark, sf_dir).withColumn("completed", F.slice("tree_ids", F.lit(1), F.col("attempt_id") % 3))
     return runlog.progress(log).select("task_id", "attempt_id", "progress")
 
 
-@query(_LOG + "select task_id, attempt_id, status, worker_id from log")
+@query(_LOG + "select task_id, case when attempt_id % 3 = 0 then 1 else attempt_id end as attempt_id, status, worker_id from log")
 def ledger_flatten(spark, sf_dir):
-    """Documents of both forms are made from the log, then flattened."""
+    """Documents of both forms are made from the log, then flattened; every third is of the old form, attempt 1."""
     log = attempts(spark, sf_dir)
     rec = F.struct("attempt_id", "status", "updated_at", "worker_id", F.col("tree_ids").alias("completed"), F.slice("tree_ids", 1, 0).alias("failed"))
-    doc = F.to_json(F.struct(F.create_map(F.col("task_id"), F.struct(F.create_map(F.col("attempt_id").cast("string"), rec).alias("attempts"))).alias("tasks")))
+    new = F.to_json(F.struct(F.create_map(F.col("task_id"), F.struct(F.create_map(F.col("attempt_id").cast("string"), rec).alias("attempts"))).alias("tasks")))
+    doc = F.when(F.col("attempt_id") % 3 == 0, F.to_json(F.struct(F.create_map(F.col("task_id"), rec).alias("tasks")))).otherwise(new)
     return runlog.flatten_ledger(log.select(doc.alias("doc"))).select("task_id", "attempt_id", "status", "worker_id")
 
 
-@query("select 'exp_' || (o_custkey % 40) as experiment_id, count(*) as n_trees, min(o_orderkey) as first_tree, max(o_orderkey) as last_tree from orders where o_orderstatus = 'F' group by 1")
+@query("select 'exp_' || o_custkey as experiment_id, count(*) as n_trees, min(o_orderkey) as first_tree, max(o_orderkey) as last_tree from orders where o_orderstatus = 'F' group by 1")
 def manifest_trees(spark, sf_dir):
-    trees = attempts(spark, sf_dir).select(F.concat(F.lit("exp_"), (F.regexp_extract("task_id", r"(\d+)", 1).cast("long") % 40).cast("string")).alias("experiment_id"), F.col("attempt_id").cast("long").alias("tree_index"), F.get("tree_ids", F.lit(0)).alias("tree_id"), "status")
+    trees = attempts(spark, sf_dir).select(F.regexp_replace("task_id", "task_", "exp_").alias("experiment_id"), F.col("attempt_id").cast("long").alias("tree_index"), F.get("tree_ids", F.lit(0)).alias("tree_id"), "status")
     return registry.build_manifest(trees).select("experiment_id", "n_trees", F.element_at("trees", 1)["tree_index"].alias("first_tree"), F.element_at("trees", -1)["tree_index"].alias("last_tree"))
 
 
@@ -510,14 +520,25 @@ def stream_of(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-@query()
+def closed_stream(spark, sf_dir: str, name: str, ts: str) -> DataFrame:
+    """A stream of the table and, after it, of one row far later whose other columns are null: it moves the watermark
+    past all else, so that the last windows and open sessions come out. The later row's own is never closed."""
+    path, df = train.scratch(spark), table(spark, sf_dir, name)
+    df.write.parquet(f"{path}/0")
+    last = df.agg((F.max(F.col(ts).cast("timestamp")) + F.expr("interval 3650 days")).cast(df.schema[ts].dataType).alias(ts))
+    last.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]).coalesce(1).write.parquet(f"{path}/1")
+    return spark.readStream.schema(df.schema).parquet(f"{path}/*")
+
+
+@query("""with g as (select user_id, ts::timestamp as ts, case when ts::timestamp - lag(ts::timestamp) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as since, max(ts) + interval 12 hours as stale_at, count(*) as events from s group by user_id, k""")
 def stream_liveness(spark, sf_dir):
-    return streamed(spark, streams.liveness_stream(stream_of(spark, sf_dir, "events"), "user_id", "ts", "12 hours"))
+    return streamed(spark, streams.liveness_stream(closed_stream(spark, sf_dir, "events", "ts"), "user_id", "ts", "12 hours"))
 
 
-@query()
+@query("select event_type as model_id, date_trunc('day', ts::timestamp) as start, date_trunc('day', ts::timestamp) + interval 1 day as \"end\", count(*) as n, avg(case when event_id % 2 = user_id % 2 then 1.0 else 0.0 end) as accuracy from events group by 1, 2")
 def stream_accuracy(spark, sf_dir):
-    e = stream_of(spark, sf_dir, "events").withColumns({"model_id": F.col("event_type"), "label": F.col("event_id") % 2, "prediction": F.col("user_id") % 2})
+    e = closed_stream(spark, sf_dir, "events", "ts").withColumns({"model_id": F.col("event_type"), "label": F.col("event_id") % 2, "prediction": F.col("user_id") % 2})
     return streamed(spark, streams.accuracy_stream(e, "ts", window="1 day"))
 
 

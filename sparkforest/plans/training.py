@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkforest.operators import encode, grid, metrics, registry, scenario, score, split, validate
 from sparkforest.operators.train import fit_forest_ml, fit_forest_sql, stored
+from sparkforest.plans.models import Model, publish
 from sparkforest.sources import io
 
 
@@ -43,16 +45,35 @@ class TrainingResult:
     importances: DataFrame
     report: dict
 
+    model: Model
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Raw rows in, predictions out: the model's vocabulary encodes them."""
-        return score.predict(encode.one_hot(df, self.vocab), self.nodes, self.features, self.labels)
+        return self.model.predict(df)
+
 
+def train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None = None, job_id: str | None = None) -> TrainingResult:
+    """Train the grid, pick the best experiment on the validation split, test it, and (with ``root``) publish it.
 
-def train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None = None) -> TrainingResult:
-    """Train the grid, pick the best experiment on the validation split, test it, and (with ``root``) publish it."""
+    With ``root``, the job's state is a row of the registry from the start (RUNNING, then COMPLETED or FAILED), and
+    an experiment's trees are stored as soon as they are grown. The same ``job_id`` given again resumes the job:
+    experiments whose trees are all there aren't grown again.
+    """
     validate.validate_request(request)
+    job_id = job_id or io.new_id("job")
+    reg = registry.Registry(spark, root) if root else None
+    if reg:
+        reg.append("jobs", spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit("RUNNING").alias("status"), F.unix_timestamp().cast("double").alias("created_at"), F.lit(request.target).alias("target")))
+    try:
+        return _train(spark, source, request, root, job_id, reg)
+    except Exception as e:
+        if reg:
+            reg.fail(job_id, None, f"{type(e).__name__}: {e}"[:2000])
+        raise
+
+
+def _train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None, job_id: str, reg: registry.Registry | None) -> TrainingResult:
     df = io.load(spark, source) if isinstance(source, str) else source
-    job_id = io.new_id("job")
     body, report = scenario.apply_scenario(df.drop(request.row_id), request.target, request.scenario, request.leakage)
     schema = validate.validate(body, request.target, request.task_type)
     kept = df.select(request.row_id, *[F.col(f"`{c}`") for c in body.columns])
@@ -63,31 +84,65 @@ def train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest
     features = [c for c in encoded.columns if c not in (request.row_id, request.target)]
     label = F.array_position(F.lit(labels), F.col(request.target).cast("string")).cast("double") - 1 if labels else F.col(request.target).cast("double")
     ready = train_table(parted, features, request, label)
-    rows = []
-    plan = grid.plan_grid(spark, job_id, request.space, schema.task_type).orderBy("ordinal").collect()
-    fitted = {}
-    for e in plan:
+    if root:
+        row = (schema.target, schema.task_type, features, labels or [])
+        io.write_prepared(parted, root, job_id, schema_row=spark.createDataFrame([row], "target string, task_type string, features array<string>, labels array<string>"), report_row=scenario.scenario_report(df, report))
+    rows, trees, fitted, configs = [], [], {}, {}
+    for e in grid.plan_grid(spark, job_id, request.space, schema.task_type).orderBy("ordinal").collect():
         config = grid.ForestConfig(request.n_estimators, e["max_depth"], e["max_features"], e["min_samples_split"], e["min_samples_leaf"], e["criterion"], True, request.seed)
-        rows_in = ready.where("split = 'train'")
-        if request.backend == "sql":
-            nodes = fit_forest_sql(rows_in, features, "label", config, n_classes=len(labels) if labels else None)
-        else:
-            nodes = fit_forest_ml(rows_in, features, "label", config, classification=labels is not None)
+        name, began = e["experiment_id"], time.time()
+        nodes, status = (_stored_nodes(spark, root, name, config.n_estimators) if root else None), "RESUMED"
+        if nodes is None:
+            nodes, status = _fit(ready.where("split = 'train'"), features, config, labels, request.backend), "GROWN"
+            if root:
+                io.write_nodes(nodes, root, name)
+                nodes = io.read_nodes(spark, root, name).drop("model_id")
+        spent = (time.time() - began) / config.n_estimators
+        sizes = nodes.groupBy("tree_index").agg(F.count("*").alias("n")).collect()
+        trees += [(f"{name}_tree_{r['tree_index']:06d}", job_id, name, r["tree_index"], config.seed + r["tree_index"], "COMPLETED", status, spent, r["n"]) for r in sizes]
         m = measure(ready.where("split = 'validation'"), nodes, features, labels, schema.task_type)
-        fitted[e["experiment_id"]] = nodes
-        rows.append((e["experiment_id"], e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")]))
-    experiments = spark.createDataFrame(rows, "experiment_id string, ordinal int, accuracy double, mse double, rmse double, r2 double")
+        fitted[name], configs[name] = nodes, config
+        rows.append((name, e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")], config.n_estimators, len(sizes)))
+    experiments = spark.createDataFrame(rows, "experiment_id string, ordinal int, accuracy double, mse double, rmse double, r2 double, expected_trees int, completed_trees int")
     best = registry.select_best(experiments, schema.task_type, request.metric).first()
-    nodes = fitted[best["experiment_id"]]
+    nodes, name = fitted[best["experiment_id"]], best["experiment_id"]
     test = measure(ready.where("split = 'test'"), nodes, features, labels, schema.task_type) if request.test_ratio > 0 else None
-    if root:
-        io.write_prepared(parted, root, job_id, report_row=scenario.scenario_report(df, report))
-        io.write_nodes(nodes, root, f"model_{job_id}")
-        reg = registry.Registry(spark, root)
-        reg.append("jobs", spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit("COMPLETED").alias("status"), F.unix_timestamp().cast("double").alias("created_at"), F.lit(best["experiment_id"]).alias("selected_experiment_id"), F.lit(f"model_{job_id}").alias("model_id")))
+    model = Model(f"model_{job_id}", job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes)
+    if reg:
+        tree_rows = spark.createDataFrame(trees, "tree_id string, job_id string, experiment_id string, tree_index int, seed long, status string, how string, seconds double, n_nodes long")
+        reg.append("trees", tree_rows)
         reg.append("experiments", experiments.withColumn("job_id", F.lit(job_id)).withColumn("status", F.lit("COMPLETED")))
-        reg.append("models", spark.range(1).select(F.lit(f"model_{job_id}").alias("model_id"), F.lit(job_id).alias("job_id"), F.lit("READY").alias("status"), F.lit(features).alias("features")))
-    return TrainingResult(job_id, best["experiment_id"], features, labels, vocab, nodes, experiments, best.asDict(), test, metrics.feature_importances(nodes, features), report)
+        io.write_nodes(nodes, root, model.model_id)
+        for part in ("validation", *(["test"] if test else [])):
+            records(_scored(ready.where(F.col("split") == part), nodes, features, labels), schema.task_type, reg, job_id, name, part)
+        publish(spark, root, model, tree_rows.where(F.col("experiment_id") == name))
+        reg.append("jobs", spark.createDataFrame([(job_id, "COMPLETED", name, model.model_id)], "job_id string, status string, selected_experiment_id string, model_id string"))
+    return TrainingResult(job_id, name, features, labels, vocab, nodes, experiments, best.asDict(), test, metrics.feature_importances(nodes, features), report, model)
+
+
+def _fit(rows: DataFrame, features: list[str], config: grid.ForestConfig, labels: list[str] | None, backend: str) -> DataFrame:
+    if backend == "sql":
+        return fit_forest_sql(rows, features, "label", config, n_classes=len(labels) if labels else None)
+    return fit_forest_ml(rows, features, "label", config, classification=labels is not None)
+
+
+def _stored_nodes(spark: SparkSession, root: str, experiment_id: str, n_estimators: int) -> DataFrame | None:
+    """The experiment's trees, if all are stored."""
+    nodes = io.stored_nodes(spark, root, experiment_id)
+    if nodes is None or nodes.select("tree_index").distinct().count() != n_estimators:
+        return None
+    return nodes.drop("model_id")
+
+
+def records(scored: DataFrame, task_type: str, reg: registry.Registry, job_id: str, experiment_id: str, part: str) -> None:
+    """The metrics record of a split, as rows: the class report with its averages and the confusion matrix, or the
+    regression metrics."""
+    where = [F.lit(job_id).alias("job_id"), F.lit(experiment_id).alias("experiment_id"), F.lit(part).alias("split")]
+    if task_type == "classification":
+        report = metrics.class_report(scored)
+        reg.append("reports", report.unionByName(metrics.averages(report)).select(*where, "*"))
+        reg.append("confusion", metrics.confusion_matrix(scored).select(*where, "*"))
+    reg.append("metrics", metrics.evaluate(scored, task_type).select(*where, "*"))
 
 
 def train_table(parted: DataFrame, features: list[str], request: TrainingRequest, label) -> DataFrame:
@@ -96,11 +151,15 @@ def train_table(parted: DataFrame, features: list[str], request: TrainingRequest
     return stored(parted.select(F.col(request.row_id).alias("row_id"), "split", label.alias("label"), *doubles))
 
 
+def _scored(rows: DataFrame, nodes: DataFrame, features: list[str], labels: list[str] | None) -> DataFrame:
+    truth = rows.withColumn("label", F.element_at(F.lit(labels), F.col("label").cast("int") + 1)) if labels else rows
+    return score.predict(truth, nodes, features, labels)
+
+
 def measure(rows: DataFrame, nodes: DataFrame, features: list[str], labels: list[str] | None, task_type: str) -> dict:
     if rows.isEmpty():
         raise ValueError("a split is empty")
-    truth = rows.withColumn("label", F.element_at(F.lit(labels), F.col("label").cast("int") + 1)) if labels else rows
-    return metrics.evaluate(score.predict(truth, nodes, features, labels), task_type).first().asDict()
+    return metrics.evaluate(_scored(rows, nodes, features, labels), task_type).first().asDict()
 
 
 def compare_scenarios(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, scenarios: list) -> DataFrame:

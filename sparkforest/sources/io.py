@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+import urllib.request
 import uuid
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
@@ -48,10 +51,7 @@ def load(spark: SparkSession, uri: str, *, format: str | None = None, na_tokens=
     source = resolve_source(uri, format)
     path = source.path
     if source.scheme in ("http", "https"):
-        from pyspark import SparkFiles
-
-        spark.sparkContext.addFile(path)
-        path = "file://" + SparkFiles.get(os.path.basename(urlparse(path).path))
+        path = staged(spark, path)
     elif not source.scheme or source.scheme == "file":
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
@@ -63,6 +63,20 @@ def load(spark: SparkSession, uri: str, *, format: str | None = None, na_tokens=
     return cast_to(clean, schema) if schema else infer_types(clean)
 
 
+def staged(spark: SparkSession, url: str) -> str:
+    """The path of a copy of ``url`` in the shared folder, which executors can read as well."""
+    from sparkforest.operators.train import scratch
+
+    target = f"{scratch(spark)}/{os.path.basename(urlparse(url).path) or 'data.csv'}"
+    with urllib.request.urlopen(url) as found, tempfile.NamedTemporaryFile() as local:  # on the driver alone
+        shutil.copyfileobj(found, local)
+        local.flush()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        to = path(target)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(local.name), to)
+    return target
+
+
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
@@ -127,12 +141,9 @@ def write_nodes(nodes: DataFrame, root: str, model_id: str) -> None:
     """Append the trees that aren't stored yet; a second write of the same trees adds nothing."""
     spark, path = nodes.sparkSession, f"{root}/nodes"
     new = nodes.withColumn("model_id", F.lit(model_id))
-    try:
-        stored = spark.read.parquet(path).where(F.col("model_id") == model_id).select("tree_index").distinct()
-        new = new.join(stored, "tree_index", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    stored = stored_nodes(spark, root, model_id)
+    if stored is not None:
+        new = new.join(stored.select("tree_index").distinct(), "tree_index", "left_anti")
     new.write.mode("append").partitionBy("model_id").parquet(path)
 
 
@@ -140,6 +151,12 @@ def read_nodes(spark: SparkSession, root: str, model_id: str) -> DataFrame:
     return spark.read.parquet(f"{root}/nodes").where(F.col("model_id") == model_id)
 
 
+def stored_nodes(spark: SparkSession, root: str, model_id: str) -> DataFrame | None:
+    """The trees of a model or experiment; None where nothing has been stored yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/nodes")
+    return read_nodes(spark, root, model_id) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def new_id(kind: str) -> str:
     return f"{kind}_{uuid.uuid4().hex}"
 
