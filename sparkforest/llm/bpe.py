@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from sparkforest.llm.tokens import ChunkEncoder
 
-#: Longer words are rare; they merge one by one with a heap, which stays below quadratic time.
-MATRIX_WIDTH = 64
+#: Longer words are rare; they merge one by one with a heap, which stays below quadratic time. A matrix takes 0.8
+#: microseconds a byte at a width of 64, 2.1 at 256 and 13 at 2048, the heap 2.3 to 4.9 at any: they cross near 400.
+MATRIX_WIDTH = 256
+#: Cells of a matrix at most, which bounds its memory at any width.
+CELLS = 3_200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -99,8 +102,8 @@ class MatrixBpe:
                 for i in at:
                     out[i] = np.empty(0, np.int32)
                 continue
-            for k in range(0, len(at), 50_000):
-                rows = at[k : k + 50_000]
+            for k in range(0, len(at), CELLS // width):
+                rows = at[k : k + CELLS // width]
                 for i, ids in zip(rows, self._matrix([words[i] for i in rows], width)):
                     out[i] = ids
         return out

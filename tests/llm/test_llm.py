@@ -72,7 +72,7 @@ def test_chunked_encoding_is_exact(texts):
 def test_matrix_and_heap_merging():
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     m, rng = bpe.MatrixBpe(ranks), np.random.default_rng(1)
-    words = [bytes(rng.choice(list(b"abeinorst"), n).tolist()) for n in [*range(0, 64), 65, 90, 300]]
+    words = [bytes(rng.choice(list(b"abeinorst"), n).tolist()) for n in [*range(0, 66), 90, 128, 129, 255, 256, 257, 300]]
     assert [x.tolist() for x in m.encode(words)] == [reference_bpe(ranks, w) if w else [] for w in words]
 
 
