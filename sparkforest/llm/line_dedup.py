@@ -43,23 +43,29 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.when(odd, F.split(line, WORD_BREAK)).otherwise(F.split(line, " ")), "")
 
 
-def slot_levels(docs: DataFrame, text: str = "text") -> list[int]:
-    """The level of each slot, by the words of all texts that fall in it; the rarest is 0."""
+def slot_levels(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(levels): one row, the level of each slot by the words of all texts that fall in it; the rarest is 0."""
     lines = docs.select(F.explode(F.split(text, "\n")).alias("_x"))
     words = lines.select(F.explode(words_of(F.col("_x"))).alias("w"))
-    slot = F.xxhash64("w").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+    slot = F.xxhash64("w").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     counts = words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.floor(LEVELS * F.log2(1 + F.col("n")))).cast("byte")
-    found, out = counts.select("slot", level.alias("level")).toArrow(), [0] * (1 << SLOT_BITS)  # a slot is 5 bytes
-    for k, v in zip(found.column("slot").to_numpy().tolist(), found.column("level").to_numpy().tolist()):
-        out[k] = v
-    return out
+    level = F.least(F.lit(127), F.floor(LEVELS * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("byte")
+    # As many rows as there are slots, however many words.
+    every = docs.sparkSession.range(1 << SLOT_BITS).select(F.col("id").alias("slot")).join(counts, "slot", "left")
+    rows = F.sort_array(F.collect_list(F.struct("slot", level.alias("level"))))
+    return every.agg(rows.alias("rows")).select(F.col("rows.level").alias("levels"))
+
+
+def with_levels(df: DataFrame, levels: DataFrame) -> DataFrame:
+    """``df`` and ``_levels``, the one value of ``levels``. A subquery and not a literal, which each description of a
+    plan would spell out on the driver. To be used in the next projection, which takes it in and copies nothing."""
+    return df.withColumn("_levels", levels.scalar())
 
 
 def by_rarity(words: Column, levels: Column) -> Column:
     """A line's distinct words as numbers in the order of rarity: the slot's level, then the rest of the hash."""
     slot = lambda h: h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-    number = lambda w: F.shiftleft(F.get(levels, slot(F.xxhash64(w))), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    number = lambda w: F.shiftleft(F.get(levels, slot(F.xxhash64(w))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
     return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
@@ -121,7 +127,7 @@ def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0)
     return rare.union(often).select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
 
 
-def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, percent: int, key: str, text: str) -> DataFrame:
+def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """(c): later classes of ``pairs`` (earlier, later) whose token lists reach ``percent``.
 
     Only the classes of the pairs have their tokens made again, from the first line of each: documents are joined
@@ -134,7 +140,7 @@ def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFr
     full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).where("_x is not null")
     full = full.join(asked, (full["_k"] == asked["_k"]) & (F.xxhash64(full["_x"]) == asked["_d"]))
     lines = full.select(F.split("_x", "\n").alias("_x"), F.explode("_places").alias("_p")).select("_p.c", F.get("_x", F.col("_p.i")).alias("line"))
-    words = scratch.store(lines.select("c", by_rarity(words_of(F.col("line")), levels).alias("tokens")).dropDuplicates(["c"]))
+    words = scratch.store(with_levels(lines, levels).select("c", by_rarity(words_of(F.col("line")), F.col("_levels")).alias("tokens")).dropDuplicates(["c"]))
     side = lambda x: words.select(F.col("c").alias(x), F.size("tokens").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     # Bitmaps of 256 bits are compared before token lists move.
     wide = lambda x: words.select(F.col("c").alias(x), F.size("tokens").alias(f"n_{x}"), wide_bitmap(F.col("tokens")).alias(f"w_{x}"))
@@ -152,15 +158,14 @@ def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFr
 def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: int) -> DataFrame:
     """(``_k``, ``_d``, line_no): key, digest of the text and place of each line that has an earlier similar one."""
     scratch = Scratch(docs.sparkSession)
-    # One string that is folded to a constant array: as many literals would swamp the planner.
-    levels = slot_levels(docs, text)
-    often_from, by_slot = sorted(levels)[-FREQUENT], F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")
+    levels = scratch.store(slot_levels(docs, text))
+    often_from = levels.select(F.get(F.sort_array("levels"), F.lit((1 << SLOT_BITS) - FREQUENT))).first()[0]
     # Two 64-bit hashes of the sorted tokens name the class.
     digest = lambda w, t: F.struct(F.xxhash64(t).alias("x"), F.xxhash64(F.lit(7), t).alias("y"), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
-    sized = lambda w: let(by_rarity(w, by_slot), lambda t: F.when(F.size(t) >= max(1, least_words), digest(w, t)))
+    sized = lambda w: let(by_rarity(w, F.col("_levels")), lambda t: F.when(F.size(t) >= max(1, least_words), digest(w, t)))
     lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(text).alias("_d"), F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
     # Stored before the filter, which would else compute the tokens a second time.
-    made = scratch.store(lines.select("_k", "_d", "line_no", let(words_of(F.col("_line")), sized).alias("s")))
+    made = scratch.store(with_levels(lines, levels).select("_k", "_d", "line_no", let(words_of(F.col("_line")), sized).alias("s")))
     lines = made.where("s is not null")
     place = F.struct(F.col("_k").alias("k"), F.col("line_no").alias("i"), F.col("_d").alias("d"))
     classes = lines.groupBy("s.x", "s.y").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix", "head", "tail")])
@@ -170,10 +175,11 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     placed = scratch.store(lines.select("_k", "_d", "line_no", "s.x", "s.y"))
     scratch.drop(made)
     hubs = scratch.store(hub_pairs(classes, percent))
-    by_hub = settled(scratch, docs, classes, hubs, by_slot, percent, key, text)
+    by_hub = settled(scratch, docs, classes, hubs, levels, percent, key, text)
     opened = classes.select("c", "n", "bitmap", "prefix").join(by_hub.withColumn("_done", F.lit(True)), "c", "left").withColumn("open", F.col("_done").isNull())
     maybe = scratch.store(candidates(opened, percent, often_from).join(hubs, ["earlier", "later"], "left_anti"))
-    others = settled(scratch, docs, classes, maybe, by_slot, percent, key, text)
+    others = settled(scratch, docs, classes, maybe, levels, percent, key, text)
+    scratch.drop(levels)
     # A settled class has an earlier similar line; a class's later lines have its first one.
     done = by_hub.union(others).distinct().withColumn("_done", F.lit(True))
     heads = classes.join(done, "c", "left").where("m > 1 or _done").select("x", "y", "first", F.coalesce("_done", F.lit(False)).alias("_done"))
