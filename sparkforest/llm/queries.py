@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkforest.llm.alignment import op11_token_alignment
 from sparkforest.llm.bpe import op9_bpe_roundtrip
 from sparkforest.llm.fingerprints import op2_imatch
 from sparkforest.llm.language import op10_language_id
@@ -22,7 +23,7 @@ from sparkforest.llm.token_files import op8_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_best_fit_packing, op2_imatch, op3_quality_ranking, op4_line_dedup, op5_setsketch, op6_quality_rules, op7_license_scan, op8_token_files, op9_bpe_roundtrip, op10_language_id, op12_periodic_runs)
+    own = (op1_best_fit_packing, op2_imatch, op3_quality_ranking, op4_line_dedup, op5_setsketch, op6_quality_rules, op7_license_scan, op8_token_files, op9_bpe_roundtrip, op10_language_id, op11_token_alignment, op12_periodic_runs)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
