@@ -26,9 +26,9 @@ from sparkforest.llm._util import Scratch, free, small_batches
 from sparkforest.llm.tokens import ChunkEncoder, library_encoder, unsafe
 
 #: Characters of texts that make a block; a longer text is a block of its own.
-BLOCK = 24_000_000
-#: Chunks and characters of their groups that a worker's table keeps between blocks.
-KEEP, KEEP_CHARS = 400_000, 40_000_000
+BLOCK = 8_000_000
+#: Chunks and characters of their groups that a worker's table keeps between blocks, and chunks that are aligned at once.
+KEEP, KEEP_CHARS, AT_ONCE = 300_000, 30_000_000, 30_000
 
 Csr = tuple[np.ndarray, np.ndarray]
 _loaded: dict = {}
@@ -222,7 +222,8 @@ class ChunkAligner:
             new = names.filter(pa.array(lacks)).to_pylist()
             distinct = list(dict.fromkeys(new))  # a text in one piece may equal a chunk
             row = {c: n + k for k, c in enumerate(distinct)}
-            self.learn(distinct)
+            for at in range(0, len(distinct), AT_ONCE):
+                self.learn(distinct[at : at + AT_ONCE])
             known[lacks] = [row[c] for c in new]
         return known[place], begin[1:]
 
