@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sparkforest.llm._util import WORD_BREAK, Scratch, free
 from sparkforest.llm.quality_rules import let
 
-#: Lines with fewer distinct words are left alone; lines without a word aren't compared.
+#: Distinct words of a line that is compared, at least.
 LEAST_WORDS = 1
 PERCENT = 80
 #: Words are counted by slots of their hashes, which bounds what is sent to the tasks: a word is as frequent as its
@@ -128,28 +128,29 @@ def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0)
 
 
 def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """(c): later classes of ``pairs`` (earlier, later) whose token lists reach ``percent``.
+    """(c): later classes of ``pairs`` (earlier, later) whose sets of words reach ``percent``.
 
-    Only the classes of the pairs have their tokens made again, from the first line of each: documents are joined
+    Only the classes of the pairs have their words made again, from the first line of each: documents are joined
     with the places they are asked for, and a place's line is taken from the text.
     """
     asked = pairs.select(F.col("earlier").alias("c")).union(pairs.select("later")).distinct().join(classes.select("c", "first"), "c")
     asked = asked.groupBy(F.col("first.k").alias("_k"), F.col("first.d").alias("_d")).agg(F.collect_list(F.struct("c", F.col("first.i").alias("i"))).alias("_places"))  # as many as the text has lines at most
     asked = scratch.store(asked)
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    places = F.broadcast(asked) if asked.count() <= BROADCAST else asked
     full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).where("_x is not null")
-    full = full.join(asked, (full["_k"] == asked["_k"]) & (F.xxhash64(full["_x"]) == asked["_d"]))
+    full = full.join(places, (full["_k"] == places["_k"]) & (F.xxhash64(full["_x"]) == places["_d"]))
     lines = full.select(F.split("_x", "\n").alias("_x"), F.explode("_places").alias("_p")).select("_p.c", F.get("_x", F.col("_p.i")).alias("line"))
-    words = scratch.store(with_levels(lines, levels).select("c", by_rarity(words_of(F.col("line")), F.col("_levels")).alias("tokens")).dropDuplicates(["c"]))
-    side = lambda x: words.select(F.col("c").alias(x), F.size("tokens").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    # Bitmaps of 256 bits are compared before token lists move.
-    wide = lambda x: words.select(F.col("c").alias(x), F.size("tokens").alias(f"n_{x}"), wide_bitmap(F.col("tokens")).alias(f"w_{x}"))
-    both = pairs.join(wide("earlier"), "earlier").join(wide("later"), "later")
+    made = lambda w: F.struct(F.size(F.array_distinct(w)).alias("n"), wide_bitmap(by_rarity(w, F.col("_levels"))).alias("wide"), F.array_distinct(w).alias("words"))
+    words = scratch.store(with_levels(lines, levels).select("c", let(words_of(F.col("line")), made).alias("s")).select("c", "s.n", "s.wide", "s.words").dropDuplicates(["c"]))
+    # Bitmaps of 256 bits are compared before words move; what decides are the words themselves.
+    side = lambda x, what, name: words.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col(what).alias(f"{name}_{x}"))
+    both = pairs.join(side("earlier", "wide", "w"), "earlier").join(side("later", "wide", "w"), "later")
     differ = sum((F.bit_count(F.col("w_earlier")[k].bitwiseXOR(F.col("w_later")[k])) for k in range(1, 4)), F.bit_count(F.col("w_earlier")[0].bitwiseXOR(F.col("w_later")[0])))
     near = scratch.store(both.where(differ * (100 + percent) <= (100 - percent) * (F.col("n_earlier") + F.col("n_later"))).select("earlier", "later"))
-    full = near.join(side("earlier"), "earlier").join(side("later"), "later")
+    full = near.join(side("earlier", "words", "t"), "earlier").join(side("later", "words", "t"), "later")
     shared = F.size(F.array_intersect("t_earlier", "t_later"))
     found = scratch.store(full.where(shared * (100 + percent) >= percent * (F.col("n_earlier") + F.col("n_later"))).select(F.col("later").alias("c")).distinct())
+    scratch.drop(asked)
     scratch.drop(words)
     scratch.drop(near)
     return found
@@ -160,19 +161,20 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     scratch = Scratch(docs.sparkSession)
     levels = scratch.store(slot_levels(docs, text))
     often_from = levels.select(F.get(F.sort_array("levels"), F.lit((1 << SLOT_BITS) - FREQUENT))).first()[0]
-    # Two 64-bit hashes of the sorted tokens name the class.
-    digest = lambda w, t: F.struct(F.xxhash64(t).alias("x"), F.xxhash64(F.lit(7), t).alias("y"), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
+    # SHA-256 of the sorted distinct words names the class: words have no white space, and no two sets are known to share
+    # it. Tokens are hashes of words, by which candidates are found; they decide nothing.
+    digest = lambda w, t: F.struct(F.unhex(F.sha2(F.array_join(F.sort_array(F.array_distinct(w)), " "), 256)).alias("x"), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
     sized = lambda w: let(by_rarity(w, F.col("_levels")), lambda t: F.when(F.size(t) >= max(1, least_words), digest(w, t)))
     lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(text).alias("_d"), F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
     # Stored before the filter, which would else compute the tokens a second time.
     made = scratch.store(with_levels(lines, levels).select("_k", "_d", "line_no", let(words_of(F.col("_line")), sized).alias("s")))
     lines = made.where("s is not null")
     place = F.struct(F.col("_k").alias("k"), F.col("line_no").alias("i"), F.col("_d").alias("d"))
-    classes = lines.groupBy("s.x", "s.y").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix", "head", "tail")])
+    classes = lines.groupBy("s.x").agg(F.min(place).alias("first"), F.count("*").alias("m"), *[F.first(f"s.{c}").alias(c) for c in ("n", "bitmap", "prefix", "head", "tail")])
     # Numbered in the order of their first lines, so that the smaller number is the earlier class.
     classes = scratch.store(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("c", F.monotonically_increasing_id()))
     # The lines' prefixes aren't needed any more, only those of classes.
-    placed = scratch.store(lines.select("_k", "_d", "line_no", "s.x", "s.y"))
+    placed = scratch.store(lines.select("_k", "_d", "line_no", "s.x"))
     scratch.drop(made)
     hubs = scratch.store(hub_pairs(classes, percent))
     by_hub = settled(scratch, docs, classes, hubs, levels, percent, key, text)
@@ -182,8 +184,8 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     scratch.drop(levels)
     # A settled class has an earlier similar line; a class's later lines have its first one.
     done = by_hub.union(others).distinct().withColumn("_done", F.lit(True))
-    heads = classes.join(done, "c", "left").where("m > 1 or _done").select("x", "y", "first", F.coalesce("_done", F.lit(False)).alias("_done"))
-    return placed.join(heads, ["x", "y"]).where(F.col("_done") | (F.col("first") < place)).select("_k", "_d", "line_no").distinct()
+    heads = classes.join(done, "c", "left").where("m > 1 or _done").select("x", "first", F.coalesce("_done", F.lit(False)).alias("_done"))
+    return placed.join(heads, "x").where(F.col("_done") | (F.col("first") < place)).select("_k", "_d", "line_no").distinct()
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -208,7 +210,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     # A document's own lines only: the set is no longer than its text.
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
     out = docs.join(gone, (docs[key] == gone[k]) & (F.xxhash64(docs[text]) == gone[d]), "left")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_removed")]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() != "n_removed"]
     new = F.when(F.col(lines).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)
     return out.select(*rest, new.alias(text), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed"))
 
