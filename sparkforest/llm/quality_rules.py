@@ -34,8 +34,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
-def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
-    """Words in windows of ``width`` words that are found twice or more, the first included, from the words' hashes."""
+def repeated_words(words: Column, width: int = WINDOW, window: Callable[..., Column] = F.xxhash64) -> Column:
+    """Words in windows of ``width`` words that are found twice or more, the first included. ``words`` may be hashes;
+    ``window`` makes one value of a window's words."""
 
     def covered(windows: Column) -> Column:
         """Windows sorted with their places, those equal to a neighbour, in the order of places; a place covers
@@ -47,8 +48,14 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     def count(windows: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered(windows))
 
-    hashed = F.transform(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
-    return F.when(F.size(hashes) <= width, F.lit(0).cast("long")).otherwise(let(hashed, count))
+    found = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: window(*[F.get(words, i + k) for k in range(width)]))
+    return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(let(found, count))
+
+
+def confirmed_repeats(words: Column, hashes: Column) -> Column:
+    """``repeated_words`` by the hashes; where these find some, by the words themselves, since unlike windows may share
+    a hash. Words have no white space, so a window is its words with spaces between."""
+    return let(repeated_words(hashes), lambda n: F.when(n == 0, n).otherwise(repeated_words(words, window=lambda *w: F.concat_ws(" ", *w))))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -129,9 +136,31 @@ class References:
                 if r["lang"] == t["lang"]:
                     own[place[r["hash"]]] = r["n"] / t["words"]
             self.shares.append([*own, max(0.0, 1 - sum(own))])
-        self.size = 256  # of a table in which no two words share a place
-        while len({h % self.size for h in self.hashes}) < len(self.hashes):
-            self.size *= 2
+        self.slots = slots_of(self.hashes)
+
+
+def places(h: int, size: int) -> tuple[int, int]:
+    """The two places of a hash in a table of ``size`` slots, a power of two."""
+    return h % size, (h >> 24) % size
+
+
+def slots_of(hashes: list[int]) -> list[int]:
+    """A table of 4 to 8 slots a hash: each slot has the number of a hash or -1, each hash is in one of its two places.
+    A hash that finds both taken moves one of the others on."""
+    size = max(256, 1 << (4 * len(hashes)).bit_length())
+    while True:
+        slots = [-1] * size
+        for i in range(len(hashes)):
+            at, turns = places(hashes[i], size)[0], 0
+            while i >= 0 and turns < 500:
+                one, other = places(hashes[i], size)
+                at = one if slots[one] < 0 else other if slots[other] < 0 else (other if at == one else one)
+                i, slots[at], turns = slots[at], i, turns + 1
+            if i >= 0:
+                break
+        else:
+            return slots
+        size *= 2
 
 
 def word_distance(hashes: Column, ref: References) -> Column:
@@ -140,12 +169,13 @@ def word_distance(hashes: Column, ref: References) -> Column:
         return F.lit(0.0)
     # Planes 15 and 16 have more private-use characters than there are common words of all written languages.
     marks = [chr(0xE000 + i if i < 6400 else 0xF0000 + i) for i in range(len(ref.hashes))]
-    at = {h % ref.size: i for i, h in enumerate(ref.hashes)}
-    slot_hash = _constant([ref.hashes[at[k]] if k in at else 0 for k in range(ref.size)], "array<long>")
-    slot_mark = _constant([marks[at[k]] if k in at else "" for k in range(ref.size)], "array<string>")
-    place = lambda h: h.bitwiseAND(F.lit(ref.size - 1)).cast("int")
-    common = F.filter(hashes, lambda h: F.get(slot_hash, place(h)) == h)
-    found = F.array_join(F.transform(common, lambda h: F.get(slot_mark, place(h))), "")
+    size = len(ref.slots)
+    slot_hash = _constant([ref.hashes[i] if i >= 0 else 0 for i in ref.slots], "array<long>")
+    slot_mark = _constant([marks[i] if i >= 0 else "" for i in ref.slots], "array<string>")
+    one = lambda h: h.bitwiseAND(F.lit(size - 1)).cast("int")
+    other = lambda h: F.shiftright(h, 24).bitwiseAND(F.lit(size - 1)).cast("int")
+    mark = lambda h: F.when(F.get(slot_hash, one(h)) == h, F.get(slot_mark, one(h))).when(F.get(slot_hash, other(h)) == h, F.get(slot_mark, other(h))).otherwise("")
+    found = F.array_join(F.transform(hashes, mark), "")
     n = F.size(hashes).cast("double")
 
     def shares(s: Column) -> Column:
@@ -161,8 +191,8 @@ def judge(docs: DataFrame, ref: References, text: str = "text") -> DataFrame:
     is long enough for that histogram. Nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
     _t, _w, _c, _l = (free(c, docs.columns) for c in ("_t", "_w", "_c", "_l"))
-    hashes = F.transform(words_of(F.col(_t)), lambda w: F.xxhash64(w))
-    found = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"), F.when(F.size(h) >= GUARD_WORDS, word_distance(h, ref)).alias("word_distance")))
+    counted = lambda w, h: F.struct(F.size(h).cast("long").alias("n_words"), confirmed_repeats(w, h).alias("n_repeat_words"), F.when(F.size(h) >= GUARD_WORDS, word_distance(h, ref)).alias("word_distance"))
+    found = let(words_of(F.col(_t)), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: counted(w, h)))
     made = docs.withColumn(_t, t).withColumn(_w, found).withColumn(_c, class_counts(F.col(_t))).withColumn(_l, repeated_lines(F.col(_t)))
     n = sum((F.col(f"{_c}.{c}") for c in _CLASSES[1:]), F.col(f"{_c}.upper"))
     shares = F.array(*[F.col(f"{_c}.{c}") / n for c in _CLASSES])
@@ -175,7 +205,7 @@ def judge(docs: DataFrame, ref: References, text: str = "text") -> DataFrame:
         "char_distance": F.when(n >= GUARD_CHARS, _nearest(shares, ref.classes)),
         "word_distance": F.col(f"{_w}.word_distance"),
     }
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in {*out, "base_failed", "kept"}]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*out, "base_failed", "kept"}]
     made = made.select(*rest, *[v.alias(k) for k, v in out.items()])
     made = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHARS) & (F.coalesce("word_distance", F.lit(0.0)) <= F.when(F.col("n_words") >= GUARD_MANY, MOST_MANY).otherwise(MOST_WORDS))
