@@ -139,7 +139,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     # Marked so that a filter on the result doesn't make the plan run it twice.
     guess = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.coalesce(text, F.lit("")))
     g = free("_guess", docs.columns)
-    return small_batches(docs).withColumn(g, guess).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col(f"{g}.lang_pred").alias("lang_pred"), F.col(f"{g}.score").alias("score"))
+    return small_batches(docs).withColumn(g, guess).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")], F.col(f"{g}.lang_pred").alias("lang_pred"), F.col(f"{g}.score").alias("score"))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
