@@ -161,7 +161,8 @@ class Mix:
         joined = dealt.join(known, F.col("source").eqNullSafe(F.col("of")) & (F.col("turn") == F.col("salt")))
         row = F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_idx")
         self.documents = scratch.store(joined.select(row.alias("row"), "key", "digest", "source", "sid", "size", "source_size", "target", (F.col("_run") - F.col("size") - F.col("begin")).alias("at")))
-        self.slots = slots(self.sums, block, seed=seed)
+        # Stored, so that joins see its size: it is made from few rows, by which Spark would take it for small.
+        self.slots = scratch.store(slots(self.sums, block, seed=seed))
 
     def pieces(self) -> DataFrame:
         """(row, key, sid, block, start, skip, n): the words of each document by the blocks that they fall in. ``start``
