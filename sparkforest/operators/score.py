@@ -18,7 +18,9 @@ def tree_case(rows: list[dict], features: list[str]) -> Column:
         r = by_id[i]
         if r["feature"] < 0:
             return F.lit(float(r["prediction"]))
-        return F.when(F.col(f"`{features[r['feature']]}`") <= r["threshold"], at(r["left"])).otherwise(at(r["right"]))
+        x = F.col(f"`{features[r['feature']]}`").cast("double")
+        left = F.when(x.isNull() | F.isnan(x), F.lit(bool(r.get("missing_left")))).otherwise(x <= r["threshold"])
+        return F.when(left, at(r["left"])).otherwise(at(r["right"]))
 
     return at(min(by_id))
 
@@ -32,6 +34,8 @@ def forest_arrays(nodes: DataFrame) -> list[dict]:
         ids = g["node_id"].to_numpy()
         child = lambda c: np.searchsorted(ids, g[c].to_numpy())  # noqa: B023, E731
         out.append({"tree": int(t), "feature": g["feature"].to_numpy(), "threshold": g["threshold"].to_numpy(float), "left": child("left"), "right": child("right"), "prediction": g["prediction"].to_numpy(float)})
+        sides = g["missing_left"].to_numpy(object) if "missing_left" in g else np.zeros(len(g), object)
+        out[-1]["missing_left"] = np.array([bool(x) if x is not None and x == x else False for x in sides])
     return out
 
 
@@ -72,7 +76,8 @@ def _predict_group(df: DataFrame, nodes: DataFrame, features: list[str]) -> Colu
             for j, t in enumerate(forest):
                 at = np.zeros(len(x), np.int64)
                 while (inner := t["feature"][at] >= 0).any():
-                    go = x[n[inner], t["feature"][at[inner]]] <= t["threshold"][at[inner]]
+                    v = x[n[inner], t["feature"][at[inner]]]
+                    go = np.where(np.isnan(v), t["missing_left"][at[inner]], v <= t["threshold"][at[inner]])
                     at[inner] = np.where(go, t["left"][at[inner]], t["right"][at[inner]])
                 out[:, j] = t["prediction"][at]
             yield pd.Series(list(out), dtype=object)

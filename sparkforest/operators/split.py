@@ -72,9 +72,10 @@ def draws(u: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(u >= _POISSON[0], 1).otherwise(0))
 
 
-def bootstrap_weights(df: DataFrame, row_id: str, n_trees: int, seed: int, bootstrap: bool = True) -> DataFrame:
-    """A row for each row and tree: ``tree_index``, ``tree_seed`` = seed + index, ``weight``."""
-    trees = df.withColumn("tree_index", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("tree_seed", F.lit(seed) + F.col("tree_index"))
+def bootstrap_weights(df: DataFrame, row_id: str, n_trees: int, seed: int, bootstrap: bool = True, only: list[int] | None = None) -> DataFrame:
+    """A row for each row and tree (of the trees ``only``, if given): ``tree_index``, ``tree_seed`` = seed + index, ``weight``."""
+    indexes = F.sequence(F.lit(0), F.lit(n_trees - 1)) if only is None else F.lit([int(i) for i in only])
+    trees = df.withColumn("tree_index", F.explode(indexes)).withColumn("tree_seed", F.lit(seed) + F.col("tree_index"))
     return trees.withColumn("weight", draws(uniform(F.col("tree_seed"), F.col(row_id))) if bootstrap else F.lit(1))
 
 

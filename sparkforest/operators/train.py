@@ -1,6 +1,7 @@
 """Random forests as node tables: from Spark's own trainer, or grown by DataFrame aggregation.
 
-Nodes: (tree_index, node_id, feature, threshold, left, right, prediction, count, gain). A leaf's feature is -1.
+Nodes: (tree_index, node_id, feature, threshold, left, right, prediction, count, gain, missing_left). A leaf's feature is
+-1. A row without a value goes left where ``missing_left`` is true, else right; a table may lack that column.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkforest.operators.grid import ForestConfig, resolve_max_features
-from sparkforest.operators.split import bootstrap_weights, uniform
 
 #: Depth of "no limit": what the trainer takes at most.
 MAX_DEPTH = 30
@@ -74,7 +74,7 @@ def fit_forest_ml(df: DataFrame, features: list[str], target: str, config: Fores
         F.col("tree_index").cast("int"), F.col("id").cast("int").alias("node_id"), F.when(leaf, -1).otherwise(F.col("split.featureIndex")).cast("int").alias("feature"), F.when(~leaf, F.element_at("split.leftCategoriesOrThreshold", 1)).alias("threshold"),
         F.col("leftChild").cast("int").alias("left"), F.col("rightChild").cast("int").alias("right"), F.col("prediction"), F.col("rawCount").cast("double").alias("count"), F.when(leaf, 0.0).otherwise(F.col("gain")).alias("gain"),
     )
-    return prune(nodes, config.min_samples_split)
+    return prune(nodes, config.min_samples_split).withColumn("missing_left", F.lit(None).cast("boolean"))
 
 
 def prune(nodes: DataFrame, min_samples_split: int) -> DataFrame:
@@ -124,47 +124,12 @@ def best_splits(binned: DataFrame, group_cols: list[str], criterion: str, n_clas
     return best.select(*group_cols, F.col("b.feature").alias("feature"), F.col("b.bin").alias("bin"), (-F.col("b.g")).alias("gain"), F.col("b.n_left").alias("n_left"), F.col("b.n_right").alias("n_right"), F.col("b.n").alias("n"))
 
 
-def fit_forest_sql(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int = 32) -> DataFrame:
-    """Node table of a forest that is grown level by level, all trees at once, by aggregation alone.
+def fit_forest_sql(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int | None = 32, trees: list[int] | None = None, finish: int | None = None) -> DataFrame:
+    """Node table of a forest that is grown by aggregation alone, with missing values, exact cuts and any depth; see
+    ``grow.grow_forest``. Only the trees ``trees`` of it, if given."""
+    from sparkforest.operators import grow
 
-    Bins are quantiles of each feature; draws and feature subsets come from md5, so the forest doesn't depend
-    on the partitioning. ``n_classes`` None: regression. Labels are indexes 0 to n_classes - 1.
-    """
-    criterion, limit = impurity(config, n_classes is not None), depth_of(config)
-    spark, k = df.sparkSession, resolve_max_features(config.max_features, len(features))
-    cuts = df.approxQuantile(features, [i / bins for i in range(1, bins)], 0.001)
-    cuts = [sorted(set(c)) for c in cuts]
-    table = spark.createDataFrame([(i, b, float(t)) for i, c in enumerate(cuts) for b, t in enumerate(c)] or [(-9, 0, 0.0)], "feature int, bin int, threshold double")
-    place = [sum((F.when(F.col(f"`{f}`") > t, 1).otherwise(0) for t in c), F.lit(0)) for f, c in zip(features, cuts)]
-    rows = stored(df.select(F.col(row_id).alias("_id"), F.col(target).cast("double").alias("label"), F.array(*place).alias("bins")))
-    rows = bootstrap_weights(rows, "_id", config.n_estimators, config.seed, config.bootstrap).where("weight > 0")
-    at, nodes, depth = rows.withColumn("node_id", F.lit(1)), [], 0
-    while True:
-        at = stored(at)
-        group = ["tree_index", "node_id"]
-        stat = at.groupBy(*group).agg(F.sum("weight").cast("double").alias("n"), *([F.sum(F.when(F.col("label") == i, F.col("weight")).otherwise(0)).alias(f"c{i}") for i in range(n_classes)] if n_classes else [(F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("mean")]))
-        # The most frequent class; of equal counts, the lowest.
-        prediction = F.expr(f"cast(array_position(array({','.join(f'c{i}' for i in range(n_classes))}), greatest({','.join(f'c{i}' for i in range(n_classes))}, 0)) - 1 as double)") if n_classes else F.col("mean")
-        stat = stat.select(*group, "n", prediction.alias("prediction"))
-        if depth >= limit or at.isEmpty():
-            nodes.append(stored(stat.select("tree_index", "node_id", F.lit(-1).alias("feature"), F.lit(None).cast("double").alias("threshold"), F.lit(-1).alias("left"), F.lit(-1).alias("right"), "prediction", F.col("n").alias("count"), F.lit(0.0).alias("gain"))))
-            break
-        lots = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), uniform(F.col("tree_seed"), F.concat_ws("/", "node_id", F.lit(i))).alias("u")) for i in range(len(features))]))
-        own = at.select(*group, "tree_seed").distinct().select(*group, lots.alias("x"))
-        subset = own.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("x.u", "x.feature"))).where(F.col("_r") <= k).select(*group, "x.feature")
-        binned = at.select(*group, "label", "weight", F.posexplode("bins").alias("feature", "bin")).join(subset, [*group, "feature"])
-        best = best_splits(binned, group, criterion, n_classes, max(1, config.min_samples_leaf))
-        best = best.where((F.col("gain") > 0) & (F.col("n") >= max(2, config.min_samples_split))).join(table, ["feature", "bin"])
-        level = stored(stat.join(best.drop("n"), group, "left"))
-        has = F.col("threshold").isNotNull()
-        nodes.append(level.select("tree_index", "node_id", F.when(has, F.col("feature")).otherwise(-1).alias("feature"), "threshold", F.when(has, 2 * F.col("node_id")).otherwise(-1).alias("left"), F.when(has, 2 * F.col("node_id") + 1).otherwise(-1).alias("right"), "prediction", F.col("n").alias("count"), F.coalesce("gain", F.lit(0.0)).alias("gain")))
-        go = level.where(has).select(*group, F.col("feature").alias("_f"), F.col("bin").alias("_b"))
-        at = at.join(go, group).withColumn("node_id", 2 * F.col("node_id") + F.when(F.element_at("bins", F.col("_f") + 1) <= F.col("_b"), 0).otherwise(1)).drop("_f", "_b")
-        depth += 1
-    out = nodes[0]
-    for x in nodes[1:]:
-        out = out.unionByName(x)
-    return out.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in NODES.split(", ")])
+    return grow.grow_forest(df, features, target, config, n_classes=n_classes, row_id=row_id, bins=bins, trees=trees, finish=grow.FINISH_ROWS if finish is None else finish)
 
 
 def missing_trees(expected: DataFrame, trees: DataFrame, nodes: DataFrame) -> DataFrame:
