@@ -39,6 +39,27 @@ def one_hot(df: DataFrame, vocab: dict[str, list[str]], target: str | None = Non
     return df.select(*out, *([F.col(f"`{target}`")] if target else []))
 
 
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The median of each column's values, null and NaN apart: the lower middle one, or near it by rank (one in 10,000)
+    where there are very many values. 0 for a column without any. One pass of bounded memory."""
+    if not columns:
+        return {}
+    value = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    row = df.agg(*[F.percentile_approx(value(c), 0.5, 10_000).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return {c: float(row[i]) if row[i] is not None else 0.0 for i, c in enumerate(columns)}
+
+
+def fill_missing(df: DataFrame, fill: dict[str, float], indicators: list[str]) -> DataFrame:
+    """Each column of ``fill`` with that value where it is missing (null, NaN); after all columns ``<column>_missing`` for
+    each of ``indicators``, 1 where it was missing, else 0. Columns of those names are an error."""
+    known = {c.lower() for c in df.columns}
+    if clash := [f"{c}_missing" for c in indicators if f"{c}_missing".lower() in known]:
+        raise ValueError(f"generated column names clash: {clash}")
+    lacks = lambda c: F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))
+    out = [F.when(lacks(c), F.lit(fill[c])).otherwise(F.col(f"`{c}`").cast("double")).alias(c) if c in fill else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*out, *[F.when(lacks(c), 1.0).otherwise(0.0).alias(f"{c}_missing") for c in indicators])
+
+
 def label_index(df: DataFrame, target: str) -> DataFrame:
     """(label, idx): distinct labels in the order of their strings, from 0."""
     labels = df.select(F.col(target).cast("string").alias("label")).where("label is not null").distinct()

@@ -46,6 +46,33 @@ def validate(df: DataFrame, target: str, task_type: str) -> DatasetSchema:
     return DatasetSchema(target, features, t, {x: i for i, x in enumerate(labels)})
 
 
+def check_types(df: DataFrame, features: list[str]) -> None:
+    """Features are numbers, booleans or strings; a date, a list or a struct is an error that names the column. A cast
+    to a number would let timestamps in as seconds."""
+    odd = [f"{f.name} ({f.dataType.simpleString()})" for f in df.schema.fields if f.name in features and not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.StringType))]
+    if odd:
+        raise ValueError(f"features have to be numbers, booleans or strings: {', '.join(odd)}")
+
+
+#: What becomes of missing numbers (null, NaN): an error, a side of each split, or the median with an indicator column.
+MISSING = ("error", "tree", "indicator_median")
+
+
+def missing_counts(df: DataFrame, features: list[str]) -> dict[str, int]:
+    """How many rows lack each feature; those that none lacks are left out. One pass."""
+    if not features:
+        return {}
+    lacks = lambda c: F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))
+    row = df.agg(*[F.count(F.when(lacks(c), 1)).alias(str(i)) for i, c in enumerate(features)]).first()
+    return {c: row[i] for i, c in enumerate(features) if row[i]}
+
+
+def check_missing(df: DataFrame, features: list[str]) -> None:
+    """No feature may lack a value: the error names the columns and how many rows lack them."""
+    if found := missing_counts(df, features):
+        raise ValueError("missing values: " + ", ".join(f"{c} ({n} rows)" for c, n in found.items()) + "; choose missing='tree' or 'indicator_median'")
+
+
 def validate_request(request) -> None:
     task(request.task_type)
     if not (request.target or "").strip():
@@ -56,6 +83,12 @@ def validate_request(request) -> None:
     if request.validation_ratio == 0:
         raise ValueError("validation_ratio has to be positive: experiments are compared on it")
     resolve(request.scenario)
+    if request.missing not in MISSING:
+        raise ValueError(f"missing has to be one of {', '.join(MISSING)}")
+    if request.backend not in ("ml", "sql"):
+        raise ValueError(f"unknown backend {request.backend!r}")
+    if request.missing == "tree" and request.backend != "sql":
+        raise ValueError("missing='tree' needs backend='sql'")
 
 
 def check_ratios(validation: float, test: float) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,12 @@ class TrainingRequest:
     backend: str = "ml"
     metric: str = "auto"
     exact_split: bool = False
+    #: What missing numbers are: see ``validate.MISSING``.
+    missing: str = "error"
+    #: Quantiles that cut a feature in the sql backend; None: all values.
+    bins: int | None = 32
+    #: Trees that the sql backend grows at a time, which a resumed job needn't grow again; None: all.
+    wave: int | None = None
 
 
 @dataclass
@@ -56,8 +64,9 @@ def train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest
     """Train the grid, pick the best experiment on the validation split, test it, and (with ``root``) publish it.
 
     With ``root``, the job's state is a row of the registry from the start (RUNNING, then COMPLETED or FAILED), and
-    an experiment's trees are stored as soon as they are grown. The same ``job_id`` given again resumes the job:
-    experiments whose trees are all there aren't grown again.
+    trees are stored as soon as they are grown, wave by wave, under a key of all that decides them: see ``content_key``.
+    A job that is run again, under any id, grows only trees that aren't there; another request or other data share none.
+    A feature that lacks values is an error before the fit, unless ``missing`` says otherwise.
     """
     validate.validate_request(request)
     job_id = job_id or io.new_id("job")
@@ -72,10 +81,54 @@ def train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest
         raise
 
 
+def content_key(rows: DataFrame, features: list[str], labels: list[str] | None, config: grid.ForestConfig, request: TrainingRequest) -> str:
+    """Names what decides a tree beside its index: training rows (their digest doesn't depend on order), features,
+    labels, parameters, seed, backend. Spark's trainer draws for all trees together, so their number counts there."""
+    fields = [F.col(f"`{c}`") for c in ("row_id", "label", *features)]
+    one = lambda salt: F.xxhash64(F.lit(salt), *fields, *[c.isNull() for c in fields])
+    row = rows.agg(F.count("*").alias("n"), F.sum(one(1).cast("decimal(38,0)")).alias("s"), F.bit_xor(one(2)).alias("x")).first()
+    parts = asdict(config) | {"n_estimators": config.n_estimators if request.backend == "ml" else None}
+    what = [request.backend, request.bins if request.backend == "sql" else None, features, labels, parts, row["n"], str(row["s"]), row["x"]]
+    return hashlib.sha256(json.dumps(what).encode()).hexdigest()
+
+
+def _forest(rows: DataFrame, features: list[str], labels: list[str] | None, config: grid.ForestConfig, request: TrainingRequest, root: str | None) -> tuple[DataFrame, list[tuple]]:
+    """(nodes, [(tree_index, how, seconds and trees of its wave, n_nodes)]): trees that are stored whole are taken, the
+    others are grown and stored by waves."""
+    spark, every = rows.sparkSession, list(range(config.n_estimators))
+    key = content_key(rows, features, labels, config, request) if root else None
+    there = io.whole_trees(spark, root, key)[1] if root else {}
+    lacks = [i for i in every if i not in there]
+    if lacks and request.backend == "ml":
+        lacks = every
+    took: dict[int, tuple[float, int]] = {}
+    nodes, step = None, len(lacks) if request.backend == "ml" or not request.wave else request.wave
+    for at in range(0, len(lacks), max(1, step)):
+        wave, began = lacks[at : at + step], time.time()
+        if request.backend == "sql":
+            grown = stored(fit_forest_sql(rows, features, "label", config, n_classes=len(labels) if labels else None, bins=request.bins, trees=wave))
+        else:
+            grown = fit_forest_ml(rows, features, "label", config, classification=labels is not None)
+        if root:
+            io.write_trees(grown, root, key)
+        else:
+            nodes = grown if nodes is None else nodes.unionByName(grown)
+        took |= {i: (time.time() - began, len(wave)) for i in wave}
+    if root:
+        nodes, whole = io.whole_trees(spark, root, key)
+        if gone := [i for i in every if i not in whole]:
+            raise RuntimeError(f"trees {gone} were written and aren't whole")
+        nodes = nodes.where(F.col("tree_index") < config.n_estimators)
+    else:
+        whole = {r["tree_index"]: r["n"] for r in nodes.groupBy("tree_index").agg(F.count("*").alias("n")).collect()}
+    return nodes, [(i, "GROWN" if i in took else "RESUMED", *took.get(i, (None, None)), whole[i]) for i in every]
+
+
 def _train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None, job_id: str, reg: registry.Registry | None) -> TrainingResult:
     df = io.load(spark, source) if isinstance(source, str) else source
     body, report = scenario.apply_scenario(df.drop(request.row_id), request.target, request.scenario, request.leakage)
     schema = validate.validate(body, request.target, request.task_type)
+    validate.check_types(body, schema.features)
     kept = df.select(request.row_id, *[F.col(f"`{c}`") for c in body.columns])
     vocab = encode.fit_vocab(body, encode.string_columns(body, request.target))
     encoded = encode.one_hot(kept, vocab, request.target)
@@ -84,32 +137,33 @@ def _train(spark: SparkSession, source: str | DataFrame, request: TrainingReques
     features = [c for c in encoded.columns if c not in (request.row_id, request.target)]
     label = F.array_position(F.lit(labels), F.col(request.target).cast("string")).cast("double") - 1 if labels else F.col(request.target).cast("double")
     ready = train_table(parted, features, request, label)
+    fill, indicators = {}, []
+    if request.missing == "error":
+        validate.check_missing(ready, features)
+    elif request.missing == "indicator_median":
+        numbers = [c for c in schema.features if c not in vocab]
+        fill, indicators = encode.medians(ready.where("split = 'train'"), numbers), list(validate.missing_counts(ready, numbers))
+        ready, features = encode.fill_missing(ready, fill, indicators), [*features, *[f"{c}_missing" for c in indicators]]
     if root:
         row = (schema.target, schema.task_type, features, labels or [])
         io.write_prepared(parted, root, job_id, schema_row=spark.createDataFrame([row], "target string, task_type string, features array<string>, labels array<string>"), report_row=scenario.scenario_report(df, report))
     rows, trees, fitted, configs = [], [], {}, {}
     for e in grid.plan_grid(spark, job_id, request.space, schema.task_type).orderBy("ordinal").collect():
         config = grid.ForestConfig(request.n_estimators, e["max_depth"], e["max_features"], e["min_samples_split"], e["min_samples_leaf"], e["criterion"], True, request.seed)
-        name, began = e["experiment_id"], time.time()
-        nodes, status = (_stored_nodes(spark, root, name, config.n_estimators) if root else None), "RESUMED"
-        if nodes is None:
-            nodes, status = _fit(ready.where("split = 'train'"), features, config, labels, request.backend), "GROWN"
-            if root:
-                io.write_nodes(nodes, root, name)
-                nodes = io.read_nodes(spark, root, name).drop("model_id")
-        spent = (time.time() - began) / config.n_estimators
-        sizes = nodes.groupBy("tree_index").agg(F.count("*").alias("n")).collect()
-        trees += [(f"{name}_tree_{r['tree_index']:06d}", job_id, name, r["tree_index"], config.seed + r["tree_index"], "COMPLETED", status, spent, r["n"]) for r in sizes]
+        name = e["experiment_id"]
+        nodes, grown = _forest(ready.where("split = 'train'"), features, labels, config, request, root)
+        trees += [(f"{name}_tree_{i:06d}", job_id, name, i, config.seed + i, "COMPLETED", how, seconds, wave, n) for i, how, seconds, wave, n in grown]
         m = measure(ready.where("split = 'validation'"), nodes, features, labels, schema.task_type)
         fitted[name], configs[name] = nodes, config
-        rows.append((name, e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")], config.n_estimators, len(sizes)))
+        rows.append((name, e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")], config.n_estimators, len(grown)))
     experiments = spark.createDataFrame(rows, "experiment_id string, ordinal int, accuracy double, mse double, rmse double, r2 double, expected_trees int, completed_trees int")
     best = registry.select_best(experiments, schema.task_type, request.metric).first()
     nodes, name = fitted[best["experiment_id"]], best["experiment_id"]
     test = measure(ready.where("split = 'test'"), nodes, features, labels, schema.task_type) if request.test_ratio > 0 else None
-    model = Model(f"model_{job_id}", job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes)
+    model_id = _model_id(spark, root, job_id, nodes) if root else f"model_{job_id}"
+    model = Model(model_id, job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes, fill, indicators)
     if reg:
-        tree_rows = spark.createDataFrame(trees, "tree_id string, job_id string, experiment_id string, tree_index int, seed long, status string, how string, seconds double, n_nodes long")
+        tree_rows = spark.createDataFrame(trees, "tree_id string, job_id string, experiment_id string, tree_index int, seed long, status string, how string, wave_seconds double, wave_trees int, n_nodes long")
         reg.append("trees", tree_rows)
         reg.append("experiments", experiments.withColumn("job_id", F.lit(job_id)).withColumn("status", F.lit("COMPLETED")))
         io.write_nodes(nodes, root, model.model_id)
@@ -120,18 +174,14 @@ def _train(spark: SparkSession, source: str | DataFrame, request: TrainingReques
     return TrainingResult(job_id, name, features, labels, vocab, nodes, experiments, best.asDict(), test, metrics.feature_importances(nodes, features), report, model)
 
 
-def _fit(rows: DataFrame, features: list[str], config: grid.ForestConfig, labels: list[str] | None, backend: str) -> DataFrame:
-    if backend == "sql":
-        return fit_forest_sql(rows, features, "label", config, n_classes=len(labels) if labels else None)
-    return fit_forest_ml(rows, features, "label", config, classification=labels is not None)
-
-
-def _stored_nodes(spark: SparkSession, root: str, experiment_id: str, n_estimators: int) -> DataFrame | None:
-    """The experiment's trees, if all are stored."""
-    nodes = io.stored_nodes(spark, root, experiment_id)
-    if nodes is None or nodes.select("tree_index").distinct().count() != n_estimators:
-        return None
-    return nodes.drop("model_id")
+def _model_id(spark: SparkSession, root: str, job_id: str, nodes: DataFrame) -> str:
+    """``model_`` and the job; with a digest of the trees behind, where the job has published other trees before."""
+    name, there = f"model_{job_id}", io.stored_nodes(spark, root, f"model_{job_id}")
+    digests = lambda x: {r["tree_index"]: r["digest"] for r in io.tree_digests(x).collect()}
+    new = digests(nodes)
+    if there is None or digests(there) in ({}, new):
+        return name
+    return f"{name}_{hashlib.sha256(str(sorted(new.items())).encode()).hexdigest()[:12]}"
 
 
 def records(scored: DataFrame, task_type: str, reg: registry.Registry, job_id: str, experiment_id: str, part: str) -> None:

@@ -137,24 +137,70 @@ def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.fillna(defaults)
 
 
+#: Columns of node tables, as files have them.
+NODE_FIELDS = "tree_index int, node_id int, feature int, threshold double, left int, right int, prediction double, count double, gain double, missing_left boolean"
+
+
+def _node_rows(nodes: DataFrame) -> DataFrame:
+    """A node table with all columns in order; one that lacks ``missing_left`` gets nulls."""
+    known = nodes if "missing_left" in nodes.columns else nodes.withColumn("missing_left", F.lit(None))
+    return known.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in NODE_FIELDS.split(", ")])
+
+
+def tree_digests(nodes: DataFrame) -> DataFrame:
+    """(tree_index, digest, n_nodes): an order-free digest of a tree's nodes."""
+    rows = _node_rows(nodes)
+    fields = [F.col(c) for c in rows.columns]
+    one = F.xxhash64(*fields, *[c.isNull() for c in fields])
+    return rows.select("tree_index", one.alias("h")).groupBy("tree_index").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n_nodes"))
+
+
 def write_nodes(nodes: DataFrame, root: str, model_id: str) -> None:
-    """Append the trees that aren't stored yet; a second write of the same trees adds nothing."""
+    """Append the trees that aren't stored yet; a second write of the same trees adds nothing. A tree that is stored
+    otherwise is an error: nothing is replaced, and no tree of another forest fills a gap."""
     spark, path = nodes.sparkSession, f"{root}/nodes"
-    new = nodes.withColumn("model_id", F.lit(model_id))
-    stored = stored_nodes(spark, root, model_id)
+    new, stored = _node_rows(nodes), stored_nodes(spark, root, model_id)
     if stored is not None:
-        new = new.join(stored.select("tree_index").distinct(), "tree_index", "left_anti")
-    new.write.mode("append").partitionBy("model_id").parquet(path)
+        there = tree_digests(stored).select("tree_index", F.col("digest").alias("_there"))
+        other = tree_digests(new).join(there, "tree_index").where("digest <> _there").select("tree_index").limit(5).collect()
+        if other:
+            raise ValueError(f"{model_id!r} has other trees of the indexes {sorted(r[0] for r in other)}")
+        new = new.join(there, "tree_index", "left_anti")
+    new.withColumn("model_id", F.lit(model_id)).write.mode("append").partitionBy("model_id").parquet(path)
 
 
 def read_nodes(spark: SparkSession, root: str, model_id: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/nodes").where(F.col("model_id") == model_id)
+    return spark.read.schema(f"{NODE_FIELDS}, model_id string").parquet(f"{root}/nodes").where(F.col("model_id") == model_id)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def stored_nodes(spark: SparkSession, root: str, model_id: str) -> DataFrame | None:
-    """The trees of a model or experiment; None where nothing has been stored yet."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/nodes")
-    return read_nodes(spark, root, model_id) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    """The trees of a model; None where nothing has been stored yet."""
+    return read_nodes(spark, root, model_id) if _exists(spark, f"{root}/nodes") else None
+
+
+def write_trees(nodes: DataFrame, root: str, key: str) -> None:
+    """Append grown trees under the key of their content. Each node says how many its tree has, by which a reader knows
+    whether a tree is whole, whatever the file system does when a writer dies."""
+    rows = _node_rows(nodes)
+    sizes = rows.groupBy("tree_index").agg(F.count("*").alias("n_nodes"))
+    rows.join(sizes, "tree_index").write.mode("append").parquet(f"{root}/trees/{key}")
+
+
+def whole_trees(spark: SparkSession, root: str, key: str) -> tuple[DataFrame | None, dict[int, int]]:
+    """(nodes, {tree index: number of nodes}) of the trees that are stored whole under the key; a tree that two writers
+    stored, which are equal, counts once."""
+    path = f"{root}/trees/{key}"
+    if not _exists(spark, path):
+        return None, {}
+    nodes = spark.read.schema(f"{NODE_FIELDS}, n_nodes long").parquet(path).dropDuplicates(["tree_index", "node_id"])
+    counts = nodes.groupBy("tree_index").agg(F.count("*").alias("n"), F.max("n_nodes").alias("of")).where("n = of")
+    whole = {r["tree_index"]: r["n"] for r in counts.collect()}  # a row for each tree
+    return nodes.where(F.col("tree_index").isin(list(whole))).drop("n_nodes"), whole
 
 
 def new_id(kind: str) -> str:
