@@ -29,6 +29,57 @@ def fit_vocab(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEG
     return vocab
 
 
+def divide_columns(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> tuple[list[str], list[str]]:
+    """(columns to encode one by one, columns to encode by codes): those with the fewest values first, as long as all their
+    values together are at most ``max_categories``, by an approximate count."""
+    if not columns:
+        return [], []
+    few = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(str(i)) for i, c in enumerate(columns)]).first()
+    total, chosen = 0, set()
+    for n, c in sorted(zip(few, columns)):
+        total += n
+        if total <= max_categories:
+            chosen.add(c)
+    return [c for c in columns if c in chosen], [c for c in columns if c not in chosen]
+
+
+def category_codes(df: DataFrame, columns: list[str], label: str, n_classes: int | None) -> DataFrame:
+    """(column, value, n, mean, code): the values of each column in the order of their mean label, numbered from 0.
+
+    The mean is of the label (regression), or the share of class 1 of two, or of the most frequent of more classes. A cut
+    of these codes is the best subset of values that a split of all rows can have, for two classes and for variance; below
+    the root, and for more classes, it is one of many. Null is a value. Equal means follow the value. Values stay in a
+    table: they are counted, range-sorted and numbered by ranges, and none is gathered.
+    """
+    from sparkforest.operators.train import stored
+
+    score = F.col(label)
+    if n_classes is not None:
+        top = 1 if n_classes == 2 else df.groupBy(label).count().orderBy(F.desc("count"), label).first()[0]
+        score = F.when(F.col(label) == top, 1.0).otherwise(0.0)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])).alias("p")
+    counted = df.select(score.alias("s"), pairs).groupBy("p.column", "p.value").agg(F.count("*").alias("n"), F.avg("s").alias("mean"))
+    order = ["column", "mean", F.col("value").isNotNull(), "value"]
+    ranged = stored(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    ends = ranged.groupBy(part.alias("_p"), "column").agg(F.count("*").alias("_n"), F.min(inside).alias("_first"))
+    before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = ends.select("_p", F.col("column").alias("_c"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_o"))
+    coded = ranged.join(offsets, (part == F.col("_p")) & (F.col("column") == F.col("_c")))
+    return coded.select("column", "value", "n", "mean", (inside + F.col("_o")).alias("code"))
+
+
+def with_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
+    """Each of ``columns`` as its value's code, a double; -1, which is below all, for a value that has none. A join for
+    each column, of any number of values; rows stay, and the columns keep their places."""
+    out = df
+    for i, c in enumerate(columns):
+        own = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").cast("double").alias(f"_code{i}"))
+        joined = out.join(own, out[f"`{c}`"].eqNullSafe(own[f"_v{i}"]), "left")
+        out = joined.select(*[F.coalesce(f"_code{i}", F.lit(-1.0)).alias(x) if x == c else F.col(f"`{x}`") for x in out.columns])
+    return out
+
+
 def one_hot(df: DataFrame, vocab: dict[str, list[str]], target: str | None = None) -> DataFrame:
     """Other columns in order, then a 0/1 column for each value and one for null; the target last. Values outside
     the vocabulary have zeros."""

@@ -241,12 +241,13 @@ def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestC
         stat = stored(stat.select(*_GROUP, "tree_seed", "path", "n", "rows", "prediction"))
         if not used:
             used = {r["tree_index"]: 1 for r in stat.select("tree_index").collect()}
-        small = stat.where(F.col("rows") <= finish).select(*_GROUP)
-        if not small.isEmpty():
+        many = stat.agg(F.count(F.when(F.col("rows") <= finish, 1)), F.count(F.when(F.col("rows") > finish, 1))).first()
+        if many[0]:
+            small = stat.where(F.col("rows") <= finish).select(*_GROUP)
             done.append(stored(_finished(at.join(small, _GROUP), rules, None if limit is None else limit - depth)))
-        large = stat.where(F.col("rows") > finish)
-        if large.isEmpty():
+        if not many[1]:
             break
+        large = stat.where(F.col("rows") > finish)
         if depth == limit:
             level.append(_nodes(large.withColumns({"feature": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double"), "missing_left": F.lit(None).cast("boolean"), "gain": F.lit(0.0), "child": F.lit(-1)})))
             break
@@ -261,10 +262,13 @@ def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestC
         # Children are numbered in the order of their parents, past all nodes that the tree has so far.
         base = spark.createDataFrame(sorted(used.items()), "tree_index int, base int")
         child = F.col("base") + 2 * F.row_number().over(Window.partitionBy("tree_index").orderBy("node_id")) - 1
-        best = stored(best.join(F.broadcast(base), "tree_index").withColumn("child", child.cast("int")).drop("base"))
-        for r in best.groupBy("tree_index").count().collect():
+        split = best.groupBy("tree_index").count().collect()
+        best = best.join(F.broadcast(base), "tree_index").withColumn("child", child.cast("int")).drop("base")
+        for r in split:
             used[r["tree_index"]] += 2 * r["count"]
         level.append(_nodes(large.join(best, _GROUP, "left")))
+        if not split:
+            break
         go = best.select(*_GROUP, "feature", "threshold", "missing_left", "child")
         value = F.element_at("x", F.col("feature") + 1)
         side = F.when(value.isNull(), F.col("missing_left")).otherwise(value <= F.col("threshold"))
@@ -272,8 +276,6 @@ def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestC
         names = [c for c in at.columns if c not in ("node_id", "path")]
         at = moved.select(*names, F.when(F.col("_left"), F.col("child")).otherwise(F.col("child") + 1).alias("node_id"), F.substring(F.md5(F.concat("path", F.when(F.col("_left"), "L").otherwise("R"))), 1, 16).alias("path"))
         depth += 1
-        if best.isEmpty():
-            break
     out = [*level, *([_placed(spark, done, used)] if done else [])]
     nodes = out[0]
     for x in out[1:]:

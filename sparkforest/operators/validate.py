@@ -85,6 +85,8 @@ def validate_request(request) -> None:
     resolve(request.scenario)
     if request.missing not in MISSING:
         raise ValueError(f"missing has to be one of {', '.join(MISSING)}")
+    if request.categories not in ("error", "codes"):
+        raise ValueError("categories has to be error or codes")
     if request.backend not in ("ml", "sql"):
         raise ValueError(f"unknown backend {request.backend!r}")
     if request.missing == "tree" and request.backend != "sql":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkforest.operators import encode, metrics, registry, runlog, scenario, score, split, train, validate
+from sparkforest.operators import encode, grow, metrics, registry, runlog, scenario, score, split, train, validate
 from sparkforest.operators.grid import ForestConfig
 from sparkforest.operators.scenario import Scenario
 from sparkforest.plans.training import TrainingRequest, compare_scenarios
@@ -197,6 +197,85 @@ def best_root_split_variance(spark, sf_dir):
     return train.best_splits(rows, ["tree"], "variance").withColumn("gain", F.round("gain", 6))
 
 
+def _root_sql(values: str, threshold: str) -> str:
+    """The best cut of three features over all rows, by trying what lacks a value on both sides; two classes, Gini."""
+    gini = lambda a, b: f"(1 - ({a}) / (({a}) + ({b})) * ({a}) / (({a}) + ({b})) - ({b}) / (({a}) + ({b})) * ({b}) / (({a}) + ({b})))"
+    return f"""with b as (select case when l_extendedprice * (1 - l_discount) > 50000 then 1 else 0 end as y, unnest([0, 1, 2]) as feature, unnest([{values}]) as value from lineitem),
+c as (select feature, value, sum(1 - y)::double as c0, sum(y)::double as c1 from b group by feature, value),
+m as (select feature, sum(c0) as a0, sum(c1) as a1, coalesce(sum(c0) filter (value is null), 0) as m0, coalesce(sum(c1) filter (value is null), 0) as m1 from c group by feature),
+k as (select c.feature, value, sum(c0) over u as p0, sum(c1) over u as p1, lead(value) over (partition by c.feature order by value) as following from c where value is not null window u as (partition by c.feature order by value)),
+d as (select k.*, a0, a1, m0 + m1 > 0 as has_missing, o.go_left, p0 + case when o.go_left then m0 else 0 end as l0, p1 + case when o.go_left then m1 else 0 end as l1 from k join m using (feature) join (values (false), (true)) o(go_left) on (m0 + m1 > 0 or not o.go_left)),
+g as (select *, l0 + l1 as n_left, a0 + a1 - l0 - l1 as n_right, a0 + a1 as n from d where l0 + l1 >= 1 and a0 + a1 - l0 - l1 >= 1),
+r as (select *, round({gini('a0', 'a1')} - (n_left * {gini('l0', 'l1')} + n_right * {gini('(a0 - l0)', '(a1 - l1)')}) / n, 9) as gain from g)
+select 0 as tree, feature, {threshold} as threshold, case when has_missing then go_left else n_left >= n_right end as missing_left, gain, n_left, n_right, n from r order by gain desc, feature, value, go_left limit 1"""
+
+
+_TWO_CLASSES = grow.Rules("gini", 2, 3, 3, 2, 1, True)
+
+
+def _root_rows(spark, sf_dir: str, *values) -> DataFrame:
+    return labelled(spark, sf_dir).select(F.lit(0).alias("tree"), F.col("is_large").alias("label"), F.lit(1).alias("weight"), F.posexplode(F.array(*values)).alias("feature", "value"))
+
+
+@query(_root_sql("case when l_extendedprice < 50000 or l_partkey % 5 > 0 then floor(l_quantity / 5) end, case when l_suppkey % 3 > 0 then floor(l_extendedprice / 20000) end, case when l_linenumber % 2 = 0 then round(l_discount * 100) end", "value"))
+def root_split_with_missing_values(spark, sf_dir):
+    known = F.when((F.col("l_extendedprice") < 50000) | (F.col("l_partkey") % 5 > 0), F.floor(F.col("l_quantity") / 5).cast("double"))
+    rows = _root_rows(spark, sf_dir, known, F.when(F.col("l_suppkey") % 3 > 0, F.floor(F.col("l_extendedprice") / 20000).cast("double")), F.when(F.col("l_linenumber") % 2 == 0, F.round(F.col("l_discount") * 100)))
+    return grow.splits_of(rows, ["tree"], grow.Rules("gini", 2, 3, 3, 2, 1, False))
+
+
+@query(_root_sql("l_extendedprice, case when l_partkey % 11 > 0 then l_quantity end, l_discount", "case when following is null then 'infinity'::double when (value + following) / 2 > value and (value + following) / 2 < following then (value + following) / 2 else value end"))
+def root_split_over_all_values(spark, sf_dir):
+    rows = _root_rows(spark, sf_dir, F.col("l_extendedprice"), F.when(F.col("l_partkey") % 11 > 0, F.col("l_quantity")), F.col("l_discount"))
+    return grow.splits_of(rows, ["tree"], _TWO_CLASSES, True, train.stored)
+
+
+@query("""with m as (select quantile_disc(l_quantity, 0.5) filter (l_partkey % 5 > 0) as q, quantile_disc(l_discount, 0.5) filter (l_suppkey % 3 > 0) as d from lineitem)
+select l_orderkey, l_linenumber, case when l_partkey % 5 > 0 then l_quantity else q end as l_quantity, case when l_suppkey % 3 > 0 then l_discount else d end as l_discount, case when l_partkey % 5 > 0 then 0.0::double else 1.0::double end as l_quantity_missing from lineitem, m""")
+def median_fill(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity")).alias("l_quantity"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_discount")).alias("l_discount"))
+    return encode.fill_missing(df, encode.medians(df, ["l_quantity", "l_discount"]), ["l_quantity"])
+
+
+@query(f"""select t.i::int as tree_index, case when t.i < 3 then 'RESUMED' else 'GROWN' end as how, sum({_DRAWS})::double as drawn
+from (select *, {u_sql("42", "o_orderkey")} as part from orders) o, range(8) t(i), lateral (select {u_sql("42 + t.i", "o.o_orderkey")} as u) where part >= 0.4 group by t.i""")
+def resumed_trees(spark, sf_dir):
+    """A job of three trees, then one of eight of the same forest: which trees were grown anew, and the rows of each."""
+    root = train.scratch(spark)
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice", (F.col("o_totalprice") > 150000).cast("int").alias("dear"))
+    ask = lambda n: TrainingRequest("dear", "classification", "row_id", n, space={"max_depth": [2]}, backend="sql")
+    train_job(spark, df, ask(3), root)
+    whole = train_job(spark, df, ask(8), root)
+    how = registry.Registry(spark, root).trees(whole.experiment_id).select("tree_index", "how")
+    return how.join(whole.nodes.where("node_id = 1").select("tree_index", F.col("count").alias("drawn")), "tree_index")
+
+
+_CATEGORIES = """with o as (select *, case when o_totalprice > 150000 then 1.0 else 0.0 end as dear from orders),
+p as (select 'customer' as "column", case when o_custkey % 9 > 0 then concat('c', o_custkey) end as value, dear from o union all select 'day', strftime(o_orderdate, '%Y-%m-%d'), dear from o),
+g as (select "column", value, count(*) as n, avg(dear) as mean from p group by 1, 2),
+t as (select *, row_number() over (partition by "column" order by mean, value nulls first) - 1 as code from g)
+"""
+
+
+def _categories(spark, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("dear", (F.col("o_totalprice") > 150000).cast("double"))
+    return orders.select("o_orderkey", F.when(F.col("o_custkey") % 9 > 0, F.concat(F.lit("c"), "o_custkey")).alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "dear")
+
+
+@query(_CATEGORIES + "select * from t")
+def category_codes(spark, sf_dir):
+    return encode.category_codes(_categories(spark, sf_dir), ["customer", "day"], "dear", 2)
+
+
+@query(_CATEGORIES + """select o_orderkey, coalesce(case when o_custkey % 13 > 0 then c.code end, -1)::double as customer, d.code::double as day from o
+left join t c on c."column" = 'customer' and c.value is not distinct from case when o_custkey % 9 > 0 then concat('c', o_custkey) end
+left join t d on d."column" = 'day' and d.value = strftime(o_orderdate, '%Y-%m-%d')""")
+def category_coding(spark, sf_dir):
+    df = _categories(spark, sf_dir)
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 13 == 0, "never seen").when(F.col("o_custkey") % 9 > 0, F.concat(F.lit("c"), "o_custkey")).alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return encode.with_codes(asked, encode.category_codes(df, ["customer", "day"], "dear", 2), ["customer", "day"])
+
+
 #: Two-level trees on (l_quantity, l_extendedprice): (feature, threshold), thresholds below, leaves left to right.
 _TREES = [(("l_quantity", 25), ("l_extendedprice", 30000, 60000), (0, 1, 1, 2)), (("l_extendedprice", 40000), ("l_quantity", 10, 40), (0, 1, 1, 2)), (("l_discount", 0.05), ("l_quantity", 20, 30), (0, 2, 1, 2)), (("l_quantity", 35), ("l_discount", 0.03, 0.07), (1, 0, 2, 1))]
 

@@ -32,15 +32,20 @@ class Model:
     #: Medians of the training rows that stand for missing numbers, and the columns that have an indicator.
     fill: dict[str, float] = field(default_factory=dict)
     indicators: list[str] = field(default_factory=list)
+    #: Columns that are encoded by codes, and the codes: see ``encode.category_codes``.
+    coded: list[str] = field(default_factory=list)
+    codes: DataFrame | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Raw rows in, predictions out: the model's vocabulary and medians encode them. No rows, or a missing column: an
         error. A missing value that no median fills goes where its split sends it, which is right where it knew none."""
-        if gone := missing_columns(rows, [*self.vocab, *self.fill]):
+        if gone := missing_columns(rows, [*self.vocab, *self.fill, *self.coded]):
             raise ValueError(f"missing columns: {gone}")
         if rows.isEmpty():
             raise ValueError("there are no rows to score")
         encoded = encode.one_hot(rows, self.vocab)
+        if self.coded:
+            encoded = encode.with_codes(encoded, self.codes, self.coded)
         if self.fill:
             encoded = encode.fill_missing(encoded, self.fill, self.indicators)
         return score.predict(encoded, self.nodes, self.features, self.labels)
@@ -59,8 +64,8 @@ def publish(spark: SparkSession, root: str, model: Model, trees: DataFrame) -> N
     check_manifest(trees, model.config.n_estimators, model.job_id, model.experiment_id)
     if model.config.n_estimators < 1 or (task(model.task_type) == "classification") != (model.labels is not None):
         raise ValueError("labels and task type don't fit")
-    row = (model.model_id, model.job_id, model.experiment_id, "READY", model.task_type, model.target, model.features, model.labels or [], json.dumps(model.vocab), json.dumps(asdict(model.config)), json.dumps(model.metrics), model.config.n_estimators, json.dumps(model.fill), model.indicators)
-    schema = "model_id string, job_id string, experiment_id string, status string, task_type string, target string, features array<string>, labels array<string>, vocab string, config string, metrics string, n_trees int, fill string, indicators array<string>"
+    row = (model.model_id, model.job_id, model.experiment_id, "READY", model.task_type, model.target, model.features, model.labels or [], json.dumps(model.vocab), json.dumps(asdict(model.config)), json.dumps(model.metrics), model.config.n_estimators, json.dumps(model.fill), model.indicators, model.coded)
+    schema = "model_id string, job_id string, experiment_id string, status string, task_type string, target string, features array<string>, labels array<string>, vocab string, config string, metrics string, n_trees int, fill string, indicators array<string>, coded array<string>"
     Registry(spark, root).append("models", spark.createDataFrame([row], schema).withColumn("created_at", F.unix_timestamp().cast("double")))
 
 
@@ -75,6 +80,7 @@ def load_model(spark: SparkSession, root: str, model_id: str) -> Model:
     there = nodes.select("tree_index").distinct().count()
     if there != row["n_trees"]:
         raise ValueError(f"model {model_id!r} has {there} trees, {row['n_trees']} are in its manifest")
-    found = row.asDict()  # manifests from before medians lack their fields
+    found = row.asDict()  # older manifests lack some fields
+    coded = list(found.get("coded") or [])
     labels = list(row["labels"]) if task(row["task_type"]) == "classification" else None
-    return Model(model_id, row["job_id"], row["experiment_id"], row["task_type"], row["target"], list(row["features"]), labels, json.loads(row["vocab"]), ForestConfig(**json.loads(row["config"])), json.loads(row["metrics"]), nodes, json.loads(found.get("fill") or "{}"), list(found.get("indicators") or []))
+    return Model(model_id, row["job_id"], row["experiment_id"], row["task_type"], row["target"], list(row["features"]), labels, json.loads(row["vocab"]), ForestConfig(**json.loads(row["config"])), json.loads(row["metrics"]), nodes, json.loads(found.get("fill") or "{}"), list(found.get("indicators") or []), coded, io.read_codes(spark, root, model_id) if coded else None)

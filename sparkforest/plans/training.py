@@ -37,6 +37,8 @@ class TrainingRequest:
     bins: int | None = 32
     #: Trees that the sql backend grows at a time, which a resumed job needn't grow again; None: all.
     wave: int | None = None
+    #: String columns with more values than one-hot columns are made for: an error, or codes in the order of the label.
+    categories: str = "error"
 
 
 @dataclass
@@ -130,18 +132,25 @@ def _train(spark: SparkSession, source: str | DataFrame, request: TrainingReques
     schema = validate.validate(body, request.target, request.task_type)
     validate.check_types(body, schema.features)
     kept = df.select(request.row_id, *[F.col(f"`{c}`") for c in body.columns])
-    vocab = encode.fit_vocab(body, encode.string_columns(body, request.target))
+    strings, coded = encode.string_columns(body, request.target), []
+    if request.categories == "codes":
+        strings, coded = encode.divide_columns(body, strings)
+    vocab = encode.fit_vocab(body.drop(*coded), strings)
     encoded = encode.one_hot(kept, vocab, request.target)
     parted = split.assign_splits(encoded, validation_ratio=request.validation_ratio, test_ratio=request.test_ratio, seed=request.seed, row_id=request.row_id, target=request.target, task_type=schema.task_type, exact=request.exact_split)
     labels = list(schema.label_mapping) if schema.label_mapping else None
     features = [c for c in encoded.columns if c not in (request.row_id, request.target)]
     label = F.array_position(F.lit(labels), F.col(request.target).cast("string")).cast("double") - 1 if labels else F.col(request.target).cast("double")
+    codes = None
+    if coded:  # by the training rows alone
+        codes = stored(encode.category_codes(parted.where("split = 'train'").withColumn("_label", label), coded, "_label", len(labels) if labels else None))
+        parted = encode.with_codes(parted, codes, coded)
     ready = train_table(parted, features, request, label)
     fill, indicators = {}, []
     if request.missing == "error":
         validate.check_missing(ready, features)
     elif request.missing == "indicator_median":
-        numbers = [c for c in schema.features if c not in vocab]
+        numbers = [c for c in schema.features if c not in vocab and c not in coded]
         fill, indicators = encode.medians(ready.where("split = 'train'"), numbers), list(validate.missing_counts(ready, numbers))
         ready, features = encode.fill_missing(ready, fill, indicators), [*features, *[f"{c}_missing" for c in indicators]]
     if root:
@@ -161,12 +170,14 @@ def _train(spark: SparkSession, source: str | DataFrame, request: TrainingReques
     nodes, name = fitted[best["experiment_id"]], best["experiment_id"]
     test = measure(ready.where("split = 'test'"), nodes, features, labels, schema.task_type) if request.test_ratio > 0 else None
     model_id = _model_id(spark, root, job_id, nodes) if root else f"model_{job_id}"
-    model = Model(model_id, job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes, fill, indicators)
+    model = Model(model_id, job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes, fill, indicators, coded, codes)
     if reg:
         tree_rows = spark.createDataFrame(trees, "tree_id string, job_id string, experiment_id string, tree_index int, seed long, status string, how string, wave_seconds double, wave_trees int, n_nodes long")
         reg.append("trees", tree_rows)
         reg.append("experiments", experiments.withColumn("job_id", F.lit(job_id)).withColumn("status", F.lit("COMPLETED")))
         io.write_nodes(nodes, root, model.model_id)
+        if coded:
+            io.write_codes(codes, root, model.model_id)
         for part in ("validation", *(["test"] if test else [])):
             records(_scored(ready.where(F.col("split") == part), nodes, features, labels), schema.task_type, reg, job_id, name, part)
         publish(spark, root, model, tree_rows.where(F.col("experiment_id") == name))

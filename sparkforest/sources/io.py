@@ -203,6 +203,18 @@ def whole_trees(spark: SparkSession, root: str, key: str) -> tuple[DataFrame | N
     return nodes.where(F.col("tree_index").isin(list(whole))).drop("n_nodes"), whole
 
 
+CODE_FIELDS = "column string, value string, n long, mean double, code long"
+
+
+def write_codes(codes: DataFrame, root: str, model_id: str) -> None:
+    """A model's category codes, a table of its own; written again, it takes the place of the one before."""
+    codes.write.mode("overwrite").parquet(f"{root}/codes/{model_id}")
+
+
+def read_codes(spark: SparkSession, root: str, model_id: str) -> DataFrame:
+    return spark.read.schema(CODE_FIELDS).parquet(f"{root}/codes/{model_id}")
+
+
 def new_id(kind: str) -> str:
     return f"{kind}_{uuid.uuid4().hex}"
 
