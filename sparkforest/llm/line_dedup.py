@@ -63,10 +63,11 @@ def with_levels(df: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def by_rarity(words: Column, levels: Column) -> Column:
-    """A line's distinct words as numbers in the order of rarity: the slot's level, then the rest of the hash."""
+    """A line's distinct words (``w``) with their tokens (``t``) in the order of rarity: a token is the slot's level, then
+    the rest of the word's hash. Words that share a token follow each other by themselves."""
     slot = lambda h: h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
     number = lambda w: F.shiftleft(F.get(levels, slot(F.xxhash64(w))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
+    return F.sort_array(F.transform(F.array_distinct(words), lambda w: F.struct(number(w).alias("t"), w.alias("w"))))
 
 
 def prefix(tokens: Column, n: Column, share: float) -> Column:
@@ -140,8 +141,8 @@ def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFr
     full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).where("_x is not null")
     full = full.join(places, (full["_k"] == places["_k"]) & (F.xxhash64(full["_x"]) == places["_d"]))
     lines = full.select(F.split("_x", "\n").alias("_x"), F.explode("_places").alias("_p")).select("_p.c", F.get("_x", F.col("_p.i")).alias("line"))
-    made = lambda w: F.struct(F.size(F.array_distinct(w)).alias("n"), wide_bitmap(by_rarity(w, F.col("_levels"))).alias("wide"), F.array_distinct(w).alias("words"))
-    words = scratch.store(with_levels(lines, levels).select("c", let(words_of(F.col("line")), made).alias("s")).select("c", "s.n", "s.wide", "s.words").dropDuplicates(["c"]))
+    made = lambda s: F.struct(F.size(s).alias("n"), let(s["t"], wide_bitmap).alias("wide"), s["w"].alias("words"))
+    words = scratch.store(with_levels(lines, levels).select("c", let(by_rarity(words_of(F.col("line")), F.col("_levels")), made).alias("s")).select("c", "s.n", "s.wide", "s.words").dropDuplicates(["c"]))
     # Bitmaps of 256 bits are compared before words move; what decides are the words themselves.
     side = lambda x, what, name: words.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col(what).alias(f"{name}_{x}"))
     both = pairs.join(side("earlier", "wide", "w"), "earlier").join(side("later", "wide", "w"), "later")
@@ -161,10 +162,12 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     scratch = Scratch(docs.sparkSession)
     levels = scratch.store(slot_levels(docs, text))
     often_from = levels.select(F.get(F.sort_array("levels"), F.lit((1 << SLOT_BITS) - FREQUENT))).first()[0]
-    # SHA-256 of the sorted distinct words names the class: words have no white space, and no two sets are known to share
-    # it. Tokens are hashes of words, by which candidates are found; they decide nothing.
-    digest = lambda w, t: F.struct(F.unhex(F.sha2(F.array_join(F.sort_array(F.array_distinct(w)), " "), 256)).alias("x"), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
-    sized = lambda w: let(by_rarity(w, F.col("_levels")), lambda t: F.when(F.size(t) >= max(1, least_words), digest(w, t)))
+    # SHA-256 of the distinct words in their order names the class: words have no white space, and no two sets are known to
+    # share it. Tokens are hashes of words, by which candidates are found; they decide nothing.
+    name = lambda s: F.unhex(F.sha2(F.array_join(s["w"], " "), 256)).alias("x")
+    ends = lambda w: (F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
+    digest = lambda w, s, t: F.struct(name(s), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), *ends(w))
+    sized = lambda w: let(by_rarity(w, F.col("_levels")), lambda s: F.when(F.size(s) >= max(1, least_words), let(s["t"], lambda t: digest(w, s, t))))
     lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(text).alias("_d"), F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
     # Stored before the filter, which would else compute the tokens a second time.
     made = scratch.store(with_levels(lines, levels).select("_k", "_d", "line_no", let(words_of(F.col("_line")), sized).alias("s")))
