@@ -85,6 +85,72 @@ def _predict_group(df: DataFrame, nodes: DataFrame, features: list[str]) -> Colu
     return F.pandas_udf(run, "array<double>")(F.struct(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(features)]))
 
 
+#: Nodes of a level, at most, that go to all tasks (about 80 bytes each); more are joined by shuffle.
+LEVEL_NODES = 50_000
+#: Levels that are gone down between two writes.
+LEVELS = 4
+
+
+def descend(at: DataFrame, nodes: DataFrame, tree: list[str]) -> DataFrame:
+    """(columns of ``at``, prediction): where each row (``tree`` columns, ``x``: an array of its features) ends.
+
+    Level by level: rows meet the nodes of their level by (tree, node id), a level's few nodes in all tasks, and its many by
+    shuffle, when no node has many rows any more. The driver holds no nodes, so a forest may be of any size and depth. A row
+    whose tree has no nodes gets no prediction and is left out.
+    """
+    from sparkforest.operators.train import stored
+
+    keys, names = [*tree, "_node"], at.columns
+    known = nodes if "missing_left" in nodes.columns else nodes.withColumn("missing_left", F.lit(None).cast("boolean"))
+    known = known.select(*tree, F.col("node_id").alias("_node"), F.col("feature").alias("_f"), F.col("threshold").alias("_t"), F.col("left").alias("_l"), F.col("right").alias("_r"), F.col("prediction").alias("_p"), F.coalesce("missing_left", F.lit(False)).alias("_m"))
+    roots = stored(known.groupBy(*tree).agg(F.min("_node").alias("_node")))
+    at = at.join(roots, tree).withColumn("prediction", F.lit(None).cast("double"))
+    level, done = roots, []
+    while True:
+        shuffled = False
+        for _ in range(LEVELS):
+            here = stored(known.join(level, keys))
+            n = here.count()
+            level = here.where("_f >= 0").select(*tree, F.explode(F.array("_l", "_r")).alias("_node"))
+            if not n:
+                break
+            shuffled = n > LEVEL_NODES
+            met = at.join(here if shuffled else F.broadcast(here), keys, "left")
+            v = F.element_at("x", F.col("_f") + 1)
+            left = F.when(v.isNull() | F.isnan(v), F.col("_m")).otherwise(v <= F.col("_t"))
+            ends = F.coalesce("prediction", F.when(F.col("_f") < 0, F.col("_p")))
+            at = met.select(*names, F.when(F.col("_f") >= 0, F.when(left, F.col("_l")).otherwise(F.col("_r"))).alias("_node"), ends.alias("prediction"))
+            if shuffled:
+                break
+        at = stored(at)
+        done.append(at.where("prediction is not null").select(*names, "prediction"))
+        at = at.where("prediction is null and _node is not null")
+        if not n or at.isEmpty():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def predict_trees_by_joins(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
+    """As ``predict_trees``, with the forest as a table that is never gathered: the driver has the trees' indexes alone.
+    Rows are stored with a number first, so repeated ones stay apart."""
+    from sparkforest.operators.split import _free
+    from sparkforest.operators.train import stored
+
+    row = _free("_row", df.columns)
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    trees = sorted(r[0] for r in nodes.select("tree_index").distinct().collect())
+    if not trees:
+        raise ValueError("the model has no trees")
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("x")
+    ends = descend(numbered.select(F.col(row).alias("_id"), x, F.explode(F.lit(trees)).alias("tree_index")), nodes, ["tree_index"])
+    made = ends.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("tree_index", "prediction"))).alias("_p"))
+    made = made.select("_id", F.transform("_p", lambda p: p["prediction"]).alias("tree_predictions"))
+    return numbered.join(made, numbered[row] == made["_id"]).drop(row, "_id")
+
+
 def votes(tree_predictions: Column, n_classes: int) -> Column:
     """How many trees say each class."""
     return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.size(F.filter(tree_predictions, lambda p: p == k)))

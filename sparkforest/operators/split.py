@@ -24,35 +24,65 @@ def assign_splits(df: DataFrame, *, validation_ratio: float, test_ratio: float,
     u = uniform(seed, F.col(row_id))
     if not exact:
         return df.withColumn("split", F.when(u < test_ratio, "test").when(u < test_ratio + validation_ratio, "validation").otherwise("train"))
+    h, t, v = (_free(c, df.columns) for c in ("_h", "_test", "_validation"))
     by_class = F.col(target).cast("string") if target and task_type == "classification" else None
+    marked = df.withColumn(h, (u * 4294967296.0).cast("long"))
     test_by = by_class if by_class is not None and stratify_eligibility(df, target, test_ratio).first()["eligible"] else F.lit("all")
-    marked = _first_share(df.withColumn("_u", u), test_by, test_ratio, row_id, "_test")
-    rest, share = marked.where("not _test"), validation_ratio / (1 - test_ratio)
+    marked = _first_share(marked, F.lit(True), test_by, h, test_ratio, row_id, t)
+    rest, share = ~F.col(t), validation_ratio / (1 - test_ratio)
     # The second stage has a rule of its own: what is left of each class may be too little.
-    val_by = by_class if by_class is not None and stratify_eligibility(rest, target, share).first()["eligible"] else F.lit("all")
-    parts = _first_share(rest, val_by, share, row_id, "_val").withColumn("split", F.when(F.col("_val"), "validation").otherwise("train"))
-    names = [F.col(f"`{c}`") for c in df.columns]
-    return parts.select(*names, "split").unionByName(marked.where("_test").select(*names, F.lit("test").alias("split")))
+    val_by = by_class if by_class is not None and stratify_eligibility(marked.where(rest), target, share).first()["eligible"] else F.lit("all")
+    marked = _first_share(marked, rest, val_by, h, share, row_id, v)
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col(t), "test").when(F.col(v), "validation").otherwise("train").alias("split"))
 
 
-#: Rows of a stratum that are ranked together, about.
-CELL_ROWS = 100_000
+def _free(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
-def _first_share(df: DataFrame, strata: Column, share: float, row_id: str, flag: str) -> DataFrame:
-    """Adds ``flag``: whether a row is among the first ``share`` (rounded up) of its stratum by ``_u``.
+def share_cuts(rows: DataFrame, share: float) -> DataFrame:
+    """(stratum, cut, k, n) from rows (stratum, h), h of 32 bits: the first ``share`` of a stratum's rows (rounded up) by h
+    are those below ``cut`` and ``k`` of the ``n`` at it. A stratum of whose rows none are taken has no row.
 
-    Ranks without one task per stratum: rows are counted by ranges of ``_u``, as many as their number asks for, and
-    ranked inside a range.
+    Two counting passes, by the upper and then the lower 16 bits: nothing but counts is shuffled, at most 65,536 of a
+    stratum, and no row is ranked.
     """
-    cells = max(256, 1 << (df.count() // CELL_ROWS).bit_length())
-    keyed = df.withColumn("_s", strata).withColumn("_c", F.floor(F.col("_u") * cells).cast("int"))
-    counts = keyed.groupBy("_s", "_c").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_s", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy("_s")).alias("_all"))
-    rank = F.row_number().over(Window.partitionBy("_s", "_c").orderBy("_u", row_id)) + F.col("_b")
-    ranked = keyed.join(counts, ["_s", "_c"]).withColumn(flag, rank <= F.ceil(F.col("_all") * F.lit(share) - 1e-9))
-    return ranked.drop("_s", "_c", "_b", "_all")
+    from sparkforest.operators.train import stored
+
+    def crossing(counts: DataFrame, by: str, k) -> DataFrame:
+        """The cell of each stratum in which its k-th row lies, and k without the rows of the cells before."""
+        upto = F.sum("n").over(Window.partitionBy("stratum").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        d = counts.withColumn("k", k).withColumn("upto", upto)
+        return d.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).withColumn("k", F.col("k") - F.col("upto") + F.col("n")).drop("upto")
+
+    high = rows.groupBy("stratum", F.shiftright("h", 16).alias("high")).agg(F.count("*").alias("n"))
+    asked = F.ceil(F.sum("n").over(Window.partitionBy("stratum")) * F.lit(share) - 1e-9)
+    cells = crossing(high, "high", asked).select(F.col("stratum").alias("_s"), F.col("high").alias("_g"), F.col("k").alias("_k"))
+    # A row for each class, stored, by whose size Spark chooses the join.
+    inside = rows.join(stored(cells), F.col("stratum").eqNullSafe(F.col("_s")) & (F.shiftright("h", 16) == F.col("_g")))
+    low = inside.groupBy("stratum", F.col("h").alias("cut")).agg(F.count("*").alias("n"), F.first("_k").alias("_k"))
+    return stored(crossing(low, "cut", F.col("_k")).select("stratum", "cut", "k", "n"))
+
+
+def _first_share(df: DataFrame, among, strata: Column, h: str, share: float, row_id: str, flag: str) -> DataFrame:
+    """Adds ``flag``: whether a row is one of ``among`` and in the first ``share`` of their stratum by ``h``, and by the row
+    id where the cut goes through rows of one ``h``. Only such rows are ranked."""
+    s, cut, k = (_free(c, df.columns) for c in ("_s", "_cut", "_k"))
+    cuts = share_cuts(df.where(among).select(strata.alias("stratum"), F.col(h).alias("h")), share)
+    apart = not cuts.where("k < n").isEmpty()
+    cuts = cuts.select(F.col("stratum").alias(s), F.col("cut").alias(cut), F.col("k").alias(k))
+    joined = df.join(cuts, strata.eqNullSafe(F.col(s)), "left")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    whole = joined.select(*names, (among & F.coalesce((F.col(h) < F.col(cut)) | ((F.col(h) == F.col(cut)) & F.lit(not apart)), F.lit(False))).alias(flag))
+    if not apart:
+        return whole
+    tied = among & F.coalesce(F.col(h) == F.col(cut), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(s).orderBy(row_id))
+    at = joined.where(tied).select(*names, (rank <= F.col(k)).alias(flag))
+    rest = joined.where(~tied).select(*names, (among & F.coalesce(F.col(h) < F.col(cut), F.lit(False))).alias(flag))
+    return rest.unionByName(at)
 
 
 def stratify_eligibility(df: DataFrame, target: str, ratio: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkforest.operators import encode, grow, metrics, registry, runlog, scenario, score, split, train, validate
 from sparkforest.operators.grid import ForestConfig
 from sparkforest.operators.scenario import Scenario
+from sparkforest.plans.models import score_requests
 from sparkforest.plans.training import TrainingRequest, compare_scenarios
 from sparkforest.plans.training import train as train_job
 from sparkforest.sources import io
@@ -315,6 +316,32 @@ def forest_votes(spark, sf_dir):
     return score.vote(scored(spark, sf_dir), ["a", "b", "c"]).select("row_id", *[F.get("votes", F.lit(k)).alias(f"v{k}") for k in range(3)], "prediction")
 
 
+@query(_SQL["forest_votes"])
+def forest_votes_by_joins(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("row_id", rid()).select("row_id", *FEATURES)
+    found = score.predict_trees_by_joins(rows, fixed_nodes(spark), FEATURES)
+    return score.vote(found, ["a", "b", "c"]).select("row_id", *[F.get("votes", F.lit(k)).alias(f"v{k}") for k in range(3)], "prediction")
+
+
+@query(f"""with v as (select v.*, o.l_orderkey % 4 as m from ({_VOTES}) v join (select distinct {RID_SQL} as row_id, l_orderkey from lineitem) o using (row_id)),
+q as (select l_orderkey, l_orderkey % 4 as m from lineitem group by l_orderkey)
+select 'voter' as model_id, case when v0 >= v1 and v0 >= v2 then 'a' when v1 >= v2 then 'b' else 'c' end as label, null::varchar as error, count(*) as n, null::double as total from v where m = 0 group by 2
+union all select 'meaner', null, null, count(*), round(sum(mean), 6) from v where m = 1
+union all select case when m = 2 then 'absent' else 'old' end, null, case when m = 2 then 'no such model' else 'model is FAILED' end, count(*), null from q where m >= 2 group by m""")
+def requests_by_model(spark, sf_dir):
+    """A request for each order, each to the model that it names: one that votes, one that averages, one that isn't there,
+    one that failed."""
+    root = train.scratch(spark)
+    for name in ("voter", "meaner"):
+        io.write_nodes(fixed_nodes(spark), root, name)
+    rows = [("voter", "READY", "classification", FEATURES, ["a", "b", "c"]), ("meaner", "READY", "regression", FEATURES, []), ("old", "FAILED", "regression", FEATURES, [])]
+    registry.Registry(spark, root).append("models", spark.createDataFrame(rows, "model_id string, status string, task_type string, features array<string>, labels array<string>"))
+    packed = io.pack_payload(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", FEATURES)
+    named = packed.withColumnRenamed("l_orderkey", "request_id").withColumn("model_id", F.when(F.col("request_id") % 4 == 0, "voter").when(F.col("request_id") % 4 == 1, "meaner").when(F.col("request_id") % 4 == 2, "absent").otherwise("old"))
+    out = score_requests(named, root).groupBy("model_id", "label", "error").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return out.select("model_id", "label", "error", "n", "total")
+
+
 @query(f"select row_id, mean as prediction from ({_VOTES})")
 def forest_regression_mean(spark, sf_dir):
     return score.mean_prediction(scored(spark, sf_dir)).select("row_id", "prediction")

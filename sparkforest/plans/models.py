@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkforest.operators import encode, score
+from sparkforest.operators import encode, score, train
 from sparkforest.operators.grid import ForestConfig
 from sparkforest.operators.registry import Registry
 from sparkforest.operators.scenario import missing_columns
@@ -84,3 +84,32 @@ def load_model(spark: SparkSession, root: str, model_id: str) -> Model:
     coded = list(found.get("coded") or [])
     labels = list(row["labels"]) if task(row["task_type"]) == "classification" else None
     return Model(model_id, row["job_id"], row["experiment_id"], row["task_type"], row["target"], list(row["features"]), labels, json.loads(row["vocab"]), ForestConfig(**json.loads(row["config"])), json.loads(row["metrics"]), nodes, json.loads(found.get("fill") or "{}"), list(found.get("indicators") or []), coded, io.read_codes(spark, root, model_id) if coded else None)
+
+
+def score_requests(requests: DataFrame, root: str) -> DataFrame:
+    """(request_id, row_no, model_id, label, value, error) for requests (request_id, model_id, values, n_rows, n_cols), each by
+    the model that it names.
+
+    All models of the requests are gone through at once, as node tables: requests meet the registry's READY models and
+    their trees by joins, so neither the driver nor a task holds a model. A model that isn't there or ready, or whose
+    features aren't as many as the request's columns, gives one row with an ``error``; so do sizes that don't fit.
+    """
+    spark = requests.sparkSession
+    models = Registry(spark, root).models().select("model_id", F.col("status").alias("_s"), F.col("labels").alias("_labels"), F.col("task_type").alias("_task"), F.size("features").alias("_n"))
+    asked = requests.select("request_id", "model_id", "values", "n_rows", "n_cols").join(models, "model_id", "left")
+    error = F.when(F.col("_s").isNull(), "no such model").when(F.col("_s") != "READY", F.concat(F.lit("model is "), "_s"))
+    error = error.when(F.col("n_cols") != F.col("_n"), "the model has other features").when(F.size("values") != F.col("n_rows") * F.col("n_cols"), "payload size is not n_rows * n_cols")
+    asked = train.stored(asked.withColumn("error", error).withColumn("_q", F.monotonically_increasing_id()))  # an id may come twice
+    cut = F.transform(F.sequence(F.lit(0), F.col("n_rows").cast("int") - 1), lambda i: F.slice("values", i * F.col("n_cols").cast("int") + 1, F.col("n_cols").cast("int")))
+    rows = asked.where("error is null and n_rows > 0").select("_q", "request_id", "model_id", "_labels", "_task", F.posexplode(cut).alias("row_no", "x"))
+    trees = io.read_nodes(spark, root, None).join(asked.select("model_id").distinct(), "model_id", "left_semi")
+    each = rows.join(trees.select("model_id", "tree_index").distinct(), "model_id")
+    ends = score.descend(each, trees, ["model_id", "tree_index"]).groupBy("_q", "request_id", "model_id", "row_no", "_labels", "_task", "prediction").agg(F.count("*").alias("n"))
+    # Of equal votes, the lowest class; a mean of all trees.
+    best = ends.groupBy("_q", "request_id", "model_id", "row_no", "_labels", "_task").agg(F.min(F.struct((-F.col("n")).alias("n"), "prediction")).alias("b"), (F.sum(F.col("n") * F.col("prediction")) / F.sum("n")).alias("mean"))
+    classify = F.col("_task") == "classification"
+    label = F.when(classify, F.element_at("_labels", F.col("b.prediction").cast("int") + 1))
+    good = best.select("request_id", "row_no", "model_id", label.alias("label"), F.when(~classify, F.col("mean")).alias("value"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None)
+    bad = asked.where("error is not null").select("request_id", none.cast("int").alias("row_no"), "model_id", none.cast("string").alias("label"), none.cast("double").alias("value"), "error")
+    return good.unionByName(bad)

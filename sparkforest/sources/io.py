@@ -169,8 +169,10 @@ def write_nodes(nodes: DataFrame, root: str, model_id: str) -> None:
     new.withColumn("model_id", F.lit(model_id)).write.mode("append").partitionBy("model_id").parquet(path)
 
 
-def read_nodes(spark: SparkSession, root: str, model_id: str) -> DataFrame:
-    return spark.read.schema(f"{NODE_FIELDS}, model_id string").parquet(f"{root}/nodes").where(F.col("model_id") == model_id)
+def read_nodes(spark: SparkSession, root: str, model_id: str | None) -> DataFrame:
+    """A model's trees, or those of all models."""
+    nodes = spark.read.schema(f"{NODE_FIELDS}, model_id string").parquet(f"{root}/nodes")
+    return nodes if model_id is None else nodes.where(F.col("model_id") == model_id)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

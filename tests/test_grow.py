@@ -111,3 +111,16 @@ def test_single_trees_are_those_of_the_forest(spark, rows):
     some = table(train.fit_forest_sql(rows.repartition(7), ["a", "b"], "y", config, n_classes=3, finish=50, trees=[1, 4]))
     assert some == [r for r in whole if r[0] in (1, 4)]
     assert {r["tree_index"] for r in split.bootstrap_weights(rows, "row_id", 5, 42, only=[3]).select("tree_index").distinct().collect()} == {3}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 1.0])
+def test_shares_are_cut_by_counts(spark, share):
+    """Rows of one value, some with equal ids, and a class with a single row."""
+    rows = [(f"r{i % 60}", "a" if i % 3 else "b", i % 7 if i < 50 else (i * 2654435761) % 2**32) for i in range(150)] + [("x", "c", 5)]
+    df = spark.createDataFrame(rows, "row_id string, y string, h long")
+    out = split._first_share(df, F.lit(True), F.col("y"), "h", share, "row_id", "first").collect()
+    assert len(out) == len(rows)
+    for y in "abc":
+        own = sorted((h, i) for i, s, h in rows if s == y)
+        n = int(np.ceil(len(own) * share - 1e-9))
+        assert sorted((r["h"], r["row_id"]) for r in out if r["y"] == y and r["first"]) == own[:n]
