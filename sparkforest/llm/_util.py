@@ -14,10 +14,14 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Where that is unset, one below the warehouse, which executors
-    share as well; never a local temporary folder."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, one below the warehouse, if executors share it: a
+    folder of the driver's machine is an error, unless the driver is all there is."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sparkforest-scratch"
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if (base.startswith("/") or base.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{base.rstrip('/')}/sparkforest-scratch"
     return f"{base.rstrip('/')}/sparkforest-{uuid.uuid4().hex}"
 
 
