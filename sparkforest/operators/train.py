@@ -25,8 +25,13 @@ NODES = "tree_index int, node_id int, feature int, threshold double, left int, r
 
 
 def scratch(spark) -> str:
-    """A new folder below ``spark.checkpoint.dir``, else below the warehouse: both are shared with the executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below ``spark.checkpoint.dir``, else below the warehouse, if executors share it: a folder of the
+    driver's machine is an error, unless the driver is all there is."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if (base.startswith("/") or base.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/forest-{uuid.uuid4().hex}"
 
 
