@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkforest.operators.grid import ForestConfig, resolve_max_features
-from sparkforest.operators.split import bootstrap_weights, uniform
+from sparkforest.operators.split import bootstrap_weights, exact_bootstrap, uniform
 
 #: Rows of a node, at most, that is finished inside a task.
 FINISH_ROWS = 4096
@@ -208,12 +208,13 @@ def quantile_cuts(df: DataFrame, features: list[str], bins: int) -> list[list[fl
     return [sorted({float(t) for t in c}) for c in df.approxQuantile(features, [i / bins for i in range(1, bins)], 0.001)]
 
 
-def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int | None = BINS, trees: list[int] | None = None, finish: int = FINISH_ROWS) -> DataFrame:
+def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int | None = BINS, trees: list[int] | None = None, finish: int = FINISH_ROWS, draws: str = "poisson") -> DataFrame:
     """Node table of a forest, or of the trees ``trees`` of it: each tree is the same whichever others are grown.
 
     ``bins``: quantiles that cut a feature; None: every value is a cut, at the middle to the next value of the node.
     Missing values (null, NaN) go to the better side of each split. ``n_classes`` None: regression; labels are indexes 0 to
-    n_classes - 1. Nodes of up to ``finish`` rows grow to their end in a task; the forest is the same with any number.
+    n_classes - 1. ``draws``: how often a row is in a tree's sample, ``poisson`` for each row by itself, with n in all on average,
+    or ``exact``, n in all. Nodes of up to ``finish`` rows grow to their end in a task; the forest is the same with any number.
     """
     from sparkforest.operators.train import NODES, impurity, stored
 
@@ -227,7 +228,10 @@ def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestC
         at = lambda v, c: F.array_min(F.filter(F.lit([*c, float("inf")]), lambda t: t >= v)) if c else F.lit(float("inf"))
         values = [F.when(v.isNotNull(), at(v, c)) for v, c in zip(values, cuts)]
     rows = stored(own.select("_id", "label", F.array(*values).alias("x")))
-    seeded = bootstrap_weights(rows, "_id", config.n_estimators, config.seed, config.bootstrap, trees).where("weight > 0").drop("_id")
+    if draws == "exact" and config.bootstrap:
+        seeded = exact_bootstrap(rows, "_id", config.n_estimators, config.seed, trees).drop("_id")
+    else:
+        seeded = bootstrap_weights(rows, "_id", config.n_estimators, config.seed, config.bootstrap, trees).where("weight > 0").drop("_id")
     at, depth, level, done = seeded.withColumn("node_id", F.lit(1)).withColumn("path", F.lit("1")), 0, [], []
     used: dict[int, int] = {}
     while True:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distribution of the number of draws of a row, Poisson with mean 1, as far as a 32-bit uniform tells.
 _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
@@ -109,6 +113,54 @@ def bootstrap_weights(df: DataFrame, row_id: str, n_trees: int, seed: int, boots
     return trees.withColumn("weight", draws(uniform(F.col("tree_seed"), F.col(row_id))) if bootstrap else F.lit(1))
 
 
+#: Rows of a range of hashes, about, and ranges at most (their counts, half a megabyte, are in every task).
+RANGE_ROWS, MOST_RANGES = 4096, 1 << 16
+
+
+def range_draws(cell: int, upto: np.ndarray, tree_seed: int) -> int:
+    """How many of as many draws as there are rows fall into range ``cell``; ``upto``: rows before each range, and all. The
+    ranges are halved again and again, and a binomial draw, seeded by tree and half, parts the draws of each two halves."""
+    low, high, n, node = 0, len(upto) - 1, int(upto[-1]), 1
+    while high - low > 1 and n:
+        middle = (low + high) // 2
+        all_rows = int(upto[high] - upto[low])
+        left = int(np.random.default_rng([tree_seed, node]).binomial(n, (upto[middle] - upto[low]) / all_rows)) if all_rows else 0
+        low, high, n, node = (low, middle, left, 2 * node) if cell < middle else (middle, high, n - left, 2 * node + 1)
+    return n
+
+
+def exact_bootstrap(df: DataFrame, row_id: str, n_trees: int, seed: int, only: list[int] | None = None) -> DataFrame:
+    """As ``bootstrap_weights``, with exactly as many draws for each tree as there are rows: rows that aren't drawn are left out.
+
+    Rows are dealt into ranges of a hash of their id; a range's number of draws comes by halving (``range_draws``), and its
+    draws fall on its rows, in the order of hash and id, inside one task. The same on any partitioning; rows that repeat an
+    id are drawn each. No rows give none.
+    """
+    h, cell = _free("_h", df.columns), _free("_cell", df.columns)
+    hashed = df.withColumn(h, (uniform(seed, F.col(row_id)) * 4294967296.0).cast("long"))
+    bits = min(MOST_RANGES, max(1, df.count() // RANGE_ROWS)).bit_length() - 1
+    dealt = hashed.withColumn(cell, F.shiftright(h, 32 - bits).cast("int"))
+    counts = {r[cell]: r["count"] for r in dealt.groupBy(cell).count().collect()}  # MOST_RANGES at most
+    upto = np.append(0, np.cumsum([counts.get(i, 0) for i in range(1 << bits)]))
+    trees = [int(i) for i in (range(n_trees) if only is None else only)]
+    names = df.columns
+
+    def draw(rows: pa.Table) -> pa.Table:
+        own, n = int(rows[cell][0].as_py()), len(rows)
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(h, "ascending"), (row_id, "ascending")])).select(names)
+        parts = []
+        for t in trees:
+            drawn = np.random.default_rng([seed + t, own, 1]).integers(0, n, range_draws(own, upto, seed + t))
+            weight = np.bincount(drawn, minlength=n)
+            at = np.flatnonzero(weight)
+            more = (pa.array(np.full(len(at), t), pa.int32()), pa.array(np.full(len(at), seed + t), pa.int32()), pa.array(weight[at], pa.int32()))
+            parts.append(pa.Table.from_arrays([*rows.take(pa.array(at)).columns, *more], names=[*names, "tree_index", "tree_seed", "weight"]))
+        return pa.concat_tables(parts)
+
+    more = [T.StructField(c, T.IntegerType()) for c in ("tree_index", "tree_seed", "weight")]
+    return dealt.groupBy(cell).applyInArrow(draw, T.StructType([*df.schema.fields, *more]))
+
+
 def shard_rows(df: DataFrame, order_by: str, num_shards: int) -> DataFrame:
     """Adds ``shard``: contiguous in the order, of equal sizes, the rest to the last. Ranges and their counts give
     the rank, so no task sorts all rows."""

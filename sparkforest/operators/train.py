@@ -129,12 +129,12 @@ def best_splits(binned: DataFrame, group_cols: list[str], criterion: str, n_clas
     return best.select(*group_cols, F.col("b.feature").alias("feature"), F.col("b.bin").alias("bin"), (-F.col("b.g")).alias("gain"), F.col("b.n_left").alias("n_left"), F.col("b.n_right").alias("n_right"), F.col("b.n").alias("n"))
 
 
-def fit_forest_sql(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int | None = 32, trees: list[int] | None = None, finish: int | None = None) -> DataFrame:
+def fit_forest_sql(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int | None = 32, trees: list[int] | None = None, finish: int | None = None, draws: str = "poisson") -> DataFrame:
     """Node table of a forest that is grown by aggregation alone, with missing values, exact cuts and any depth; see
     ``grow.grow_forest``. Only the trees ``trees`` of it, if given."""
     from sparkforest.operators import grow
 
-    return grow.grow_forest(df, features, target, config, n_classes=n_classes, row_id=row_id, bins=bins, trees=trees, finish=grow.FINISH_ROWS if finish is None else finish)
+    return grow.grow_forest(df, features, target, config, n_classes=n_classes, row_id=row_id, bins=bins, trees=trees, finish=grow.FINISH_ROWS if finish is None else finish, draws=draws)
 
 
 def missing_trees(expected: DataFrame, trees: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -87,6 +87,8 @@ def validate_request(request) -> None:
         raise ValueError(f"missing has to be one of {', '.join(MISSING)}")
     if request.categories not in ("error", "codes"):
         raise ValueError("categories has to be error or codes")
+    if request.draws not in ("poisson", "exact") or (request.draws == "exact" and request.backend != "sql"):
+        raise ValueError("draws has to be poisson, or exact with backend='sql'")
     if request.backend not in ("ml", "sql"):
         raise ValueError(f"unknown backend {request.backend!r}")
     if request.missing == "tree" and request.backend != "sql":

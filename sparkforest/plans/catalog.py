@@ -160,6 +160,15 @@ def bootstrap_weights(spark, sf_dir):
     return split.bootstrap_weights(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 3, 42)
 
 
+@query("select t.i::int as tree_index, 42 + t.i::int as tree_seed, count(*)::bigint as drawn, 0::bigint as strangers from orders, range(4) t(i) group by t.i")
+def exact_bootstrap_sums(spark, sf_dir):
+    """Each tree draws as many rows as there are, all of the table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    drawn = split.exact_bootstrap(orders, "o_orderkey", 4, 42)
+    known = drawn.join(orders.distinct().withColumn("known", F.lit(1)), "o_orderkey", "left")
+    return known.groupBy("tree_index", "tree_seed").agg(F.sum("weight").cast("long").alias("drawn"), F.count(F.when(F.col("known").isNull(), 1)).alias("strangers"))
+
+
 @query("select o_orderkey, cast(least((row_number() over (order by o_orderkey) - 1) // greatest(1, (select count(*) from orders) // 7), 6) as int) as shard from orders")
 def row_shards(spark, sf_dir):
     return split.shard_rows(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7)

@@ -37,6 +37,8 @@ class TrainingRequest:
     bins: int | None = 32
     #: Trees that the sql backend grows at a time, which a resumed job needn't grow again; None: all.
     wave: int | None = None
+    #: How the sql backend draws a tree's sample: see ``grow.grow_forest``.
+    draws: str = "poisson"
     #: String columns with more values than one-hot columns are made for: an error, or codes in the order of the label.
     categories: str = "error"
 
@@ -90,7 +92,7 @@ def content_key(rows: DataFrame, features: list[str], labels: list[str] | None,
     one = lambda salt: F.xxhash64(F.lit(salt), *fields, *[c.isNull() for c in fields])
     row = rows.agg(F.count("*").alias("n"), F.sum(one(1).cast("decimal(38,0)")).alias("s"), F.bit_xor(one(2)).alias("x")).first()
     parts = asdict(config) | {"n_estimators": config.n_estimators if request.backend == "ml" else None}
-    what = [request.backend, request.bins if request.backend == "sql" else None, features, labels, parts, row["n"], str(row["s"]), row["x"]]
+    what = [request.backend, (request.bins, request.draws) if request.backend == "sql" else None, features, labels, parts, row["n"], str(row["s"]), row["x"]]
     return hashlib.sha256(json.dumps(what).encode()).hexdigest()
 
 
@@ -108,7 +110,7 @@ def _forest(rows: DataFrame, features: list[str], labels: list[str] | None, conf
     for at in range(0, len(lacks), max(1, step)):
         wave, began = lacks[at : at + step], time.time()
         if request.backend == "sql":
-            grown = stored(fit_forest_sql(rows, features, "label", config, n_classes=len(labels) if labels else None, bins=request.bins, trees=wave))
+            grown = stored(fit_forest_sql(rows, features, "label", config, n_classes=len(labels) if labels else None, bins=request.bins, trees=wave, draws=request.draws))
         else:
             grown = fit_forest_ml(rows, features, "label", config, classification=labels is not None)
         if root:

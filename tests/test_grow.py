@@ -124,3 +124,20 @@ def test_shares_are_cut_by_counts(spark, share):
         own = sorted((h, i) for i, s, h in rows if s == y)
         n = int(np.ceil(len(own) * share - 1e-9))
         assert sorted((r["h"], r["row_id"]) for r in out if r["y"] == y and r["first"]) == own[:n]
+
+
+def test_exact_draws(spark, rows, monkeypatch):
+    """n draws on any partitioning and of single trees, over one range or many, spread as a multinomial draw is."""
+    assert split.exact_bootstrap(rows.limit(0), "row_id", 2, 1).collect() == []
+    for size in (split.RANGE_ROWS, 20):
+        monkeypatch.setattr(split, "RANGE_ROWS", size)
+        key = lambda d: sorted((r["tree_index"], r["row_id"], r["weight"]) for r in d.collect())  # noqa: E731, B023
+        one, two = key(split.exact_bootstrap(rows.coalesce(1), "row_id", 3, 42)), key(split.exact_bootstrap(rows.repartition(9), "row_id", 3, 42))
+        assert one == two and [sum(w for t, _, w in one if t == i) for i in range(3)] == [700] * 3
+        assert key(split.exact_bootstrap(rows, "row_id", 3, 42, only=[2])) == [x for x in one if x[0] == 2]
+        out = [700 - sum(t == i for t, *_ in one) for i in range(3)]
+        assert all(abs(n - 700 / np.e) < 6 * (700 * 0.1) ** 0.5 for n in out)
+    upto = np.append(0, np.cumsum([5, 0, 7, 100]))
+    assert sum(split.range_draws(i, upto, 9) for i in range(4)) == 112 and split.range_draws(1, upto, 9) == 0
+    nodes = train.fit_forest_sql(rows, ["a", "b"], "y", ForestConfig(2, 2), n_classes=3, draws="exact")
+    assert [r["count"] for r in nodes.where("node_id = 1").collect()] == [700.0, 700.0]
