@@ -88,6 +88,13 @@ def bitmap(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseXOR(bit(t)))
 
 
+def double_bitmap(tokens: Column) -> Column:
+    """Two bitmaps, of the tokens with an even and an odd seventh bit: 128 parities. In 64, lines of 100 words and more
+    differ by about 32 whatever they are, which is as much as near ones may."""
+    part = lambda k: F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == k)
+    return F.struct(bitmap(part(0)).alias("x"), bitmap(part(1)).alias("y"))
+
+
 def hub_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(earlier, later): each class and the earliest and the most frequent class that begin or end as it does."""
     keys = classes.select("c", "n", "m", F.explode(F.array("head", "tail")).alias("key"))
@@ -117,7 +124,7 @@ def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0)
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
     place = F.least(inside, most * (100 + percent) - percent * (F.col("na") + F.col("nb"))) >= 0
     length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    differ = (F.bit_count(F.col("ma.x").bitwiseXOR(F.col("mb.x"))) + F.bit_count(F.col("ma.y").bitwiseXOR(F.col("mb.y")))) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     fits = length & place & F.when(F.col("a") > F.col("b"), F.col("oa")).otherwise(F.col("ob")) & differ
     small, large = sides(entries.where(~frequent))
     rare = small.join(large, "token").where(fits).select("a", "b")
@@ -166,7 +173,7 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     # share it. Tokens are hashes of words, by which candidates are found; they decide nothing.
     name = lambda s: F.unhex(F.sha2(F.array_join(s["w"], " "), 256)).alias("x")
     ends = lambda w: (F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
-    digest = lambda w, s, t: F.struct(name(s), F.size(t).alias("n"), bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), *ends(w))
+    digest = lambda w, s, t: F.struct(name(s), F.size(t).alias("n"), double_bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), *ends(w))
     sized = lambda w: let(by_rarity(w, F.col("_levels")), lambda s: F.when(F.size(s) >= max(1, least_words), let(s["t"], lambda t: digest(w, s, t))))
     lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(text).alias("_d"), F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
     # Stored before the filter, which would else compute the tokens a second time.
