@@ -15,6 +15,7 @@ from sparkforest.plans.training import TrainingRequest, compare_scenarios
 from sparkforest.plans.training import train as train_job
 from sparkforest.sources import io
 from sparkforest.streaming import streams
+from sparkforest.streaming.liveness import liveness_transitions
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -651,6 +652,14 @@ def stream_liveness(spark, sf_dir):
     return streamed(spark, streams.liveness_stream(closed_stream(spark, sf_dir, "events", "ts"), "user_id", "ts", "12 hours"))
 
 
+@query("""with g as (select user_id, ts::timestamp as ts, case when ts::timestamp - lag(ts::timestamp) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, min(ts) as at, 'live' as state from s group by user_id, k union all select user_id, max(ts) + interval 12 hours, 'stale' from s group by user_id, k""")
+def stream_liveness_transitions(spark, sf_dir):
+    told = streamed(spark, liveness_transitions(closed_stream(spark, sf_dir, "events", "ts"), "user_id", "ts", "12 hours"))
+    return told.where("user_id is not null")  # the closing row's
+
+
 @query("select event_type as model_id, date_trunc('day', ts::timestamp) as start, date_trunc('day', ts::timestamp) + interval 1 day as \"end\", count(*) as n, avg(case when event_id % 2 = user_id % 2 then 1.0 else 0.0 end) as accuracy from events group by 1, 2")
 def stream_accuracy(spark, sf_dir):
     e = closed_stream(spark, sf_dir, "events", "ts").withColumns({"model_id": F.col("event_type"), "label": F.col("event_id") % 2, "prediction": F.col("user_id") % 2})
