@@ -166,8 +166,12 @@ def mean_prediction(df: DataFrame, predictions: str = "tree_predictions") -> Dat
     return df.withColumn("prediction", F.aggregate(predictions, F.lit(0.0), lambda a, x: a + x) / F.size(predictions))
 
 
-def long_votes(tree_rows: DataFrame, row_id: str = "row_id", label: str = "label_idx") -> DataFrame:
-    """Votes from rows (row, tree, class); partial votes of shards add up by the same sum."""
+def long_votes(tree_rows: DataFrame, row_id: str = "row_id", label: str = "label_idx", n_classes: int | None = None) -> DataFrame:
+    """Votes from rows (row, tree, class); partial votes of shards add up by the same sum. With ``n_classes``, a class that
+    isn't 0 to n_classes - 1 is an error."""
+    if n_classes is not None:
+        known = F.col(label).between(0, n_classes - 1)
+        tree_rows = tree_rows.withColumn(label, F.when(known, F.col(label)).otherwise(F.raise_error(F.concat(F.lit("no class "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast(tree_rows.schema[label].dataType)))
     return tree_rows.groupBy(row_id, label).agg(F.count("*").alias("n"))
 
 

@@ -164,9 +164,11 @@ def exact_bootstrap(df: DataFrame, row_id: str, n_trees: int, seed: int, only: l
 def shard_rows(df: DataFrame, order_by: str, num_shards: int) -> DataFrame:
     """Adds ``shard``: contiguous in the order, of equal sizes, the rest to the last. Ranges and their counts give
     the rank, so no task sorts all rows."""
+    from sparkforest.operators.train import stored
+
     n = max(1, df.count())
-    ranged = df.repartitionByRange(F.col(order_by)).sortWithinPartitions(order_by).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.persist()
+    # Stored, for the numbers have to be the same wherever they are read; a lost executor doesn't change them.
+    ranged = stored(df.repartitionByRange(F.col(order_by)).sortWithinPartitions(order_by).withColumn("_m", F.monotonically_increasing_id()))
     parts = ranged.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
