@@ -80,3 +80,13 @@ def test_failed_ids_come_once(spark):
     log = spark.createDataFrame([("t1", 1, ["x", "y"]), ("t1", 2, ["y"]), ("t2", 3, []), ("t2", 4, None), ("t3", 5, ["z", "x"])], "task string, updated_at int, failed_tree_ids array<string>")
     out = runlog.distinct_items(log, "failed_tree_ids", "updated_at")
     assert sorted(r[0] for r in out.select(out.columns[0]).collect()) == ["x", "y", "z"]
+
+
+def test_what_a_request_may_ask_for():
+    from sparkforest.plans.training import TrainingRequest
+
+    ok = dict(target="y", task_type="classification", row_id="id")
+    validate.validate_request(TrainingRequest(**ok, backend="sql", missing="tree", draws="exact", categories="codes", bins=None))
+    for bad in (dict(missing="tree"), dict(missing="zero"), dict(draws="exact"), dict(draws="x", backend="sql"), dict(categories="all"), dict(backend="rdd")):
+        with pytest.raises(ValueError):
+            validate.validate_request(TrainingRequest(**ok, **bad))
