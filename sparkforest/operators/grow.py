@@ -1,4 +1,5 @@
-"""Forests grown by aggregation: level by level over all trees, and small nodes to their end inside one task.
+"""Forests grown by aggregation: level by level over all trees of all experiments, and small nodes to their end inside
+one task.
 
 Rows with a missing value are a cell of their own, which each cut tries on both sides. Cuts are quantiles of a feature
 or, exactly, all its values. A node draws its features by md5 of the tree's seed and the node's path, so a forest
@@ -24,21 +25,24 @@ FINISH_ROWS = 4096
 #: Quantiles by which a feature is cut.
 BINS = 32
 
-_GROUP = ["tree_index", "node_id"]
-_SUBTREE = "tree_index int, root_id int, local int, feature int, threshold double, left int, right int, prediction double, count double, gain double, missing_left boolean"
+_TREE = ["experiment", "tree_index"]
+_GROUP = [*_TREE, "node_id"]
+_SUBTREE = "experiment int, tree_index int, root_id int, local int, feature int, threshold double, left int, right int, prediction double, count double, gain double, missing_left boolean"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """What decides a split, here and in the tasks."""
+    """What decides a split, here and in the tasks. Over the levels of a grid, ``min_leaf`` and ``entropy`` (whether the
+    impurity is that, and not ``criterion``) are columns of the experiment."""
 
     criterion: str
     n_classes: int | None
     n_features: int
     k: int
     min_split: int
-    min_leaf: int
+    min_leaf: int | F.Column
     midpoints: bool
+    entropy: F.Column | None = None
 
 
 def present(column) -> F.Column:
@@ -102,7 +106,8 @@ def splits_of(rows: DataFrame, group: list[str], rules: Rules, ranged: bool = Fa
     if rules.criterion == "variance":
         imp = {p: F.when(n[p] > 0, F.col(f"{p}_q") / n[p] - F.pow(F.col(f"{p}_s") / n[p], 2)).otherwise(0.0) for p in "lra"}
     else:
-        imp = {p: _impurity_of([F.col(f"{p}_{k}") for k in sums], n[p], rules.criterion) for p in "lra"}
+        of = lambda p, criterion: _impurity_of([F.col(f"{p}_{k}") for k in sums], n[p], criterion)
+        imp = {p: of(p, rules.criterion) if rules.entropy is None else F.when(rules.entropy, of(p, "entropy")).otherwise(of(p, rules.criterion)) for p in "lra"}
     gain = F.round(imp["a"] - (n["l"] * imp["l"] + n["r"] * imp["r"]) / n["a"], 9)
     fits = (n["l"] >= rules.min_leaf) & (n["r"] >= rules.min_leaf)
     d = d.where(fits).select(*key, "value", "next", "_left", "_some", gain.alias("gain"), n["l"].alias("n_left"), n["r"].alias("n_right"), n["a"].alias("n"))
@@ -209,82 +214,110 @@ def quantile_cuts(df: DataFrame, features: list[str], bins: int) -> list[list[fl
 
 
 def grow_forest(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, n_classes: int | None, row_id: str = "row_id", bins: int | None = BINS, trees: list[int] | None = None, finish: int = FINISH_ROWS, draws: str = "poisson") -> DataFrame:
-    """Node table of a forest, or of the trees ``trees`` of it: each tree is the same whichever others are grown.
+    """Node table of a forest, or of the trees ``trees`` of it: each tree is the same whichever others are grown. See
+    ``grow_grid``, of which this is a grid of one."""
+    return grow_grid(df, features, target, [config], n_classes=n_classes, row_id=row_id, bins=bins, trees=[trees], finish=finish, draws=draws).drop("experiment")
 
-    ``bins``: quantiles that cut a feature; None: every value is a cut, at the middle to the next value of the node.
-    Missing values (null, NaN) go to the better side of each split. ``n_classes`` None: regression; labels are indexes 0 to
-    n_classes - 1. ``draws``: how often a row is in a tree's sample, ``poisson`` for each row by itself, with n in all on average,
-    or ``exact``, n in all. Nodes of up to ``finish`` rows grow to their end in a task; the forest is the same with any number.
+
+def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[ForestConfig], *, n_classes: int | None, row_id: str = "row_id", bins: int | None = BINS, trees: list[list[int] | None] | None = None, finish: int = FINISH_ROWS, draws: str = "poisson") -> DataFrame:
+    """Node table of the forests of all experiments, ``experiment`` being an index of ``configs``: each tree is the same
+    whichever others are grown. ``trees``: for each experiment, the indexes of its trees to grow, or None for all.
+
+    A row is held once, with the list of its places (experiment, tree, weight, node), so a level is the same few passes over
+    the rows for any number of experiments. Their samples are drawn once: seed, bootstrap and criterion's kind are one's own.
+
+    ``bins``: quantiles that cut a feature, rows then hold the number of their cut; None: every value is a cut, at the middle
+    to the next value of the node. Missing values (null, NaN) go to the better side of each split. ``n_classes`` None:
+    regression; labels are indexes 0 to n_classes - 1. ``draws``: how often a row is in a tree's sample, ``poisson`` for each
+    row by itself, with n in all on average, or ``exact``, n in all. Nodes of up to ``finish`` rows grow to their end in a
+    task; the forest is the same with any number. No rows give no nodes.
     """
     from sparkforest.operators.train import NODES, impurity, stored
 
-    rules = Rules(impurity(config, n_classes is not None), n_classes, len(features), resolve_max_features(config.max_features, len(features)), max(2, config.min_samples_split), max(1, config.min_samples_leaf), bins is None)
-    spark, limit = df.sparkSession, config.max_depth
-    own = df.select(F.col(row_id).alias("_id"), F.col(target).cast("double").alias("label"), *[present(F.col(f"`{f}`")).alias(f"_x{i}") for i, f in enumerate(features)])
-    values = [F.col(f"_x{i}") for i in range(len(features))]
-    if bins is not None:  # a value becomes the cut at or above it, infinity past the last
+    if len({(c.seed, c.bootstrap) for c in configs}) > 1:
+        raise ValueError("experiments of a grid share their seed and whether samples are drawn")
+    kinds = [impurity(c, n_classes is not None) for c in configs]
+    each = [Rules(kind, n_classes, len(features), resolve_max_features(c.max_features, len(features)), max(2, c.min_samples_split), max(1, c.min_samples_leaf), bins is None) for kind, c in zip(kinds, configs)]
+    of = lambda values: F.element_at(F.lit(values), F.col("experiment") + 1)
+    one, limits = each[0], [-1 if c.max_depth is None else c.max_depth for c in configs]
+    together = Rules("variance" if n_classes is None else "gini", n_classes, len(features), one.k, one.min_split, of([r.min_leaf for r in each]), bins is None, None if n_classes is None else of([k == "entropy" for k in kinds]))
+    wanted = [(e, t) for e, c in enumerate(configs) for t in (range(c.n_estimators) if not trees or trees[e] is None else trees[e])]
+    spark, seed, bootstrap = df.sparkSession, configs[0].seed, configs[0].bootstrap
+
+    names = [f"_x{i}" for i in range(len(features))]
+    own = df.select(F.col(row_id).alias("_id"), F.col(target).cast("double").alias("label"), *[present(F.col(f"`{f}`")).alias(x) for x, f in zip(names, features)])
+    values, cuts = [F.col(x) for x in names], None
+    if bins is not None:  # a value becomes the number of the cut at or above it; past the last, infinity is the cut
         own = stored(own)
-        cuts = quantile_cuts(own, [f"_x{i}" for i in range(len(features))], bins)
-        at = lambda v, c: F.array_min(F.filter(F.lit([*c, float("inf")]), lambda t: t >= v)) if c else F.lit(float("inf"))
-        values = [F.when(v.isNotNull(), at(v, c)) for v, c in zip(values, cuts)]
-    rows = stored(own.select("_id", "label", F.array(*values).alias("x")))
-    if draws == "exact" and config.bootstrap:
-        seeded = exact_bootstrap(rows, "_id", config.n_estimators, config.seed, trees).drop("_id")
+        cuts = [[*c, float("inf")] for c in quantile_cuts(own, names, bins)]
+        number = lambda v, c: F.size(F.filter(F.lit(c), lambda t: t < v)) if len(c) > 1 else F.lit(0)
+        values = [F.when(v.isNotNull(), number(v, c)).cast("short") for v, c in zip(values, cuts)]
+    rows = stored(own.select(F.monotonically_increasing_id().alias("row"), "_id", "label", F.array(*values).alias("x")))
+    drawn_trees = sorted({t for _, t in wanted})
+    ids, most = rows.select("row", "_id"), max(c.n_estimators for c in configs)
+    if draws == "exact" and bootstrap:
+        drawn = exact_bootstrap(ids, "_id", most, seed, drawn_trees)
     else:
-        seeded = bootstrap_weights(rows, "_id", config.n_estimators, config.seed, config.bootstrap, trees).where("weight > 0").drop("_id")
-    at, depth, level, done = seeded.withColumn("node_id", F.lit(1)).withColumn("path", F.lit("1")), 0, [], []
-    used: dict[int, int] = {}
+        drawn = bootstrap_weights(ids, "_id", most, seed, bootstrap, drawn_trees).where("weight > 0")
+    pairs = spark.createDataFrame(wanted, "experiment int, tree_index int")
+    moved = drawn.join(pairs, "tree_index").withColumn("node_id", F.lit(1))
+    live = stored(pairs.withColumns({"node_id": F.lit(1), "path": F.lit("1")}))
+    depth, level, done = 0, [], []
+    used: dict[tuple[int, int], int] = {}
     while True:
-        at = stored(at)
+        places = moved.groupBy("row").agg(F.collect_list(F.struct("experiment", "tree_index", "weight", "node_id")).alias("places"))
+        at = stored(rows.drop("_id").join(places, "row"))
+        flat = at.select("row", "label", "x", F.inline("places"))
         classes = [F.sum(F.when(F.col("label") == i, F.col("weight")).otherwise(0)).alias(f"c{i}") for i in range(n_classes or 0)]
         mean = [] if n_classes else [(F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("prediction")]
-        stat = at.groupBy(*_GROUP, "tree_seed", "path").agg(F.sum("weight").cast("double").alias("n"), F.count("*").alias("rows"), *classes, *mean)
+        stat = flat.groupBy(*_GROUP).agg(F.sum("weight").cast("double").alias("n"), F.count("*").alias("rows"), *classes, *mean)
         if n_classes:  # the most frequent class; of equal counts, the lowest
             counts = F.array(*[f"c{i}" for i in range(n_classes)])
             stat = stat.withColumn("prediction", (F.array_position(counts, F.array_max(counts)) - 1).cast("double"))
-        stat = stored(stat.select(*_GROUP, "tree_seed", "path", "n", "rows", "prediction"))
+        stat = stored(stat.join(live, _GROUP).select(*_GROUP, "path", "n", "rows", "prediction"))
         if not used:
-            used = {r["tree_index"]: 1 for r in stat.select("tree_index").collect()}
+            used = {(r["experiment"], r["tree_index"]): 1 for r in stat.select(*_TREE).collect()}
+        small, large = stat.where(F.col("rows") <= finish), stat.where(F.col("rows") > finish)
         many = stat.agg(F.count(F.when(F.col("rows") <= finish, 1)), F.count(F.when(F.col("rows") > finish, 1))).first()
         if many[0]:
-            small = stat.where(F.col("rows") <= finish).select(*_GROUP)
-            done.append(stored(_finished(at.join(small, _GROUP), rules, None if limit is None else limit - depth)))
+            done.append(stored(_finished(flat.join(small.select(*_GROUP, "path"), _GROUP), each, [None if limit < 0 else limit - depth for limit in limits], seed, cuts)))
         if not many[1]:
             break
-        large = stat.where(F.col("rows") > finish)
-        if depth == limit:
-            level.append(_nodes(large.withColumns({"feature": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double"), "missing_left": F.lit(None).cast("boolean"), "gain": F.lit(0.0), "child": F.lit(-1)})))
-            break
-        parts = at.join(large.select(*_GROUP), _GROUP).select(*_GROUP, "label", "weight", F.posexplode("x").alias("feature", "value"))
-        if rules.k < rules.n_features:
-            lots = F.explode(F.array(*[F.struct(uniform(F.col("tree_seed"), F.concat_ws("/", "path", F.lit(i))).alias("u"), F.lit(i).alias("feature")) for i in range(len(features))])).alias("lot")
-            rank = F.row_number().over(Window.partitionBy(*_GROUP).orderBy("lot.u", "lot.feature"))
-            chosen = large.select(*_GROUP, lots).withColumn("_r", rank).where(F.col("_r") <= rules.k).select(*_GROUP, F.col("lot.feature").alias("feature"))
-            parts = parts.join(chosen, [*_GROUP, "feature"])
-        best = splits_of(parts, _GROUP, rules, bins is None, stored)
-        best = stored(best.where((F.col("gain") > 0) & (F.col("n") >= rules.min_split)).drop("n", "n_left", "n_right"))
+        # What a node looks at: the features of its lots, in as many as its experiment has.
+        lots = F.array(*[F.struct(uniform(F.lit(seed) + F.col("tree_index"), F.concat_ws("/", "path", F.lit(i))).alias("u"), F.lit(i).alias("feature")) for i in range(len(features))])
+        chosen = F.slice(F.array_sort(lots), F.lit(1), of([r.k for r in each])) if min(r.k for r in each) < len(features) else lots
+        open_ = large.where(F.col("n") >= of([r.min_split for r in each])).where(of(limits) != depth)
+        looks = open_.select(*_GROUP, F.transform(chosen, lambda x: x["feature"]).alias("looks"))
+        parts = flat.join(looks, _GROUP).select(*_GROUP, "label", "weight", "x", F.explode("looks").alias("feature"))
+        parts = parts.select(*_GROUP, "feature", F.element_at("x", F.col("feature") + 1).cast("double").alias("value"), "label", "weight")
+        best = stored(splits_of(parts, _GROUP, together, bins is None, stored).where("gain > 0").drop("n", "n_left", "n_right"))
         # Children are numbered in the order of their parents, past all nodes that the tree has so far.
-        base = spark.createDataFrame(sorted(used.items()), "tree_index int, base int")
-        child = F.col("base") + 2 * F.row_number().over(Window.partitionBy("tree_index").orderBy("node_id")) - 1
-        split = best.groupBy("tree_index").count().collect()
-        best = best.join(F.broadcast(base), "tree_index").withColumn("child", child.cast("int")).drop("base")
+        base = spark.createDataFrame([(*k, n) for k, n in sorted(used.items())], "experiment int, tree_index int, base int")
+        child = F.col("base") + 2 * F.row_number().over(Window.partitionBy(*_TREE).orderBy("node_id")) - 1
+        split = best.groupBy(*_TREE).count().collect()
+        best = best.join(base, _TREE).withColumn("child", child.cast("int")).drop("base")
         for r in split:
-            used[r["tree_index"]] += 2 * r["count"]
+            used[r["experiment"], r["tree_index"]] += 2 * r["count"]
+        if cuts is not None:
+            table = spark.createDataFrame([(f, float(i), t) for f, c in enumerate(cuts) for i, t in enumerate(c)], "feature int, at double, cut double")
+            best = best.withColumnRenamed("threshold", "at").join(table, ["feature", "at"]).withColumnRenamed("cut", "threshold")
+        else:
+            best = best.withColumn("at", F.col("threshold"))
+        best = stored(best)
         level.append(_nodes(large.join(best, _GROUP, "left")))
         if not split:
             break
-        go = best.select(*_GROUP, "feature", "threshold", "missing_left", "child")
-        value = F.element_at("x", F.col("feature") + 1)
-        side = F.when(value.isNull(), F.col("missing_left")).otherwise(value <= F.col("threshold"))
-        moved = at.join(go, _GROUP).withColumn("_left", side)
-        names = [c for c in at.columns if c not in ("node_id", "path")]
-        at = moved.select(*names, F.when(F.col("_left"), F.col("child")).otherwise(F.col("child") + 1).alias("node_id"), F.substring(F.md5(F.concat("path", F.when(F.col("_left"), "L").otherwise("R"))), 1, 16).alias("path"))
+        value = F.element_at("x", F.col("feature") + 1).cast("double")
+        left = F.when(value.isNull(), F.col("missing_left")).otherwise(value <= F.col("at"))
+        gone = flat.join(best.select(*_GROUP, "feature", "at", "missing_left", "child"), _GROUP)
+        moved = gone.select("row", *_TREE, "weight", F.when(left, F.col("child")).otherwise(F.col("child") + 1).alias("node_id"))
+        ways = F.explode(F.array(*[F.struct((F.col("child") + i).alias("node_id"), F.substring(F.md5(F.concat("path", F.lit(side))), 1, 16).alias("path")) for i, side in enumerate("LR")])).alias("w")
+        live = stored(best.join(stat.select(*_GROUP, "path"), _GROUP).select(*_TREE, ways).select(*_TREE, "w.*"))
         depth += 1
-    out = [*level, *([_placed(spark, done, used)] if done else [])]
-    nodes = out[0]
-    for x in out[1:]:
+    nodes = spark.createDataFrame([], f"experiment int, {NODES}, missing_left boolean")
+    for x in [*level, *([_placed(spark, done, used)] if done else [])]:
         nodes = nodes.unionByName(x)
-    return nodes.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in NODES.split(", ")], "missing_left")
+    return nodes.select("experiment", *[F.col(c.split()[0]).cast(c.split()[1]) for c in NODES.split(", ")], "missing_left")
 
 
 def _nodes(level: DataFrame) -> DataFrame:
@@ -293,26 +326,29 @@ def _nodes(level: DataFrame) -> DataFrame:
     return level.select(*_GROUP, part(F.col("feature"), -1).alias("feature"), "threshold", part(F.col("child"), -1).alias("left"), part(F.col("child") + 1, -1).alias("right"), "prediction", F.col("n").alias("count"), part(F.col("gain"), 0.0).alias("gain"), "missing_left")
 
 
-def _finished(rows: DataFrame, rules: Rules, depth: int | None) -> DataFrame:
+def _finished(rows: DataFrame, rules: list[Rules], depths: list[int | None], seed: int, cuts: list[list[float]] | None) -> DataFrame:
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([np.asarray(v, dtype=float) for v in pdf["x"]]).reshape(len(pdf), rules.n_features)
-        nodes = subtree(x, pdf["label"].to_numpy(float), pdf["weight"].to_numpy(float), int(pdf["tree_seed"].iloc[0]), pdf["path"].iloc[0], rules, depth)
+        e, tree = int(key[0]), int(key[1])
+        x = np.array([np.asarray(v, dtype=float) for v in pdf["x"]]).reshape(len(pdf), rules[e].n_features)
+        nodes = subtree(x, pdf["label"].to_numpy(float), pdf["weight"].to_numpy(float), seed + tree, pdf["path"].iloc[0], rules[e], depths[e])
         out = pd.DataFrame(nodes, columns=["local", "feature", "threshold", "left", "right", "prediction", "count", "gain", "missing_left"])
+        if cuts is not None:
+            out["threshold"] = [None if f < 0 else cuts[f][int(t)] for f, t in zip(out["feature"], out["threshold"])]
         out["missing_left"] = out["missing_left"].astype(object)
-        return out.assign(tree_index=int(key[0]), root_id=int(key[1]))[[c.split()[0] for c in _SUBTREE.split(", ")]]
+        return out.assign(experiment=e, tree_index=tree, root_id=int(key[2]))[[c.split()[0] for c in _SUBTREE.split(", ")]]
 
     return rows.groupBy(*_GROUP).applyInPandas(grow, _SUBTREE)
 
 
-def _placed(spark, done: list[DataFrame], used: dict[int, int]) -> DataFrame:
+def _placed(spark, done: list[DataFrame], used: dict[tuple[int, int], int]) -> DataFrame:
     """Nodes of finished subtrees with their numbers in the tree: roots have theirs, the rest follow root by root."""
     all_of = done[0]
     for x in done[1:]:
         all_of = all_of.unionByName(x)
-    sizes = all_of.groupBy("tree_index", "root_id").agg((F.count("*") - 1).alias("more"))
-    before = Window.partitionBy("tree_index").orderBy("root_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = spark.createDataFrame(sorted(used.items()), "tree_index int, base int")
-    offsets = sizes.join(F.broadcast(base), "tree_index").select("tree_index", "root_id", (F.col("base") + F.coalesce(F.sum("more").over(before), F.lit(0))).alias("_o"))
+    sizes = all_of.groupBy(*_TREE, "root_id").agg((F.count("*") - 1).alias("more"))
+    before = Window.partitionBy(*_TREE).orderBy("root_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = spark.createDataFrame([(*k, n) for k, n in sorted(used.items())], "experiment int, tree_index int, base int")
+    offsets = sizes.join(base, _TREE).select(*_TREE, "root_id", (F.col("base") + F.coalesce(F.sum("more").over(before), F.lit(0))).alias("_o"))
     number = lambda c: F.when(F.col(c) == 0, F.col("root_id")).when(F.col(c) < 0, -1).otherwise(F.col("_o") + F.col(c))
-    placed = all_of.join(offsets, ["tree_index", "root_id"])
-    return placed.select("tree_index", number("local").alias("node_id"), "feature", "threshold", number("left").alias("left"), number("right").alias("right"), "prediction", "count", "gain", "missing_left")
+    placed = all_of.join(offsets, [*_TREE, "root_id"])
+    return placed.select(*_TREE, number("local").alias("node_id"), "feature", "threshold", number("left").alias("left"), number("right").alias("right"), "prediction", "count", "gain", "missing_left")
