@@ -261,7 +261,7 @@ def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[For
         drawn = bootstrap_weights(ids, "_id", most, seed, bootstrap, drawn_trees).where("weight > 0")
     pairs = spark.createDataFrame(wanted, "experiment int, tree_index int")
     moved = drawn.join(pairs, "tree_index").withColumn("node_id", F.lit(1))
-    live = stored(pairs.withColumns({"node_id": F.lit(1), "path": F.lit("1")}))
+    live = pairs.withColumns({"node_id": F.lit(1), "path": F.lit("1")})
     depth, level, done = 0, [], []
     used: dict[tuple[int, int], int] = {}
     while True:
@@ -290,20 +290,20 @@ def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[For
         looks = open_.select(*_GROUP, F.transform(chosen, lambda x: x["feature"]).alias("looks"))
         parts = flat.join(looks, _GROUP).select(*_GROUP, "label", "weight", "x", F.explode("looks").alias("feature"))
         parts = parts.select(*_GROUP, "feature", F.element_at("x", F.col("feature") + 1).cast("double").alias("value"), "label", "weight")
-        best = stored(splits_of(parts, _GROUP, together, bins is None, stored).where("gain > 0").drop("n", "n_left", "n_right"))
+        best = splits_of(parts, _GROUP, together, bins is None, stored).where("gain > 0").drop("n", "n_left", "n_right")
         # Children are numbered in the order of their parents, past all nodes that the tree has so far.
         base = spark.createDataFrame([(*k, n) for k, n in sorted(used.items())], "experiment int, tree_index int, base int")
         child = F.col("base") + 2 * F.row_number().over(Window.partitionBy(*_TREE).orderBy("node_id")) - 1
-        split = best.groupBy(*_TREE).count().collect()
         best = best.join(base, _TREE).withColumn("child", child.cast("int")).drop("base")
-        for r in split:
-            used[r["experiment"], r["tree_index"]] += 2 * r["count"]
         if cuts is not None:
             table = spark.createDataFrame([(f, float(i), t) for f, c in enumerate(cuts) for i, t in enumerate(c)], "feature int, at double, cut double")
             best = best.withColumnRenamed("threshold", "at").join(table, ["feature", "at"]).withColumnRenamed("cut", "threshold")
         else:
             best = best.withColumn("at", F.col("threshold"))
         best = stored(best)
+        split = best.groupBy(*_TREE).count().collect()
+        for r in split:
+            used[r["experiment"], r["tree_index"]] += 2 * r["count"]
         level.append(_nodes(large.join(best, _GROUP, "left")))
         if not split:
             break
@@ -312,7 +312,7 @@ def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[For
         gone = flat.join(best.select(*_GROUP, "feature", "at", "missing_left", "child"), _GROUP)
         moved = gone.select("row", *_TREE, "weight", F.when(left, F.col("child")).otherwise(F.col("child") + 1).alias("node_id"))
         ways = F.explode(F.array(*[F.struct((F.col("child") + i).alias("node_id"), F.substring(F.md5(F.concat("path", F.lit(side))), 1, 16).alias("path")) for i, side in enumerate("LR")])).alias("w")
-        live = stored(best.join(stat.select(*_GROUP, "path"), _GROUP).select(*_TREE, ways).select(*_TREE, "w.*"))
+        live = best.join(stat.select(*_GROUP, "path"), _GROUP).select(*_TREE, ways).select(*_TREE, "w.*")
         depth += 1
     nodes = spark.createDataFrame([], f"experiment int, {NODES}, missing_left boolean")
     for x in [*level, *([_placed(spark, done, used)] if done else [])]:

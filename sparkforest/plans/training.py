@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkforest.operators import encode, grid, metrics, registry, scenario, score, split, validate
+from sparkforest.operators import encode, grid, grow, metrics, registry, scenario, score, split, validate
 from sparkforest.operators.train import fit_forest_ml, fit_forest_sql, stored
 from sparkforest.plans.models import Model, publish
 from sparkforest.sources import io
@@ -85,47 +85,72 @@ def train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest
         raise
 
 
-def content_key(rows: DataFrame, features: list[str], labels: list[str] | None, config: grid.ForestConfig, request: TrainingRequest) -> str:
-    """Names what decides a tree beside its index: training rows (their digest doesn't depend on order), features,
-    labels, parameters, seed, backend. Spark's trainer draws for all trees together, so their number counts there."""
+def rows_digest(rows: DataFrame, features: list[str]) -> tuple[int, str, int]:
+    """Number of rows and two sums of their hashes, which don't depend on order."""
     fields = [F.col(f"`{c}`") for c in ("row_id", "label", *features)]
     one = lambda salt: F.xxhash64(F.lit(salt), *fields, *[c.isNull() for c in fields])
     row = rows.agg(F.count("*").alias("n"), F.sum(one(1).cast("decimal(38,0)")).alias("s"), F.bit_xor(one(2)).alias("x")).first()
+    return row["n"], str(row["s"]), row["x"]
+
+
+def content_key(digest: tuple[int, str, int], features: list[str], labels: list[str] | None, config: grid.ForestConfig, request: TrainingRequest) -> str:
+    """Names what decides a tree beside its index: training rows (their digest), features, labels, parameters, seed,
+    backend. Spark's trainer draws for all trees together, so their number counts there."""
     parts = asdict(config) | {"n_estimators": config.n_estimators if request.backend == "ml" else None}
-    what = [request.backend, (request.bins, request.draws) if request.backend == "sql" else None, features, labels, parts, row["n"], str(row["s"]), row["x"]]
+    what = [request.backend, (request.bins, request.draws) if request.backend == "sql" else None, features, labels, parts, *digest]
     return hashlib.sha256(json.dumps(what).encode()).hexdigest()
 
 
-def _forest(rows: DataFrame, features: list[str], labels: list[str] | None, config: grid.ForestConfig, request: TrainingRequest, root: str | None) -> tuple[DataFrame, list[tuple]]:
-    """(nodes, [(tree_index, how, seconds and trees of its wave, n_nodes)]): trees that are stored whole are taken, the
-    others are grown and stored by waves."""
-    spark, every = rows.sparkSession, list(range(config.n_estimators))
-    key = content_key(rows, features, labels, config, request) if root else None
-    there = io.whole_trees(spark, root, key)[1] if root else {}
-    lacks = [i for i in every if i not in there]
-    if lacks and request.backend == "ml":
-        lacks = every
-    took: dict[int, tuple[float, int]] = {}
-    nodes, step = None, len(lacks) if request.backend == "ml" or not request.wave else request.wave
-    for at in range(0, len(lacks), max(1, step)):
-        wave, began = lacks[at : at + step], time.time()
-        if request.backend == "sql":
-            grown = stored(fit_forest_sql(rows, features, "label", config, n_classes=len(labels) if labels else None, bins=request.bins, trees=wave, draws=request.draws))
+def _forests(rows: DataFrame, features: list[str], labels: list[str] | None, configs: list[grid.ForestConfig], request: TrainingRequest, root: str | None) -> list[tuple[DataFrame, list[tuple]]]:
+    """For each experiment (nodes, [(tree_index, how, seconds and trees of its wave, n_nodes)]): trees that are stored whole
+    are taken, the others are grown and stored by waves. In the sql backend a wave has trees of all experiments, which grow
+    in the same passes over the rows; Spark's trainer takes one experiment after the other."""
+    spark, sql = rows.sparkSession, request.backend == "sql"
+    digest = rows_digest(rows, features) if root else None
+    keys = [content_key(digest, features, labels, c, request) if root else str(e) for e, c in enumerate(configs)]
+    lacks: dict[int, list[int]] = {}
+    for e, c in enumerate(configs):
+        there = io.whole_trees(spark, root, keys[e])[1] if root else {}
+        gone = [i for i in range(c.n_estimators) if i not in there]
+        if gone and keys.index(keys[e]) == e:  # equal experiments are one
+            lacks[e] = gone if sql else list(range(c.n_estimators))
+    took: dict[tuple[str, int], tuple[float, int]] = {}
+    own: dict[int, list[DataFrame]] = {e: [] for e in range(len(configs))}
+
+    def keep(e: int, grown: DataFrame) -> None:
+        io.write_trees(grown, root, keys[e]) if root else own[e].append(grown)
+
+    classes, longest = len(labels) if labels else None, max(map(len, lacks.values()), default=0)
+    step = request.wave or longest
+    for at in range(0, longest if sql else 0, max(1, step)):
+        wave, began = {e: x for e, all_of in lacks.items() if (x := all_of[at : at + step])}, time.time()
+        order = list(wave)
+        if len(order) == 1:
+            e = order[0]
+            keep(e, stored(fit_forest_sql(rows, features, "label", configs[e], n_classes=classes, bins=request.bins, trees=wave[e], draws=request.draws)))
         else:
-            grown = fit_forest_ml(rows, features, "label", config, classification=labels is not None)
+            grown = stored(grow.grow_grid(rows, features, "label", [configs[e] for e in order], n_classes=classes, bins=request.bins, trees=[wave[e] for e in order], draws=request.draws))
+            for k, e in enumerate(order):
+                keep(e, grown.where(F.col("experiment") == k).drop("experiment"))
+        took |= {(keys[e], i): (time.time() - began, sum(map(len, wave.values()))) for e in order for i in wave[e]}
+    for e in () if sql else lacks:
+        began = time.time()
+        keep(e, fit_forest_ml(rows, features, "label", configs[e], classification=labels is not None))
+        took |= {(keys[e], i): (time.time() - began, len(lacks[e])) for i in lacks[e]}
+    out = []
+    for e, c in enumerate(configs):
         if root:
-            io.write_trees(grown, root, key)
+            nodes, whole = io.whole_trees(spark, root, keys[e])
+            if gone := [i for i in range(c.n_estimators) if i not in whole]:
+                raise RuntimeError(f"trees {gone} were written and aren't whole")
+            nodes = nodes.where(F.col("tree_index") < c.n_estimators)
         else:
-            nodes = grown if nodes is None else nodes.unionByName(grown)
-        took |= {i: (time.time() - began, len(wave)) for i in wave}
-    if root:
-        nodes, whole = io.whole_trees(spark, root, key)
-        if gone := [i for i in every if i not in whole]:
-            raise RuntimeError(f"trees {gone} were written and aren't whole")
-        nodes = nodes.where(F.col("tree_index") < config.n_estimators)
-    else:
-        whole = {r["tree_index"]: r["n"] for r in nodes.groupBy("tree_index").agg(F.count("*").alias("n")).collect()}
-    return nodes, [(i, "GROWN" if i in took else "RESUMED", *took.get(i, (None, None)), whole[i]) for i in every]
+            nodes = own[e][0]
+            for x in own[e][1:]:
+                nodes = nodes.unionByName(x)
+            whole = {r["tree_index"]: r["n"] for r in nodes.groupBy("tree_index").agg(F.count("*").alias("n")).collect()}
+        out.append((nodes, [(i, "GROWN" if (keys[e], i) in took else "RESUMED", *took.get((keys[e], i), (None, None)), whole[i]) for i in range(c.n_estimators)]))
+    return out
 
 
 def _train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None, job_id: str, reg: registry.Registry | None) -> TrainingResult:
@@ -158,13 +183,14 @@ def _train(spark: SparkSession, source: str | DataFrame, request: TrainingReques
     if root:
         row = (schema.target, schema.task_type, features, labels or [])
         io.write_prepared(parted, root, job_id, schema_row=spark.createDataFrame([row], "target string, task_type string, features array<string>, labels array<string>"), report_row=scenario.scenario_report(df, report))
+    plan = grid.plan_grid(spark, job_id, request.space, schema.task_type).orderBy("ordinal").collect()
+    tried = [grid.ForestConfig(request.n_estimators, e["max_depth"], e["max_features"], e["min_samples_split"], e["min_samples_leaf"], e["criterion"], True, request.seed) for e in plan]
+    forests = _forests(ready.where("split = 'train'"), features, labels, tried, request, root)
+    measured = measure_each(ready.where("split = 'validation'"), [nodes for nodes, _ in forests], [c.n_estimators for c in tried], features, labels, schema.task_type)
     rows, trees, fitted, configs = [], [], {}, {}
-    for e in grid.plan_grid(spark, job_id, request.space, schema.task_type).orderBy("ordinal").collect():
-        config = grid.ForestConfig(request.n_estimators, e["max_depth"], e["max_features"], e["min_samples_split"], e["min_samples_leaf"], e["criterion"], True, request.seed)
+    for e, config, (nodes, grown), m in zip(plan, tried, forests, measured):
         name = e["experiment_id"]
-        nodes, grown = _forest(ready.where("split = 'train'"), features, labels, config, request, root)
         trees += [(f"{name}_tree_{i:06d}", job_id, name, i, config.seed + i, "COMPLETED", how, seconds, wave, n) for i, how, seconds, wave, n in grown]
-        m = measure(ready.where("split = 'validation'"), nodes, features, labels, schema.task_type)
         fitted[name], configs[name] = nodes, config
         rows.append((name, e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")], config.n_estimators, len(grown)))
     experiments = spark.createDataFrame(rows, "experiment_id string, ordinal int, accuracy double, mse double, rmse double, r2 double, expected_trees int, completed_trees int")
@@ -214,9 +240,12 @@ def train_table(parted: DataFrame, features: list[str], request: TrainingRequest
     return stored(parted.select(F.col(request.row_id).alias("row_id"), "split", label.alias("label"), *doubles))
 
 
+def _truth(rows: DataFrame, labels: list[str] | None) -> DataFrame:
+    return rows.withColumn("label", F.element_at(F.lit(labels), F.col("label").cast("int") + 1)) if labels else rows
+
+
 def _scored(rows: DataFrame, nodes: DataFrame, features: list[str], labels: list[str] | None) -> DataFrame:
-    truth = rows.withColumn("label", F.element_at(F.lit(labels), F.col("label").cast("int") + 1)) if labels else rows
-    return score.predict(truth, nodes, features, labels)
+    return score.predict(_truth(rows, labels), nodes, features, labels)
 
 
 def measure(rows: DataFrame, nodes: DataFrame, features: list[str], labels: list[str] | None, task_type: str) -> dict:
@@ -225,6 +254,23 @@ def measure(rows: DataFrame, nodes: DataFrame, features: list[str], labels: list
     return metrics.evaluate(_scored(rows, nodes, features, labels), task_type).first().asDict()
 
 
+def measure_each(rows: DataFrame, forests: list[DataFrame], sizes: list[int], features: list[str], labels: list[str] | None, task_type: str) -> list[dict]:
+    """As ``measure``, of several forests (``sizes``: their numbers of trees) in one pass over the rows."""
+    if rows.isEmpty():
+        raise ValueError("a split is empty")
+    starts = [sum(sizes[:e]) for e in range(len(sizes))]
+    nodes = None
+    for start, forest in zip(starts, forests):
+        moved = forest.withColumn("tree_index", F.col("tree_index") + start)
+        nodes = moved if nodes is None else nodes.unionByName(moved)
+    every = F.explode(F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(start + 1).alias("first"), F.lit(n).alias("n")) for e, (start, n) in enumerate(zip(starts, sizes))])).alias("_e")
+    scored = score.predict_trees(_truth(rows, labels), nodes, features).select("label", "tree_predictions", every)
+    own = scored.select("label", "_e.experiment", F.slice("tree_predictions", F.col("_e.first"), F.col("_e.n")).alias("tree_predictions"))
+    predicted = score.vote(own, labels) if labels is not None else score.mean_prediction(own)
+    found = {r["experiment"]: r.asDict() for r in metrics.evaluate_each(predicted, task_type, "experiment").collect()}  # a row for each experiment
+    return [found[e] for e in range(len(sizes))]
+
+
 def compare_scenarios(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, scenarios: list) -> DataFrame:
     """The chosen experiment's validation metrics of each scenario, side by side."""
     rows = []
