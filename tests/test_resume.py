@@ -122,6 +122,12 @@ def test_missing_values_teach_and_are_scored_alike(spark, tmp_path, missing, bac
         assert streamed.join(batch, streamed["request_id"] == batch["row_id"]).where("p <> prediction").isEmpty()
 
 
+def test_medians_are_exact_however_many_values(spark):
+    """One more or one less of the lower half moves the middle, far below one rank in 10,000 of 100,000."""
+    half = spark.range(100_000).select(F.when(F.col("id") < 50_000, 1.0).otherwise(2.0).alias("even"), F.when(F.col("id") < 49_999, 1.0).otherwise(2.0).alias("more"), (F.col("id") * 7 % 100_000 / 8).alias("all"))
+    assert encode.medians(half, ["even", "more", "all"]) == {"even": 1.0, "more": 2.0, "all": 49_999 / 8}
+
+
 def test_medians_and_indicators(spark):
     df = spark.createDataFrame([(1.0, 5, "x"), (None, 6, "x"), (float("nan"), None, "y"), (3.0, 8, "z"), (9.0, 9, "z")], "a double, b int, s string")
     assert encode.medians(df, ["a", "b"]) == {"a": 3.0, "b": 6.0} and encode.medians(df, []) == {}
