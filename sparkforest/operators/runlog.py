@@ -40,11 +40,14 @@ def missing_keys(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def id_ranges(df: DataFrame, group: str, id: str) -> DataFrame:
     """(group, start, n): runs of consecutive ids. Ids are bucketed first and runs are joined at bucket borders, so a
-    group with very many ids isn't one task."""
+    group with very many ids isn't one task. Buckets are dealt into as many partitions as the rows need, and sorted there
+    once; a repeated id has the rank of its first."""
+    from sparkforest.operators.train import dealt
+
     cell = F.shiftright(F.col(id).cast("long"), 16)
     inner = Window.partitionBy(group, "_c").orderBy(id)
-    ids = df.select(group, F.col(id).cast("long").alias(id)).distinct().withColumn("_c", cell)
-    runs = ids.withColumn("_g", F.col(id) - F.row_number().over(inner)).groupBy(group, "_c", "_g").agg(F.min(id).alias("start"), F.max(id).alias("last"))
+    ids = dealt(df.select(group, F.col(id).cast("long").alias(id), cell.alias("_c")), df.count(), group, "_c")
+    runs = ids.withColumn("_g", F.col(id) - F.dense_rank().over(inner)).groupBy(group, "_c", "_g").agg(F.min(id).alias("start"), F.max(id).alias("last"))
     # Only runs that touch a border of their bucket may go on in another.
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
     border = (low("start") == 0) | (low("last") == 0xFFFF)

@@ -42,6 +42,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition, about, where the number of partitions goes by that of rows.
+PARTITION_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` shuffled by ``by``, into as many partitions as ``rows`` rows need, and the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // PARTITION_ROWS)), *by)
+
+
 def depth_of(config: ForestConfig) -> int:
     """The depth to grow to. More than MAX_DEPTH is an error; no limit means MAX_DEPTH, with a warning."""
     if config.max_depth is None:
