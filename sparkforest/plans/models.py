@@ -96,15 +96,18 @@ def score_requests(requests: DataFrame, root: str) -> DataFrame:
     """
     spark = requests.sparkSession
     models = Registry(spark, root).models().select("model_id", F.col("status").alias("_s"), F.col("labels").alias("_labels"), F.col("task_type").alias("_task"), F.size("features").alias("_n"))
+    models = train.stored(models)  # a row for each model, by whose size Spark chooses the join
     asked = requests.select("request_id", "model_id", "values", "n_rows", "n_cols").join(models, "model_id", "left")
     error = F.when(F.col("_s").isNull(), "no such model").when(F.col("_s") != "READY", F.concat(F.lit("model is "), "_s"))
     error = error.when(F.col("n_cols") != F.col("_n"), "the model has other features").when(F.size("values") != F.col("n_rows") * F.col("n_cols"), "payload size is not n_rows * n_cols")
     asked = train.stored(asked.withColumn("error", error).withColumn("_q", F.monotonically_increasing_id()))  # an id may come twice
     cut = F.transform(F.sequence(F.lit(0), F.col("n_rows").cast("int") - 1), lambda i: F.slice("values", i * F.col("n_cols").cast("int") + 1, F.col("n_cols").cast("int")))
     rows = asked.where("error is null and n_rows > 0").select("_q", "request_id", "model_id", "_labels", "_task", F.posexplode(cut).alias("row_no", "x"))
-    trees = io.read_nodes(spark, root, None).join(asked.select("model_id").distinct(), "model_id", "left_semi")
-    each = rows.join(trees.select("model_id", "tree_index").distinct(), "model_id")
-    ends = score.descend(each, trees, ["model_id", "tree_index"]).groupBy("_q", "request_id", "model_id", "row_no", "_labels", "_task", "prediction").agg(F.count("*").alias("n"))
+    trees = io.read_nodes(spark, root, None).join(train.stored(asked.select("model_id").distinct()), "model_id", "left_semi")
+    each = rows.join(train.stored(trees.select("model_id", "tree_index").distinct()), "model_id")
+    # A row's ends meet once, for both counts, in as many partitions as they need.
+    ends = score.descend(each, trees, ["model_id", "tree_index"])
+    ends = train.dealt(ends, ends.count(), "_q", "row_no").groupBy("_q", "request_id", "model_id", "row_no", "_labels", "_task", "prediction").agg(F.count("*").alias("n"))
     # Of equal votes, the lowest class; a mean of all trees.
     best = ends.groupBy("_q", "request_id", "model_id", "row_no", "_labels", "_task").agg(F.min(F.struct((-F.col("n")).alias("n"), "prediction")).alias("b"), (F.sum(F.col("n") * F.col("prediction")) / F.sum("n")).alias("mean"))
     classify = F.col("_task") == "classification"

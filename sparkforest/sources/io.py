@@ -116,7 +116,11 @@ def explode_payload(df: DataFrame, id: str, values: str, n_rows: str, n_cols: st
 
 
 def pack_payload(df: DataFrame, id: str, row_no: str, feature_cols: list[str]) -> DataFrame:
-    """(id, values, n_rows, n_cols) of each request's rows; a request is one message, so its size is bounded."""
+    """(id, values, n_rows, n_cols) of each request's rows; a request is one message, so its size is bounded. Requests are
+    dealt into as many partitions as the rows need."""
+    from sparkforest.operators.train import dealt
+
+    df = dealt(df.select(id, row_no, *[c for c in feature_cols if c not in (id, row_no)]), df.count(), id)
     one = F.struct(F.col(row_no).alias("r"), F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("f"))
     rows = df.groupBy(id).agg(F.array_sort(F.collect_list(one)).alias("_rows"))
     return rows.select(id, F.flatten(F.transform("_rows", lambda s: s["f"])).alias("values"), F.size("_rows").alias("n_rows"), F.lit(len(feature_cols)).alias("n_cols"))

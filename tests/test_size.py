@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkforest.operators import runlog, train
+from sparkforest.sources import io
 
 
 def plan(df):
@@ -20,3 +21,10 @@ def test_id_ranges(spark, small_parts):
     out = runlog.id_ranges(ids, "g", "i")  # each id twice, over the border of a bucket
     assert "40), REPARTITION_BY_NUM" in plan(out)
     assert sorted(map(tuple, out.collect())) == [(0, 65_000, 500), *((1, 65_000 + 3 * k, 1) for k in range(500))]
+
+
+def test_payloads(spark, small_parts):
+    cells = spark.range(1000).select(F.floor(F.col("id") / 4).alias("q"), (F.col("id") % 4).alias("r"), F.col("id").cast("double").alias("x"))
+    out = io.pack_payload(cells, "q", "r", ["x"])
+    assert "20), REPARTITION_BY_NUM" in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(q, [4.0 * q + i for i in range(4)], 4, 1) for q in range(250)]
