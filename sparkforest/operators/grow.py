@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkforest.operators.grid import ForestConfig, resolve_max_features
-from sparkforest.operators.split import bootstrap_weights, exact_bootstrap, uniform
+from sparkforest.operators.split import draws as poisson_draws
+from sparkforest.operators.split import exact_bootstrap, uniform
 
 #: Rows of a node, at most, that is finished inside a task.
 FINISH_ROWS = 4096
 #: Quantiles by which a feature is cut.
 BINS = 32
+#: Levels that rows are taken down by the splits alone, before their places are written anew.
+LEVELS = 4
 
 _TREE = ["experiment", "tree_index"]
 _GROUP = [*_TREE, "node_id"]
@@ -223,8 +226,10 @@ def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[For
     """Node table of the forests of all experiments, ``experiment`` being an index of ``configs``: each tree is the same
     whichever others are grown. ``trees``: for each experiment, the indexes of its trees to grow, or None for all.
 
-    A row is held once, with the list of its places (experiment, tree, weight, node), so a level is the same few passes over
-    the rows for any number of experiments. Their samples are drawn once: seed, bootstrap and criterion's kind are one's own.
+    A row is held once, with the list of its places (tree, weight), so a level is the same few passes over the rows for any
+    number of experiments. A pass takes each place down from where it was written last by the splits of the levels since,
+    which are small tables; only every LEVELS levels, places (experiment, tree, weight, node) are shuffled and written anew.
+    Their samples are drawn once: seed, bootstrap and criterion's kind are one's own.
 
     ``bins``: quantiles that cut a feature, rows then hold the number of their cut; None: every value is a cut, at the middle
     to the next value of the node. Missing values (null, NaN) go to the better side of each split. ``n_classes`` None:
@@ -252,22 +257,24 @@ def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[For
         cuts = [[*c, float("inf")] for c in quantile_cuts(own, names, bins)]
         number = lambda v, c: F.size(F.filter(F.lit(c), lambda t: t < v)) if len(c) > 1 else F.lit(0)
         values = [F.when(v.isNotNull(), number(v, c)).cast("short") for v, c in zip(values, cuts)]
-    rows = stored(own.select(F.monotonically_increasing_id().alias("row"), "_id", "label", F.array(*values).alias("x")))
-    drawn_trees = sorted({t for _, t in wanted})
-    ids, most = rows.select("row", "_id"), max(c.n_estimators for c in configs)
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "_id", "label", F.array(*values).alias("x"))
+    drawn_trees, most = sorted({t for _, t in wanted}), max(c.n_estimators for c in configs)
     if draws == "exact" and bootstrap:
-        drawn = exact_bootstrap(ids, "_id", most, seed, drawn_trees)
-    else:
-        drawn = bootstrap_weights(ids, "_id", most, seed, bootstrap, drawn_trees).where("weight > 0")
+        rows = stored(rows)
+        drawn = exact_bootstrap(rows.select("row", "_id"), "_id", most, seed, drawn_trees)
+        drawn = drawn.groupBy("row").agg(F.collect_list(F.struct("tree_index", "weight")).alias("places"))
+        rows = stored(rows.drop("_id").join(drawn, "row"))
+    else:  # a row's own uniforms decide, so nothing moves
+        us = F.transform(F.lit(drawn_trees), lambda t: uniform(F.lit(seed) + t, F.col("_id")) if bootstrap else F.lit(1.0))
+        place = lambda u, i: F.struct(F.element_at(F.lit(drawn_trees), i + 1).alias("tree_index"), (poisson_draws(u) if bootstrap else F.lit(1)).alias("weight"))
+        places = F.filter(F.transform("_us", place), lambda p: p["weight"] > 0)
+        rows = stored(rows.withColumn("_us", us).select("row", "label", "x", places.alias("places")))
     pairs = spark.createDataFrame(wanted, "experiment int, tree_index int")
-    moved = drawn.join(pairs, "tree_index").withColumn("node_id", F.lit(1))
+    flat = rows.select("row", "label", "x", F.inline("places")).join(F.broadcast(pairs), "tree_index").withColumn("node_id", F.lit(1))
     live = pairs.withColumns({"node_id": F.lit(1), "path": F.lit("1")})
     depth, level, done = 0, [], []
     used: dict[tuple[int, int], int] = {}
     while True:
-        places = moved.groupBy("row").agg(F.collect_list(F.struct("experiment", "tree_index", "weight", "node_id")).alias("places"))
-        at = stored(rows.drop("_id").join(places, "row"))
-        flat = at.select("row", "label", "x", F.inline("places"))
         classes = [F.sum(F.when(F.col("label") == i, F.col("weight")).otherwise(0)).alias(f"c{i}") for i in range(n_classes or 0)]
         mean = [] if n_classes else [(F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("prediction")]
         stat = flat.groupBy(*_GROUP).agg(F.sum("weight").cast("double").alias("n"), F.count("*").alias("rows"), *classes, *mean)
@@ -310,10 +317,13 @@ def grow_grid(df: DataFrame, features: list[str], target: str, configs: list[For
         value = F.element_at("x", F.col("feature") + 1).cast("double")
         left = F.when(value.isNull(), F.col("missing_left")).otherwise(value <= F.col("at"))
         gone = flat.join(best.select(*_GROUP, "feature", "at", "missing_left", "child"), _GROUP)
-        moved = gone.select("row", *_TREE, "weight", F.when(left, F.col("child")).otherwise(F.col("child") + 1).alias("node_id"))
+        flat = gone.select("row", "label", "x", *_TREE, "weight", F.when(left, F.col("child")).otherwise(F.col("child") + 1).alias("node_id"))
         ways = F.explode(F.array(*[F.struct((F.col("child") + i).alias("node_id"), F.substring(F.md5(F.concat("path", F.lit(side))), 1, 16).alias("path")) for i, side in enumerate("LR")])).alias("w")
         live = best.join(stat.select(*_GROUP, "path"), _GROUP).select(*_TREE, ways).select(*_TREE, "w.*")
         depth += 1
+        if depth % LEVELS == 0:
+            places = flat.groupBy("row").agg(F.collect_list(F.struct(*_TREE, "weight", "node_id")).alias("places"))
+            flat = stored(rows.drop("places").join(places, "row")).select("row", "label", "x", F.inline("places"))
     nodes = spark.createDataFrame([], f"experiment int, {NODES}, missing_left boolean")
     for x in [*level, *([_placed(spark, done, used)] if done else [])]:
         nodes = nodes.unionByName(x)

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkforest.operators import runlog, train
+from sparkforest.operators import grow, runlog, train
+from sparkforest.operators.grid import ForestConfig
 from sparkforest.sources import io
 
 
@@ -28,3 +29,14 @@ def test_payloads(spark, small_parts):
     out = io.pack_payload(cells, "q", "r", ["x"])
     assert "20), REPARTITION_BY_NUM" in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(q, [4.0 * q + i for i in range(4)], 4, 1) for q in range(250)]
+
+
+def test_forest_is_the_same_however_often_places_are_written(spark, monkeypatch):
+    rows = train.stored(spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") * 53 % 29).cast("double").alias("b")))
+    rows = train.stored(rows.withColumn("y", ((F.col("a") > 50).cast("int") + (F.col("b") < 15).cast("int")) % 2))
+
+    def forest(levels):
+        monkeypatch.setattr(grow, "LEVELS", levels)
+        return sorted(map(tuple, grow.grow_forest(rows, ["a", "b"], "y", ForestConfig(2, 3), n_classes=2, finish=5).collect()))
+
+    assert forest(4) == forest(2)
