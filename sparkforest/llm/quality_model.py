@@ -10,14 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkforest.llm._util import Scratch, first_by_hash, small_batches
+from sparkforest.llm._util import Scratch, free, running_total, small_batches
 
-#: Labelled rows of each class that the model is fitted on, at most (a bounded sample by hash order), and
-#: the preferred rows that each other row is paired with.
-SAMPLE, PAIRS = 10_000, 4
+#: The preferred rows that each other row is paired with.
+PAIRS = 4
 #: The score that stands for the threshold.
 CUT = 0.7
 
@@ -51,74 +50,87 @@ def features(text: str) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_features(docs: DataFrame, text: str = "text", name: str = "features") -> DataFrame:
     def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in values:
             yield pd.Series([features(t) for t in s], dtype=object)
 
-    return small_batches(docs).withColumn("features", F.pandas_udf(run, "array<double>")(F.coalesce(text, F.lit(""))))
+    return small_batches(docs).withColumn(name, F.pandas_udf(run, "array<double>")(F.coalesce(text, F.lit(""))))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", label: str = "label", text: str = "text", sample: int = SAMPLE, pairs: int = PAIRS, labels: DataFrame | None = None) -> tuple[list[float], float]:
+def numbered(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (``_y``, ``_k``, ``features``) with ``_n``, their number within the label from 1 by the order of a hash of the
+    key, and the number of rows of each label. Rows are range-sorted; one row per partition and label is gathered."""
+    scratch, order = Scratch(rows.sparkSession), ["_y", "_u", "_k"]
+    ranged = rows.withColumn("_u", F.pmod(F.xxhash64("_k"), F.lit(1 << 32))).repartitionByRange(*order).sortWithinPartitions(*order, "features")
+    # The id is the partition and, below 33 bits, the place in it.
+    local = scratch.store(ranged.select("_y", "features", F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33)))
+    before = Window.partitionBy("_y").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = scratch.store(local.groupBy("_y", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows")))
+    shifts = parts.select("_y", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    counts = {r["_y"]: r["n"] for r in parts.groupBy("_y").agg(F.sum("_rows").alias("n")).collect()}
+    return local.join(F.broadcast(shifts), ["_y", "_part"]).select("_y", (F.col("_id") + F.col("_shift")).alias("_n"), "features"), counts
+
+
+def preferences(rows: DataFrame, counts: dict[int, int], pairs: int = PAIRS) -> DataFrame:
+    """Pairs (``_good``, ``_bad``: numbers; ``won``, ``d``: the outcome and the difference of features for it). Each row of
+    label 0 loses against ``pairs`` rows of label 1; one of label 1 that none has drawn draws a row of label 0 itself."""
+    good, bad = rows.where("_y = 1"), rows.where("_y = 0")
+    draw = lambda p, n: F.pmod(F.xxhash64("_n", p), F.lit(n)) + 1
+    drawn = bad.select(F.col("_n").alias("_bad"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(pairs - 1)), lambda p: draw(p, counts[1]))).alias("_good"))
+    alone = good.join(drawn.select(F.col("_good").alias("_n")).distinct(), "_n", "left_anti").select(draw(F.lit(0), counts[0]).alias("_bad"), F.col("_n").alias("_good"))
+    both = drawn.unionAll(alone.select("_bad", "_good"))
+    both = both.join(bad.select(F.col("_n").alias("_bad"), F.col("features").alias("_fb")), "_bad").join(good.select(F.col("_n").alias("_good"), F.col("features").alias("_fg")), "_good")
+    # Every second one is turned round with its outcome.
+    won = F.pmod("_bad", F.lit(2)).cast("double")
+    return both.select("_good", "_bad", won.alias("won"), F.zip_with("_fg", "_fb", lambda a, b: F.when(won == 1, a - b).otherwise(b - a)).alias("d"))
+
+
+def threshold_of(raw: DataFrame, below: int) -> float:
+    """The middle between the scores (``s``) of places ``below`` and the next in ascending order, counted from 1."""
+    scratch = Scratch(raw.sparkSession)
+    ranks = running_total(scratch, raw.groupBy("s").agg(F.count("*").alias("_rows")), [F.col("s")], "_rows")  # equal scores are one row
+    found = ranks.agg(*[F.min(F.when(F.col("_run") >= at, F.col("s"))).alias(f"s{k}") for k, at in enumerate((below, below + 1))]).first()
+    return (found["s0"] + found["s1"]) / 2
+
+
+def fit(docs: DataFrame, key: str = "doc_id", label: str = "label", text: str = "text", pairs: int = PAIRS, labels: DataFrame | None = None, features: str | None = None) -> tuple[list[float], float]:
     """Weights of a Bradley-Terry model and the threshold, from rows (key, text) and ``labels`` (key, label 0/1), or
-    from rows (key, label, text).
+    from rows (key, label, text). ``features``: a column that holds the texts' features already.
 
-    The fit takes at most ``sample`` rows of each label, by hash order; each row of label 0 loses against
-    ``pairs`` rows of label 1. The threshold is the quantile of the sampled rows' scores at the share of
-    label 0 in all labelled rows. With one label only, there is nothing to rank: weights 0, every row equal.
-    Null labels and null keys are left out; of rows that repeat a key, each counts. Keys are chosen before texts,
-    so texts don't move.
+    Every labelled row is in a pair: see ``preferences``. The threshold is the quantile of all labelled rows' scores at
+    the share of label 0 among them. With one label only, there is nothing to rank: weights 0, every row equal.
+    Null labels and null keys are left out; of rows that repeat a key, each counts. Texts don't move, their features do.
     """
     scratch = Scratch(docs.sparkSession)
-    named = (docs if labels is None else labels).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
-    known = named.where("_y in (0, 1) and _k is not null")
+    named = [F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")]
+    rows = docs.select(F.col(features or text).alias("_f"), *(named if labels is None else named[:1]))
+    rows = (rows if labels is not None else rows.where("_y in (0, 1)")).where("_k is not null")
+    rows = rows.withColumnRenamed("_f", "features") if features else scratch.store(with_features(rows, "_f").drop("_f"))
     if labels is not None:
-        known = known.join(docs.select(F.col(key).alias("_k")), "_k")
-    known = scratch.store(known)  # labels and keys alone
-    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+        rows = rows.join(labels.select(*named).where("_y in (0, 1)"), "_k")
+    rows, counts = numbered(rows.select("_y", "_k", "features"))
     if len(counts) < 2:
         return [0.0] * len(FEATURES), 0.0
-    # At most 2 * ``sample`` rows, whatever the input.
-    chosen = F.broadcast(first_by_hash(known, "_y", "_k", sample))
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *([F.col(label).cast("int").alias("_l")] if labels is None else []))
-    texts = texts.join(chosen, "_k")
-    if labels is None:
-        texts = texts.where("_l = _y")
-    rows = with_features(texts, "_t").select("_y", F.col("_n").cast("long").alias("_n"), "features")
-    rows = scratch.store(rows.dropDuplicates(["_y", "_n"]))
-    good, bad = rows.where("_y = 1"), rows.where("_y = 0")
-    n_good = min(counts[1], sample)
-    drawn = bad.select(F.col("_n").alias("_b"), F.col("features").alias("_fb"), F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("_p"))
-    drawn = drawn.withColumn("_n", F.pmod(F.xxhash64("_b", "_p"), F.lit(n_good)) + 1)
-    diff = drawn.join(good.select("_n", "features"), "_n").select(F.pmod("_b", F.lit(2)).cast("double").alias("won"), F.zip_with("features", "_fb", lambda a, b: a - b).alias("d"))
-    diff = diff.select("won", array_to_vector(F.when(F.col("won") == 1, F.col("d")).otherwise(F.transform("d", lambda x: -x))).alias("features"))
+    diff = scratch.store(preferences(rows, counts, pairs)).select("won", array_to_vector("d").alias("features"))
     model = LogisticRegression(featuresCol="features", labelCol="won", fitIntercept=False, regParam=1e-4, maxIter=60, standardization=True).fit(diff)
     weights = [float(w) for w in model.coefficients]
-    scored = rows.select("_y", raw_score(weights).alias("s")).toPandas()  # bounded by the sample
-    share = counts[0] / (counts[0] + counts[1])
-    # The sample may hold the labels in other shares than the corpus; weigh the rows back.
-    weight = np.where(scored["_y"] == 0, share / max(1, (scored["_y"] == 0).sum()), (1 - share) / max(1, (scored["_y"] == 1).sum()))
-    order = np.argsort(scored["s"].to_numpy(), kind="stable")
-    s, below = scored["s"].to_numpy()[order], np.cumsum(weight[order])
-    i = min(int(np.searchsorted(below, share - 1e-9)), len(s) - 1)
-    return weights, float((s[i] + s[min(i + 1, len(s) - 1)]) / 2)
+    return weights, threshold_of(rows.select(raw_score(weights).alias("s")), counts[0])
 
 
 def raw_score(weights: list[float], features: str = "features"):
     return F.aggregate(F.zip_with(features, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
 
 
-def score(docs: DataFrame, weights: list[float], threshold: float, cut: float = CUT, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1; ``cut`` at the threshold) and ``predicted``, from whole texts. Null text: as empty."""
-    w, shift = np.array(weights), math.log(cut / (1 - cut)) - threshold
-
-    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in values:
-            raw = np.array([features(t) for t in s]).reshape(len(s), len(w)) @ w
-            yield pd.Series(1 / (1 + np.exp(-np.clip(raw + shift, -500, 500))))
-
-    kept = small_batches(docs).drop("score", "predicted").withColumn("score", F.pandas_udf(run, "double")(F.coalesce(text, F.lit(""))))
-    return kept.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+def score(docs: DataFrame, weights: list[float], threshold: float, cut: float = CUT, text: str = "text", features: str | None = None) -> DataFrame:
+    """Adds ``score`` (0 to 1; ``cut`` at the threshold) and ``predicted``, from whole texts. Null text: as empty.
+    ``features``: a column that holds the texts' features already."""
+    docs, shift = docs.drop("score", "predicted"), math.log(cut / (1 - cut)) - threshold
+    own = features or free("_features", docs.columns)
+    shaped = docs if features else with_features(docs, text, own)
+    raw = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), raw_score(weights, own) + shift))
+    scored = shaped.withColumn("score", 1 / (1 + F.exp(-raw))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return scored if features else scored.drop(own)
 
 
 def op3_quality_ranking(spark, sf_dir: str) -> DataFrame:
@@ -126,5 +138,6 @@ def op3_quality_ranking(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     seen = labels.where(~held_out).select("doc_id", F.col("quality").alias("label"))
-    weights, threshold = fit(docs, labels=seen)
-    return score(docs, weights, threshold).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    docs = Scratch(spark).store(with_features(docs).select("doc_id", "features"))  # for the fit and the scores
+    weights, threshold = fit(docs, labels=seen, features="features")
+    return score(docs, weights, threshold, features="features").select("doc_id", held_out.alias("held_out"), "score", "predicted")
