@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -32,51 +32,41 @@ def stretches_of(times: np.ndarray, timeout: int) -> list[tuple[int, int, bool]]
     return [(int(times[a]), int(times[b]), False) for a, b in zip(np.append(0, cut + 1), np.append(cut, len(times) - 1))] if len(times) else []
 
 
-class Liveness(StatefulProcessor):
-    """Keeps the stretches of a key whose end the watermark hasn't passed; times are microseconds."""
-
-    def __init__(self, timeout: int):
-        self.timeout = timeout
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("stretches", "first array<bigint>, last array<bigint>, told array<boolean>, timer bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        found = []
-        for b in rows:
-            times = b.iloc[:, 2].to_numpy("datetime64[us]").astype(np.int64)  # by place: names don't all come through
-            found += stretches_of(times[times >= passed], self.timeout)  # later ones have been told otherwise
-        yield self._step(key, found, passed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._step(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _step(self, key, found: list[tuple[int, int, bool]], passed: int) -> pd.DataFrame:
-        first, last, told, timer = self.state.get() if self.state.exists() else ([], [], [], None)
-        out, kept = [], []
-        for start, end, known in merged([*zip(first, last, told), *found], self.timeout):
-            if start <= passed and not known:  # no event before it can come any more
-                out.append((start, "live"))
-                known = True
-            if end + self.timeout <= passed:
-                out.append((end + self.timeout, "stale"))
-            else:
-                kept.append((start, end, known))
-        if timer is not None and timer in (self.handle.listTimers() or ()):
-            self.handle.deleteTimer(timer)
+def step(state: tuple, found: list[tuple[int, int, bool]], passed: int, timeout: int) -> tuple[list[tuple[int, str]], list[tuple[int, int, bool]]]:
+    """Transitions to tell at the watermark ``passed``, and the stretches to keep: those whose end it hasn't passed."""
+    out, kept = [], []
+    for start, end, known in merged([*zip(*state), *found], timeout):
+        if start <= passed and not known:  # no event before it can come any more
+            out.append((start, "live"))
+            known = True
+        if end + timeout <= passed:
+            out.append((end + timeout, "stale"))
+        else:
+            kept.append((start, end, known))
+    return out, kept
+
+
+def stepper(timeout: int):
+    """For applyInPandasWithState: a key's rows, or its timer, and its stretches; times are microseconds."""
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed, found = state.getCurrentWatermarkMs() * 1000, []
+        if not state.hasTimedOut:
+            for b in rows:
+                times = b["_us"].to_numpy(np.int64)
+                found += stretches_of(times[times >= passed], timeout)  # later ones have been told otherwise
+        out, kept = step(state.get if state.exists else ([], [], []), found, passed, timeout)
         if kept:
-            due = -(-min(end + self.timeout if known else start for start, end, known in kept) // 1000)
-            self.handle.registerTimer(due)
-            self.state.update(([k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept], due))
-        elif self.state.exists():
-            self.state.clear()
-        at = pd.to_datetime(np.array([t for t, _ in out], np.int64), unit="us")
-        return pd.DataFrame({"_none": [bool(key[0])] * len(out), "_name": pd.Series([key[1]] * len(out), dtype=object), "at": at, "state": pd.Series([s for _, s in out], dtype=object)})
+            state.update(tuple(map(list, zip(*kept))))
+            due = -(-min(end + timeout if known else start for start, end, known in kept) // 1000)
+            state.setTimeoutTimestamp(due - 1)  # timers go off once the watermark is past their time, at ``due``
+        elif state.exists:
+            state.remove()
+        if out:
+            at, told = zip(*out)
+            yield pd.DataFrame({"_name": np.full(len(at), key[0], object), "_us": np.array(at, np.int64), "state": np.array(told, object)})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def liveness_transitions(stream: DataFrame, key: str, ts: str, timeout: str = "15 seconds", late: str = "0 seconds") -> DataFrame:
@@ -84,14 +74,16 @@ def liveness_transitions(stream: DataFrame, key: str, ts: str, timeout: str = "1
 
     Each key has a timer of its own: it turns stale when the watermark passes that time, whatever other keys do, and live
     again on its return. Events up to ``late`` behind may come in any order; later ones are dropped. The state of a key is
-    its open stretches, however many events these have. Timers need the RocksDB state store, which the session is set to.
+    its open stretches, however many events these have. States come and go with the rows, many keys to an Arrow batch:
+    nothing is asked for key by key. The session is set to the RocksDB state store, so that states needn't fit in memory.
     A null key is a key; keys are compared as strings.
     """
     spark = stream.sparkSession
     spark.conf.set(_PROVIDER, _ROCKS)
     micros = int(spark.sql(f"select unix_micros(timestamp_seconds(0) + interval {timeout})").first()[0])
-    # Keys go as strings beside a mark for null: pandas would make numbers of other kinds of a column with a null.
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    events = stream.select(F.col(key).isNull().alias("_none"), name.alias("_name"), F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", late)
-    told = events.groupBy("_none", "_name").transformWithStateInPandas(Liveness(micros), "_none boolean, _name string, at timestamp, state string", "append", "eventTime")
-    return told.select(F.when(~F.col("_none"), F.col("_name").cast(stream.schema[key].dataType)).alias(key), "at", "state")
+    # Keys go as strings, since pandas would make numbers of other kinds of a column with a null, and times as numbers, which
+    # no time zone moves. Each column costs time for each key.
+    events = stream.select(F.col(key).cast("string").alias("_name"), F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", late)
+    groups = events.withColumn("_us", F.unix_micros("_ts")).groupBy("_name")
+    told = groups.applyInPandasWithState(stepper(micros), "_name string, _us bigint, state string", "first array<bigint>, last array<bigint>, told array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(F.col("_name").cast(stream.schema[key].dataType).alias(key), F.timestamp_micros("_us").alias("at"), "state")

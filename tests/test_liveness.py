@@ -70,3 +70,20 @@ def test_unordered_events_give_what_all_at_once_give(run, tmp_path):
 def test_what_comes_too_late_changes_nothing(run, tmp_path):
     seen = run([[("a", 0)], [("b", 100)], [("a", 5)], [("z", 1000)]], "0 seconds", tmp_path)
     assert [x for x in seen[-1] if x[0] == "a"] == [("a", 0.0, "live"), ("a", 15.0, "stale")]
+
+
+def test_a_night_with_an_hour_twice_and_keys_that_are_null_or_empty(spark, tmp_path):
+    begin = round((dt.datetime(2024, 10, 26, 23, 30) - START).total_seconds())
+    events = [(k, begin + 900 * i) for i in (0, 1, 4, 5, 8, 9) for k in ("null", "", "a")]
+    zero = round(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    df = spark.createDataFrame([(k, zero + s) for k, s in [*events, ("z", begin + 100_000)]], "k string, s long").select(F.expr("nullif(k, 'null')").alias("k"), F.timestamp_seconds("s").alias("t"))
+    df.write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        out = liveness.liveness_transitions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "k", "t", "20 minutes")
+        path = f"{tmp_path}/out"
+        out.select(F.coalesce("k", F.lit("null")).alias("k"), (F.unix_micros("at") / 1e6 - zero).alias("s"), "state").writeStream.option("path", path).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        got = sorted((r["k"], round(r["s"], 6), r["state"]) for r in spark.read.parquet(path).collect() if r["k"] != "z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == plain(events, 1200) and len(got) == 18
