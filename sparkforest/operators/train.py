@@ -69,12 +69,16 @@ def impurity(config: ForestConfig, classification: bool) -> str:
     return name
 
 
-def fit_forest_ml(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, classification: bool = True, row_id: str = "row_id") -> DataFrame:
-    """Node table of a forest by Spark's trainer. Rows are laid out by ``row_id`` first: the trainer's sampling
-    depends on the layout, so the same data and seed give the same forest whatever came before."""
+def laid_out(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Rows dealt by ``row_id`` and sorted by it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_id).sortWithinPartitions(row_id)
+
+
+def fit_forest_ml(df: DataFrame, features: list[str], target: str, config: ForestConfig, *, classification: bool = True, row_id: str = "row_id", laid: bool = False) -> DataFrame:
+    """Node table of a forest by Spark's trainer. Rows are laid out by ``row_id`` first, unless they are ``laid``: the
+    trainer's sampling depends on the layout, so the same data and seed give the same forest whatever came before."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(n, row_id).sortWithinPartitions(row_id)
+    rows = df if laid else laid_out(df, row_id)
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).select("_x", F.col(target).cast("double").alias("_y"))
     kind = RandomForestClassifier if classification else RandomForestRegressor
     model = kind(

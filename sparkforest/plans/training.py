@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkforest.operators import encode, grid, grow, metrics, registry, scenario, score, split, validate
-from sparkforest.operators.train import fit_forest_ml, fit_forest_sql, stored
+from sparkforest.operators.train import fit_forest_ml, fit_forest_sql, laid_out, stored
 from sparkforest.plans.models import Model, publish
 from sparkforest.sources import io
 
@@ -101,10 +101,10 @@ def content_key(digest: tuple[int, str, int], features: list[str], labels: list[
     return hashlib.sha256(json.dumps(what).encode()).hexdigest()
 
 
-def _forests(rows: DataFrame, features: list[str], labels: list[str] | None, configs: list[grid.ForestConfig], request: TrainingRequest, root: str | None) -> list[tuple[DataFrame, list[tuple]]]:
+def _forests(rows: DataFrame, features: list[str], labels: list[str] | None, configs: list[grid.ForestConfig], request: TrainingRequest, root: str | None, laid: bool = False) -> list[tuple[DataFrame, list[tuple]]]:
     """For each experiment (nodes, [(tree_index, how, seconds and trees of its wave, n_nodes)]): trees that are stored whole
     are taken, the others are grown and stored by waves. In the sql backend a wave has trees of all experiments, which grow
-    in the same passes over the rows; Spark's trainer takes one experiment after the other."""
+    in the same passes over the rows; Spark's trainer takes one experiment after the other. ``laid``: see ``fit_forest_ml``."""
     spark, sql = rows.sparkSession, request.backend == "sql"
     digest = rows_digest(rows, features) if root else None
     keys = [content_key(digest, features, labels, c, request) if root else str(e) for e, c in enumerate(configs)]
@@ -135,7 +135,7 @@ def _forests(rows: DataFrame, features: list[str], labels: list[str] | None, con
         took |= {(keys[e], i): (time.time() - began, sum(map(len, wave.values()))) for e in order for i in wave[e]}
     for e in () if sql else lacks:
         began = time.time()
-        keep(e, fit_forest_ml(rows, features, "label", configs[e], classification=labels is not None))
+        keep(e, fit_forest_ml(rows, features, "label", configs[e], classification=labels is not None, laid=laid))
         took |= {(keys[e], i): (time.time() - began, len(lacks[e])) for i in lacks[e]}
     out = []
     for e, c in enumerate(configs):
@@ -153,9 +153,24 @@ def _forests(rows: DataFrame, features: list[str], labels: list[str] | None, con
     return out
 
 
-def _train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None, job_id: str, reg: registry.Registry | None) -> TrainingResult:
-    df = io.load(spark, source) if isinstance(source, str) else source
-    body, report = scenario.apply_scenario(df.drop(request.row_id), request.target, request.scenario, request.leakage)
+@dataclass
+class Prepared:
+    """The rows of a job, ready for its fits, and what made them so."""
+
+    schema: validate.DatasetSchema
+    vocab: dict[str, list[str]]
+    coded: list[str]
+    codes: DataFrame | None
+    labels: list[str] | None
+    features: list[str]
+    parted: DataFrame
+    ready: DataFrame
+    fill: dict[str, float]
+    indicators: list[str]
+
+
+def _prepare(df: DataFrame, body: DataFrame, request: TrainingRequest) -> Prepared:
+    """Checks, encodes, splits and stores the rows of ``df``, with the columns of ``body``."""
     schema = validate.validate(body, request.target, request.task_type)
     validate.check_types(body, schema.features)
     kept = df.select(request.row_id, *[F.col(f"`{c}`") for c in body.columns])
@@ -180,25 +195,43 @@ def _train(spark: SparkSession, source: str | DataFrame, request: TrainingReques
         numbers = [c for c in schema.features if c not in vocab and c not in coded]
         fill, indicators = encode.medians(ready.where("split = 'train'"), numbers), list(validate.missing_counts(ready, numbers))
         ready, features = encode.fill_missing(ready, fill, indicators), [*features, *[f"{c}_missing" for c in indicators]]
+    return Prepared(schema, vocab, coded, codes, labels, features, parted, ready, fill, indicators)
+
+
+def _plan(spark: SparkSession, job_id: str, request: TrainingRequest, task_type: str) -> list[tuple]:
+    """The grid's experiments in order, each with its parameters."""
+    plan = grid.plan_grid(spark, job_id, request.space, task_type).orderBy("ordinal").collect()
+    return [(e, grid.ForestConfig(request.n_estimators, e["max_depth"], e["max_features"], e["min_samples_split"], e["min_samples_leaf"], e["criterion"], True, request.seed)) for e in plan]
+
+
+def _experiments(spark: SparkSession, plan: list[tuple], measured: list[dict], completed: list[int]) -> DataFrame:
+    rows = [(e["experiment_id"], e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")], config.n_estimators, n) for (e, config), m, n in zip(plan, measured, completed)]
+    return spark.createDataFrame(rows, "experiment_id string, ordinal int, accuracy double, mse double, rmse double, r2 double, expected_trees int, completed_trees int")
+
+
+def _train(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, root: str | None, job_id: str, reg: registry.Registry | None) -> TrainingResult:
+    df = io.load(spark, source) if isinstance(source, str) else source
+    body, report = scenario.apply_scenario(df.drop(request.row_id), request.target, request.scenario, request.leakage)
+    made = _prepare(df, body, request)
+    schema, vocab, coded, codes, labels, features, ready = made.schema, made.vocab, made.coded, made.codes, made.labels, made.features, made.ready
     if root:
         row = (schema.target, schema.task_type, features, labels or [])
-        io.write_prepared(parted, root, job_id, schema_row=spark.createDataFrame([row], "target string, task_type string, features array<string>, labels array<string>"), report_row=scenario.scenario_report(df, report))
-    plan = grid.plan_grid(spark, job_id, request.space, schema.task_type).orderBy("ordinal").collect()
-    tried = [grid.ForestConfig(request.n_estimators, e["max_depth"], e["max_features"], e["min_samples_split"], e["min_samples_leaf"], e["criterion"], True, request.seed) for e in plan]
+        io.write_prepared(made.parted, root, job_id, schema_row=spark.createDataFrame([row], "target string, task_type string, features array<string>, labels array<string>"), report_row=scenario.scenario_report(df, report))
+    plan = _plan(spark, job_id, request, schema.task_type)
+    tried = [config for _, config in plan]
     forests = _forests(ready.where("split = 'train'"), features, labels, tried, request, root)
     measured = measure_each(ready.where("split = 'validation'"), [nodes for nodes, _ in forests], [c.n_estimators for c in tried], features, labels, schema.task_type)
-    rows, trees, fitted, configs = [], [], {}, {}
-    for e, config, (nodes, grown), m in zip(plan, tried, forests, measured):
+    trees, fitted, configs = [], {}, {}
+    for (e, config), (nodes, grown) in zip(plan, forests):
         name = e["experiment_id"]
         trees += [(f"{name}_tree_{i:06d}", job_id, name, i, config.seed + i, "COMPLETED", how, seconds, wave, n) for i, how, seconds, wave, n in grown]
         fitted[name], configs[name] = nodes, config
-        rows.append((name, e["ordinal"], *[m[k] for k in ("accuracy", "mse", "rmse", "r2")], config.n_estimators, len(grown)))
-    experiments = spark.createDataFrame(rows, "experiment_id string, ordinal int, accuracy double, mse double, rmse double, r2 double, expected_trees int, completed_trees int")
+    experiments = _experiments(spark, plan, measured, [len(grown) for _, grown in forests])
     best = registry.select_best(experiments, schema.task_type, request.metric).first()
     nodes, name = fitted[best["experiment_id"]], best["experiment_id"]
     test = measure(ready.where("split = 'test'"), nodes, features, labels, schema.task_type) if request.test_ratio > 0 else None
     model_id = _model_id(spark, root, job_id, nodes) if root else f"model_{job_id}"
-    model = Model(model_id, job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes, fill, indicators, coded, codes)
+    model = Model(model_id, job_id, name, schema.task_type, request.target, features, labels, vocab, configs[name], {"validation": {k: best[k] for k in ("accuracy", "mse", "rmse", "r2")}, "test": test}, nodes, made.fill, made.indicators, coded, codes)
     if reg:
         tree_rows = spark.createDataFrame(trees, "tree_id string, job_id string, experiment_id string, tree_index int, seed long, status string, how string, wave_seconds double, wave_trees int, n_nodes long")
         reg.append("trees", tree_rows)
@@ -272,9 +305,45 @@ def measure_each(rows: DataFrame, forests: list[DataFrame], sizes: list[int], fe
 
 
 def compare_scenarios(spark: SparkSession, source: str | DataFrame, request: TrainingRequest, scenarios: list) -> DataFrame:
-    """The chosen experiment's validation metrics of each scenario, side by side."""
-    rows = []
-    for s in scenarios:
-        r = train(spark, source, TrainingRequest(**{**request.__dict__, "scenario": s}))
-        rows.append((scenario.resolve(s).name, len(r.features), *[r.validation[k] for k in ("accuracy", "mse", "rmse", "r2")]))
-    return spark.createDataFrame(rows, "scenario string, n_features int, accuracy double, mse double, rmse double, r2 double")
+    """The chosen experiment's validation metrics of each scenario, side by side.
+
+    Encoding, splits and the trainer's layout of the rows don't depend on the scenario: they are made once for a scenario and
+    all those whose columns it has, and each fit takes its own columns. Codes do depend on which columns there are, so with
+    these each scenario is a job of its own. Test rows take no part.
+    """
+    metric = lambda m: [m[k] for k in ("accuracy", "mse", "rmse", "r2")]
+    schema = "scenario string, n_features int, accuracy double, mse double, rmse double, r2 double"
+    requests = [TrainingRequest(**{**request.__dict__, "scenario": s}) for s in scenarios]
+    if request.categories == "codes":
+        done = [train(spark, source, r) for r in requests]
+        return spark.createDataFrame([(scenario.resolve(s).name, len(r.features), *metric(r.validation)) for s, r in zip(scenarios, done)], schema)
+    for r in requests:
+        validate.validate_request(r)
+    df = io.load(spark, source) if isinstance(source, str) else source
+    whole = df.drop(request.row_id)
+    bodies = [scenario.apply_scenario(whole, request.target, r.scenario, request.leakage)[0] for r in requests]
+    columns = [set(b.columns) for b in bodies]
+    widest = sorted(range(len(bodies)), key=lambda i: -len(columns[i]))
+    host = [next(h for h in widest if columns[h] >= own) for own in columns]
+    found = {}
+    for h in dict.fromkeys(host):
+        made = _prepare(df, bodies[h], request)
+        plan, task = _plan(spark, io.new_id("job"), request, made.schema.task_type), made.schema.task_type
+        tried, ml = [config for _, config in plan], request.backend == "ml"
+        fitted, rest = ready_for(made.ready.where("split = 'train'"), made.features, ml), made.ready.where("split = 'validation'")
+        for i in (i for i in range(len(bodies)) if host[i] == h):
+            own = {c: v for c, v in made.vocab.items() if c in columns[i]}
+            features = [c for c in encode.one_hot(bodies[i], own, request.target).columns if c != request.target]
+            features += [f"{c}_missing" for c in made.indicators if c in features]
+            forests = _forests(fitted, features, made.labels, tried, request, None, laid=ml)
+            measured = measure_each(rest, [nodes for nodes, _ in forests], [c.n_estimators for c in tried], features, made.labels, task)
+            best = registry.select_best(_experiments(spark, plan, measured, [len(grown) for _, grown in forests]), task, request.metric).first()
+            found[i] = (scenario.resolve(requests[i].scenario).name, len(features), *metric(best))
+        if ml:
+            fitted.unpersist()
+    return spark.createDataFrame([found[i] for i in range(len(bodies))], schema)
+
+
+def ready_for(rows: DataFrame, features: list[str], ml: bool) -> DataFrame:
+    """For several fits by Spark's trainer: rows in its layout, kept in memory and on disk. Other rows as they are."""
+    return laid_out(rows).select("label", *[F.col(f"`{c}`") for c in features]).persist() if ml else rows

@@ -96,3 +96,19 @@ def test_groups_of_trees_score_as_one(spark, rows, monkeypatch):
     whole = r.predict(rows).select("row_id", F.col("tree_predictions").alias("t"))
     monkeypatch.setattr(score, "GROUP_NODES", 1)
     assert r.predict(rows).join(whole, "row_id").where("tree_predictions <> t").isEmpty()
+
+
+def test_scenarios_share_what_they_have_in_common(spark, rows, monkeypatch):
+    """One preparation serves the scenarios whose columns another has, and each measures what a job of its own does."""
+    from sparkforest.operators.scenario import Scenario
+    from sparkforest.plans import training
+
+    request = TrainingRequest("y", "classification", "row_id", 3, space={"max_depth": [2, 4]}, leakage=["s"])
+    names = [c for c in rows.columns if c not in ("row_id", "y")]
+    scenarios = [Scenario(keep=(names[1], names[0]), name="two"), "baseline_no_leakage", "baseline_original"]
+    alone = [train(spark, rows.drop("v"), TrainingRequest(**{**request.__dict__, "scenario": s})) for s in scenarios]
+    calls, plain = [], split.assign_splits
+    monkeypatch.setattr(training.split, "assign_splits", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = training.compare_scenarios(spark, rows.drop("v"), request, scenarios).collect()
+    assert [r["n_features"] for r in got] == [len(x.features) for x in alone] and [r["accuracy"] for r in got] == [x.validation["accuracy"] for x in alone]
+    assert len(calls) == 1
