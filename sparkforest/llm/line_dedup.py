@@ -45,8 +45,7 @@ def words_of(line: Column) -> Column:
 
 def slot_levels(docs: DataFrame, text: str = "text") -> DataFrame:
     """(levels): one row, the level of each slot by the words of all texts that fall in it; the rarest is 0."""
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("_x"))
-    words = lines.select(F.explode(words_of(F.col("_x"))).alias("w"))
+    words = docs.select(F.explode(words_of(F.replace(text, F.lit("\n"), F.lit(" ")))).alias("w"))
     slot = F.xxhash64("w").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     counts = words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(127), F.floor(LEVELS * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("byte")
@@ -63,11 +62,11 @@ def with_levels(df: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def by_rarity(words: Column, levels: Column) -> Column:
-    """A line's distinct words (``w``) with their tokens (``t``) in the order of rarity: a token is the slot's level, then
-    the rest of the word's hash. Words that share a token follow each other by themselves."""
+    """Tokens of a line's distinct words in the order of rarity: a token is the slot's level, then the rest of the word's
+    hash. Numbers are sorted, without their words: sorting pairs of both was a quarter of the pass over lines."""
     slot = lambda h: h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-    number = lambda w: F.shiftleft(F.get(levels, slot(F.xxhash64(w))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return F.sort_array(F.transform(F.array_distinct(words), lambda w: F.struct(number(w).alias("t"), w.alias("w"))))
+    number = lambda h: F.shiftleft(F.get(levels, slot(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), number))
 
 
 def prefix(tokens: Column, n: Column, share: float) -> Column:
@@ -105,8 +104,8 @@ def hub_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return keys.join(each, "key").where(near).select(F.col("hub.c").alias("earlier"), F.col("c").alias("later")).distinct()
 
 
-def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> DataFrame:
-    """(earlier, later): classes (c, n tokens, bitmap, prefix, open) that may have a Jaccard similarity of at least
+def meetings(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> DataFrame:
+    """(a, b), a pair once for each run of common tokens: classes (c, n tokens, bitmap, prefix, open) that may have a Jaccard similarity of at least
     ``percent``, where the later one is open.
 
     Of a pair, ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t)
@@ -114,28 +113,40 @@ def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0)
     join as powers of 1 / t: a larger partner is of the same power or the next. ``often_from``: their least level.
     """
     frequent = F.shiftright("token", 24) >= often_from
-    entries = classes.select("c", "n", "bitmap", "open", F.posexplode("prefix").alias("i", "token"))
-    left, right = ["token", "a", "na", "ma", "oa", "ia"], ["token", "b", "nb", "mb", "ob", "ib"]
-    sides = lambda e: (e.select("token", "c", "n", "bitmap", "open", "i").toDF(*left), e.select("token", "c", "n", "bitmap", "open", "i").toDF(*right))
+    # Most of what is shuffled: size, place and whether the class is open are one number.
+    entries = classes.select("c", "n", F.col("bitmap.x").alias("x"), F.col("bitmap.y").alias("y"), "open", "prefix", F.posexplode("prefix").alias("i", "token"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("i", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
+    entries = entries.select("token", "c", packed.alias("s"), "x", "y", F.get("prefix", F.col("i") - 1).alias("p"))
+    sides = lambda e: (e.toDF("token", "a", "sa", "xa", "ya", "pa"), e.toDF("token", "b", "sb", "xb", "yb", "pb"))
+    size, at, is_open = (lambda s: F.shiftright(s, 32).cast("int")), (lambda s: F.shiftright(F.col(s).bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")), (lambda s: F.col(s).bitwiseAND(F.lit(1)) == 1)
+    na, nb, ia, ib = size("sa"), size("sb"), at("sa"), at("sb")
     # How far the token stands before the end of the shorter prefix, and how much more overlap than needed is
     # possible: what stands before it in the shorter place, it, and what follows in both. One expression of both
     # sides, so that it stays in the join and the two sides share one shuffle.
-    inside = F.col("na") - F.ceil(F.col("na") * (2 * percent / (100 + percent)) - 1e-9).cast("int") - F.col("ia")
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
-    place = F.least(inside, most * (100 + percent) - percent * (F.col("na") + F.col("nb"))) >= 0
-    length = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    differ = (F.bit_count(F.col("ma.x").bitwiseXOR(F.col("mb.x"))) + F.bit_count(F.col("ma.y").bitwiseXOR(F.col("mb.y")))) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
-    fits = length & place & F.when(F.col("a") > F.col("b"), F.col("oa")).otherwise(F.col("ob")) & differ
+    inside = na - F.ceil(na * (2 * percent / (100 + percent)) - 1e-9).cast("int") - ia
+    most = F.least(na - ia, nb - ib) + F.least(ia, ib)
+    place = F.least(inside, most * (100 + percent) - percent * (na + nb)) >= 0
+    length = (100 * na >= percent * nb) & ((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
+    differ = (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))) * (100 + percent) <= (100 - percent) * (na + nb)
+    # Where the tokens before are one as well, the pair is found by these: sizes and bitmaps are the same, and so is what
+    # ``place`` says of places that are both one less, or more. So a run of common tokens makes one row.
+    again = F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))
+    fits = length & place & ~again & F.when(F.col("a") > F.col("b"), is_open("sa")).otherwise(is_open("sb")) & differ
     small, large = sides(entries.where(~frequent))
     rare = small.join(large, "token").where(fits).select("a", "b")
     small, large = sides(entries.where(frequent))
     power = lambda n: F.floor(F.log(n) / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
-    small = small.where(inside >= 0).withColumn("power", F.explode(F.array(power("na"), power("na") + 1)))
-    often = small.join(large.withColumn("power", power("nb")), ["token", "power"]).where(fits).select("a", "b")
-    return rare.union(often).select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
+    small = small.where(inside >= 0).withColumn("power", F.explode(F.array(power(na), power(na) + 1)))
+    often = small.join(large.withColumn("power", power(nb)), ["token", "power"]).where(fits).select("a", "b")
+    return rare.union(often)
+
+
+def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> DataFrame:
+    """(earlier, later) of ``meetings``, each pair once."""
+    return meetings(classes, percent, often_from).select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
 
 
-def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """(c): later classes of ``pairs`` (earlier, later) whose sets of words reach ``percent``.
 
     Only the classes of the pairs have their words made again, from the first line of each: documents are joined
@@ -148,8 +159,8 @@ def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFr
     full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).where("_x is not null")
     full = full.join(places, (full["_k"] == places["_k"]) & (F.xxhash64(full["_x"]) == places["_d"]))
     lines = full.select(F.split("_x", "\n").alias("_x"), F.explode("_places").alias("_p")).select("_p.c", F.get("_x", F.col("_p.i")).alias("line"))
-    made = lambda s: F.struct(F.size(s).alias("n"), let(s["t"], wide_bitmap).alias("wide"), s["w"].alias("words"))
-    words = scratch.store(with_levels(lines, levels).select("c", let(by_rarity(words_of(F.col("line")), F.col("_levels")), made).alias("s")).select("c", "s.n", "s.wide", "s.words").dropDuplicates(["c"]))
+    made = lambda w: F.struct(F.size(w).alias("n"), let(F.transform(w, lambda x: F.xxhash64(x)), wide_bitmap).alias("wide"), w.alias("words"))
+    words = scratch.store(lines.select("c", let(F.array_distinct(words_of(F.col("line"))), made).alias("s")).select("c", "s.n", "s.wide", "s.words").dropDuplicates(["c"]))
     # Bitmaps of 256 bits are compared before words move; what decides are the words themselves.
     side = lambda x, what, name: words.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col(what).alias(f"{name}_{x}"))
     both = pairs.join(side("earlier", "wide", "w"), "earlier").join(side("later", "wide", "w"), "later")
@@ -169,12 +180,13 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     scratch = Scratch(docs.sparkSession)
     levels = scratch.store(slot_levels(docs, text))
     often_from = levels.select(F.get(F.sort_array("levels"), F.lit((1 << SLOT_BITS) - FREQUENT))).first()[0]
-    # SHA-256 of the distinct words in their order names the class: words have no white space, and no two sets are known to
+    # SHA-256 of the distinct words, sorted, names the class: words have no white space, and no two sets are known to
     # share it. Tokens are hashes of words, by which candidates are found; they decide nothing.
-    name = lambda s: F.unhex(F.sha2(F.array_join(s["w"], " "), 256)).alias("x")
-    ends = lambda w: (F.xxhash64(F.slice(w, 1, ENDS), F.lit(1)).alias("head"), F.xxhash64(F.slice(F.reverse(w), 1, ENDS), F.lit(2)).alias("tail"))
-    digest = lambda w, s, t: F.struct(name(s), F.size(t).alias("n"), double_bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), *ends(w))
-    sized = lambda w: let(by_rarity(w, F.col("_levels")), lambda s: F.when(F.size(s) >= max(1, least_words), let(s["t"], lambda t: digest(w, s, t))))
+    name = lambda d: F.unhex(F.sha2(F.array_join(F.sort_array(d), " "), 256)).alias("x")
+    some = lambda w, start, seed: F.xxhash64(F.slice(w, start, ENDS), F.lit(seed))
+    ends = lambda w: (some(w, 1, 1).alias("head"), some(w, F.greatest(F.size(w) - (ENDS - 1), F.lit(1)), 2).alias("tail"))
+    digest = lambda w, d, t: F.struct(name(d), F.size(t).alias("n"), double_bitmap(t).alias("bitmap"), prefix(t, F.size(t), percent / 100).alias("prefix"), *ends(w))
+    sized = lambda w: let(F.array_distinct(w), lambda d: F.when(F.size(d) >= max(1, least_words), let(by_rarity(d, F.col("_levels")), lambda t: digest(w, d, t))))
     lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(text).alias("_d"), F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
     # Stored before the filter, which would else compute the tokens a second time.
     made = scratch.store(with_levels(lines, levels).select("_k", "_d", "line_no", let(words_of(F.col("_line")), sized).alias("s")))
@@ -187,10 +199,10 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     placed = scratch.store(lines.select("_k", "_d", "line_no", "s.x"))
     scratch.drop(made)
     hubs = scratch.store(hub_pairs(classes, percent))
-    by_hub = settled(scratch, docs, classes, hubs, levels, percent, key, text)
+    by_hub = settled(scratch, docs, classes, hubs, percent, key, text)
     opened = classes.select("c", "n", "bitmap", "prefix").join(by_hub.withColumn("_done", F.lit(True)), "c", "left").withColumn("open", F.col("_done").isNull())
     maybe = scratch.store(candidates(opened, percent, often_from).join(hubs, ["earlier", "later"], "left_anti"))
-    others = settled(scratch, docs, classes, maybe, levels, percent, key, text)
+    others = settled(scratch, docs, classes, maybe, percent, key, text)
     scratch.drop(levels)
     # A settled class has an earlier similar line; a class's later lines have its first one.
     done = by_hub.union(others).distinct().withColumn("_done", F.lit(True))
