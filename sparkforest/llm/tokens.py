@@ -13,6 +13,7 @@ import re
 import string
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -73,26 +74,24 @@ class ChunkEncoder:
     def _learn(self, new: list[str]) -> None:
         """Puts new chunks at the end of the table, in their order, and after them words that were met in them."""
         lead = " " if self.spaced else ""
-        whole, parts = [], {}
-        for c in new:
-            if self.words is not None and (core := c.rstrip(_PUNCTUATION)).isalpha():
-                parts[c] = core
-            else:
-                whole.append(c)
-        made = dict(zip(whole, self.encode_many([lead + c for c in whole])))
-        if parts:
-            cores = list(dict.fromkeys(parts.values()))
-            known = np.asarray(pc.index_in(pa.array(cores, pa.large_string()), value_set=self.chunks).fill_null(-1))
-            held = {c: self.ids[self.starts[k] : self.starts[k + 1]].tobytes() for c, k in zip(cores, known.tolist()) if k >= 0}
-            fresh = [c for c, k in zip(cores, known.tolist()) if k < 0]
-            held.update(zip(fresh, self.words(fresh)))
-            tails = list({c[len(core) :] for c, core in parts.items()}.difference(self.tails, [""]))
+        if self.words is None:
+            raw = list(self.encode_many([lead + c for c in new]))
+        else:
+            cores = [c.rstrip(_PUNCTUATION) for c in new]
+            parted = list(map(str.isalpha, cores))
+            whole = iter(list(self.encode_many([lead + c for c, p in zip(new, parted) if not p])))
+            words = list(dict.fromkeys(compress(cores, parted)))
+            known = np.asarray(pc.index_in(pa.array(words, pa.large_string()), value_set=self.chunks).fill_null(-1))
+            fresh = list(compress(words, (known < 0).tolist()))
+            held = dict(zip(fresh, self.words(fresh)))
+            held.update((words[k], self.ids[self.starts[j] : self.starts[j + 1]].tobytes()) for k, j in enumerate(known.tolist()) if j >= 0)
+            tails = list({c[len(k) :] for c, k, p in zip(new, cores, parted) if p and len(k) < len(c)}.difference(self.tails))
             self.tails.update(zip(tails, self.encode_many(tails)))
-            for c, core in parts.items():
-                made[c] = held[core] + self.tails[c[len(core) :]] if len(core) < len(c) else held[core]
-            new = [*new, *(c for c in fresh if c not in made)]
-            made.update((c, held[c]) for c in fresh)
-        raw = [made[c] for c in new]
+            raw = [(held[k] if len(k) == len(c) else held[k] + self.tails[c[len(k) :]]) if p else next(whole) for c, k, p in zip(new, cores, parted)]
+            # A fresh word that isn't itself among the new chunks.
+            alone = {c for c, k, p in zip(new, cores, parted) if p and len(k) == len(c)}
+            more = [c for c in fresh if c not in alone]
+            new, raw = [*new, *more], [*raw, *(held[c] for c in more)]
         self.chunks = pa.concat_arrays([self.chunks, pa.array(new, pa.large_string())])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
