@@ -34,28 +34,43 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
+def repeated_places(windows: Column) -> Column:
+    """Places of the windows that are equal to another one, in order: sorted with their places, they are its neighbours."""
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.sort_array(let(pairs, lambda s: F.filter(F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])), lambda i: i.isNotNull())))
+
+
+def covered_words(at: Column, width: int = WINDOW) -> Column:
+    """Words in windows at these places: a place covers ``width`` words, or as many as there are up to the next place."""
+    return F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - i, F.lit(width)))), F.lit(0), lambda a, x: a + x).cast("long")
+
+
 def repeated_words(words: Column, width: int = WINDOW, window: Callable[..., Column] = F.xxhash64) -> Column:
     """Words in windows of ``width`` words that are found twice or more, the first included. ``words`` may be hashes;
     ``window`` makes one value of a window's words."""
 
-    def covered(windows: Column) -> Column:
-        """Windows sorted with their places, those equal to a neighbour, in the order of places; a place covers
-        ``width`` words, or as many as there are up to the next place."""
-        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = let(pairs, lambda s: F.filter(F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])), lambda i: i.isNotNull()))
-        return let(F.sort_array(twice), lambda at: F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - i, F.lit(width)))), F.lit(0), lambda a, x: a + x)).cast("long")
-
     def count(windows: Column) -> Column:
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered(windows))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(repeated_places(windows), lambda at: covered_words(at, width)))
 
     found = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: window(*[F.get(words, i + k) for k in range(width)]))
     return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(let(found, count))
 
 
 def confirmed_repeats(words: Column, hashes: Column) -> Column:
-    """``repeated_words`` by the hashes; where these find some, by the words themselves, since unlike windows may share
-    a hash. Words have no white space, so a window is its words with spaces between."""
-    return let(repeated_words(hashes), lambda n: F.when(n == 0, n).otherwise(repeated_words(words, window=lambda *w: F.concat_ws(" ", *w))))
+    """``repeated_words`` by the hashes; where these find some, windows that share a hash are compared by their words. As
+    many different windows as hashes among them: no two unlike ones share one. Else all windows are counted by words. Words
+    have no white space, so a window is its words with spaces between."""
+    text = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(WINDOW)])
+    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+
+    def confirmed(found: Column, at: Column) -> Column:
+        sound = F.size(F.array_distinct(F.transform(at, text))) == F.size(F.array_distinct(F.transform(at, lambda i: F.get(found, i))))
+        return F.when(sound, covered_words(at)).otherwise(repeated_words(words, window=lambda *w: F.concat_ws(" ", *w)))
+
+    def count(found: Column) -> Column:
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("long")).otherwise(let(repeated_places(found), lambda at: confirmed(found, at)))
+
+    return F.when(F.size(hashes) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, count))
 
 
 def repeated_lines(text: Column) -> Column:
