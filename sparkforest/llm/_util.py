@@ -33,9 +33,15 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Whether a query's shuffle files go when it ends (Spark 4.1 on), instead of some time after the driver's JVM has
+#: collected what names them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that cut lineage: each is written to the shared folder and read back.
 
+    A table that is written needs its shuffles no more, so these go: a job holds those of one step, and not of all.
     ``drop`` removes one that is no longer read, so that loops don't pile up files.
     """
 
@@ -43,8 +49,16 @@ class Scratch:
         self.spark = spark
 
     def store(self, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark)
-        df.write.parquet(path)
+        path, conf = scratch_path(self.spark), self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                conf.unset(CLEANUP)
+            else:
+                conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -106,7 +106,13 @@ def hub_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def meetings(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> DataFrame:
     """(a, b), a pair once for each run of common tokens: classes (c, n tokens, bitmap, prefix, open) that may have a Jaccard similarity of at least
-    ``percent``, where the later one is open.
+    ``percent``, where the later one is open."""
+    rare, often = meetings_apart(classes, percent, often_from)
+    return rare.union(often)
+
+
+def meetings_apart(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``meetings`` by rare tokens, and by frequent ones.
 
     Of a pair, ``a`` is the set that isn't larger. Overlap is at least ``percent`` of the larger set, and 2t / (1 + t)
     of the smaller, so the smaller one needs the shorter prefix. For frequent tokens, sizes go into the key of the
@@ -138,12 +144,17 @@ def meetings(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) ->
     power = lambda n: F.floor(F.log(n) / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
     small = small.where(inside >= 0).withColumn("power", F.explode(F.array(power(na), power(na) + 1)))
     often = small.join(large.withColumn("power", power(nb)), ["token", "power"]).where(fits).select("a", "b")
-    return rare.union(often)
+    return rare, often
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """(earlier, later) of pairs (a, b), each pair once."""
+    return pairs.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
 
 
 def candidates(classes: DataFrame, percent: int = PERCENT, often_from: int = 0) -> DataFrame:
     """(earlier, later) of ``meetings``, each pair once."""
-    return meetings(classes, percent, often_from).select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct()
+    return in_order(meetings(classes, percent, often_from))
 
 
 def settled(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
@@ -201,13 +212,19 @@ def _repeated(docs: DataFrame, key: str, text: str, percent: int, least_words: i
     hubs = scratch.store(hub_pairs(classes, percent))
     by_hub = settled(scratch, docs, classes, hubs, percent, key, text)
     opened = classes.select("c", "n", "bitmap", "prefix").join(by_hub.withColumn("_done", F.lit(True)), "c", "left").withColumn("open", F.col("_done").isNull())
-    maybe = scratch.store(candidates(opened, percent, often_from).join(hubs, ["earlier", "later"], "left_anti"))
+    # One after the other, so that the entries of only one join are on disk at a time.
+    parts = [scratch.store(in_order(part)) for part in meetings_apart(opened, percent, often_from)]
+    maybe = scratch.store(parts[0].union(parts[1]).distinct().join(hubs, ["earlier", "later"], "left_anti"))
     others = settled(scratch, docs, classes, maybe, percent, key, text)
     scratch.drop(levels)
     # A settled class has an earlier similar line; a class's later lines have its first one.
     done = by_hub.union(others).distinct().withColumn("_done", F.lit(True))
     heads = classes.join(done, "c", "left").where("m > 1 or _done").select("x", "first", F.coalesce("_done", F.lit(False)).alias("_done"))
-    return placed.join(heads, "x").where(F.col("_done") | (F.col("first") < place)).select("_k", "_d", "line_no").distinct()
+    # Stored, since the tables that it comes from are of the size of the input.
+    out = scratch.store(placed.join(heads, "x").where(F.col("_done") | (F.col("first") < place)).select("_k", "_d", "line_no").distinct())
+    for df in (placed, classes, hubs, by_hub, *parts, maybe, others):
+        scratch.drop(df)
+    return out
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
