@@ -202,7 +202,13 @@ class ChunkAligner:
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(rows of the table, where each text ends): the chunks of each text. White space at a text's beginning
-        follows the space before it, so such a text is one chunk, and so is one that can't be cut."""
+        follows the space before it, so such a text is one chunk, and so is one that can't be cut.
+
+        A full table is emptied first, so rows hold until the next call. Here and not between the blocks of a task: a
+        worker has many tasks one after the other, each perhaps of one block, and keeps its table.
+        """
+        if len(self.chunks) > KEEP or self.chars > KEEP_CHARS:
+            self.forget()
         whole = [i for i, t in enumerate(texts) if unsafe(t) or t[:1].isspace()]
         values = texts if not whole else [*texts]
         for i in whole:
@@ -311,8 +317,6 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, key: str, text: str) -> D
                 if texts and chars + len(t) > BLOCK:
                     yield block(model, name, pa.concat_arrays([*keys, b.column(0).slice(at, k - at)]), texts)
                     keys, texts, chars, at, name = [], [], 0, k, name + 1
-                    if len(model.chunks) > KEEP or model.chars > KEEP_CHARS:
-                        model.forget()
                 texts.append(t)
                 chars += len(t)
             keys.append(b.column(0).slice(at))

@@ -144,3 +144,13 @@ def test_query(spark, libraries):
     assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, out.collect()), key=str) == brute_rows([tuple(d) for d in docs], libraries)
+
+
+def test_a_workers_table_is_bounded_over_tasks_of_one_block(monkeypatch):
+    monkeypatch.setattr(alignment, "KEEP", 50)
+    table = alignment.ChunkAligner(A, B)
+    for task in range(8):
+        rows, ends = table.codes([" ".join(f"w{task}x{k}" for k in range(40)), "the same"])
+        assert table.chunks.take(rows[ends[0] :]).to_pylist() == ["the", "same"]
+        assert len(table.chunks) <= 50 + 42
+    assert len(table.groups) == len(table.n_a) == len(table.starts) - 1 == len(table.chunks)
