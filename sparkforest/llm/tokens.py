@@ -50,7 +50,7 @@ class ChunkEncoder:
         self.encode_many, self.spaced, self.words = encode_many, spaced, words
         #: The table: distinct chunks, their ids one after the other, and where those of each begin.
         self.chunks, self.ids, self.starts = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
-        self.tails: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as bytes."""
@@ -71,25 +71,26 @@ class ChunkEncoder:
             yield self._slice(texts[at:end])
             at = end
 
-    def _learn(self, new: list[str]) -> None:
-        """Puts new chunks at the end of the table, in their order, and after them words that were met in them."""
+    def _learn(self, new: list[str], cores: list[str], rows: list[int]) -> None:
+        """Puts new chunks at the end of the table, in their order, and after them words that were met in them. ``cores``
+        are the chunks without the punctuation at their ends, ``rows`` those of the table where these are, or -1."""
         lead = " " if self.spaced else ""
         if self.words is None:
             raw = list(self.encode_many([lead + c for c in new]))
         else:
-            cores = [c.rstrip(_PUNCTUATION) for c in new]
             parted = list(map(str.isalpha, cores))
             whole = iter(list(self.encode_many([lead + c for c, p in zip(new, parted) if not p])))
-            words = list(dict.fromkeys(compress(cores, parted)))
-            known = np.asarray(pc.index_in(pa.array(words, pa.large_string()), value_set=self.chunks).fill_null(-1))
-            fresh = list(compress(words, (known < 0).tolist()))
+            held_at = dict(zip(compress(cores, parted), compress(rows, parted)))
+            fresh = [w for w, j in held_at.items() if j < 0]
             held = dict(zip(fresh, self.words(fresh)))
-            held.update((words[k], self.ids[self.starts[j] : self.starts[j + 1]].tobytes()) for k, j in enumerate(known.tolist()) if j >= 0)
-            tails = list({c[len(k) :] for c, k, p in zip(new, cores, parted) if p and len(k) < len(c)}.difference(self.tails))
+            held.update((w, self.ids[self.starts[j] : self.starts[j + 1]].tobytes()) for w, j in held_at.items() if j >= 0)
+            ends = [c[n:] for c, n in zip(new, map(len, cores))]
+            tails = list(set(compress(ends, parted)).difference(self.tails))
             self.tails.update(zip(tails, self.encode_many(tails)))
-            raw = [(held[k] if len(k) == len(c) else held[k] + self.tails[c[len(k) :]]) if p else next(whole) for c, k, p in zip(new, cores, parted)]
+            tail = self.tails
+            raw = [held[k] + tail[e] if p else next(whole) for k, e, p in zip(cores, ends, parted)]
             # A fresh word that isn't itself among the new chunks.
-            alone = {c for c, k, p in zip(new, cores, parted) if p and len(k) == len(c)}
+            alone = {k for k, e in zip(cores, ends) if not e}
             more = [c for c in fresh if c not in alone]
             new, raw = [*new, *more], [*raw, *(held[c] for c in more)]
         self.chunks = pa.concat_arrays([self.chunks, pa.array(new, pa.large_string())])
@@ -106,7 +107,7 @@ class ChunkEncoder:
             at = np.repeat(self.starts[keep] - (ends - size), size) + np.arange(int(size.sum()))
             self.chunks, self.ids, self.starts = self.chunks.take(pa.array(keep)), self.ids[at], np.concatenate([[0], ends])
         if len(self.tails) > KEEP:
-            self.tails = {}
+            self.tails = {"": b""}
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         apart = [i for i, t in enumerate(texts) if unsafe(t)] if self.spaced else []
@@ -119,13 +120,15 @@ class ChunkEncoder:
         lists = pc.split_pattern(strings, " ")
         begin = np.asarray(lists.offsets)
         coded = lists.values.dictionary_encode()
-        known = pc.index_in(coded.dictionary, value_set=self.chunks)
-        if known.null_count:
-            known, n = np.array(known.fill_null(-1)), len(self.chunks)
-            lacks = known < 0
-            self._learn(coded.dictionary.filter(pa.array(lacks)).to_pylist())
+        # One look into the table for chunks and their cores, since each builds its hash table anew.
+        cores = coded.dictionary if self.words is None else pc.ascii_rtrim(coded.dictionary, characters=_PUNCTUATION)
+        asked = coded.dictionary if self.words is None else pa.concat_arrays([coded.dictionary, cores])
+        found, n = np.array(pc.index_in(asked, value_set=self.chunks).fill_null(-1)), len(self.chunks)
+        known, lacks = found[: len(coded.dictionary)], found[: len(coded.dictionary)] < 0
+        if lacks.any():
+            of_cores, new = found[len(found) - len(cores) :][lacks].tolist(), pa.array(lacks)
+            self._learn(coded.dictionary.filter(new).to_pylist(), cores.filter(new).to_pylist(), of_cores)
             known[lacks] = n + np.arange(int(lacks.sum()))
-        known = np.asarray(known)
         ids, first, size = self.ids, self.starts[:-1][known], np.diff(self.starts)[known]
         place = np.asarray(coded.indices)
         if self.spaced:  # the first chunk of a text has no space before it
